@@ -1,4 +1,8 @@
 """All queries of the engine by name, and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from tidemark.plans import evaluation, labelling, streams
+
+QUERIES = streams.QUERIES | labelling.QUERIES | evaluation.QUERIES
+ORACLE = streams.ORACLE | labelling.ORACLE | evaluation.ORACLE
