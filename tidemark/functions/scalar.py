@@ -37,8 +37,8 @@ def apply_platt(p: Column, a: Column, b: Column) -> Column:
 
 
 def seconds(ts: Column, origin: str = "2024-01-01") -> Column:
-    """Seconds since origin (UTC), as double."""
-    return (F.unix_micros(ts) - F.unix_micros(F.to_timestamp(F.lit(origin + " 00:00:00+00:00")))) / 1e6
+    """Seconds since origin, as double; both are read in the session's time zone."""
+    return (F.unix_micros(ts.cast("timestamp")) - F.unix_micros(F.to_timestamp(F.lit(origin + " 00:00:00")))) / 1e6
 
 
 def one_hot(label: Column, options: list[str]) -> Column:

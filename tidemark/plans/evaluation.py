@@ -195,14 +195,14 @@ def keyword_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming ------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {s.SCORED}, {s.HITS}, pos AS (SELECT match, 'goal' AS question, start, "end", round(least(1.0, goal / 40), 2) AS prob FROM h WHERE round(least(1.0, goal / 40), 2) >= 0.5), {_FOLD.format(pos='q0 AS (SELECT 1)', gap=30, cap=120)}
+@query(f"""WITH {s.SCORED}, {s.HITS}, pos AS (SELECT match, 'goal' AS question, start, "end", least(1.0, goal / 40) AS prob FROM h WHERE least(1.0, goal / 40) >= 0.5), {_FOLD.format(pos='q0 AS (SELECT 1)', gap=30, cap=120)}
 SELECT match, question, start, "end", round(prob, 4) AS peak_prob FROM trg""")
 def stream_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored windows replayed as a stream, with state for each match and question; the batch fold gives the same rows."""
     from tidemark.streaming import replay
 
     h = text.rule_hits(b.scored_windows(spark, sf_dir).select("match", "doc_id", "start", "end", "text"), rules={"goal": b.RULES["goal"]})
-    scored = h.select("match", F.col("doc_id").cast("string").alias("wid"), "start", "end", F.round(F.least(F.lit(1.0), F.col("goal") / 40), 2).alias("goal"))
+    scored = h.select("match", F.col("doc_id").cast("string").alias("wid"), "start", "end", F.least(F.lit(1.0), F.col("goal") / 40).alias("goal"))
     return replay.run(scored, ["goal"], {"goal": 0.5}).select("match", "question", "start", "end", "peak_prob")
 
 

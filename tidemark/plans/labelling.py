@@ -84,7 +84,7 @@ def window_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT e.match, e.event_id AS id, coalesce(arg_max(period, audio_start) FILTER (audio_start - 30 <= t), min(period)) AS period FROM ev e JOIN p ON p.match = e.match GROUP BY e.match, e.event_id""")
 def asof_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.events(spark, sf_dir)
-    p = e.select("match").distinct().select("match", F.explode(F.sequence(F.lit(1), F.lit(4))).cast("long").alias("period")).withColumn("audio_start", F.col("period") * 600000.0 + 100000)
+    p = e.select("match").distinct().select("match", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("period")).withColumn("audio_start", F.col("period") * 600000.0 + 100000)
     return intervals.asof_period(e.select("match", F.col("event_id").alias("id"), "t"), p).select("match", "id", "period")
 
 
@@ -106,11 +106,11 @@ def _day_periods(spark, sf_dir):
 
 _CFG = LabelConfig(goal_span=(-300.0, 1200.0), big_chance_span=(-300.0, 800.0), card_search=(0.0, 12000.0), penalty_span=(-300.0, 3000.0), min_overlap=900.0, ignore_near=1800.0, block_overlap=3600.0)
 _SPANS = """me AS (SELECT match, 1 + CAST(floor(t / 518400) AS INT) AS period, t % 518400 AS t, CASE WHEN event_id % 13 = 0 THEN 'penalty_foul' ELSE type END AS type, xg, CASE WHEN event_id % 7 = 0 THEN 'Goal' WHEN event_id % 7 = 1 THEN 'Post' ELSE 'Saved' END AS outcome FROM ev),
-at AS (SELECT *, (period - 1) * 518400.0::DOUBLE + 60 + t AS a FROM me WHERE period BETWEEN 1 AND 4),
-es AS (SELECT match, 'goal' AS question, a - 300 AS start, a + 1200 AS "end", type AS event_type, a AS event_t FROM at WHERE type IN ('goal', 'own_goal')
- UNION ALL SELECT match, 'big_chance', a - 300, a + 800, type, a FROM at WHERE type = 'shot' AND outcome <> 'Goal' AND (xg >= 0.3 OR outcome IN ('Post', 'Saved to Post'))
- UNION ALL SELECT match, 'card_search', a, a + 12000, type, a FROM at WHERE type = 'card'
- UNION ALL SELECT match, 'controversy', a - 300, a + 3000, type, a FROM at WHERE type = 'penalty_foul')"""
+au AS (SELECT *, (period - 1) * 518400.0::DOUBLE + 60 + t AS a FROM me WHERE period BETWEEN 1 AND 4),
+es AS (SELECT match, 'goal' AS question, a - 300 AS start, a + 1200 AS "end", type AS event_type, a AS event_t FROM au WHERE type IN ('goal', 'own_goal')
+ UNION ALL SELECT match, 'big_chance', a - 300, a + 800, type, a FROM au WHERE type = 'shot' AND outcome <> 'Goal' AND (xg >= 0.3 OR outcome IN ('Post', 'Saved to Post'))
+ UNION ALL SELECT match, 'card_search', a, a + 12000, type, a FROM au WHERE type = 'card'
+ UNION ALL SELECT match, 'controversy', a - 300, a + 3000, type, a FROM au WHERE type = 'penalty_foul')"""
 
 
 @query(f"""WITH {s.EVENTS}, {_SPANS} SELECT match, question, round(start, 4) AS start, round("end", 4) AS "end", event_type, round(event_t, 4) AS event_t FROM es""")

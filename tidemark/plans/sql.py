@@ -3,8 +3,8 @@
 EVENTS = """ev AS (SELECT user_id AS match, event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS t, event_type,
   CASE event_type WHEN 'purchase' THEN 'goal' WHEN 'click' THEN 'shot' WHEN 'error' THEN 'card' WHEN 'signup' THEN 'corner' WHEN 'view' THEN 'substitution' END AS type,
   value, least(value / 500, 1.0) AS xg FROM events)"""
-WORDS = r"""tok AS (SELECT conv_id AS match, turn, unnest(regexp_split_to_array(text, '\s+')) AS w, unnest(range(len(regexp_split_to_array(text, '\s+')))) AS at FROM conversations),
-wd AS (SELECT match, turn * 100000 + at AS pos, turn * 60 + at * CAST(0.4 AS DOUBLE) AS start, turn * 60 + at * CAST(0.4 AS DOUBLE) + CAST(0.4 AS DOUBLE) AS "end", ' ' || w AS word FROM tok WHERE w <> '')"""
+WORDS = r"""tok AS (SELECT conv_id AS match, turn, unnest(regexp_split_to_array(text, '\s+')) AS w, unnest(range(len(regexp_split_to_array(text, '\s+')))) AS ix FROM conversations),
+wd AS (SELECT match, turn * 100000 + ix AS pos, turn * 60 + ix * CAST(0.4 AS DOUBLE) AS start, turn * 60 + ix * CAST(0.4 AS DOUBLE) + CAST(0.4 AS DOUBLE) AS "end", ' ' || w AS word FROM tok WHERE w <> '')"""
 PERIODS = """pd AS (SELECT conv_id AS match, 1 AS period, min(turn) * 60.0::DOUBLE AS audio_start, max(turn) * 60.0::DOUBLE + 60 AS audio_end FROM conversations GROUP BY conv_id)"""
 DAY_WINDOWS = """w AS (SELECT match, match || ':' || k AS wid, k * 7200.0::DOUBLE AS start, k * 7200.0::DOUBLE + 14400 AS "end" FROM (SELECT DISTINCT user_id AS match FROM events), (SELECT unnest(range(0, 359)) AS k))"""
 SPANS = EVENTS + """,

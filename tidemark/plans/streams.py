@@ -141,8 +141,8 @@ def keyword_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {s.WORDS}, c AS (SELECT match, start, lower(trim(word)) AS w0, pos, row_number() OVER (PARTITION BY match ORDER BY pos) AS n FROM wd),
 x AS (SELECT match, start, w0 || coalesce(' ' || lead(w0, 1) OVER o, '') || coalesce(' ' || lead(w0, 2) OVER o, '') || coalesce(' ' || lead(w0, 3) OVER o, '') AS ctx FROM c WINDOW o AS (PARTITION BY match ORDER BY n))
-SELECT match, cue, start AS t FROM x, (VALUES ('the_call', '^(the)([^\\p{{L}}\\p{{N}}_\\p{{M}}]|$)'), ('of_call', '^(of (a|the))([^\\p{{L}}\\p{{N}}_\\p{{M}}]|$)'), ('and_call', '^(and)([^\\p{{L}}\\p{{N}}_\\p{{M}}]|$)'), ('in_call', '^(in)([^\\p{{L}}\\p{{N}}_\\p{{M}}]|$)')) q(cue, rx)
-WHERE regexp_matches(ctx, rx)""")
+SELECT match, 'the_call' AS cue, start AS t FROM x WHERE regexp_matches(ctx, '^the([^\\p{{L}}\\p{{N}}_\\p{{M}}]|$)') UNION ALL SELECT match, 'of_call', start FROM x WHERE regexp_matches(ctx, '^of (a|the)([^\\p{{L}}\\p{{N}}_\\p{{M}}]|$)')
+UNION ALL SELECT match, 'and_call', start FROM x WHERE regexp_matches(ctx, '^and([^\\p{{L}}\\p{{N}}_\\p{{M}}]|$)') UNION ALL SELECT match, 'in_call', start FROM x WHERE regexp_matches(ctx, '^in([^\\p{{L}}\\p{{N}}_\\p{{M}}]|$)')""")
 def cue_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.cue_hits(b.words(spark, sf_dir), b.CUES)
 

@@ -39,7 +39,7 @@ def highlights(scores: DataFrame, thresholds: dict[str, float], gap: float = 30.
             out.append(cur)
             cur = None
         else:
-            rows = pd.concat(list(pdfs)).sort_values(["start", "end"], kind="stable")
+            rows = pd.concat(pdfs).sort_values(["start", "end"], kind="stable")
             for w in rows.itertuples():
                 if cur and (w.start - cur[1] > gap or w.end - cur[0] > max_len):
                     out.append(cur)
