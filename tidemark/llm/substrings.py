@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, Rolling, as_bytes, drop_shuffles, load, row_keys, slices, written
+from tidemark.llm.common import U64, Rolling, as_bytes, discard, drop_shuffles, load, row_keys, slices, written
 
 WIDTH, SEED = 200, 32
 #: Contents that share an anchor and are sorted in one range, at most (about 300 bytes each).
@@ -170,19 +170,22 @@ def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, seed
     keyed = row_keys(docs, text).select("_d", "_t", F.col(text).cast("binary").alias("_x"))
     long_ = keyed.where(F.octet_length("_x") >= width)
     runs = written(_runs(long_, width, seed), "substr-runs")
-    twice = runs.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
-    runs = written(runs.join(twice, "a"), "substr-shared")
+    # written, so that the join's sides are both shuffled for it and Spark can split the partition of a frequent anchor
+    twice = written(runs.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "substr-twice")
+    all_runs, runs = runs, written(runs.join(twice, "a"), "substr-shared")
+    discard(all_runs, twice)
     drop_shuffles(spark)
 
     contents = runs.groupBy("a", "c").agg(F.count("*").alias("times"), F.min(F.struct("_d", "_t", "start", "n", "off")).alias("r"))
     contents = written(contents, "substr-contents")
-    sizes = contents.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
+    sizes = written(contents.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "substr-sizes")
     wanted = contents.join(sizes, "a").select("a", "c", "m", "r.*")
     per_doc = wanted.groupBy("_d", "_t").agg(F.collect_list(F.struct("a", "c", "m", "start", "n", "off")).alias("w"))
     fetched = keyed.join(per_doc, ["_d", "_t"]).select(
         F.explode(F.transform("w", lambda w: F.struct(w["a"].alias("a"), w["c"].alias("c"), w["m"].alias("m"), w["n"].alias("n"), w["off"].alias("off"), F.substring("_x", w["start"] + 1, w["n"] + width - 1).alias("bytes")))).alias("v")
     )
     fetched = written(fetched.select("v.*"), "substr-bytes")
+    discard(sizes)
     drop_shuffles(spark)
 
     few = fetched.where(F.col("m") <= most).withColumn("lead", F.expr(f"substring(bytes, off + 1, {seed})"))
