@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import CUES, RULES, LabelConfig, WindowConfig
 from tidemark.functions import scalar
-from tidemark.operators import align, calibrate, events, intervals, labels, metrics, sampling, text, triggers, windows
+from tidemark.operators import align, calibrate, evaluate, events, intervals, labels, metrics, sampling, text, triggers, windows
 
 
 def frame(spark, rows, schema):
@@ -262,3 +262,14 @@ def test_samples(spark):
     assert len(more) == 13 and len({x["wid"] for x in more}) == 13 and all(int(x["source_wid"]) < 20 for x in more)
     cases = sampling.training_cases(long_, long_.select("wid", F.lit("t").alias("text")), min_pos=30).collect()
     assert sum(x["gold"].get("goal") == 1 for x in cases) == 30
+
+
+def test_event_metrics(spark):
+    w = frame(spark, [("m", f"w{i}", i * 100.0, i * 100.0 + 20) for i in range(10)], "match string, wid string, start double, end double")
+    scores = frame(spark, [(m, f"w{i}", q, 0.9, int(i in on)) for m, q, on in (("a", "goal", {1, 5, 7}), ("b", "goal", {1}), ("a", "card", {3}), ("b", "card", set())) for i in range(10)], "method string, wid string, question string, score double, pred int")
+    truth = frame(spark, [("m", "goal", 110.0), ("m", "goal", 900.0), ("m", "card", 200.0)], "match string, question string, t double")
+    ignored = frame(spark, [("m", "goal", 730.0)], truth.schema)
+    got = {(r["method"], r["question"]): r for r in evaluate.event_metrics(scores, w, truth, ignored).collect()}
+    tell = lambda *k: tuple(got[k][c] for c in ("events", "caught", "triggers", "true_triggers"))
+    assert tell("a", "goal") == (2, 1, 2, 1) and tell("b", "goal") == (2, 1, 1, 1) and tell("a", "card") == (1, 1, 1, 1) and tell("b", "card") == (1, 0, 0, 0)
+    assert got["a", "goal"]["minutes"] == pytest.approx(1.0) and got["b", "card"]["precision"] is None

@@ -12,26 +12,35 @@ from tidemark.operators.metrics import running
 
 
 def fit_platt(df: DataFrame, key: str, rounds: int = 200, ridge: float = 1e-3) -> dict[str, tuple[float, float]]:
-    """{question: (a, b)} of label ~ sigmoid(a logit(prob) + b), by Newton's method. A step needs five sums for each question,
-    which one aggregation over all rows gives; rows never come to the driver. Null labels don't count."""
+    """{question: (a, b)} of label ~ sigmoid(a logit(prob) + b), by Newton's method. A step needs a few sums for each question,
+    which one aggregation over all rows gives; rows never come to the driver. A step that raises the loss is halved. Null
+    labels don't count."""
     rows = df.where(F.col("label").isNotNull() & F.col("prob").isNotNull()).select(F.col(key).alias("k"), logit(F.col("prob")).alias("x"), F.col("label").cast("double").alias("y")).persist()
     fits = {r["k"]: np.array([1.0, 0.0]) for r in rows.select("k").distinct().collect()}
+    before: dict = {}  # of each question still open: where the last step began, the loss there, and the step
     open_ = set(fits)
     try:
         for _ in range(rounds):
             if not open_:
                 break
-            pick = lambda i: F.create_map(*[v for k in sorted(open_) for v in (F.lit(k), F.lit(float(fits[k][i])))])[F.col("k")]  # noqa: B023,E731
-            z = F.least(F.greatest(pick(0) * F.col("x") + pick(1), F.lit(-30.0)), F.lit(30.0))
-            live = rows.where(F.col("k").isin(sorted(open_))).select("k", "x", "y", (1 / (1 + F.exp(-z))).alias("s")).withColumn("w", F.col("s") * (1 - F.col("s")))
-            off = F.col("s") - F.col("y")
-            sums = live.groupBy("k").agg(F.sum(off * F.col("x")).alias("gx"), F.sum(off).alias("g"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("w") * F.col("x")).alias("xo"), F.sum("w").alias("o"))
+            at = {i: F.create_map(*[v for k in sorted(open_) for v in (F.lit(k), F.lit(float(fits[k][i])))])[F.col("k")] for i in (0, 1)}
+            z = F.least(F.greatest(at[0] * F.col("x") + at[1], F.lit(-30.0)), F.lit(30.0))
+            live = rows.where(F.col("k").isin(sorted(open_))).select("k", "x", "y", z.alias("z")).withColumn("s", 1 / (1 + F.exp(-F.col("z")))).withColumn("w", F.col("s") * (1 - F.col("s")))
+            off, loss = F.col("s") - F.col("y"), F.log1p(F.exp(-F.abs("z"))) + F.greatest("z", F.lit(0.0)) - F.col("y") * F.col("z")
+            sums = live.groupBy("k").agg(F.sum(off * F.col("x")).alias("gx"), F.sum(off).alias("g"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("w") * F.col("x")).alias("xo"), F.sum("w").alias("o"), F.sum(loss).alias("loss"))
             for r in sums.collect():
-                at = fits[r["k"]]
-                step = np.linalg.solve(np.array([[r["xx"] + ridge, r["xo"]], [r["xo"], r["o"] + ridge]]), np.array([r["gx"], r["g"]]) + ridge * at)
-                fits[r["k"]] = at - step
-                if np.abs(step).max() < 1e-8:
-                    open_.discard(r["k"])
+                k, now = r["k"], fits[r["k"]]
+                total = r["loss"] + ridge / 2 * float(now @ now)
+                if k in before and total > before[k][1] * (1 + 1e-12) + 1e-12:
+                    start, was, step = before[k]
+                    before[k] = (start, was, step / 2)
+                    fits[k] = start - step / 2
+                else:
+                    step = np.linalg.solve(np.array([[r["xx"] + ridge, r["xo"]], [r["xo"], r["o"] + ridge]]), np.array([r["gx"], r["g"]]) + ridge * now)
+                    before[k] = (now, total, step)
+                    fits[k] = now - step
+                if np.abs(before[k][2]).max() < 1e-8:
+                    open_.discard(k)
     finally:
         rows.unpersist()
     return {k: (float(v[0]), float(v[1])) for k, v in fits.items()}

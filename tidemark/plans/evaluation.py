@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import apply_platt as platt_of
-from tidemark.operators import calibrate, metrics, text, triggers
+from tidemark.operators import calibrate, evaluate, metrics, text, triggers
 from tidemark.plans import bindings as b
 from tidemark.plans import sql as s
 from tidemark.plans.streams import _FOLD, _POS, _positives
@@ -146,6 +146,39 @@ def ordinal_cut_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(calibrate.tune_cuts(h.select(F.floor(F.col("intensity") / 20).alias("count"), (F.col("quality") + F.col("toxic")).alias("label")), []), ["accuracy"])
 
 
+@query("""WITH e AS (SELECT vec_id AS wid, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings), p AS (SELECT wid, least(greatest(a * 0.5::DOUBLE + 0.5::DOUBLE, 0.0), 1.0) AS g FROM e),
+q AS (SELECT wid, 1 / (1 + exp(-least(greatest(1.5::DOUBLE * ln(h / (1 - h)) + 0.1::DOUBLE, -30.0), 30.0))) AS s FROM (SELECT wid, least(greatest(g, 1e-6), 1 - 1e-6) AS h FROM p))
+SELECT wid, 'goal' AS question, round(s, 9) AS score, CAST(s >= 0.4 AS INT) AS pred FROM q UNION ALL SELECT wid, 'card', round(g, 9), CAST(g >= 0.6 AS INT) FROM p
+UNION ALL SELECT wid, 'intensity', round(a, 9), CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END FROM e""")
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved predictions, made from vectors, as scores and decisions."""
+    v = b.table(spark, sf_dir, "embeddings")
+    x = [F.element_at("embedding", i).cast("double") for i in (1, 2, 3)]
+    noul = F.least(F.greatest(x[0] * 0.5 + 0.5, F.lit(0.0)), F.lit(1.0))
+    probs = F.create_map(*[y for i in range(3) for y in (F.lit(str(i)), x[i])])
+    answer = lambda p: F.struct(p.alias("noul"), x[0].alias("score"), probs.alias("probabilities"))
+    saved = v.select(F.col("vec_id").alias("wid"), F.create_map(F.lit("goal"), answer(noul), F.lit("card"), answer(noul), F.lit("intensity"), answer(F.lit(None).cast("double"))).alias("answers"))
+    return _rounded(evaluate.model_scores(saved, {"goal": 0.4, "card": 0.6}, {"goal": (1.5, 0.1)}), ["score"])
+
+
+_WM = """SELECT method, question, n, positives, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1, round(CASE WHEN wp + wr > 0 THEN 2 * wp * wr / (wp + wr) ELSE 0 END, 9) AS f1_weighted, ap FROM (
+SELECT method, question, count(*) AS n, sum(label) AS positives, count(*) FILTER (pred = 1 AND label = 1) / greatest(1, count(*) FILTER (pred = 1)) AS p, count(*) FILTER (pred = 1 AND label = 1) / greatest(1, sum(label)) AS r,
+ coalesce(sum(weight) FILTER (pred = 1 AND label = 1), 0) / coalesce(sum(weight) FILTER (pred = 1), 1) AS wp, coalesce(sum(weight) FILTER (pred = 1 AND label = 1), 0) / coalesce(sum(weight) FILTER (label = 1), 1) AS wr,
+ round(sum(CASE WHEN label = 1 THEN tp / k END) / sum(label), 9) AS ap FROM km GROUP BY method, question)"""
+
+
+@query(f"""WITH {s.VECTORS}, mm AS (SELECT m AS method, th, vs.* FROM vs, (VALUES ('loose', 0.45), ('strict', 0.6)) q(m, th)), kk AS (SELECT *, CASE WHEN score >= th THEN 1 ELSE 0 END AS pred FROM mm WHERE sure),
+km AS (SELECT *, row_number() OVER (PARTITION BY method, question ORDER BY score DESC, seq) AS k, sum(label) OVER (PARTITION BY method, question ORDER BY score DESC, seq ROWS UNBOUNDED PRECEDING) AS tp FROM kk) {_WM}""")
+def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two methods on gold windows, raw and weighted, at once."""
+    v = b.vector_scores(spark, sf_dir)
+    pair = F.explode(F.array(F.struct(F.lit("loose").alias("method"), F.lit(0.45).alias("th")), F.struct(F.lit("strict").alias("method"), F.lit(0.6).alias("th"))))
+    scores = v.select(F.col("seq").alias("wid"), "question", "score", pair.alias("m")).select("m.method", "wid", "question", "score", (F.col("score") >= F.col("m.th")).cast("int").alias("pred"))
+    gold = v.select(F.col("seq").alias("wid"), "seq", "question", "label", "weight", (~F.col("sure")).alias("unsure"))
+    out = evaluate.window_metrics(scores, gold).select("method", "question", "n", "positives", "precision", "recall", "f1", "f1_weighted", "ap")
+    return _rounded(out, ["precision", "recall", "f1", "f1_weighted", "ap"])
+
+
 # --- events ---------------------------------------------------------------------------------------------------------
 
 _TRG = _FOLD.format(pos=_POS, gap=21600, cap=86400) + """, tg AS (SELECT *, row_number() OVER (ORDER BY match, question, start) AS id FROM trg WHERE question = 'purchase'), tr AS (SELECT match, event_id AS e_id, t FROM ev WHERE event_type = 'error'), ir AS (SELECT match, event_id AS e_id, t FROM ev WHERE event_type = 'signup')"""
