@@ -26,11 +26,13 @@ def words_of(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, len, key, hash): the distinct windows of each item; null and wordless items have none."""
+    """(item_id, len, key, hash, first, last): the distinct windows of each item; null and wordless items have none."""
     words = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     spans = words.withColumn("len", F.least(F.size("w"), F.lit(window))).select("item_id", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("i"))
     cut = F.slice("w", F.col("i"), F.col("len"))
-    return spans.select("item_id", "len", F.array_join(cut, " ").alias("key"), F.xxhash64(cut).alias("hash")).distinct()
+    told = spans.select("item_id", "len", F.array_join(cut, " ").alias("key"), F.transform(cut, lambda w: F.xxhash64(w)).alias("h"))
+    # the hash of a window is that of its words' hashes, one after another
+    return told.select("item_id", "len", "key", F.xxhash64("h").alias("hash"), F.get("h", F.lit(0)).alias("first"), F.get("h", F.col("len") - 1).alias("last")).distinct()
 
 
 def hit_windows(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, most: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
@@ -40,19 +42,23 @@ def hit_windows(docs: DataFrame, items: DataFrame, text: str = "text", window: i
     two. A null text has no words. Neither table need have rows.
     """
     windows = item_windows(items, window)
-    held = windows.groupBy("len").agg(F.collect_set("hash").alias("h")) if windows.select("hash").distinct().limit(most + 1).count() <= most else None
-    by_len = {r["len"]: r["h"] for r in held.collect()} if held is not None else {r["len"]: None for r in windows.select("len").distinct().collect()}
+    held = windows.groupBy("len").agg(F.collect_set("hash").alias("h"), F.collect_set("first").alias("first"), F.collect_set("last").alias("last")) if windows.select("hash").distinct().limit(most + 1).count() <= most else None
+    by_len = {r["len"]: (r["h"], (r["first"], r["last"])) for r in held.collect()} if held is not None else {r["len"]: (None, None) for r in windows.select("len").distinct().collect()}
     rows = docs.select("doc_id", F.xxhash64(text).alias("_t"), words_of(F.col(text)).alias("_w")).withColumn("n_words", F.size("_w").cast("long"))
+    rows = rows.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
 
-    def found(length: int, hashes: list | None) -> Column:
+    def found(length: int, hashes: list | None, ends: tuple[list, list] | None) -> Column:
         at = F.sequence(F.lit(1), F.size("_w") - length + 1)
+        word = lambda i, k: F.get("_h", i + (k - 1))
         if hashes is not None:
-            at = F.filter(at, lambda i: F.xxhash64(F.slice("_w", i, length)).isin(hashes))
+            # most windows are ruled out by their first or last word; slices would copy the whole array each time
+            near = lambda i: word(i, 0).isin(ends[0]) & word(i, length - 1).isin(ends[1])
+            at = F.filter(at, lambda i: near(i) & F.xxhash64(*[word(i, k) for k in range(length)]).isin(hashes))
         out = F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.array_join(F.slice("_w", i, length), " ").alias("key")))
         return F.when(F.size("_w") >= length, out)
 
     none = F.array().cast("array<struct<pos:int,len:int,key:string>>")
-    parts = [F.coalesce(found(n, h), none) for n, h in sorted(by_len.items())]
+    parts = [F.coalesce(found(n, *h), none) for n, h in sorted(by_len.items())]
     rows = rows.select("doc_id", "_t", "n_words", (F.concat(*parts) if parts else none).alias("_c"))
     seen = rows.select("doc_id", "_t", "n_words", F.explode_outer("_c").alias("_c"))
     keys = windows.select(F.col("key").alias("_key"), "item_id")

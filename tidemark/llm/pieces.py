@@ -10,8 +10,10 @@ gives just if all its neighbours pass, so the one finite path is the exact BPE e
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from tidemark.llm.common import load, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments and pairs that a Python worker remembers at most.
-MEMO = 400_000
+MEMO = 250_000
 
 
 def compile_model(path: str = MODEL) -> dict:
@@ -68,8 +70,12 @@ class Transducer:
         apart = not any(SPACE in p.lstrip(SPACE) for p in model["pieces"])
         self.segments = re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|[^{SPACE}{inside}]", re.DOTALL) if apart and inside else re.compile(".+", re.DOTALL)
         self.floor = max((-s for _, s in model["pieces"].values()), default=0.0) + 10.0
+        # nor does any piece hold two characters that stand side by side in none, so a new segment is cut there first
+        self.touch = {x + y for p in model["pieces"] for x, y in zip(p, p[1:], strict=False)}
         self.memo: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, list[int]] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
         self.out = [b""] * model["size"]
         for piece, (i, _) in model["pieces"].items():
             self.out[i] = piece.encode()
@@ -100,65 +106,117 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _pass(self, a: str, b: str) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > MEMO:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self._merged(a + b) == [a, b]
-        return got
-
     def _fallback(self, ch: str) -> list[int]:
         return [self.m["bytes"][b] for b in ch.encode("utf-8", "replace")] if self.m["bytes"] else [self.m["unknown"]]
 
     def path(self, text: str) -> list[int]:
         """Ids on the shortest path through the lattice of text."""
-        n, inf, bpe = len(text), float("inf"), self.m["bpe"]
+        return self._merge_path(text) if self.m["bpe"] else self._score_path(text)
+
+    def _score_path(self, text: str) -> list[int]:
+        n, inf = len(text), float("inf")
         cost: list[float] = [0.0] + [inf] * n
-        came: list[tuple[int, int, str]] = [(0, 0, "")] * (n + 1)  # from, id (-1: fallback), piece
+        came: list[tuple[int, int]] = [(0, 0)] * (n + 1)  # from, id (-1: fallback)
         for i in range(n):
             here = cost[i]
             if here == inf:
                 continue
-            last = came[i][2]
-            node, j = self.trie, i
-            while j < n:
+            node = self.trie
+            for j in range(i, n):
                 node = node.get(text[j])
                 if node is None:
                     break
-                j += 1
                 end = node.get("")
-                if end is None:
+                if end is not None and here + end[2] < cost[j + 1]:
+                    cost[j + 1], came[j + 1] = here + end[2], (i, end[1])
+            if text[i] not in self.m["pieces"] and here + self.floor < cost[i + 1]:
+                cost[i + 1], came[i + 1] = here + self.floor, (i, -1)
+        return self._back(text, came)
+
+    def _merge_path(self, text: str) -> list[int]:
+        """Weights are 0 or infinite, so any path that ends is a shortest one: depth first, long pieces first. Every prefix has
+        one finite path, so a place from which none goes on is dead for good."""
+        n, trie, pieces = len(text), self.trie, self.m["pieces"]
+        dead = bytearray(n + 1)
+        stack: list[tuple] = []
+        i, last, arcs = 0, "", None
+        while i < n:
+            if arcs is None:
+                arcs, node, j = [], trie, i
+                while j < n and (node := node.get(text[j])) is not None:
+                    j += 1
+                    if "" in node:
+                        arcs.append((node[""], j))
+                if text[i] not in pieces:
+                    arcs.append((("", -1, 0.0), i + 1))
+            known = self.pairs.get(last)
+            if known is None:
+                known = self.pairs[last] = {}
+            while arcs:
+                end, j = arcs.pop()
+                if dead[j]:
                     continue
-                if bpe:
-                    if cost[j] == inf and (not last or self._pass(last, end[0])):
-                        cost[j], came[j] = 0.0, (i, end[1], end[0])
-                elif here + end[2] < cost[j]:
-                    cost[j], came[j] = here + end[2], (i, end[1], end[0])
-            if text[i] not in self.m["pieces"]:
-                w = 0.0 if bpe else here + self.floor
-                if w < cost[i + 1]:
-                    cost[i + 1], came[i + 1] = w, (i, -1, "")
+                b = end[0]
+                if last and b:
+                    ok = known.get(b)
+                    if ok is None:
+                        ok = known[b] = self._merged(last + b) == [last, b]
+                    if not ok:
+                        continue
+                stack.append((i, last, arcs, end[1]))
+                i, last, arcs = j, b, None
+                break
+            else:
+                dead[i] = 1
+                i, last, arcs, _ = stack.pop()
+        out: list[int] = []
+        for at, _, _, id_ in stack:
+            if id_ >= 0:
+                out.append(id_)
+            else:
+                out += self._fallback(text[at])
+        return out
+
+    def _back(self, text: str, came: list) -> list[int]:
         out: list[int] = []
+        n = len(text)
         while n:
-            i, id_, _ = came[n]
+            i, id_ = came[n]
             out += [id_] if id_ >= 0 else self._fallback(text[i:n])[::-1]
             n = i
         return out[::-1]
 
+    def _segment(self, text: str) -> bytes:
+        """Ids of a segment that isn't remembered, from those of its parts."""
+        got = self.older.get(text)
+        if got is None:
+            touch, parts, ids = self.touch, self.parts, []
+            cuts = [0, *[k for k in range(1, len(text)) if text[k - 1 : k + 1] not in touch], len(text)]
+            for a, b in pairwise(cuts):
+                part = text[a:b]
+                found = parts.get(part)
+                if found is None:
+                    found = self.path(part)
+                    if len(part) < 12 and len(parts) < MEMO:
+                        parts[part] = found
+                ids += found
+            got = struct.pack(f"<{len(ids)}i", *ids)
+        return got
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian int32."""
         found = self.segments.findall(self.normal(text))
         memo = self.memo
-        try:
-            return b"".join([memo[s] for s in found])
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for s in found:
-                if s not in memo:
-                    memo[s] = np.array(self.path(s), "<i4").tobytes()
-            return b"".join([memo[s] for s in found])
+        if len(memo) > MEMO:  # the last two generations are remembered
+            self.older, self.memo = memo, {}
+            memo = self.memo
+        out = []
+        for s in found:
+            ids = memo.get(s)
+            if ids is None:
+                ids = memo[s] = self._segment(s)
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids) -> str:
         out = self.out

@@ -40,7 +40,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("n_words", F.size("_w").cast("long"))
     rows = rows.withColumn("word_chars", F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)))
     rows = rows.withColumn("n_symbols", (F.char_length("_x") - F.char_length(F.translate("_x", SYMBOLS, ""))).cast("long"))
-    threes = F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.struct(F.xxhash64(F.slice("_w", i + 1, 3)).alias("h"), i.alias("i"))))
+    threes = F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))))
     rows = rows.withColumn("_s", F.sort_array(F.coalesce(threes, F.array().cast("array<struct<h:bigint,i:int>>"))))
     rows = rows.withColumn("_at", F.when(F.size("_s") > 1, _repeated("_s")).otherwise(F.array().cast("array<int>")))
     at = F.col("_at")

@@ -7,16 +7,16 @@ It is trained here, by likelihood, on a bounded sample of rows that the patterns
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import load
+from tidemark.llm.common import as_bytes, discard, load, slices, written
 
 #: The bound of the training sample: distinct texts with a pattern, as many without, and characters of one text.
 SAMPLE_TEXTS, SAMPLE_TEXT_CHARS = 200, 4_000
@@ -30,7 +30,6 @@ KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "private")
 
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
 OFFSETS = (-3, -2, -1, 0, 1)
 O, B, I = 0, 1, 2
 
@@ -45,93 +44,120 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-# --- features -------------------------------------------------------------------------------------------------------
-
-
-def shape(token: str) -> tuple[int, ...]:
-    """What the field sees of a token: the numbers of its features."""
-    n = len(token)
-    digits = sum(c.isdigit() for c in token)
-    upper = sum("A" <= c <= "Z" for c in token)
-    lower = sum("a" <= c <= "z" for c in token)
-    out = [0, 1 + min(7, n.bit_length())]  # length: 1, 2-3, 4-7, ..., 64 and over
-    out.append(9 + (0 if not digits else 1 if digits < n / 4 else 2 if digits < n else 3))
-    out.append(13 + (0 if not upper else 1 if upper < n else 2))
-    out.append(16 + (0 if not lower else 1 if lower < n else 2))
-    switches = sum((a.isdigit() != b.isdigit()) or (a.isupper() != b.isupper()) for a, b in zip(token, token[1:], strict=False))
-    out.append(19 + (0 if switches < 3 else 1 if switches < 6 else 2))
-    if n >= 8:
-        if all(c in "0123456789abcdefABCDEF" for c in token):
-            out.append(22)
-        counts = {c: token.count(c) for c in set(token)}
-        entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-        out.append(23 + (0 if entropy < 2.5 else 1 if entropy < 3.2 else 2))
-    if n == 1 and not token.isalnum():
-        out.append(26 + ('=:"\'.,'.find(token) if token in '=:"\'.,' else 6))
-    if token.lower().replace("-", "_") in KEYWORDS or token.lower().rpartition("_")[2] in KEYWORDS:
-        out.append(33)
-    if any(c in "+/_-" for c in token):
-        out.append(34)
-    return tuple(out)
-
-
-N_SHAPE = 35
+# --- tokens and features --------------------------------------------------------------------------------------------
+
+# classes of bytes: 0 blank, 1 of a word, 2 punctuation, 3 beyond ASCII
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[:128] = 2
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[[ord(c) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"]] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _table(chars: str) -> np.ndarray:
+    out = np.zeros(256, np.uint8)
+    out[[ord(c) for c in chars]] = 1
+    return out
+
+
+_DIGIT, _UPPER, _SMALL, _SIGN = _table("0123456789"), _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _table("abcdefghijklmnopqrstuvwxyz"), _table("+/_-")
+_NOT_HEX, _CODE, _LINE = 1 - _table("0123456789abcdefABCDEF"), _table("{}()[]=;"), _table("\n")
+_KIND = np.full(256, 7, np.int64)
+_KIND[[ord(c) for c in "=:\"'.,"]] = np.arange(1, 7)
+_KIND[_CLASS == 1] = 0
+_KIND[_CLASS == 3] = 8
+#: Values of each feature: kind of character, length, digits, capitals, small letters, switches, hex, keyword, signs.
+SIZES = (9, 7, 4, 3, 3, 3, 2, 2, 2)
+N_SETS = int(np.prod(SIZES)) + 1  # 0: beyond the ends of the text
 N_FILE = 4
 
 
-def file_features(text: str) -> np.ndarray:
-    """Of the whole text: always on; many symbols of code; long lines only; digits in number."""
-    n = max(1, len(text))
-    code = sum(text.count(c) for c in "{}()[]=;")
-    digits = sum(text.count(c) for c in "0123456789")
-    return np.array([1.0, float(code > 0.01 * n), float(text.count("\n") < n / 400), float(digits > 0.03 * n)])
-
-
-class Shapes:
-    """Numbers the distinct feature sets of tokens; tokens seen are remembered, up to a bound."""
-
-    def __init__(self, most: int = 200_000):
-        self.known: dict[str, int] = {}
-        self.sets: dict[tuple[int, ...], int] = {(): 0}  # 0: beyond the ends of the text
-        self.most = most
-
-    def ids(self, tokens: list[str]) -> list[int]:
-        known = self.known
-        try:
-            return [known[t] for t in tokens]
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for t in tokens:
-                if t not in known:
-                    known[t] = self.sets.setdefault(shape(t), len(self.sets))
-            return [known[t] for t in tokens]
-
-    def matrix(self) -> np.ndarray:
-        out = np.zeros((len(self.sets), N_SHAPE))
-        for on, row in self.sets.items():
-            out[row, list(on)] = 1
+class Tokens:
+    """The tokens of texts that lie one after another in data: runs of word bytes, runs beyond ASCII, and single other signs;
+    and of each its feature set, a number below N_SETS."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        n = len(data)
+        kind = _CLASS[data]
+        edge = np.ones(n, bool)
+        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        edge[bounds[:-1][bounds[:-1] < n]] = True
+        places = np.flatnonzero(edge)
+        begins = kind[places] != 0
+        self.start, self.end = places[begins], np.append(places[1:], n)[begins]
+        self.first = np.searchsorted(self.start, bounds)  # of each text, its first token
+        self.bounds = bounds
+
+        def count(table: np.ndarray) -> np.ndarray:
+            sums = np.zeros(n + 1, np.int32)
+            np.cumsum(table[data], out=sums[1:])
+            return sums
+
+        digit, upper, code = count(_DIGIT), count(_UPPER), count(_CODE)
+        of = lambda sums: (sums[self.end] - sums[self.start]).astype(np.int64)
+        size = self.end - self.start
+        part = lambda k: (k > 0).astype(np.int64) + ((k > 0) & (k == size))
+        digits = of(digit)
+        turn = np.zeros(n + 1, np.int32)
+        d, u = _DIGIT[data], _UPPER[data]
+        np.cumsum((d[1:] != d[:-1]) | (u[1:] != u[:-1]), out=turn[2:])
+        turns = np.where(size > 1, turn[self.end] - turn[np.minimum(self.start + 1, self.end)], 0)
+        lead = _KIND[data[self.start]] if n else np.zeros(0, np.int64)
+        values = (
+            lead, np.searchsorted([2, 4, 8, 16, 32, 64], size, "right"), np.where(digits == 0, 0, np.where(digits * 4 < size, 1, np.where(digits < size, 2, 3))), part(of(upper)), part(of(count(_SMALL))),
+            np.searchsorted([3, 6], turns, "right"), ((size >= 8) & (of(count(_NOT_HEX)) == 0)).astype(np.int64), self._keyword(data, lead, size), (of(count(_SIGN)) > 0).astype(np.int64),
+        )
+        self.sets = np.ravel_multi_index(values, SIZES) + 1 if len(size) else np.zeros(0, np.int64)
+        # of the whole text: always on; many signs of code; long lines only; digits in number
+        length = np.maximum(1, np.diff(bounds))
+        per = lambda sums: np.diff(sums[bounds])
+        self.files = np.stack([np.ones(len(length)), per(code) > 0.01 * length, per(count(_LINE)) < length / 400, per(digit) > 0.03 * length], 1).astype(np.float32)
+
+    def _keyword(self, data: np.ndarray, lead: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether a token ends with a keyword and a sign of assignment or a quote follows."""
+        out = np.zeros(len(size), np.int64)
+        after = np.append(lead[1:], 0)
+        at = np.flatnonzero((lead == 0) & (size >= 3) & (after >= 1) & (after <= 4))
+        for i in at:
+            word = _LOWER[data[self.start[i] : self.end[i]]].tobytes().decode().replace("-", "_")
+            out[i] = word.endswith(KEYWORDS)
         return out
 
+    def near(self) -> np.ndarray:
+        """len(OFFSETS) rows: the feature set at each offset from each token of the same text."""
+        texts = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.first))
+        at = np.arange(len(self.sets)) + 3 * (texts + 1)
+        padded = np.zeros(len(self.sets) + 3 * len(self.bounds) + 3, np.int64)
+        padded[at] = self.sets
+        return np.stack([padded[at + o] for o in OFFSETS])
+
+
+def tokens_of(texts: list[str]) -> Tokens:
+    return Tokens(*as_bytes(pa.array(texts, pa.string())))
 
-def _neighbours(ids: np.ndarray) -> np.ndarray:
-    """len(OFFSETS) rows: the feature set at each offset from each token."""
-    padded = np.concatenate([np.zeros(3, np.int64), ids, np.zeros(1, np.int64)])
-    return np.stack([padded[3 + o : 3 + o + len(ids)] for o in OFFSETS])
+
+def scores(weights: list[np.ndarray]) -> np.ndarray:
+    """Scores of all feature sets, from the weights of each feature's values (values x 3)."""
+    grid = np.zeros((*SIZES, 3), np.float32)
+    for k, w in enumerate(weights):
+        grid += w.reshape([len(w) if i == k else 1 for i in range(len(SIZES))] + [3])
+    return np.concatenate([np.zeros((1, 3), np.float32), grid.reshape(-1, 3)])
 
 
 # --- training -------------------------------------------------------------------------------------------------------
 
 
-def _tags(text: str, places: list[tuple[int, int]]) -> np.ndarray:
-    """B, I, O of tokens, from the base matches (of an assignment, its value)."""
+def _tags(text: str, tokens: Tokens) -> np.ndarray:
+    """B, I, O of the tokens of one text, from the base matches (of an assignment, its value)."""
     spans = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     spans += [(s, e) for s, k, e in base_spans(text) if k]
-    out = np.zeros(len(places), np.int64)
+    out = np.zeros(len(tokens.start), np.int64)
     for s, e in spans:
-        inside = [i for i, (a, b) in enumerate(places) if a < e and b > s]
-        for j, i in enumerate(inside):
-            out[i] = B if j == 0 else I
+        a, b = len(text[:s].encode()), len(text[:e].encode())
+        inside = np.flatnonzero((tokens.start < b) & (tokens.end > a))
+        out[inside] = I
+        out[inside[:1]] = B
     return out
 
 
@@ -143,27 +169,33 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 def train(texts: list[str], steps: int = 120, window: int = 24, seed: int = 7) -> dict | None:
     """Weights by gradient ascent on the conditional likelihood of windows of tokens; None if no text has a secret."""
     rng = np.random.default_rng(seed)
-    shapes = Shapes()
     near, tags, files = [], [], []
     for text in texts:
-        found = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-        if len(found) < window:
+        tokens = tokens_of([text])
+        n = len(tokens.sets)
+        if n < window:
             continue
-        ids = np.array(shapes.ids([text[a:b] for a, b in found]))
-        y, around, whole = _tags(text, found), _neighbours(ids), file_features(text)
+        y, around = _tags(text, tokens), tokens.near()
         hits = np.flatnonzero(y == B)[:20]
-        starts = {max(0, min(len(ids) - window, int(h) - int(rng.integers(4, window - 4)))) for h in hits}
-        starts |= {int(s) for s in rng.integers(0, len(ids) - window + 1, 6)}
+        starts = {max(0, min(n - window, int(h) - int(rng.integers(4, window - 4)))) for h in hits}
+        starts |= {int(s) for s in rng.integers(0, n - window + 1, 6)}
         for s in sorted(starts):
             near.append(around[:, s : s + window])
             tags.append(y[s : s + window])
-            files.append(whole)
+            files.append(tokens.files[0])
     if not near or not any(t.any() for t in tags):
         return None
-    x, y, z = np.stack(near, 1), np.stack(tags), np.stack(files)  # offsets x windows x tokens
-    on = shapes.matrix()
+    x, y, z = np.stack(near, 1), np.stack(tags), np.stack(files).astype(np.float64)  # offsets x windows x tokens
+    seen, x = np.unique(x, return_inverse=True)
+    x = x.reshape(len(OFFSETS), *y.shape)
+    # the features of each set seen, as ones in a row; the set beyond the ends has none
+    firsts = np.cumsum((0, *SIZES))
+    on = np.zeros((len(seen), sum(SIZES)))
+    for k, v in enumerate(np.unravel_index(np.maximum(seen - 1, 0), SIZES)):
+        on[np.arange(len(seen)), firsts[k] + v] = 1
+    on[seen == 0] = 0
     n, length = y.shape
-    w = {"shape": np.zeros((len(OFFSETS), N_SHAPE, 3)), "file": np.zeros((N_FILE, 3)), "move": np.zeros((3, 3))}
+    w = {"shape": np.zeros((len(OFFSETS), sum(SIZES), 3)), "file": np.zeros((N_FILE, 3)), "move": np.zeros((3, 3))}
     m1, m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     gold = np.eye(3)[y]
     gold_moves = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
@@ -228,69 +260,102 @@ def decode(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    """The field, ready to tag: scores of the feature sets are kept as tables that grow as new sets turn up."""
+    """The field, ready to tag: the score of every feature set at every offset is a row of a table."""
 
     def __init__(self, weights: dict):
-        self.w, self.shapes = weights, Shapes()
-        self.tables = np.zeros((len(OFFSETS), 0, 3))
+        self.w = weights
+        cuts = np.cumsum(SIZES)[:-1]
+        self.tables = [scores([p.astype(np.float32) for p in np.split(w, cuts)]) for w in weights["shape"]]
+
+    def tag(self, tokens: Tokens) -> dict[int, list[tuple[int, int]]]:
+        """{text: byte spans within it} of the texts with a secret."""
+        if not len(tokens.sets):
+            return {}
+        whole = (tokens.files @ self.w["file"].astype(np.float32)).astype(np.float32)
+        emit = np.repeat(whole, np.diff(tokens.first), axis=0)
+        for table, at in zip(self.tables, tokens.near(), strict=True):
+            emit += table[at]
+        move = self.w["move"]
+        open_ = np.flatnonzero(emit[:, O] - np.maximum(emit[:, B], emit[:, I]) <= 2 * (move.max() - move.min()))
+        out = {}
+        for i in np.unique(np.searchsorted(tokens.first, open_, "right") - 1):
+            a, b = tokens.first[i], tokens.first[i + 1]
+            tags = decode(emit[a:b].astype(np.float64), move)
+            spans: list[tuple[int, int]] = []
+            for k in np.flatnonzero(tags):
+                s, e = (int(v[a + k] - tokens.bounds[i]) for v in (tokens.start, tokens.end))
+                if tags[k] == I and spans and k and tags[k - 1]:
+                    spans[-1] = (spans[-1][0], e)
+                else:
+                    spans.append((s, e))
+            if spans:
+                out[int(i)] = spans
+        return out
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        tokens = TOKEN.findall(text)
-        if not tokens:
-            return []
-        ids = np.array(self.shapes.ids(tokens))
-        if len(self.shapes.sets) > self.tables.shape[1]:
-            self.tables = np.stack([self.shapes.matrix() @ w for w in self.w["shape"]])
-        near = _neighbours(ids)
-        emit = sum(table[at] for table, at in zip(self.tables, near, strict=True)) + file_features(text) @ self.w["file"]
-        tags = decode(emit, self.w["move"])
-        if not tags.any():
-            return []
-        places = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-        out: list[tuple[int, int]] = []
-        for i in np.flatnonzero(tags):
-            s, e = places[i]
-            if tags[i] == I and out and i and tags[i - 1]:
-                out[-1] = (out[-1][0], e)
-            else:
-                out.append((s, e))
-        return out
+        """Spans of one text, in code points."""
+        raw = text.encode()
+        return [(len(raw[:s].decode()), len(raw[:e].decode())) for s, e in self.tag(tokens_of([text])).get(0, [])]
+
+
+def find_all(column: pa.Array, tagger: Tagger | None) -> dict[int, tuple[list, list]]:
+    """{row: (base spans, all spans)} of the rows of a text column that have any; spans as (start, kind, end). All spans are the
+    base ones and those of the field that touch none of them."""
+    data, bounds = as_bytes(column)
+    if not len(data):
+        return {}
+    tokens = Tokens(data, bounds)
+    field = tagger.tag(tokens) if tagger else {}
+    # a base match has an = or a :, or lies in a word token of at least 20 bytes
+    marked = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data == 61) | (data == 58), out=marked[1:])
+    hopeful = np.diff(marked[bounds]) > 0
+    hopeful[np.searchsorted(tokens.first, np.flatnonzero(tokens.end - tokens.start >= LEAST["access"]), "right") - 1] = True
+    out = {}
+    for i in sorted({*np.flatnonzero(hopeful).tolist(), *field}):
+        text = column[i].as_py()
+        base = base_spans(text)
+        raw = text.encode() if i in field else b""
+        more = [(len(raw[:s].decode()), 3, len(raw[:e].decode())) for s, e in field.get(i, [])]
+        more = [(s, k, e) for s, k, e in more if not any(a < e and s < b for a, _, b in base)]
+        if base or more:
+            out[i] = (base, sorted(base + more))
+    return out
 
 
 def find(text: str | None, tagger: Tagger | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: the base ones and those of the field that touch none of them. As (start, kind, end)."""
-    if not text:
-        return [], []
-    base = base_spans(text)
-    if tagger is None:
-        return base, base
-    more = [(s, 3, e) for s, e in tagger.spans(text) if not any(a < e and s < b for a, _, b in base)]
-    return base, sorted(base + more)
+    return find_all(pa.array([text], pa.string()), tagger).get(0, ([], []))
 
 
 # --- Spark ----------------------------------------------------------------------------------------------------------
 
 
+_HEX_RUN = r"(?<![0-9a-f])[0-9a-f]{24}"
+_VALUE = r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6})"
+
+
 def fit(docs: DataFrame, text: str = "text", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_TEXT_CHARS) -> dict | None:
-    """Weights learned from a bounded sample: `texts` distinct texts that hold a base pattern and as many that don't, by hash
-    of the text, around the pattern or from the start, `chars` characters each. None if nothing holds a pattern."""
-    some = r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,})|AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}"
-    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).rlike(some).alias("hit"), F.col(text).alias("x"))
-    counts = {r["hit"]: r["n"] for r in rows.groupBy("hit").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    """Weights learned from a bounded sample: `texts` distinct texts that hold a base pattern and as many that don't, by hash of
+    the text, `chars` characters of each, around the pattern if there is one. None if nothing holds a pattern.
+
+    One pass marks texts, as hashes; a second fetches the few that are drawn."""
+    x = F.col(text)
+    signs = x.contains("=") | x.contains(":")
+    hit = F.when(signs, x.rlike(_VALUE)).otherwise(False) | F.when(x.contains("AKIA"), x.rlike("AKIA[A-Z0-9]{16}")).otherwise(False) | x.rlike(_HEX_RUN)
+    marked = written(docs.where(x.isNotNull()).select(F.xxhash64(x).alias("h"), hit.alias("hit")), "secret-marks")
+    counts = {r["hit"]: r["n"] for r in marked.groupBy("hit").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts.get(True):
         return None
     limit = F.when(F.col("hit"), F.lit(min(1.0, 2 * texts / counts[True]))).otherwise(F.lit(min(1.0, 2 * texts / max(1, counts.get(False, 0)))))
-    drawn = rows.where(F.pmod("h", F.lit(1_000_000)) < limit * 1_000_000)
-    drawn = drawn.groupBy("hit", "h").agg(F.first(F.substr("x", at_of(F.col("x"), some, chars), F.lit(chars))).alias("x")).collect()
-    out = []
-    for hit in (True, False):
-        out += [r["x"] for r in sorted((r for r in drawn if r["hit"] == hit), key=lambda r: r["h"])[:texts]]
-    return train(out)
-
-
-def at_of(text, pattern: str, chars: int):
-    """Where a slice of `chars` characters begins that holds the pattern's first match, if there is one."""
-    return F.greatest(F.lit(1), F.regexp_instr(text, F.lit(pattern)) - chars // 2)
+    drawn = marked.where(F.pmod("h", F.lit(1_000_000)) < limit * 1_000_000).distinct()
+    # by hash, `texts` of each kind at most
+    picked = {k: [r["h"] for r in drawn.where(F.col("hit") == k).orderBy("h").limit(texts).collect()] for k in (True, False)}
+    wanted = picked[True] + picked[False]
+    at = F.greatest(F.lit(1), F.greatest(F.regexp_instr(x, F.lit(_VALUE)), F.regexp_instr(x, F.lit("AKIA[A-Z0-9]{16}")), F.regexp_instr(x, F.lit(_HEX_RUN))) - chars // 2)
+    found = docs.where(F.xxhash64(x).isin(wanted)).groupBy(F.xxhash64(x).alias("h")).agg(F.first(F.substr(x, at, F.lit(chars))).alias("x"))
+    by = {r["h"]: r["x"] for r in found.collect()}
+    discard(marked)
+    return train([by[h] for h in wanted if h in by])
 
 
 _taggers: dict[str, Tagger] = {}
@@ -306,29 +371,36 @@ def _tagger(weights: dict | None) -> Tagger | None:
     return _taggers[key]
 
 
-def scan(df: DataFrame, weights: dict | None, text: str = "text", redact: str | None = None) -> DataFrame:
-    """df with base and spans, arrays of (kind, start, end) in code points; with redact, also redacted: the text with each
-    span replaced. A null or empty text has no spans (redacted keeps it as it is). Whole texts are scanned; columns of these
-    names are replaced; repeated rows get the same answer each. weights None leaves only the base spans.
+_SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def scan(df: DataFrame, weights: dict | None, text: str = "text", redact: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns in keep) with base and spans, arrays of (kind, start, end) in code points; with redact, also redacted:
+    the text with each span replaced. A null or empty text has no spans (redacted keeps it as it is). Whole texts are
+    scanned; columns of these names are replaced; repeated rows get the same answer each. weights None leaves only the
+    base spans.
     """
-    kind = "array<struct<kind:string,start:int,end:int>>"
+    new = ["base", "spans"] + ["redacted"] * (redact is not None)
+    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     model = df.sparkSession.sparkContext.broadcast(weights)  # a few kilobytes
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("base", _SPANS), T.StructField("spans", _SPANS), *[T.StructField("redacted", T.StringType())] * (redact is not None)])
+    arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    n = len(kept)
 
-    @F.pandas_udf(f"struct<base:{kind},spans:{kind}" + (",redacted:string>" if redact is not None else ">"))
-    def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(model.value)
         told = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
-        for texts in batches:
-            found = [find(t, tagger) for t in texts]
-            out = {"base": [told(b) for b, _ in found], "spans": [told(a) for _, a in found]}
+        for batch in slices(batches, n, 2 << 20):
+            column = batch.column(n)
+            found = find_all(column, tagger)
+            none = ([], [])
+            cols = [pa.array([told(found.get(i, none)[j]) for i in range(batch.num_rows)], arrow) for j in (0, 1)]
             if redact is not None:
-                out["redacted"] = [_cut(t, a, redact) for t, (_, a) in zip(texts, found, strict=True)]
-            yield pd.DataFrame(out)
+                texts = column.to_pylist() if found else None
+                cols.append(pa.array([_cut(t, found[i][1], redact) if i in found else t for i, t in enumerate(texts)], pa.string()) if found else column)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *cols], names=[*kept, *new])
 
-    new = ["base", "spans"] + ["redacted"] * (redact is not None)
-    kept = [c for c in df.columns if c not in new]
-    out = df.select(*kept, scanned(F.col(text)).alias("_p"))
-    return out.select(*kept, *[f"_p.{c}" for c in new])
+    return df.select(*kept, F.col(text).alias("_text_")).mapInArrow(run, schema)
 
 
 def _cut(text: str | None, spans: list[tuple[int, int, int]], mark: str) -> str | None:
@@ -345,7 +417,7 @@ def _cut(text: str | None, spans: list[tuple[int, int, int]], mark: str) -> str
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, fit(docs)).drop("text")
+    found = scan(docs, fit(docs), keep=["doc_id"])
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
