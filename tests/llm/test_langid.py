@@ -19,6 +19,14 @@ def test_phrases_against_brute_force(train, text):
     assert langid.phrases(text, langid.suffix_automaton(train)) == brute(text, train)
 
 
+@given(st.lists(st.text("abc ", min_size=1, max_size=40), min_size=1, max_size=3), st.lists(st.text("abcd ", max_size=60), max_size=30), st.booleans())
+def test_side_by_side_against_brute_force(trains, texts, alone):
+    parser = langid.Parser({str(i): t for i, t in enumerate(trains)})
+    if alone:
+        parser.table = None
+    assert parser.counts(texts).tolist() == [[brute(x, t) for t in trains] for x in texts]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = langid.op3_language_id(spark, "/root/testdata/sf0.001").join(docs.select("doc_id", "lang"), "doc_id").collect()

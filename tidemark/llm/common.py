@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,18 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 
+_held: dict = {}
+
+
+def held_model(key, build: Callable[[], object]) -> object:
+    """The model that this Python worker holds under key. It holds one at a time: workers outlive a stage, and what the stage
+    before looked up should not take memory from the next."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = build()
+    return _held[key]
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -10,15 +10,19 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load
+from tidemark.llm.common import held_model, load
 
 #: The bound of the sample that the automata are fitted on: characters for each language, and characters of one text.
 SAMPLE_CHARS, SAMPLE_TEXT_CHARS = 32_768, 2_048
 _BUCKETS = 1_000_000
+#: Entries of the table that parses texts side by side (4 bytes each; a larger alphabet's texts are parsed one by one),
+#: characters parsed at once, and the number of texts below which each goes on alone.
+MAX_TABLE, SIDE_BY_SIDE_CHARS, ALONE = 1 << 24, 3 << 20, 12
 
 
 def letters(text: Column) -> Column:
@@ -48,8 +52,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", chars: int
     return {k: v for k, v in sorted(out.items()) if v.strip()}
 
 
-def suffix_automaton(text: str) -> dict:
-    """The root of the automaton that accepts the substrings of text; a state is a dict from a character to a state."""
+def _moves(text: str) -> list[dict[str, int]]:
+    """The automaton that accepts the substrings of text: of each state, the state that a character leads to; 0 is the root."""
     moves: list[dict[str, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -76,16 +80,26 @@ def suffix_automaton(text: str) -> dict:
                 q = clone
             link[new] = q
         last = new
+    return moves
+
+
+def _states(moves: list[dict[str, int]]) -> list[dict]:
+    """The states as dicts from a character to a state."""
     states: list[dict] = [{} for _ in moves]
     for state, to in zip(states, moves, strict=True):
         for ch, t in to.items():
             state[ch] = states[t]
-    return states[0]
+    return states
+
+
+def suffix_automaton(text: str) -> dict:
+    """The root of the automaton that accepts the substrings of text; a state is a dict from a character to a state."""
+    return _states(_moves(text))[0]
 
 
-def phrases(text: str, root: dict) -> int:
-    """Phrases of the greedy parse; a character that the automaton lacks is a phrase of its own."""
-    n, state = 0, root
+def phrases(text: str, root: dict, state: dict | None = None) -> int:
+    """Phrases of the greedy parse, from a state if given; a character that the automaton lacks is a phrase of its own."""
+    n, state = 0, root if state is None else state
     for ch in text:
         if ch in state:
             state = state[ch]
@@ -99,17 +113,79 @@ def phrases(text: str, root: dict) -> int:
     return n + (state is not root)
 
 
-_built: dict[str, dict] = {}
-
-
-def _automata(samples: dict[str, str]) -> list[tuple[str, dict, float]]:
+class Parser:
+    """The automata of all languages. Many texts are parsed side by side, a character of each at a time, by a table that has
+    for each state and character the next state's row and the phrases that end; the few longest texts go on alone."""
+
+    def __init__(self, samples: dict[str, str]):
+        self.langs, self.logs = list(samples), [math.log2(len(s) + 1) for s in samples.values()]
+        moves = [_moves(s) for s in samples.values()]
+        alphabet = sorted({ch for s in samples.values() for ch in s})
+        self.width = len(alphabet) + 1  # 0: a character that no sample has
+        self.states = [s for m in moves for s in _states(m)]
+        first = np.cumsum([0, *[len(m) for m in moves]])
+        self.roots, self.row = [self.states[i] for i in first[:-1]], (first[:-1] * self.width).astype(np.int32)
+        self.table = None
+        if 0 < len(self.states) * self.width <= MAX_TABLE:
+            self.code = np.zeros(0x110000, np.uint16)
+            self.code[[ord(ch) for ch in alphabet]] = np.arange(1, self.width)
+            place = {ch: i + 1 for i, ch in enumerate(alphabet)}
+            parts = []
+            for base, m in zip(self.row.tolist(), moves, strict=True):
+                to = np.zeros((len(m), self.width), np.int32)
+                for i, state in enumerate(m):
+                    for ch, t in state.items():
+                        to[i, place[ch]] = t
+                # without a move, a phrase ends, and the next begins at the root; the root itself has none to end
+                ends = (to == 0).astype(np.int32)
+                ends[1:] += ends[1:] * (to[0] == 0)
+                parts.append((base + np.where(to == 0, to[0], to) * self.width) * 4 + ends)
+            self.table = np.concatenate(parts).ravel()
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """Phrases of each text (rows) by the automaton of each language (columns)."""
+        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        if self.table is None:
+            for i, t in enumerate(texts):
+                out[i] = [phrases(t, r) for r in self.roots]
+            return out
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= SIDE_BY_SIDE_CHARS):
+                size += len(texts[to])
+                to += 1
+            out[at:to] = self._side_by_side(texts[at:to])
+            at = to
+        return out
+
+    def _side_by_side(self, texts: list[str]) -> np.ndarray:
+        lengths = np.array([len(t) for t in texts])
+        codes = self.code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+        order = np.argsort(-lengths, kind="stable")
+        start, left = (np.cumsum(lengths) - lengths)[order], lengths[order]
+        row, n = np.tile(self.row, (len(texts), 1)), np.zeros((len(texts), len(self.langs)), np.int32)
+        done, live = 0, int((left > 0).sum())
+        while live >= ALONE:
+            until = int(left[live - 1])
+            begin, r, m = start[:live], row[:live], n[:live]
+            for k in range(done, until):
+                found = self.table.take(r + codes.take(begin + k)[:, None])
+                m += found & 3
+                np.right_shift(found, 2, out=r)
+            done, live = until, int((left > until).sum())
+        total = n + (row != self.row)
+        for i in range(live):
+            rest = texts[order[i]][done:]
+            total[i] = [n[i, j] + phrases(rest, root, self.states[row[i, j] // self.width]) for j, root in enumerate(self.roots)]
+        out = np.empty_like(total)
+        out[order] = total
+        return out
+
+
+def _parser(samples: dict[str, str]) -> Parser:
     """Built once in each Python worker."""
-    for key in [k for k in _built if k not in samples.values()]:
-        del _built[key]
-    for sample in samples.values():
-        if sample not in _built:
-            _built[sample] = suffix_automaton(sample)
-    return [(lang, _built[s], math.log2(len(s) + 1)) for lang, s in samples.items()]
+    return held_model(("langid", *samples.items()), lambda: Parser(samples))
 
 
 def identify(df: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
@@ -124,17 +200,18 @@ def identify(df: DataFrame, samples: dict[str, str], text: str = "text") -> Data
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automata = _automata(model.value)
+        parser = _parser(model.value)
         for texts in batches:
+            some = [t or "" for t in texts]
+            ranked = np.argsort(estimates := parser.counts(some) * np.array(parser.logs), axis=1, kind="stable")
             langs, scores = [], []
-            for t in texts:
-                if not t or not automata:
+            for t, order, e in zip(some, ranked, estimates, strict=True):
+                if not t or not parser.langs:
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                ranked = sorted((phrases(t, root) * log, lang) for lang, root, log in automata)
-                langs.append(ranked[0][1])
-                scores.append(ranked[1][0] / (ranked[0][0] + ranked[1][0]) if len(ranked) > 1 else 1.0)
+                langs.append(parser.langs[order[0]])
+                scores.append(float(e[order[1]] / (e[order[0]] + e[order[1]])) if len(order) > 1 else 1.0)
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]

@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import load, slices
+from tidemark.llm.common import held_model, load, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments and pairs that a Python worker remembers at most.
-MEMO = 250_000
+MEMO = 100_000
 
 
 def compile_model(path: str = MODEL) -> dict:
@@ -224,15 +224,9 @@ class Transducer:
         return text[1:] if self.m["prefix"] and text[:1] == " " else text
 
 
-_made: dict[int, Transducer] = {}
-
-
 def _transducer(model) -> Transducer:
     """Compiled once in each Python worker."""
-    if id(model) not in _made:
-        _made.clear()
-        _made[id(model)] = Transducer(model)
-    return _made[id(model)]
+    return held_model(("pieces", id(model)), lambda: Transducer(model))
 
 
 def encode(df: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:

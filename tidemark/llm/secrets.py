@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import as_bytes, discard, load, slices, written
+from tidemark.llm.common import as_bytes, discard, held_model, load, slices, written
 
 #: The bound of the training sample: distinct texts with a pattern, as many without, and characters of one text.
 SAMPLE_TEXTS, SAMPLE_TEXT_CHARS = 200, 4_000
@@ -358,17 +358,11 @@ def fit(docs: DataFrame, text: str = "text", texts: int = SAMPLE_TEXTS, chars: i
     return train([by[h] for h in wanted if h in by])
 
 
-_taggers: dict[str, Tagger] = {}
-
-
 def _tagger(weights: dict | None) -> Tagger | None:
     if weights is None:
         return None
     key = hashlib.sha256(b"".join(weights[k].tobytes() for k in sorted(weights))).hexdigest()
-    if key not in _taggers:
-        _taggers.clear()
-        _taggers[key] = Tagger(weights)
-    return _taggers[key]
+    return held_model(("secrets", key), lambda: Tagger(weights))
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
