@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _held: dict = {}
 
@@ -74,6 +76,13 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most (or one row), unless the session has a bound of its own. A batch of 10,000 whole
+    texts would be held several times over, by the JVM and by Python."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def slices(batches, text_at: int, most: int = 4 << 20):
     """Record batches cut so that the texts of each have `most` bytes at most, or are one row."""
     for batch in batches:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_model, load
+from tidemark.llm.common import bounded_batches, held_model, load
 
 #: The bound of the sample that the automata are fitted on: characters for each language, and characters of one text.
 SAMPLE_CHARS, SAMPLE_TEXT_CHARS = 32_768, 2_048
@@ -195,6 +195,7 @@ def identify(df: DataFrame, samples: dict[str, str], text: str = "text") -> Data
     score is the runner-up's share of the two best estimates (0.5: a tie, which the first name wins), or 1 with one
     language. Whole texts are parsed; repeated rows get the same answer each.
     """
+    bounded_batches(df.sparkSession)
     # the samples are bounded by SAMPLE_CHARS a language
     model = df.sparkSession.sparkContext.broadcast(samples)
 

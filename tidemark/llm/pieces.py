@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import held_model, load, slices
+from tidemark.llm.common import bounded_batches, held_model, load, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -237,6 +237,7 @@ def encode(df: DataFrame, model: dict, text: str = "text", keep: list[str] | Non
     n_bytes or round_trip are replaced; repeated rows get the same ids each.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in ("ids", "n_bytes", "round_trip")]
+    bounded_batches(df.sparkSession)
     model_ = df.sparkSession.sparkContext.broadcast(model)  # one vocabulary
     added = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_bytes", T.LongType()), T.StructField("round_trip", T.BooleanType())])
     schema = T.StructType([df.schema[c] for c in kept] + added.fields)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import as_bytes, discard, held_model, load, slices, written
+from tidemark.llm.common import as_bytes, bounded_batches, discard, held_model, load, slices, written
 
 #: The bound of the training sample: distinct texts with a pattern, as many without, and characters of one text.
 SAMPLE_TEXTS, SAMPLE_TEXT_CHARS = 200, 4_000
@@ -376,6 +376,7 @@ def scan(df: DataFrame, weights: dict | None, text: str = "text", redact: str |
     """
     new = ["base", "spans"] + ["redacted"] * (redact is not None)
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
+    bounded_batches(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(weights)  # a few kilobytes
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("base", _SPANS), T.StructField("spans", _SPANS), *[T.StructField("redacted", T.StringType())] * (redact is not None)])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
