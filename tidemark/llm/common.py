@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -24,12 +25,21 @@ def held_model(key, build: Callable[[], object]) -> object:
     """The model that this Python worker holds under key. It holds one at a time: workers outlive a stage, and what the stage
     before looked up should not take memory from the next."""
     if key not in _held:
-        _held.clear()
-        gc.collect()
+        forget_models()
         _held[key] = build()
     return _held[key]
 
 
+def forget_models() -> None:
+    """Gives the memory of what this Python worker holds back to the system."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
