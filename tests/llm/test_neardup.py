@@ -98,3 +98,18 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((x["doc_id"] or -1) for x in kept.collect()) == [-1, 1, 2, 3, 4, 6, 7, 8, 9, 10]
     assert neardup.near_duplicates(no_docs).collect() == []
+
+
+def test_copies_down_to_the_limit_are_found(spark):
+    r = random.Random(21)
+    texts, twins = {}, {}
+    for share in (0.05, 0.1, 0.15, 0.2):
+        for g in range(40):
+            n = len(texts)
+            base = prose(10_000 + n, 100).split()
+            texts[n], texts[n + 1] = " ".join(base), " ".join(edited(base, share, r))
+            twins.setdefault(share, []).append(n)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(df).collect()}
+    found = {share: sum(got[n + 1] == n for n in ns) / len(ns) for share, ns in twins.items()}
+    assert all(x >= 0.95 for x in found.values()), found

@@ -5,6 +5,8 @@ hash functions, the PICKED k-mers of least hash are kept in the order of the tex
 and order do. Documents that share a sketch meet in a bucket, where each is compared with the bucket's leader, not with all,
 and only if the two aren't in one class already; those that differ from it choose a leader among themselves, ROUNDS times. A pair counts if the edit similarity of its words,
 from an alignment within the band that LEAST allows, is at least LEAST.
+
+Sketches are set to that link: of pairs as unlike as LEAST allows (one word in five replaced), 0.98 and more share one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import U64, Rolling, as_bytes, bounded_batches, drop_shuffles, forget_models, load, mixed, slices, written
 
-SHINGLE, PICKED, SKETCHES, LEAST, ROUNDS = 5, 3, 16, 0.8, 2
+SHINGLE, PICKED, SKETCHES, LEAST, ROUNDS = 3, 2, 48, 0.8, 2
 
 
 def plain(text: Column) -> Column:
