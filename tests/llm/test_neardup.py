@@ -113,3 +113,48 @@ def test_copies_down_to_the_limit_are_found(spark):
     got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(df).collect()}
     found = {share: sum(got[n + 1] == n for n in ns) / len(ns) for share, ns in twins.items()}
     assert all(x >= 0.95 for x in found.values()), found
+
+
+def test_every_group_of_a_bucket_is_compared(spark, monkeypatch):
+    # all texts share every bucket, and only a comparison tells the groups apart
+    whole = neardup._profiles
+
+    def one_bucket(column, *options):
+        counts, found, bags = whole(column, *options)
+        return counts, found * 0 + 7, bags
+
+    r = random.Random(4)
+    texts = {}
+    for g in range(9):
+        base = prose(20_000 + g, 60).split()
+        for k in range(3):
+            texts[9 * k + g] = " ".join(base if k == 0 else edited(base, 0.05, r))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(neardup, "sketched", _in_driver(spark, one_bucket))
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(df).collect()}
+    assert got == {n: n % 9 for n in texts}
+
+
+def _in_driver(spark, profile):
+    """sketched() by a function that workers needn't import."""
+    import pyarrow as pa
+
+    def run(keyed, shingle, picked, sketches):
+        rows = keyed.select("doc_id", "_id", "_p").collect()
+        counts, found, bags = profile(pa.array([x["_p"] for x in rows]), shingle, picked, sketches)
+        out = [(x["doc_id"], x["_id"], int(c), [int(v) for v in f], bytearray(g.tobytes())) for x, c, f, g in zip(rows, counts, found, bags, strict=True)]
+        return spark.createDataFrame(out, "doc_id long, _id long, n_words long, sketches array<bigint>, bag binary")
+
+    return run
+
+
+def test_bags_never_lose_a_link():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    for g in range(60):
+        a = prose(30_000 + g, r.randint(2, 80)).split()
+        b = edited(a, 0.2, r) if g % 2 else a[r.randint(0, 3) :] + a[:2]
+        x, y = neardup._profiles(pa.array([" ".join(a), " ".join(b)]), 3, 2, 4)[2].astype(np.int64)
+        assert max(np.maximum(x - y, 0).sum(), np.maximum(y - x, 0).sum()) <= distance(a, b)

@@ -2,9 +2,10 @@
 
 A document is its words; its k-mers are SHINGLE words, each labelled with how often it occurred before. For each of SKETCHES
 hash functions, the PICKED k-mers of least hash are kept in the order of the text, so a sketch matches where both content
-and order do. Documents that share a sketch meet in a bucket, where each is compared with the bucket's leader, not with all,
-and only if the two aren't in one class already; those that differ from it choose a leader among themselves, ROUNDS times. A pair counts if the edit similarity of its words,
-from an alignment within the band that LEAST allows, is at least LEAST.
+and order do. Documents that share a sketch meet in a bucket, where each is compared with the bucket's leaders, and only if the
+two aren't in one class already. A leader that has met all members leaves its bucket, and others follow, more in every round,
+until the members that are left are of one class: then any two members of a bucket have met or are in one class. A pair
+counts if the edit similarity of its words, from an alignment within the band that LEAST allows, is at least LEAST.
 
 Sketches are set to that link: of pairs as unlike as LEAST allows (one word in five replaced), 0.98 and more share one.
 """
@@ -17,12 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import U64, Rolling, as_bytes, bounded_batches, drop_shuffles, forget_models, load, mixed, slices, written
 
-SHINGLE, PICKED, SKETCHES, LEAST, ROUNDS = 3, 2, 48, 0.8, 2
+SHINGLE, PICKED, SKETCHES, LEAST, BAG = 3, 2, 48, 0.8, 128
 
 
 def plain(text: Column) -> Column:
@@ -42,10 +43,15 @@ def _word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def sketch_batch(column: pa.Array, shingle: int = SHINGLE, picked: int = PICKED, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
     """Of texts as plain() leaves them: words of each, and an array of sketches (rows of texts without words are 0)."""
+    return _profiles(column, shingle, picked, sketches)[:2]
+
+
+def _profiles(column: pa.Array, shingle: int, picked: int, sketches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """sketch_batch() and a bag of each text: how many of its words hash to each of BAG places, 255 at most."""
     data, bounds = as_bytes(column)
     n = len(bounds) - 1
     if not len(data):
-        return np.zeros(n, np.int64), np.zeros((n, sketches), np.int64)
+        return np.zeros(n, np.int64), np.zeros((n, sketches), np.int64), np.zeros((n, BAG), np.uint8)
     # a blank between texts, so that words end with their text
     data = np.insert(data, bounds[1:-1], 32)
     bounds = bounds + np.concatenate([np.arange(n), [n - 1]])
@@ -53,6 +59,8 @@ def sketch_batch(column: pa.Array, shingle: int = SHINGLE, picked: int = PICKED,
     words = Rolling(data).of(s, e)
     first = np.searchsorted(s, bounds[:-1])
     counts = np.diff(np.append(first, len(s)))
+    bags = np.bincount(np.repeat(np.arange(n), counts) * BAG + (words % U64(BAG)).astype(np.int64), minlength=n * BAG)
+    bags = np.minimum(bags, 255).astype(np.uint8).reshape(n, BAG)
     # k-mers: of a text shorter than a shingle, the whole text is one
     kmers = np.maximum(counts - shingle + 1, (counts > 0).astype(np.int64))
     doc = np.repeat(np.arange(n), kmers)
@@ -88,20 +96,21 @@ def sketch_batch(column: pa.Array, shingle: int = SHINGLE, picked: int = PICKED,
         for row in ordered:
             total = mixed(total * U64(3) + row)
         out[has, k] = total.view(np.int64)
-    return counts, out
+    return counts, out, bags
 
 
 def sketched(keyed: DataFrame, shingle: int, picked: int, sketches: int) -> DataFrame:
-    """doc_id, _id, n_words and sketches of every row of keyed (doc_id, _id, _p)."""
+    """doc_id, _id, n_words, sketches and bag of every row of keyed (doc_id, _id, _p)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_models()  # no model is needed here, and workers may hold that of a stage before
         for batch in slices(batches, 2, 2 << 20):
-            counts, found = sketch_batch(batch.column(2), shingle, picked, sketches)
+            counts, found, bags = _profiles(batch.column(2), shingle, picked, sketches)
+            bag = pa.array([x.tobytes() for x in bags], pa.binary())
             ends = np.arange(0, found.size + 1, sketches, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))], names=["doc_id", "_id", "n_words", "sketches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel())), bag], names=["doc_id", "_id", "n_words", "sketches", "bag"])
 
-    return keyed.select("doc_id", "_id", "_p").mapInArrow(run, "doc_id bigint, _id bigint, n_words bigint, sketches array<bigint>")
+    return keyed.select("doc_id", "_id", "_p").mapInArrow(run, "doc_id bigint, _id bigint, n_words bigint, sketches array<bigint>, bag binary")
 
 
 # --- verification ---------------------------------------------------------------------------------------------------
@@ -176,10 +185,57 @@ def similar(a: list, b: list, least: float = LEAST) -> bool:
 # --- classes --------------------------------------------------------------------------------------------------------
 
 
-def _leaders(buckets: DataFrame) -> DataFrame:
-    """(bucket, _id, leader): each member of a bucket with its least id, without the leader itself."""
+def _least_leaders(buckets: DataFrame) -> DataFrame:
+    """(_id, leader): a pair a text, with the least of the leaders that its buckets have in their least ids."""
     least = buckets.groupBy("bucket").agg(F.min("_id").alias("leader"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
-    return buckets.join(least, "bucket").where("_id <> leader")
+    return buckets.join(least, "bucket").where("_id <> leader").groupBy("_id").agg(F.min("leader").alias("leader"))
+
+
+def _unresolved(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Of buckets (bucket, _id, n_words) those rows whose bucket has members of two classes, with their class."""
+    labelled = buckets.join(found.select("_id", "class"), "_id")
+    mixed_ = labelled.groupBy("bucket").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).where("_a <> _b").select("bucket")
+    return labelled.join(mixed_, "bucket", "left_semi")
+
+
+def _led(members: DataFrame, leaders: int) -> DataFrame:
+    """members with lead: whether they are among the `leaders` first of their bucket. Members of its small classes come first:
+    once they are gone, what is left is of one class."""
+    size = members.groupBy("bucket", "class").agg(F.count("*").alias("_n"))
+    # filtered by its number at once, so that Spark drops most rows of a bucket before they meet in one task
+    order = Window.partitionBy("bucket").orderBy("_n", "class", "_id")
+    first = members.join(size, ["bucket", "class"]).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= leaders)
+    return members.join(first.select("bucket", "_id", F.lit(True).alias("lead")), ["bucket", "_id"], "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
+
+
+def _apart(led: DataFrame, least: float) -> DataFrame:
+    """(_id, leader): members of a bucket and its leaders in other classes, once each, if their lengths allow a link."""
+    leaders = led.where("lead").select("bucket", F.col("_id").alias("leader"), F.col("class").alias("_c"), F.col("n_words").alias("_w"))
+    met = led.join(leaders, "bucket").where(F.col("class") != F.col("_c"))
+    near = met.where(F.abs(F.col("n_words") - F.col("_w")) <= _most(F.greatest("n_words", "_w"), least))
+    # a pair may be named from either side
+    return near.select(F.greatest("_id", "leader").alias("_id"), F.least("_id", "leader").alias("leader")).distinct()
+
+
+def _most(longer: Column, least: float) -> Column:
+    """Edits that similar() allows."""
+    return F.floor(F.lit(1 - least) * longer + F.lit(1e-9))
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (_id, leader) whose bags allow a link: a word that only one of two texts has is an edit, and bags differ
+    by no more than words do, so no link is lost."""
+
+    @F.pandas_udf("boolean")
+    def may(a: pd.Series, b: pd.Series, longer: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, BAG).astype(np.int16) for v in (a, b))
+        d = x - y
+        edits = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1))
+        return pd.Series(edits <= np.floor((1 - least) * longer.to_numpy() + 1e-9))
+
+    mine = nodes.select("_id", F.col("bag").alias("_a"), F.col("n_words").alias("_n"))
+    theirs = nodes.select(F.col("_id").alias("leader"), F.col("bag").alias("_b"), F.col("n_words").alias("_w"))
+    return pairs.join(mine, "_id").join(theirs, "leader").where(may("_a", "_b", F.greatest("_n", "_w"))).select("_id", "leader")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -217,7 +273,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(known, "_id", "left").select("_id", F.coalesce("class", "_id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, picked: int = PICKED, sketches: int = SKETCHES, least: float = LEAST, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, picked: int = PICKED, sketches: int = SKETCHES, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size (documents in it) and n_links (links verified between
     the document's text and different ones), a row for each row of docs.
 
@@ -230,40 +286,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
     keyed = base.select("doc_id", _identity(F.col("_x"), F.col("_p"), F.col("doc_id")).alias("_id"), "_p")
     members = written(sketched(keyed, shingle, picked, sketches), "omh-members")
     # one document stands for all with the same words
-    nodes = members.groupBy("_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
+    nodes = members.groupBy("_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.first("sketches").alias("sketches"), F.first("bag").alias("bag"))
     nodes = written(nodes, "omh-nodes")
-    buckets = nodes.where("n_words > 0").select("_id", F.posexplode("sketches").alias("k", "v")).select("_id", F.xxhash64("k", "v").alias("bucket"))
-    met, edges, judged, words = written(_leaders(buckets), "omh-met"), None, None, None
+    buckets = nodes.where("n_words > 0").select("_id", "n_words", F.posexplode("sketches").alias("k", "v")).select("_id", "n_words", F.xxhash64("k", "v").alias("bucket"))
+    shared = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
+    buckets = written(buckets.join(shared, "bucket", "left_semi"), "omh-buckets")
+    met = buckets.select("_id").distinct()
+    wanted = nodes.join(met, "_id", "left_semi").select("_id", "doc_id")
+    words = written(keyed.join(wanted, ["_id", "doc_id"], "left_semi").select("_id", F.col("_p").alias("words")), "omh-words")
+    bags = nodes.select("_id", "n_words", "bag")
+    drop_shuffles(docs.sparkSession)
+    # one pair a text first: its least leader, which the texts of a group share; that links most of them
+    judged = written(_verified(_alike(_least_leaders(buckets), bags, least), words, least), "omh-judged")
     found = nodes.select("_id", F.col("_id").alias("class"), F.lit(0).cast("long").alias("n_links"))
-    for k in range(rounds + 1):
-        if k == 0:
-            # one pair a text: its least leader, which the texts of a group share; that links most of them
-            pairs = met.groupBy("_id").agg(F.min("leader").alias("leader"))
-        else:
-            # then leaders that aren't in the text's class yet, so a large group isn't compared again for every sketch
-            label = found.select("_id", "class")
-            apart = met.join(label, "_id").join(label.select(F.col("_id").alias("leader"), F.col("class").alias("_c")), "leader").where("class <> _c")
-            if k > 1:
-                # and texts that differ from their bucket's leader choose another among themselves
-                failed = apart.join(judged.where("not ok").select("_id", "leader"), ["_id", "leader"], "left_semi").select("_id", "bucket")
-                apart = met = written(_leaders(failed), "omh-met")
-            pairs = apart.select("_id", "leader").distinct().join(judged.select("_id", "leader"), ["_id", "leader"], "left_anti")
-        pairs = written(pairs, "omh-pairs")
-        if pairs.limit(1).count() == 0:
-            if k:
-                continue
+    new, leaders = judged, 1
+    while True:
+        if new.where("ok").limit(1).count():
+            found = written(components(nodes.select("_id"), judged.where("ok").select("_id", "leader").distinct()), "omh-classes")
+        members_ = written(_unresolved(buckets, found), "omh-members-left")
+        if members_.limit(1).count() == 0:
             break
-        if words is None:
-            members_ = met.select("_id").unionByName(met.select(F.col("leader").alias("_id"))).distinct()
-            wanted = nodes.join(members_, "_id", "left_semi").select("_id", "doc_id")
-            words = written(keyed.join(wanted, ["_id", "doc_id"], "left_semi").select("_id", F.col("_p").alias("words")), "omh-words")
-            drop_shuffles(docs.sparkSession)
-        new = written(_verified(pairs, words, least), "omh-judged")
-        judged = new if judged is None else judged.unionByName(new)
-        if k and new.where("ok").limit(1).count() == 0:
-            continue
-        edges = judged.where("ok").select("_id", "leader").distinct()
-        found = written(components(nodes.select("_id"), edges), "omh-classes")
+        led = written(_led(members_, leaders), "omh-led")
+        pairs = written(_apart(led, least).join(judged.select("_id", "leader"), ["_id", "leader"], "left_anti"), "omh-pairs")
+        new = written(_verified(_alike(pairs, bags, least), words, least), "omh-judged")
+        judged = judged.unionByName(new)
+        # leaders have met all that are left of their buckets
+        buckets, leaders = led.where("not lead").select("_id", "n_words", "bucket"), leaders * 4
     sized = members.groupBy("_id").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_least"))
     classes = found.join(sized, "_id").groupBy("class").agg(F.min("_least").alias("class_id"), F.sum("_n").alias("class_size"))
     told = found.join(classes, "class").select("_id", "class_id", "class_size", "n_links")
