@@ -48,3 +48,15 @@ def test_query(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_text_between_reaches_the_last_turn(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    c = spark.read.parquet(f"{SF}/conversations.parquet")
+    one = c.where(F.col("conv_id") == c.agg(F.min("conv_id")).first()[0]).limit(1)
+    text = F.lit(" ".join(f"w{i}" for i in range(40)))
+    rows = one.withColumn("turn", F.lit(9).cast(c.schema["turn"].dataType)).withColumn("text", text)
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {x["id"]: x["text"] for x in entry.queries()["text_between"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(10)) and got[9].startswith("w13 ") and got[8] == ""

@@ -80,8 +80,9 @@ def pseudo_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {s.WORDS}, {s.PERIODS}, p AS (SELECT match, 60.0::DOUBLE * n AS t, n FROM (SELECT DISTINCT conv_id AS match FROM conversations), (SELECT unnest(range(0, 8)) AS n))
 SELECT p.match, n AS id, trim(coalesce(string_agg(word, '' ORDER BY pos), '')) AS text FROM p LEFT JOIN wd ON wd.match = p.match AND wd.start >= t + 5 AND wd.start < t + 12 GROUP BY p.match, n""")
 def text_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = b.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("match")).distinct()
-    spans = c.select("match", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("id")).select("match", "id", (F.col("id") * 60.0 + 5).alias("start"), (F.col("id") * 60.0 + 12).alias("end"))
+    """Minutes 0 to 7 of every conversation, and on to its last turn."""
+    c = b.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("match")).agg(F.greatest(F.lit(7), F.max("turn").cast("int")).alias("_last"))
+    spans = c.select("match", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("id")).select("match", "id", (F.col("id") * 60.0 + 5).alias("start"), (F.col("id") * 60.0 + 12).alias("end"))
     return text.text_between(b.words(spark, sf_dir), spans).select("match", "id", "text")
 
 
