@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from tidemark.llm import neardup
@@ -78,8 +81,6 @@ def test_a_chain_is_one_class(spark):
 
 
 def test_order_matters():
-    import pyarrow as pa
-
     a = prose(3, 60)
     b = " ".join(reversed([" ".join(a.split()[i : i + 10]) for i in range(0, 60, 10)]))
     _, s = neardup.sketch_batch(pa.array([a, a, b, "", None, "one two"]), 5, 3, 64)
@@ -96,7 +97,9 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[5] == [4] and by[4] == [4] and by[6] == [6, 6] and by[1] == [1] and by[8] == [-1] and by[2] == [2] and by[3] == [3]
     kept = neardup.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted((x["doc_id"] or -1) for x in kept.collect()) == [-1, 1, 2, 3, 4, 6, 7, 8, 9, 10]
+    rows = kept.collect()
+    assert sorted(x["doc_id"] for x in rows) == [1, 2, 3, 4, 6, 7, 8, 9, 10, 10]
+    assert {x["text"] for x in rows if x["doc_id"] == 10} == {"123 456 !!!", "another text with the same id"}
     assert neardup.near_duplicates(no_docs).collect() == []
 
 
@@ -117,11 +120,9 @@ def test_copies_down_to_the_limit_are_found(spark):
 
 def test_every_group_of_a_bucket_is_compared(spark, monkeypatch):
     # all texts share every bucket, and only a comparison tells the groups apart
-    whole = neardup._profiles
-
     def one_bucket(column, *options):
-        counts, found, bags = whole(column, *options)
-        return counts, found * 0 + 7, bags
+        counts, found = neardup.sketch_batch(column, *options)
+        return counts, found * 0 + 7
 
     r = random.Random(4)
     texts = {}
@@ -137,24 +138,59 @@ def test_every_group_of_a_bucket_is_compared(spark, monkeypatch):
 
 def _in_driver(spark, profile):
     """sketched() by a function that workers needn't import."""
-    import pyarrow as pa
-
-    def run(keyed, shingle, picked, sketches):
-        rows = keyed.select("doc_id", "_id", "_p").collect()
-        counts, found, bags = profile(pa.array([x["_p"] for x in rows]), shingle, picked, sketches)
-        out = [(x["doc_id"], x["_id"], int(c), [int(v) for v in f], bytearray(g.tobytes())) for x, c, f, g in zip(rows, counts, found, bags, strict=True)]
-        return spark.createDataFrame(out, "doc_id long, _id long, n_words long, sketches array<bigint>, bag binary")
+    def run(words, shingle, picked, sketches):
+        rows = words.collect()
+        counts, found = profile(pa.array([x["words"] for x in rows]), shingle, picked, sketches)
+        out = [(int(v), x["_id"], int(c)) for x, c, f in zip(rows, counts, found, strict=True) for v in f]
+        return spark.createDataFrame(out, "bucket long, _id long, n_words int")
 
     return run
 
 
-def test_bags_never_lose_a_link():
-    import numpy as np
-    import pyarrow as pa
-
+def test_rare_pairs_and_bits_never_lose_a_link():
     r = random.Random(5)
+    common = np.random.default_rng(1).integers(0, 50, neardup.SLOTS)
+    linked = 0
+    for g in range(200):
+        a = prose(30_000 + g, r.randint(2, 90)).split()
+        b = edited(a, r.choice([0.1, 0.2]), r) if g % 3 else a[r.randint(0, 3) :] + a[:2]
+        if not neardup.similar(a, b) or a == b:
+            continue
+        linked += 1
+        column = pa.array([" ".join(a), " ".join(b), ""])
+        grams, doc, _ = neardup.rare_pairs(column, common, 0.8)
+        assert set(grams[doc == 0]) & set(grams[doc == 1]) and not (doc == 2).any()
+        counts, bits = neardup.word_bits(column)
+        assert counts.tolist() == [len(a), len(b), 0]
+        odd = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in bits[0] ^ bits[1])
+        assert (odd + abs(len(a) - len(b))) / 2 <= distance(a, b)
+    assert linked > 100
+
+
+def test_families_that_share_a_template(spark):
+    # pairs of texts with most of their words from one template: each family is compared, and none is lost
+    r = random.Random(9)
+    template = prose(40_000, 70).split()
+    texts = {}
     for g in range(60):
-        a = prose(30_000 + g, r.randint(2, 80)).split()
-        b = edited(a, 0.2, r) if g % 2 else a[r.randint(0, 3) :] + a[:2]
-        x, y = neardup._profiles(pa.array([" ".join(a), " ".join(b)]), 3, 2, 4)[2].astype(np.int64)
-        assert max(np.maximum(x - y, 0).sum(), np.maximum(y - x, 0).sum()) <= distance(a, b)
+        own = prose(41_000 + g, 30).split()
+        for k in range(2):
+            texts[2 * g + k] = " ".join(template + (own if k == 0 else edited(own, 0.1, r)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(df).collect()} == brute_classes(texts)
+
+
+def test_unlike_texts_are_not_all_paired(spark):
+    """A passage that all texts share makes large buckets; few pairs are left to align."""
+    passage = prose(50_000, 60)
+    texts = [(i, f"{prose(51_000 + i, 60)} {passage} {prose(52_000 + i, 60)}") for i in range(300)]
+    df = spark.createDataFrame(texts, "_id long, words string")
+    left = neardup._may_be_alike(df, df.select("_id", F.col("_id").alias("class")), 0.8)
+    assert left.count() < 300
+
+
+def test_keep_one_keeps_each_class_once(spark):
+    a, b = prose(60_000, 60), prose(60_001, 60)
+    rows = [(1, a, "x"), (1, b, "x"), (2, a + " more", "x"), (None, b, "y"), (None, b + " more", "y"), (3, None, "z"), (3, None, "z"), (4, a, "x"), (1, a, "x")]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _id string"))
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame([(1, a), (1, b), (3, None), (3, None)], "doc_id long, text string").collect()))

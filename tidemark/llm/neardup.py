@@ -2,12 +2,17 @@
 
 A document is its words; its k-mers are SHINGLE words, each labelled with how often it occurred before. For each of SKETCHES
 hash functions, the PICKED k-mers of least hash are kept in the order of the text, so a sketch matches where both content
-and order do. Documents that share a sketch meet in a bucket, where each is compared with the bucket's leaders, and only if the
-two aren't in one class already. A leader that has met all members leaves its bucket, and others follow, more in every round,
-until the members that are left are of one class: then any two members of a bucket have met or are in one class. A pair
-counts if the edit similarity of its words, from an alignment within the band that LEAST allows, is at least LEAST.
+and order do. Documents that share a sketch meet in a bucket. A pair counts if the edit similarity of its words, from an
+alignment within the band that LEAST allows, is at least LEAST.
 
-Sketches are set to that link: of pairs as unlike as LEAST allows (one word in five replaced), 0.98 and more share one.
+1. Every document is compared with the first member of each of its buckets (at most SKETCHES pairs a document), which links
+   nearly all copies; classes are the components of the links.
+2. A bucket is open if its members are of two classes or more: unlike texts that share a passage, or families near the limit.
+   Comparing all of them would grow with the square of the bucket. Two texts that are alike share most of their word pairs
+   (each edit spoils two at most), so they share one among the rarest of either; only such pairs are compared, which loses none
+   that the limit allows. Word pairs that many documents have, those of a shared passage, come last and never count as rare.
+
+So any two documents that share a bucket have been compared, are of one class, or can't be alike.
 """
 
 from __future__ import annotations
@@ -21,9 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, Rolling, as_bytes, bounded_batches, drop_shuffles, forget_models, load, mixed, slices, written
+from tidemark.llm.common import U64, Rolling, as_bytes, bounded_batches, discard, drop_shuffles, forget_models, load, mixed, slices, written
 
-SHINGLE, PICKED, SKETCHES, LEAST, BAG = 3, 2, 48, 0.8, 128
+SHINGLE, PICKED, SKETCHES, LEAST = 5, 2, 128, 0.8
+#: Counters of word pairs by hash, by which rare ones are told from common ones (a table of fixed size that every task holds),
+#: and longs of the bits that stand for a text's words.
+SLOTS, WORDS64 = 1 << 20, 32
+#: Pairs that one copy of a text serves; a text in more pairs is joined in as many copies as that takes.
+PAIRS_A_COPY = 500
 
 
 def plain(text: Column) -> Column:
@@ -41,76 +51,88 @@ def _word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def sketch_batch(column: pa.Array, shingle: int = SHINGLE, picked: int = PICKED, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts as plain() leaves them: words of each, and an array of sketches (rows of texts without words are 0)."""
-    return _profiles(column, shingle, picked, sketches)[:2]
-
-
-def _profiles(column: pa.Array, shingle: int, picked: int, sketches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """sketch_batch() and a bag of each text: how many of its words hash to each of BAG places, 255 at most."""
+def _words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after another; of each text, its first word's place and how many it has."""
     data, bounds = as_bytes(column)
     n = len(bounds) - 1
     if not len(data):
-        return np.zeros(n, np.int64), np.zeros((n, sketches), np.int64), np.zeros((n, BAG), np.uint8)
+        return np.zeros(0, U64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     # a blank between texts, so that words end with their text
     data = np.insert(data, bounds[1:-1], 32)
     bounds = bounds + np.concatenate([np.arange(n), [n - 1]])
     s, e = _word_bounds(data)
-    words = Rolling(data).of(s, e)
     first = np.searchsorted(s, bounds[:-1])
-    counts = np.diff(np.append(first, len(s)))
-    bags = np.bincount(np.repeat(np.arange(n), counts) * BAG + (words % U64(BAG)).astype(np.int64), minlength=n * BAG)
-    bags = np.minimum(bags, 255).astype(np.uint8).reshape(n, BAG)
-    # k-mers: of a text shorter than a shingle, the whole text is one
-    kmers = np.maximum(counts - shingle + 1, (counts > 0).astype(np.int64))
-    doc = np.repeat(np.arange(n), kmers)
-    start = np.cumsum(kmers) - kmers
-    at = first[doc] + np.arange(len(doc)) - start[doc]
+    return Rolling(data).of(s, e), first, np.diff(np.append(first, len(s)))
+
+
+def _kmers(words: np.ndarray, first: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k-mers of `size` words of all texts, each labelled with how often it occurred before in its text; their texts; and how
+    many each text has. A text of fewer words than that is one k-mer."""
+    per = np.maximum(counts - size + 1, (counts > 0).astype(np.int64))
+    doc = np.repeat(np.arange(len(counts)), per)
+    at = first[doc] + np.arange(len(doc)) - (np.cumsum(per) - per)[doc]
     grams = np.zeros(len(doc), U64)
-    for j in range(shingle):
-        more = np.where(j < np.minimum(counts, shingle)[doc], words[np.minimum(at + j, len(words) - 1)], U64(0))
+    short = counts[doc] < size
+    for j in range(size):
+        more = words[np.minimum(at + j, len(words) - 1)] if len(doc) else words
+        if short.any():
+            more = np.where(short & (j >= counts[doc]), U64(0), more)
         grams = mixed(grams * U64(3) + more + U64(j + 1))
-    # label each with how often it occurred before in its text
     order = np.lexsort((grams, doc))
-    same = np.concatenate([[False], (grams[order][1:] == grams[order][:-1]) & (doc[order][1:] == doc[order][:-1])])
+    sorted_ = grams[order]
+    same = np.concatenate([[False], (sorted_[1:] == sorted_[:-1]) & (doc[order][1:] == doc[order][:-1])]) if len(doc) else np.zeros(0, bool)
     begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
     nth = np.empty(len(doc), np.int64)
     nth[order] = np.arange(len(doc)) - begin
-    grams = mixed(grams + nth.astype(U64) * U64(0x9E3779B97F4A7C15))
-    has = np.flatnonzero(kmers)
-    out = np.zeros((n, sketches), np.int64)
+    return mixed(grams + nth.astype(U64) * U64(0x9E3779B97F4A7C15)), doc, per
+
+
+def sketch_batch(column: pa.Array, shingle: int = SHINGLE, picked: int = PICKED, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts as plain() leaves them: words of each, and an array of sketches (rows of texts without words are 0)."""
+    words, first, counts = _words_of(column)
+    out = np.zeros((len(counts), sketches), np.int64)
+    if not len(words):
+        return counts, out
+    grams, _, per = _kmers(words, first, counts, shingle)
+    has = np.flatnonzero(per)
+    start = (np.cumsum(per) - per)[has]
+    bits = 24 if len(grams) < 1 << 24 else 32  # a k-mer's place, in the low bits of its hash
+    place, high, none = np.arange(len(grams), dtype=U64), ~U64((1 << bits) - 1), ~U64(0)
+    h = np.empty_like(grams)
     for k in range(sketches):
-        h = mixed(grams ^ mixed(np.array([k + 1], U64))[0])
-        places, values = [], []
+        salt = mixed(np.array([k + 1], U64))[0]
+        np.multiply(grams ^ salt, salt | U64(1), out=h)
+        h ^= h >> U64(31)
+        h *= U64(0x94D049BB133111EB)
+        h &= high
+        h |= place
+        hits = []
         for _ in range(picked):
-            least = np.minimum.reduceat(h, start[has])
-            hit = np.flatnonzero(h == np.repeat(least, kmers[has]))
-            hit = hit[np.concatenate([[True], doc[hit][1:] != doc[hit][:-1]])] if len(hit) else hit
+            least = np.minimum.reduceat(h, start)
+            at = (least & ~high).astype(np.int64)
             # a text with fewer k-mers than are picked has only the end mark left
-            places.append(np.where(least == ~U64(0), np.iinfo(np.int64).max, hit))
-            values.append(np.where(least == ~U64(0), U64(0), grams[hit]))
-            h[hit] = ~U64(0)
-        by_place = np.argsort(np.stack(places), axis=0, kind="stable")
-        ordered = np.take_along_axis(np.stack(values), by_place, axis=0)
+            gone = least == none
+            h[at[~gone]] = none
+            hits.append(np.where(gone, np.iinfo(np.int64).max, at))
         total = np.full(len(has), k + 1, U64)
-        for row in ordered:
-            total = mixed(total * U64(3) + row)
+        for at in np.sort(np.stack(hits), axis=0):
+            gone = at == np.iinfo(np.int64).max
+            total = mixed(total * U64(3) + np.where(gone, U64(0), grams[np.where(gone, 0, at)]))
         out[has, k] = total.view(np.int64)
-    return counts, out, bags
+    return counts, out
 
 
-def sketched(keyed: DataFrame, shingle: int, picked: int, sketches: int) -> DataFrame:
-    """doc_id, _id, n_words, sketches and bag of every row of keyed (doc_id, _id, _p)."""
+def sketched(words: DataFrame, shingle: int, picked: int, sketches: int) -> DataFrame:
+    """(bucket, _id, n_words): every sketch of every text of words (_id, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_models()  # no model is needed here, and workers may hold that of a stage before
-        for batch in slices(batches, 2, 2 << 20):
-            counts, found, bags = _profiles(batch.column(2), shingle, picked, sketches)
-            bag = pa.array([x.tobytes() for x in bags], pa.binary())
-            ends = np.arange(0, found.size + 1, sketches, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel())), bag], names=["doc_id", "_id", "n_words", "sketches", "bag"])
+        for batch in slices(batches, 1, 1 << 19):
+            counts, found = sketch_batch(batch.column(1), shingle, picked, sketches)
+            rows = pa.array(np.repeat(np.arange(len(counts)), sketches))
+            yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), batch.column(0).take(rows), pa.array(counts.astype(np.int32)).take(rows)], names=["bucket", "_id", "n_words"])
 
-    return keyed.select("doc_id", "_id", "_p").mapInArrow(run, "doc_id bigint, _id bigint, n_words bigint, sketches array<bigint>, bag binary")
+    return words.select("_id", "words").mapInArrow(run, "bucket bigint, _id bigint, n_words int")
 
 
 # --- verification ---------------------------------------------------------------------------------------------------
@@ -182,72 +204,129 @@ def similar(a: list, b: list, least: float = LEAST) -> bool:
     return banded_distance(a[start:], b[start:], most) <= most
 
 
-# --- classes --------------------------------------------------------------------------------------------------------
-
-
-def _least_leaders(buckets: DataFrame) -> DataFrame:
-    """(_id, leader): a pair a text, with the least of the leaders that its buckets have in their least ids."""
-    least = buckets.groupBy("bucket").agg(F.min("_id").alias("leader"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
-    return buckets.join(least, "bucket").where("_id <> leader").groupBy("_id").agg(F.min("leader").alias("leader"))
+# --- pairs ----------------------------------------------------------------------------------------------------------
 
 
-def _unresolved(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Of buckets (bucket, _id, n_words) those rows whose bucket has members of two classes, with their class."""
-    labelled = buckets.join(found.select("_id", "class"), "_id")
-    mixed_ = labelled.groupBy("bucket").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).where("_a <> _b").select("bucket")
-    return labelled.join(mixed_, "bucket", "left_semi")
+def _most(longer: Column, least: float) -> Column:
+    """Edits that similar() allows."""
+    return F.floor(F.lit(1 - least) * longer + F.lit(1e-9))
 
 
-def _led(members: DataFrame, leaders: int) -> DataFrame:
-    """members with lead: whether they are among the `leaders` first of their bucket. Members of its small classes come first:
-    once they are gone, what is left is of one class."""
-    size = members.groupBy("bucket", "class").agg(F.count("*").alias("_n"))
-    # filtered by its number at once, so that Spark drops most rows of a bucket before they meet in one task
-    order = Window.partitionBy("bucket").orderBy("_n", "class", "_id")
-    first = members.join(size, ["bucket", "class"]).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= leaders)
-    return members.join(first.select("bucket", "_id", F.lit(True).alias("lead")), ["bucket", "_id"], "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
+def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (_id, leader) that are similar; words: _id, words. A text in many pairs is copied, so that no task has all of
+    them."""
 
+    @F.pandas_udf("boolean")
+    def ok(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similar(x.split(" "), y.split(" "), least) for x, y in zip(a, b, strict=True)])
 
-def _apart(led: DataFrame, least: float) -> DataFrame:
-    """(_id, leader): members of a bucket and its leaders in other classes, once each, if their lengths allow a link."""
-    leaders = led.where("lead").select("bucket", F.col("_id").alias("leader"), F.col("class").alias("_c"), F.col("n_words").alias("_w"))
-    met = led.join(leaders, "bucket").where(F.col("class") != F.col("_c"))
-    near = met.where(F.abs(F.col("n_words") - F.col("_w")) <= _most(F.greatest("n_words", "_w"), least))
-    # a pair may be named from either side
-    return near.select(F.greatest("_id", "leader").alias("_id"), F.least("_id", "leader").alias("leader")).distinct()
+    met = pairs
+    for side, other, text in (("leader", "_id", "_b"), ("_id", "leader", "_a")):
+        copies = pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("_k"))
+        each = words.select(F.col("_id").alias(side), F.col("words").alias(text)).join(copies, side)
+        each = each.select(side, text, F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_c"))
+        # the number of copies comes with the pair, in narrow rows
+        met = met.join(copies.where("_k > 1"), side, "left").withColumn("_c", F.pmod(F.xxhash64(other), F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
+        met = met.join(each, [side, "_c"]).drop("_c")
+    return met.where(ok("_a", "_b")).select("_id", "leader")
 
 
-def _most(longer: Column, least: float) -> Column:
-    """Edits that similar() allows."""
-    return F.floor(F.lit(1 - least) * longer + F.lit(1e-9))
+def _first_met(buckets: DataFrame, least: float) -> DataFrame:
+    """(_id, leader): each text and the first of every bucket it is in, once each, if their lengths allow a link."""
+    first = buckets.groupBy("bucket").agg(F.min(F.struct("_id", "n_words")).alias("f")).select("bucket", F.col("f._id").alias("leader"), F.col("f.n_words").alias("_w"))
+    met = buckets.join(first, "bucket").where("_id <> leader")
+    return met.where(F.abs(F.col("n_words") - F.col("_w")) <= _most(F.greatest("n_words", "_w"), least)).select("_id", "leader").distinct()
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (_id, leader) whose bags allow a link: a word that only one of two texts has is an edit, and bags differ
-    by no more than words do, so no link is lost."""
+def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(_id, class) of the texts in buckets whose members are of two classes or more."""
+    labelled = buckets.select("bucket", "_id").join(found.select("_id", "class"), "_id")
+    mixed_ = labelled.groupBy("bucket").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).where("_a <> _b").select("bucket")
+    return labelled.join(mixed_, "bucket", "left_semi").select("_id", "class").distinct()
 
-    @F.pandas_udf("boolean")
-    def may(a: pd.Series, b: pd.Series, longer: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, BAG).astype(np.int16) for v in (a, b))
-        d = x - y
-        edits = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1))
-        return pd.Series(edits <= np.floor((1 - least) * longer.to_numpy() + 1e-9))
 
-    mine = nodes.select("_id", F.col("bag").alias("_a"), F.col("n_words").alias("_n"))
-    theirs = nodes.select(F.col("_id").alias("leader"), F.col("bag").alias("_b"), F.col("n_words").alias("_w"))
-    return pairs.join(mine, "_id").join(theirs, "leader").where(may("_a", "_b", F.greatest("_n", "_w"))).select("_id", "leader")
+def _pair_counts(words: DataFrame) -> np.ndarray:
+    """How many word pairs of all texts (words) fall on each of SLOTS counters."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in slices(batches, 0, 1 << 20):
+            grams = _kmers(*_words_of(batch.column(0)), 2)[0]
+            total += np.bincount((grams % U64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 1 << 16):
+            part = at[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["slot", "n"])
+
+    sums = words.select("words").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def rare_pairs(column: pa.Array, common: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts as plain() leaves them: the rarest word pairs of each, so many that two texts of similarity `least` share one among
+    them; the text of each; and the one before it in the order of rarity (0 for the first)."""
+    words, first, counts = _words_of(column)
+    grams, doc, per = _kmers(words, first, counts, 2)
+    if not len(grams):
+        return grams, doc, grams
+    grams = grams[np.lexsort((grams, common[(grams % U64(SLOTS)).astype(np.int64)], doc))]
+    rank = np.arange(len(grams)) - (np.cumsum(per) - per)[doc]
+    before = np.where(rank > 0, np.concatenate([[U64(0)], grams[:-1]]), U64(0))
+    # a text of n words and one within the allowed edits of it share this many labelled pairs or more
+    need = np.maximum(1, np.ceil((1 - 2 * (1 - least)) * counts - 1 - 1e-6).astype(np.int64))
+    keep = rank < (per - need + 1)[doc]
+    return grams[keep], doc[keep], before[keep]
+
+
+def word_bits(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts as plain() leaves them: how many words each has, and for each bit of WORDS64 longs whether the words that fall on it
+    are odd in number."""
+    words, _, counts = _words_of(column)
+    size = WORDS64 * 64
+    bits = np.zeros(len(counts) * size, np.uint8)
+    np.bitwise_xor.at(bits, np.repeat(np.arange(len(counts)), counts) * size + (words % U64(size)).astype(np.int64), 1)
+    return counts, np.packbits(bits).view(np.int64).reshape(len(counts), WORDS64)
+
+
+def _may_be_alike(words: DataFrame, open_: DataFrame, least: float) -> DataFrame:
+    """(_id, leader): pairs of open_ (_id, class) in different classes that share a rare word pair, if their lengths and words allow a
+    link. words: _id, words."""
+    if least < 0.75:
+        raise ValueError("word pairs only bound similarities of 0.75 and more")
+    texts = written(words.join(open_, "_id").select("_id", "class", "words"), "omh-open")
+    common = words.sparkSession.sparkContext.broadcast(_pair_counts(texts))  # SLOTS numbers
 
-def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """pairs (_id, leader) with ok."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2, 1 << 20):
+            grams, doc, before = rare_pairs(batch.column(2), common.value, least)
+            cols = [batch.column(k).take(pa.array(doc)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(grams.view(np.int64)), pa.array(before.view(np.int64))], names=["_id", "class", "g", "b"])
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, 1 << 20):
+            counts, bits = word_bits(batch.column(1))
+            ends = np.arange(0, bits.size + 1, WORDS64, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(bits.ravel()))], names=["_id", "n", "w"])
+
+    rare = written(texts.mapInArrow(run, "_id bigint, class bigint, g bigint, b bigint"), "omh-rare")
+    shared = rare.groupBy("g").agg(F.min("class").alias("_a"), F.max("class").alias("_z")).where("_a <> _z").select("g")
+    told = texts.select("_id", "words").mapInArrow(signs, "_id bigint, n bigint, w array<bigint>")
+    rows = written(rare.join(shared, "g", "left_semi").join(told, "_id"), "omh-shared")
+    x, y = rows.alias("x"), rows.alias("y")
+    # two texts that share the pair before this one too have met there
+    met = (F.col("x.g") == F.col("y.g")) & (F.col("x._id") > F.col("y._id")) & (F.col("x.class") != F.col("y.class")) & ((F.col("x.b") != F.col("y.b")) | (F.col("x.b") == 0))
+    apart, most = F.abs(F.col("x.n") - F.col("y.n")), _most(F.greatest("x.n", "y.n"), least)
+    odd = F.aggregate(F.zip_with("x.w", "y.w", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+    # a word that only one of two texts has is an edit, or half of one; bits differ by no more than words do, so no link is lost
+    pairs = x.join(y, met & (apart <= most) & (odd + apart <= 2 * most)).select(F.col("x._id").alias("_id"), F.col("y._id").alias("leader"))
+    pairs = written(pairs.distinct(), "omh-pairs")
+    discard(texts, rare, rows)
+    return pairs
 
-    @F.pandas_udf("boolean")
-    def ok(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(x.split(" "), y.split(" "), least) for x, y in zip(a, b, strict=True)])
 
-    mine = words.select("_id", F.col("words").alias("_a"))
-    theirs = words.select(F.col("_id").alias("leader"), F.col("words").alias("_b"))
-    return pairs.join(mine, "_id").join(theirs, "leader").select("_id", "leader", ok("_a", "_b").alias("ok"))
+# --- classes --------------------------------------------------------------------------------------------------------
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -257,61 +336,64 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # with each node its own neighbour, one join and one minimum make a round
     own = both.select("_id").distinct().select("_id", F.col("_id").alias("leader"))
     around = written(both.unionByName(own), "omh-edges")
-    labels = around.groupBy("_id").agg(F.min("leader").alias("class"))
+    labels = written(around.groupBy("_id").agg(F.min("leader").alias("class")), "omh-labels")
     total = None
     while True:
-        near = around.join(labels.select(F.col("_id").alias("leader"), "class"), "leader").groupBy("_id").agg(F.min("class").alias("class"))
-        jump = near.select(F.col("_id").alias("class"), F.col("class").alias("_j"))
-        labels = written(near.join(jump, "class").select("_id", F.col("_j").alias("class")), "omh-labels")
         # labels only fall, so an equal sum means that none has changed
         now = labels.agg(F.sum(F.col("class").cast("decimal(38,0)"))).first()[0]
         if now == total:
             break
-        total = now
+        total, was = now, labels
+        near = around.join(labels.select(F.col("_id").alias("leader"), "class"), "leader").groupBy("_id").agg(F.min("class").alias("class"))
+        jump = near.select(F.col("_id").alias("class"), F.col("class").alias("_j"))
+        labels = written(near.join(jump, "class").select("_id", F.col("_j").alias("class")), "omh-labels")
+        discard(was)
     degree = around.where("_id <> leader").groupBy("_id").agg(F.count("*").alias("n_links"))
     known = labels.join(degree, "_id")
     return nodes.join(known, "_id", "left").select("_id", F.coalesce("class", "_id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _classes(docs: DataFrame, text: str, shingle: int, picked: int, sketches: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(members, told): members doc_id, _id, _raw of every row; told _id, class, n_links of every different text."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).alias("_x"), plain(F.col(text)).alias("_p"))
+    keyed = base.select("doc_id", _identity(F.col("_x"), F.col("_p"), F.col("doc_id")).alias("_id"), F.xxhash64("_x").alias("_raw"), "_p")
+    members = written(keyed.select("doc_id", "_id", "_raw"), "omh-members")
+    # one document stands for all with the same words
+    first = members.groupBy("_id").agg(F.min("doc_id").alias("doc_id"))
+    words = keyed.where("_p <> ''").join(first, ["_id", "doc_id"], "left_semi").dropDuplicates(["_id", "doc_id"])
+    words = written(words.select("_id", F.col("_p").alias("words")), "omh-words")
+    drop_shuffles(spark)
+    every = written(sketched(words, shingle, picked, sketches), "omh-sketches")
+    shared = written(every.groupBy("bucket").count().where("count > 1").select("bucket"), "omh-shared")
+    drop_shuffles(spark)
+    buckets = written(every.join(shared, "bucket", "left_semi"), "omh-buckets")
+    discard(every, shared)
+    drop_shuffles(spark)
+    nodes = members.select("_id").distinct()
+    links = written(_verified(written(_first_met(buckets, least), "omh-first"), words, least), "omh-links")
+    found = components(nodes, links)
+    open_ = written(_open(buckets, found), "omh-left")
+    if open_.limit(1).count():
+        more = written(_verified(_may_be_alike(words, open_, least), words, least), "omh-links-more")
+        if more.limit(1).count():
+            found = components(nodes, links.unionByName(more).distinct())
+    discard(buckets, words, open_)
+    drop_shuffles(spark)
+    return members, found
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, picked: int = PICKED, sketches: int = SKETCHES, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size (documents in it) and n_links (links verified between
     the document's text and different ones), a row for each row of docs.
 
     Two documents are in one class if their words are the same, or if links lead from one to the other. Texts without a word,
     empty ones too, are alike if they are equal; a null text is like no other. Rows that repeat a doc_id are documents of
-    their own; a null doc_id counts as -1. Texts are told apart by a 64-bit fingerprint.
+    their own; a null doc_id counts as -1. Whole texts are compared, however long. Other columns of docs aren't read. Texts are
+    told apart by a 64-bit fingerprint of their words. `least` is 0.75 at least.
     """
-    bounded_batches(docs.sparkSession)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).alias("_x"), plain(F.col(text)).alias("_p"))
-    keyed = base.select("doc_id", _identity(F.col("_x"), F.col("_p"), F.col("doc_id")).alias("_id"), "_p")
-    members = written(sketched(keyed, shingle, picked, sketches), "omh-members")
-    # one document stands for all with the same words
-    nodes = members.groupBy("_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.first("sketches").alias("sketches"), F.first("bag").alias("bag"))
-    nodes = written(nodes, "omh-nodes")
-    buckets = nodes.where("n_words > 0").select("_id", "n_words", F.posexplode("sketches").alias("k", "v")).select("_id", "n_words", F.xxhash64("k", "v").alias("bucket"))
-    shared = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
-    buckets = written(buckets.join(shared, "bucket", "left_semi"), "omh-buckets")
-    met = buckets.select("_id").distinct()
-    wanted = nodes.join(met, "_id", "left_semi").select("_id", "doc_id")
-    words = written(keyed.join(wanted, ["_id", "doc_id"], "left_semi").select("_id", F.col("_p").alias("words")), "omh-words")
-    bags = nodes.select("_id", "n_words", "bag")
-    drop_shuffles(docs.sparkSession)
-    # one pair a text first: its least leader, which the texts of a group share; that links most of them
-    judged = written(_verified(_alike(_least_leaders(buckets), bags, least), words, least), "omh-judged")
-    found = nodes.select("_id", F.col("_id").alias("class"), F.lit(0).cast("long").alias("n_links"))
-    new, leaders = judged, 1
-    while True:
-        if new.where("ok").limit(1).count():
-            found = written(components(nodes.select("_id"), judged.where("ok").select("_id", "leader").distinct()), "omh-classes")
-        members_ = written(_unresolved(buckets, found), "omh-members-left")
-        if members_.limit(1).count() == 0:
-            break
-        led = written(_led(members_, leaders), "omh-led")
-        pairs = written(_apart(led, least).join(judged.select("_id", "leader"), ["_id", "leader"], "left_anti"), "omh-pairs")
-        new = written(_verified(_alike(pairs, bags, least), words, least), "omh-judged")
-        judged = judged.unionByName(new)
-        # leaders have met all that are left of their buckets
-        buckets, leaders = led.where("not lead").select("_id", "n_words", "bucket"), leaders * 4
+    members, found = _classes(docs, text, shingle, picked, sketches, least)
     sized = members.groupBy("_id").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_least"))
     classes = found.join(sized, "_id").groupBy("class").agg(F.min("_least").alias("class_id"), F.sum("_n").alias("class_size"))
     told = found.join(classes, "class").select("_id", "class_id", "class_size", "n_links")
@@ -324,10 +406,18 @@ def _identity(text: Column, words: Column, doc_id: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """Of each class the rows of its least doc_id, once each, with the columns of docs; rows with a null doc_id stay."""
-    first = near_duplicates(docs.where(F.col("doc_id").isNotNull()), text, **options).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """Of each class one row, with the columns of docs: that of the least doc_id (a null one is the largest), and of the texts it
+    has in the class one, the same on every run. A doc_id with two unlike texts keeps both. Of rows that repeat doc_id and
+    text one stays. Rows whose text is null are like no other and all stay."""
+    some = docs.where(F.col(text).isNotNull())
+    opts = {"shingle": SHINGLE, "picked": PICKED, "sketches": SKETCHES, "least": LEAST} | options
+    # null ids come last
+    numbered = some.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(text).alias("text"))
+    members, found = _classes(numbered, "text", **opts)
+    first = members.join(found.select("_id", "class"), "_id").groupBy("class").agg(F.min(F.struct("doc_id", "_raw")).alias("f")).select(F.col("f.doc_id").alias("_d"), F.col("f._raw").alias("_r"))
+    keyed = some.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_r", F.xxhash64(text))
+    kept = keyed.join(first, ["_d", "_r"], "left_semi").dropDuplicates(["_d", "_r"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(text).isNull()))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
