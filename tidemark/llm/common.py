@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _held: dict = {}
 
@@ -64,10 +65,19 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends here, and lost executors cost no recomputation."""
+    """df written as Parquet in the shared folder and read again: lineage ends here, and lost executors cost no recomputation. The
+    shuffle files of the write go when it ends."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP_SETTING, None)
+    spark.conf.set(_CLEANUP_SETTING, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP_SETTING)
+        else:
+            spark.conf.set(_CLEANUP_SETTING, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -80,12 +90,6 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs go once nothing refers to them; ask for that now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_BYTES at most (or one row), unless the session has a bound of its own. A batch of 10,000 whole
     texts would be held several times over, by the JVM and by Python."""

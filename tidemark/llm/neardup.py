@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, Rolling, as_bytes, bounded_batches, discard, drop_shuffles, forget_models, load, mixed, slices, written
+from tidemark.llm.common import U64, Rolling, as_bytes, bounded_batches, discard, forget_models, load, mixed, slices, written
 
 SHINGLE, PICKED, SKETCHES, LEAST = 5, 2, 128, 0.8
 #: Counters of word pairs by hash, by which rare ones are told from common ones (a table of fixed size that every task holds),
@@ -364,13 +364,10 @@ def _classes(docs: DataFrame, text: str, shingle: int, picked: int, sketches: in
     first = members.groupBy("_id").agg(F.min("doc_id").alias("doc_id"))
     words = keyed.where("_p <> ''").join(first, ["_id", "doc_id"], "left_semi").dropDuplicates(["_id", "doc_id"])
     words = written(words.select("_id", F.col("_p").alias("words")), "omh-words")
-    drop_shuffles(spark)
     every = written(sketched(words, shingle, picked, sketches), "omh-sketches")
     shared = written(every.groupBy("bucket").count().where("count > 1").select("bucket"), "omh-shared")
-    drop_shuffles(spark)
     buckets = written(every.join(shared, "bucket", "left_semi"), "omh-buckets")
     discard(every, shared)
-    drop_shuffles(spark)
     nodes = members.select("_id").distinct()
     links = written(_verified(written(_first_met(buckets, least), "omh-first"), words, least), "omh-links")
     found = components(nodes, links)
@@ -380,7 +377,6 @@ def _classes(docs: DataFrame, text: str, shingle: int, picked: int, sketches: in
         if more.limit(1).count():
             found = components(nodes, links.unionByName(more).distinct())
     discard(buckets, words, open_)
-    drop_shuffles(spark)
     return members, found
 
 
@@ -415,9 +411,9 @@ def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     numbered = some.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(text).alias("text"))
     members, found = _classes(numbered, "text", **opts)
     first = members.join(found.select("_id", "class"), "_id").groupBy("class").agg(F.min(F.struct("doc_id", "_raw")).alias("f")).select(F.col("f.doc_id").alias("_d"), F.col("f._raw").alias("_r"))
-    keyed = some.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_r", F.xxhash64(text))
+    keyed = some.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_d"), F.xxhash64(text).alias("_r"))
     kept = keyed.join(first, ["_d", "_r"], "left_semi").dropDuplicates(["_d", "_r"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(text).isNull()))
+    return kept.select("_row.*").unionByName(docs.where(F.col(text).isNull()))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, Rolling, as_bytes, discard, drop_shuffles, load, row_keys, slices, written
+from tidemark.llm.common import U64, Rolling, as_bytes, discard, load, row_keys, slices, written
 
 WIDTH, SEED = 200, 32
 #: Contents that share an anchor and are sorted in one range, at most (about 300 bytes each).
@@ -174,7 +174,6 @@ def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, seed
     twice = written(runs.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "substr-twice")
     all_runs, runs = runs, written(runs.join(twice, "a"), "substr-shared")
     discard(all_runs, twice)
-    drop_shuffles(spark)
 
     contents = runs.groupBy("a", "c").agg(F.count("*").alias("times"), F.min(F.struct("_d", "_t", "start", "n", "off")).alias("r"))
     contents = written(contents, "substr-contents")
@@ -186,7 +185,6 @@ def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, seed
     )
     fetched = written(fetched.select("v.*"), "substr-bytes")
     discard(sizes)
-    drop_shuffles(spark)
 
     few = fetched.where(F.col("m") <= most).withColumn("lead", F.expr(f"substring(bytes, off + 1, {seed})"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
