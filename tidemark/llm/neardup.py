@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import U64, Rolling, as_bytes, bounded_batches, discard, forget_models, load, mixed, slices, written
 
-SHINGLE, PICKED, SKETCHES, LEAST = 5, 2, 128, 0.8
+SHINGLE, PICKED, SKETCHES, LEAST = 3, 2, 48, 0.8
 #: Counters of word pairs by hash, by which rare ones are told from common ones (a table of fixed size that every task holds),
 #: and longs of the bits that stand for a text's words.
 SLOTS, WORDS64 = 1 << 20, 32
