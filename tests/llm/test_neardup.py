@@ -147,18 +147,18 @@ def _in_driver(spark, profile):
     return run
 
 
-def test_rare_pairs_and_bits_never_lose_a_link():
+def test_rare_grams_and_bits_never_lose_a_link():
     r = random.Random(5)
     common = np.random.default_rng(1).integers(0, 50, neardup.SLOTS)
     linked = 0
     for g in range(200):
-        a = prose(30_000 + g, r.randint(2, 90)).split()
+        a = prose(30_000 + g, r.randint(2, 90) if g % 2 else r.randint(300, 520)).split()
         b = edited(a, r.choice([0.1, 0.2]), r) if g % 3 else a[r.randint(0, 3) :] + a[:2]
         if not neardup.similar(a, b) or a == b:
             continue
         linked += 1
         column = pa.array([" ".join(a), " ".join(b), ""])
-        grams, doc, _ = neardup.rare_pairs(column, common, 0.8)
+        grams, doc, _ = neardup.rare_grams(column, common, 0.8)
         assert set(grams[doc == 0]) & set(grams[doc == 1]) and not (doc == 2).any()
         counts, bits = neardup.word_bits(column)
         assert counts.tolist() == [len(a), len(b), 0]

@@ -8,9 +8,9 @@ alignment within the band that LEAST allows, is at least LEAST.
 1. Every document is compared with the first member of each of its buckets (at most SKETCHES pairs a document), which links
    nearly all copies; classes are the components of the links.
 2. A bucket is open if its members are of two classes or more: unlike texts that share a passage, or families near the limit.
-   Comparing all of them would grow with the square of the bucket. Two texts that are alike share most of their word pairs
-   (each edit spoils two at most), so they share one among the rarest of either; only such pairs are compared, which loses none
-   that the limit allows. Word pairs that many documents have, those of a shared passage, come last and never count as rare.
+   Comparing all of them would grow with the square of the bucket. Two texts that are alike share many of their word pairs and
+   triples (each edit spoils two or three at most), so they share one among the rarest of either; only such texts are compared,
+   which loses none that the limit allows. Those that many documents have, as in a shared passage, never count as rare.
 
 So any two documents that share a bucket have been compared, are of one class, or can't be alike.
 """
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import U64, Rolling, as_bytes, bounded_batches, discard, forget_models, load, mixed, slices, written
 
 SHINGLE, PICKED, SKETCHES, LEAST = 3, 2, 48, 0.8
-#: Counters of word pairs by hash, by which rare ones are told from common ones (a table of fixed size that every task holds),
+#: Words up to which rare pairs of words are looked at, and from which rare triples are: two long texts share some rare pair by chance.
+LONG = 400
+#: Counters of word pairs and triples by hash, by which rare ones are told from common ones (a table of fixed size that every task holds),
 #: and longs of the bits that stand for a text's words.
 SLOTS, WORDS64 = 1 << 20, 32
 #: Pairs that one copy of a text serves; a text in more pairs is joined in as many copies as that takes.
@@ -74,7 +76,7 @@ def _kmers(words: np.ndarray, first: np.ndarray, counts: np.ndarray, size: int)
     grams = np.zeros(len(doc), U64)
     short = counts[doc] < size
     for j in range(size):
-        more = words[np.minimum(at + j, len(words) - 1)] if len(doc) else words
+        more = words[np.minimum(at + j, len(words) - 1)] if len(doc) else words[:0]
         if short.any():
             more = np.where(short & (j >= counts[doc]), U64(0), more)
         grams = mixed(grams * U64(3) + more + U64(j + 1))
@@ -220,14 +222,14 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     def ok(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similar(x.split(" "), y.split(" "), least) for x, y in zip(a, b, strict=True)])
 
-    met = pairs
-    for side, other, text in (("leader", "_id", "_b"), ("_id", "leader", "_a")):
-        copies = pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("_k"))
-        each = words.select(F.col("_id").alias(side), F.col("words").alias(text)).join(copies, side)
-        each = each.select(side, text, F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_c"))
-        # the number of copies comes with the pair, in narrow rows
-        met = met.join(copies.where("_k > 1"), side, "left").withColumn("_c", F.pmod(F.xxhash64(other), F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
-        met = met.join(each, [side, "_c"]).drop("_c")
+    met, sides = pairs, (("leader", "_id", "_b", "_k"), ("_id", "leader", "_a", "_c"))
+    copies = {side: pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("_n")) for side, *_ in sides}
+    for side, other, _, at in sides:  # which copy serves a pair, while the pairs are narrow
+        many = copies[side].where("_n > 1")
+        met = met.join(many, side, "left").withColumn(at, F.pmod(F.xxhash64(other), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+    for side, _, text, at in sides:
+        each = words.select(F.col("_id").alias(side), F.col("words").alias(text)).join(copies[side], side)
+        met = met.join(each.select(side, text, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias(at)), [side, at])
     return met.where(ok("_a", "_b")).select("_id", "leader")
 
 
@@ -245,14 +247,23 @@ def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.join(mixed_, "bucket", "left_semi").select("_id", "class").distinct()
 
 
-def _pair_counts(words: DataFrame) -> np.ndarray:
-    """How many word pairs of all texts (words) fall on each of SLOTS counters."""
+def _small_grams(words: np.ndarray, first: np.ndarray, counts: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of words of the texts up to LONG, and triples of those that may be alike with a longer one: size, k-mers, their texts, and
+    how many each of those has (a text of one word is one k-mer). Two texts within the link have one of the two kinds both."""
+    for size, of in ((2, counts <= LONG), (3, counts >= least * LONG - 1)):
+        at = np.flatnonzero(of & (counts > 0))
+        grams, doc, per = _kmers(words, first[at], counts[at], size)
+        yield size, grams, at[doc], per
+
+
+def _gram_counts(words: DataFrame, least: float) -> np.ndarray:
+    """How many word pairs and triples of all texts (words) fall on each of SLOTS counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in slices(batches, 0, 1 << 20):
-            grams = _kmers(*_words_of(batch.column(0)), 2)[0]
-            total += np.bincount((grams % U64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            for _, grams, _, _ in _small_grams(*_words_of(batch.column(0)), least):
+                total += np.bincount((grams % U64(SLOTS)).astype(np.int64), minlength=SLOTS)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 1 << 16):
             part = at[k : k + (1 << 16)]
@@ -264,20 +275,24 @@ def _pair_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
-def rare_pairs(column: pa.Array, common: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts as plain() leaves them: the rarest word pairs of each, so many that two texts of similarity `least` share one among
-    them; the text of each; and the one before it in the order of rarity (0 for the first)."""
+def rare_grams(column: pa.Array, common: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts as plain() leaves them: the rarest word pairs or triples of each, so many that two texts of similarity `least` share one
+    among them; the text of each; and the one before it in the order of rarity (0 for the first)."""
     words, first, counts = _words_of(column)
-    grams, doc, per = _kmers(words, first, counts, 2)
-    if not len(grams):
-        return grams, doc, grams
-    grams = grams[np.lexsort((grams, common[(grams % U64(SLOTS)).astype(np.int64)], doc))]
-    rank = np.arange(len(grams)) - (np.cumsum(per) - per)[doc]
-    before = np.where(rank > 0, np.concatenate([[U64(0)], grams[:-1]]), U64(0))
-    # a text of n words and one within the allowed edits of it share this many labelled pairs or more
-    need = np.maximum(1, np.ceil((1 - 2 * (1 - least)) * counts - 1 - 1e-6).astype(np.int64))
-    keep = rank < (per - need + 1)[doc]
-    return grams[keep], doc[keep], before[keep]
+    found = []
+    for size, grams, doc, per in _small_grams(words, first, counts, least):
+        if not len(grams):
+            continue
+        grams = grams[np.lexsort((grams, common[(grams % U64(SLOTS)).astype(np.int64)], doc))]
+        rank = np.arange(len(grams)) - np.repeat(np.cumsum(per) - per, per)
+        before = np.where(rank > 0, np.concatenate([[U64(0)], grams[:-1]]), U64(0))
+        # an edit spoils `size` of them at most, so a text of n words and one within the allowed edits of it share this many or more
+        need = np.maximum(1, np.ceil((1 - size * (1 - least)) * counts - (size - 1) - 1e-6).astype(np.int64))
+        keep = rank < np.repeat(per, per) - need[doc] + 1
+        found.append((grams[keep], doc[keep], before[keep]))
+    if not found:
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def word_bits(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -291,16 +306,16 @@ def word_bits(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _may_be_alike(words: DataFrame, open_: DataFrame, least: float) -> DataFrame:
-    """(_id, leader): pairs of open_ (_id, class) in different classes that share a rare word pair, if their lengths and words allow a
+    """(_id, leader): pairs of open_ (_id, class) in different classes that share a rare pair or triple of words, if their lengths and words allow a
     link. words: _id, words."""
     if least < 0.75:
-        raise ValueError("word pairs only bound similarities of 0.75 and more")
+        raise ValueError("pairs and triples of words only bound similarities of 0.75 and more")
     texts = written(words.join(open_, "_id").select("_id", "class", "words"), "omh-open")
-    common = words.sparkSession.sparkContext.broadcast(_pair_counts(texts))  # SLOTS numbers
+    common = words.sparkSession.sparkContext.broadcast(_gram_counts(texts, least))  # SLOTS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, 1 << 20):
-            grams, doc, before = rare_pairs(batch.column(2), common.value, least)
+            grams, doc, before = rare_grams(batch.column(2), common.value, least)
             cols = [batch.column(k).take(pa.array(doc)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(grams.view(np.int64)), pa.array(before.view(np.int64))], names=["_id", "class", "g", "b"])
 
@@ -315,7 +330,7 @@ def _may_be_alike(words: DataFrame, open_: DataFrame, least: float) -> DataFrame
     told = texts.select("_id", "words").mapInArrow(signs, "_id bigint, n bigint, w array<bigint>")
     rows = written(rare.join(shared, "g", "left_semi").join(told, "_id"), "omh-shared")
     x, y = rows.alias("x"), rows.alias("y")
-    # two texts that share the pair before this one too have met there
+    # two texts that share the one before this too have met there
     met = (F.col("x.g") == F.col("y.g")) & (F.col("x._id") > F.col("y._id")) & (F.col("x.class") != F.col("y.class")) & ((F.col("x.b") != F.col("y.b")) | (F.col("x.b") == 0))
     apart, most = F.abs(F.col("x.n") - F.col("y.n")), _most(F.greatest("x.n", "y.n"), least)
     odd = F.aggregate(F.zip_with("x.w", "y.w", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
