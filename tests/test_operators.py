@@ -273,3 +273,54 @@ def test_event_metrics(spark):
     tell = lambda *k: tuple(got[k][c] for c in ("events", "caught", "triggers", "true_triggers"))
     assert tell("a", "goal") == (2, 1, 2, 1) and tell("b", "goal") == (2, 1, 1, 1) and tell("a", "card") == (1, 1, 1, 1) and tell("b", "card") == (1, 0, 0, 0)
     assert got["a", "goal"]["minutes"] == pytest.approx(1.0) and got["b", "card"]["precision"] is None
+
+
+def test_cells_fit_the_intervals(spark):
+    long_ = frame(spark, [("m", f"w{i}", i * 7200.0, i * 7200.0 + 14400) for i in range(200)], "match string, wid string, start double, end double")
+    spans = frame(spark, [("m", "goal", i * 9000.0, i * 9000.0 + 3600) for i in range(100)] + [("m", "goal", 0.0, 900_000.0)], "match string, question string, start double, end double")
+    cell = intervals.cell_for(long_, spans, 1800.0)
+    rows = long_.select(F.explode(intervals._cells(F.col("start") - 1800, F.col("end") + 1800, cell))).count()
+    assert rows <= 1.6 * 200
+    want = {(w, s) for w, ws, we in ((r["wid"], r["start"], r["end"]) for r in long_.collect()) for s, e in ((r["start"], r["end"]) for r in spans.collect()) if s <= we + 1800 and e >= ws - 1800}
+    for c in (None, 100.0, 1e6):
+        pairs = intervals.near_pairs(long_, spans, ["match"], 1800.0, c).select("wid", "r_start", "r_end").collect()
+        assert {(x["wid"], x["r_start"]) for x in pairs} == want and len(pairs) == len({(x["wid"], x["r_start"], x["r_end"]) for x in pairs})
+    none = spans.limit(0)
+    assert intervals.near_pairs(long_, none, ["match"]).count() == 0 == intervals.near_pairs(long_.limit(0), spans, ["match"]).count()
+
+
+def test_ignored_spans_in_one_pass(spark):
+    w = frame(spark, [("m", f"w{i}", i * 5.0, i * 5.0 + 20) for i in range(30)], "match string, wid string, start double, end double")
+    pos = frame(spark, [("m", "goal", 40.0, 50.0)], "match string, question string, start double, end double")
+    ign = frame(spark, [("m", "goal", 45.0, 90.0), ("m", "card", 120.0, 130.0)], "match string, question string, start double, end double")
+    asked = frame(spark, [("goal",), ("card",)], "question string")
+    one = intervals.project(w, pos, asked, ignored=ign)
+    two = labels.ignore_overlay(intervals.project(w, pos, asked), w, ign)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_events_are_numbered_as_they_were_listed(spark):
+    rows = [("m", 3, "c", ("Foul Committed",), 1, "00:10:00.000"), ("m", 2, "b", ("Offside",), 1, "00:10:00.000"), ("m", 1, "a", ("Half Start",), 1, "00:00:00.000"), ("m", 9, "d", ("Half End",), 1, "00:45:00.000"), ("m", 4, "e", ("Substitution",), 1, None)]
+    raw = frame(spark, rows, "match string, index int, id string, type struct<name:string>, period int, timestamp string")
+    full = raw.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("minute", "int"), ("second", "int"), ("team", "struct<name:string>"), ("player", "struct<name:string>"), ("shot", "struct<statsbomb_xg:double,outcome:struct<name:string>,type:struct<name:string>>"), ("bad_behaviour", "struct<card:struct<name:string>>"), ("pass", "struct<type:struct<name:string>>"))])
+    full = full.withColumn("foul_committed", F.when(F.col("id") == "c", F.struct(F.lit(True).alias("penalty"), F.struct(F.lit("Red Card").alias("name")).alias("card"))))
+    got = [(x["seq"], x["type"]) for x in events.normalize(full).orderBy("seq").collect()]
+    assert got == [(1, "period_start"), (2, "offside"), (3, "penalty_foul"), (4, "card"), (5, "period_end"), (6, "substitution")]
+
+
+def test_missing_labels_are_an_error(spark):
+    scores = frame(spark, [("a", 0.5), ("b", 0.2)], "wid string, score double")
+    some = frame(spark, [("a", 1)], "wid string, label int")
+    with pytest.raises(KeyError):
+        evaluate.with_all_labels(scores, some)
+    assert evaluate.with_all_labels(scores.where("wid = 'a'"), some).count() == 1
+
+
+def test_tolerance_is_mirrored_for_ignored_moments(spark):
+    t = frame(spark, [("m", 1, 100.0, 120.0), ("m", 2, 1000.0, 1020.0)], "match string, id int, start double, end double")
+    # an event is caught from start - 120 to end + 10; an ignored one counts from start - 10 to end + 120
+    at = lambda *x: frame(spark, [("m", i, v) for i, v in enumerate(x)], "match string, e_id int, t double")
+    caught = triggers.hits(t, at(-15.0, 125.0), ["match"], -10.0, 120.0).collect()
+    assert {x["e_id"] for x in caught} == {0, 1}
+    assert {x["id"] for x in triggers.drop_ignored(t, at(-500.0), at(230.0), ["match"], -10.0, 120.0).collect()} == {2}
+    assert {x["id"] for x in triggers.drop_ignored(t, at(-500.0), at(-5.0), ["match"], -10.0, 120.0).collect()} == {1, 2}

@@ -77,4 +77,48 @@ def test_report(spark):
     assert "| rules | 0.50 (–) |" in out and "3/6 · 3/17 · 12" in out
     frames = [spark.createDataFrame(x) for x in ([{"method": "rules", "question": "goal", "f1": 0.5}], [{"method": "rules", "question": "goal", "caught": 3}])]
     assert json.loads(sinks.results_json(*frames).first()["json"])["event"]["goal"]["caught"] == 3
-    assert F.lit(1) is not None
+    w[0]["positives"] = 7
+    more = sinks.report(w, e, ["goal"], [{"method": "rules", "n": 9, "accuracy": 0.5, "mae": 0.25}], [{"method": "rules", "question": "pooled", "ece": 0.125}], [{"name": "stream", "n": 3, "p50": 1.0, "p90": 2.0}])
+    assert "Gold positives: goal 7" in more and "| rules | 9 | 0.50 | 0.25 |" in more and "| rules | – | 0.125 |" in more and "| stream | 3 | 1.0 | 2.0 |" in more
+
+
+def test_labels_and_predictions_by_folder(spark, tmp_path):
+    for split, wid, y in (("train", "a", 1), ("val", "b", None), ("test", "c", 0)):
+        (tmp_path / "labels" / f"split={split}").mkdir(parents=True)
+        (tmp_path / "labels" / f"split={split}" / "x.jsonl").write_text(json.dumps({"wid": wid, "match": "m", "labels": {"goal": y, "intensity": 2}}) + "\n")
+    got = readers.labels_of(spark, str(tmp_path / "labels"), ["train", "val", "none"])
+    assert {(r["wid"], r["split"], r["label"]) for r in got.where("question = 'goal'").collect()} == {("a", "train", 1), ("b", "val", None)} and got.count() == 10
+    (tmp_path / "pred" / "tag=ft").mkdir(parents=True)
+    (tmp_path / "pred" / "tag=ft" / "x.jsonl").write_text(json.dumps({"wid": "a", "answers": {"goal": {"noul": 0.7}}}) + "\n")
+    assert readers.predictions_of(spark, str(tmp_path / "pred"), "ft").first()["answers"]["goal"]["noul"] == 0.7
+    assert readers.predictions_of(spark, str(tmp_path / "pred"), "other").count() == 0
+
+
+def test_windows_of_splits_and_questions(spark):
+    w = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], "wid string, match string")
+    m = readers.registry(spark, [{"id": "a", "split": "train"}, {"id": "b", "split": "val"}, {"id": "c", "split": "test"}])
+    assert [r["wid"] for r in readers.windows_for(w, m, ["train", "val"]).orderBy("wid").collect()] == ["1", "2"]
+    assert [r["wid"] for r in readers.windows_for(w, m, ["train", "val"], "b").collect()] == ["2"]
+    texts = {lang: {q: ("ask", "if") for q in ("goal", "big_chance", "controversy", "card", "intensity")} for lang in ("en", "pt")}
+    assert readers.question_dim(spark, texts, "pt").count() == 5
+    with pytest.raises(ValueError):
+        readers.question_dim(spark, {"en": {"goal": ("ask", "if")}})
+
+
+def test_dataset_packs_and_align(spark, tmp_path):
+    frame = spark.createDataFrame
+    sinks.write_dataset(frame([("a", "train", 1)], "wid string, split string, goal int"), frame([("m", "k")], "match string, kind string"), frame([("train", 1)], "split string, n int"), frame([("a", "t"), ("b", "u")], "wid string, text string"), str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d/labels")).count() == 1 and spark.read.json(str(tmp_path / "d/cases")).count() == 2
+    sinks.write_packs(frame([("m", "B0001", 0, 3.0, " one two"), ("m", "B0001", 1, 65.0, " three"), ("m", "B0002", 0, 70.0, " four")], "match string, block string, line int, line_start double, text string"), str(tmp_path / "p"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "p/match=m")).collect()] == ["## B0001", "[00:03] one two", "[01:05] three", "## B0002", "[01:10] four"]
+    got = sinks.align_json(frame([("m", 2, 5.0), ("m", 1, 3.0)], "match string, period int, offset double")).first()["json"]
+    assert json.loads(got) == {"1": {"offset": 3.0}, "2": {"offset": 5.0}}
+
+
+def test_a_save_that_died_between_its_renames(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame(list(x), "idx int, v string, ts int")
+    sinks.save_upsert(spark, rows((1, "a", 1)), path, ["idx"])
+    (tmp_path / "t").rename(tmp_path / "t.old-x")
+    sinks.save_upsert(spark, rows((2, "b", 1)), path, ["idx"])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a", 1), (2, "b", 1)]

@@ -1,7 +1,9 @@
 import random
 
+import json
+
 from tidemark.operators import triggers
-from tidemark.streaming import replay
+from tidemark.streaming import replay, scoring
 
 
 def test_stream_gives_the_batch_triggers(spark):
@@ -14,3 +16,16 @@ def test_stream_gives_the_batch_triggers(spark):
         pos = df.where(df[q] >= th).select("match", "start", "end", df[q].alias("prob"))
         want += [(x["match"], q, x["start"], x["end"], x["prob"]) for x in triggers.merge_capped(pos, ["match"]).collect()]
     assert got == sorted(want)
+
+
+def test_scorers_agree_and_latencies_reach_the_timeline(spark):
+    rows = [("a", f"a:{i}", i * 5.0, i * 5.0 + 20, "Goal goal" if i in (3, 4) else None if i == 7 else "quiet") for i in range(20)]
+    w = spark.createDataFrame(rows, "match string, wid string, start double, end double, text string")
+    rules = {"goal": r"\bgoal\b"}
+    scored = scoring.score(w, lambda: scoring.KeywordScorer(rules, {"goal": 2}), ["goal"])
+    plain = scoring.keyword_scores(w, rules, {"goal": 2})
+    assert sorted(map(str, scored.select(*w.columns, "goal").collect())) == sorted(map(str, plain.select(*w.columns, "goal").collect()))
+    found = replay.run(scored.drop("text"), ["goal"], {"goal": 0.5})
+    got = json.loads(replay.timeline(scored, found, {"goal": 0.5}, "goal").first()["json"])
+    assert [(h["start"], h["end"], h["peak_wid"]) for h in got["highlights"]] == [(15.0, 40.0, "a:3")] and got["highlights"][0]["first_latency_ms"] > 0
+    assert got["thresholds"] == {"goal": 0.5} and len(got["trace"]) == 20 and got["latency_ms"]["n"] == 20 and got["latency_ms"]["p90"] > 0

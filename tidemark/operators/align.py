@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import BREAK_BEFORE, CUES, RADIUS_FIRST, RADIUS_LATER, SHOOTOUT
+from tidemark.sources.shared import written
 
 KINDS = {"goal": "goal", "own_goal": "goal", "corner": "corner", "shot": "shot", "period_start": "period_start", "period_end": "period_end"}
 
@@ -124,21 +125,21 @@ def kickoff_hint(registry: DataFrame, metadata: DataFrame) -> DataFrame:
     return met.select("match", F.coalesce(live, F.lit(0)).cast("double").alias("hint"))
 
 
-def align(anchors: DataFrame, hits: DataFrame, cues: DataFrame, ends: DataFrame, hints: DataFrame) -> DataFrame:
+def align(anchors: DataFrame, hits: DataFrame, cues: DataFrame, ends: DataFrame, hints: DataFrame, radius_first: float = RADIUS_FIRST, radius_later: float = RADIUS_LATER) -> DataFrame:
     """(match, period, offset, audio_start, audio_end, length_s, search_center) of all matches. ends: match, period, t of the
     period's end; hints: match, hint. A period is sought a break after the one before it ended, so periods are fitted in turn,
     each for all matches together; the shootout isn't."""
     periods = sorted(r["period"] for r in ends.where(f"period <> {SHOOTOUT}").select("period").distinct().collect())  # four at most
-    done, ended = None, hints.select("match", F.col("hint").alias("_c"), F.lit(RADIUS_FIRST).alias("_r"))
-    ended = ends.select("match").distinct().join(ended, "match", "left").select("match", F.coalesce("_c", F.lit(0.0)).alias("_c"), F.coalesce("_r", F.lit(RADIUS_FIRST)).alias("_r"), F.lit(None).cast("double").alias("_end"))
+    done, ended = None, hints.select("match", F.col("hint").alias("_c"), F.lit(radius_first).alias("_r"))
+    ended = ends.select("match").distinct().join(ended, "match", "left").select("match", F.coalesce("_c", F.lit(0.0)).alias("_c"), F.coalesce("_r", F.lit(radius_first)).alias("_r"), F.lit(None).cast("double").alias("_end"))
     for p in periods:
         here = ends.where(F.col("period") == p).select("match", "period", F.col("t").alias("length_s"))
         center = F.when(F.col("_end").isNotNull(), F.col("_end") + BREAK_BEFORE.get(p, 300.0)).otherwise(F.col("_c"))
-        radius = F.when(F.col("_end").isNotNull(), F.lit(RADIUS_LATER)).otherwise(F.col("_r"))
+        radius = F.when(F.col("_end").isNotNull(), F.lit(radius_later)).otherwise(F.col("_r"))
         search = here.join(ended, "match").select("match", "period", "length_s", center.alias("center"), radius.alias("radius"))
         found = fit_offset(anchors.where(F.col("period") == p), hits, cues, search.select("match", "period", "center", "radius"))
         row = search.join(found, ["match", "period"]).select("match", "period", "offset", F.col("offset").alias("audio_start"), (F.col("offset") + F.col("length_s")).alias("audio_end"), "length_s", F.col("center").alias("search_center"))
-        row = row.persist()  # a row a match, used by every later period
+        row = written(row, "align")  # a row a match, used by every later period
         done = row if done is None else done.unionByName(row)
         ended = ended.join(row.select("match", F.col("audio_end").alias("_new")), "match", "left").select("match", "_c", "_r", F.coalesce("_new", "_end").alias("_end"))
     return done

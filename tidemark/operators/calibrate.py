@@ -115,3 +115,19 @@ def tune_cuts(df: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "b.lo", "b.hi", (-F.col("b.r") / F.col("b.all")).alias("accuracy"))
 
 
+def saved_pairs(predictions: DataFrame, labels: DataFrame, questions=QUESTIONS) -> DataFrame:
+    """(question, wid, prob, label) of saved predictions (wid, answers) and labels (wid, a column a question) of the same windows, null
+    labels left out."""
+    each = predictions.select("wid", F.explode("answers").alias("question", "a")).select("wid", "question", F.col("a.noul").alias("prob"))
+    have = [q for q in questions if q in labels.columns]
+    long_ = labels.select("wid", F.explode(F.array(*[F.struct(F.lit(q).alias("question"), F.col(q).cast("int").alias("label")) for q in have])).alias("x")).select("wid", "x.*")
+    return each.join(long_.where("label is not null"), ["wid", "question"]).select("question", "wid", "prob", "label")
+
+
+def fit_val(pairs: DataFrame, platt: bool = True) -> DataFrame:
+    """(question, a, b, threshold, f1) from pairs (question, prob, label) of the validation split: the Platt fit (1, 0 without one), and
+    the best threshold of the calibrated probabilities. A row a question, as model_scores takes them."""
+    fits = fit_platt(pairs, "question") if platt else {}
+    best = best_threshold(with_platt(pairs, "question", fits), ["question"])
+    at = lambda i, other: F.create_map(*[v for k, ab in fits.items() for v in (F.lit(k), F.lit(ab[i]))])[F.col("question")] if fits else F.lit(other)
+    return best.select("question", at(0, 1.0).alias("a"), at(1, 0.0).alias("b"), "threshold", "f1")

@@ -52,3 +52,18 @@ def event_metrics(scores: DataFrame, windows: DataFrame, truth: DataFrame, ignor
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     out = sums.join(minutes, ["method", "question"], "left")
     return out.select("method", "question", "events", "caught", "triggers", "true_triggers", share("caught", "events").alias("recall"), share("true_triggers", "triggers").alias("precision"), F.coalesce("minutes", F.lit(0.0)).alias("minutes"))
+
+
+def keyword_sweep(counts: DataFrame, windows: DataFrame, truth: DataFrame, ignored: DataFrame, thresholds: list[int], cfg: TriggerConfig = TriggerConfig()) -> DataFrame:
+    """event_metrics of rule hits (wid, question, count) at each of several thresholds, as th in place of method."""
+    each = counts.withColumn("th", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    scores = each.select(F.col("th").cast("string").alias("method"), "wid", "question", F.least(F.lit(1.0), F.col("count") / F.col("th")).alias("score"), (F.col("count") >= F.col("th")).cast("int").alias("pred"))
+    return event_metrics(scores, windows, truth, ignored, cfg).select(F.col("method").cast("int").alias("th"), "*").drop("method")
+
+
+def with_all_labels(scores: DataFrame, labels: DataFrame, key: str = "wid") -> DataFrame:
+    """scores joined with labels; a score whose window has no label row is an error, found by counting before anything is measured."""
+    lost = scores.join(labels.select(key).distinct(), key, "left_anti").limit(1).count()
+    if lost:
+        raise KeyError(f"scores of a {key} without a label row")
+    return scores.join(labels, key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SHOOTOUT
@@ -11,7 +11,7 @@ from tidemark.functions.scalar import parse_hms
 BIG_XG = 0.3
 WOODWORK = ("Post", "Saved to Post")
 RAW = (
-    "match string, id string, type struct<name:string>, period int, timestamp string, minute int, second int, team struct<name:string>, player struct<name:string>, "
+    "match string, index int, id string, type struct<name:string>, period int, timestamp string, minute int, second int, team struct<name:string>, player struct<name:string>, "
     "shot struct<statsbomb_xg:double,outcome:struct<name:string>,type:struct<name:string>>, foul_committed struct<penalty:boolean,card:struct<name:string>>, "
     "bad_behaviour struct<card:struct<name:string>>, pass struct<type:struct<name:string>>"
 )
@@ -25,7 +25,7 @@ def big_chance(xg: Column, outcome: Column, least: float = BIG_XG) -> Column:
 def normalize(raw: DataFrame) -> DataFrame:
     """match, seq, type, period, t, minute, second, team, player, sb_id, xg, outcome, shot_type, shootout, card, via of raw events
     (columns of RAW). One raw event gives none to two events; each period that started gets one start and one end. seq is the
-    order by period and time, nulls last."""
+    order of a match by period and time, nulls last, and then by index, the place in the raw list (null if there is none)."""
     name, p = F.col("type.name"), F.col("period")
     none = lambda t: F.lit(None).cast(t)
 
@@ -47,12 +47,16 @@ def normalize(raw: DataFrame) -> DataFrame:
         kind("offside", name == "Offside"),
     )
     base = ["match", "period", F.round(parse_hms(F.col("timestamp")), 3).alias("t"), "minute", "second", F.col("team.name").alias("team"), F.col("player.name").alias("player"), F.col("id").alias("sb_id")]
-    used = raw.select(*base, F.explode(F.array_compact(kinds)).alias("k")).select("match", "period", "t", "minute", "second", "team", "player", "sb_id", "k.*")
+    place = F.col("index") if "index" in raw.columns else none("int").alias("index")
+    used = raw.select(*base, place, F.posexplode(F.array_compact(kinds)).alias("_k", "k")).select("match", "period", "t", "minute", "second", "team", "player", "sb_id", "index", "_k", "k.*")
     ends = raw.where(name.isin("Half Start", "Half End")).groupBy("match", "period").agg(
         F.min(F.when(name == "Half Start", parse_hms(F.col("timestamp")))).alias("s"), F.max(F.when(name == "Half End", parse_hms(F.col("timestamp")))).alias("e")
     )
     ends = ends.where("s is not null").select("match", "period", F.explode(F.array(F.struct(F.lit("period_start").alias("type"), F.col("s").alias("t")), F.struct(F.lit("period_end").alias("type"), F.col("e").alias("t")))).alias("x"))
-    return used.unionByName(ends.select("match", "period", "x.type", "x.t"), allowMissingColumns=True)
+    every = used.unionByName(ends.select("match", "period", "x.type", "x.t"), allowMissingColumns=True)
+    # of one time, events come as they were listed (by id, where nothing numbers them), and a period's ends after them
+    listed = Window.partitionBy("match").orderBy("period", F.asc_nulls_last("t"), F.asc_nulls_last("index"), F.asc_nulls_last("sb_id"), F.asc_nulls_last("_k"), "type")
+    return every.select("match", F.row_number().over(listed).alias("seq"), *[c for c in every.columns if c not in ("match", "index", "_k")])
 
 
 def summarize(events: DataFrame) -> DataFrame:

@@ -13,9 +13,18 @@ def _cells(start: Column, end: Column, cell: float) -> Column:
     return F.sequence(F.floor(start / cell).cast("long"), F.floor(end / cell).cast("long"))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], reach: float = 0.0, cell: float = 300.0) -> DataFrame:
+def cell_for(left: DataFrame, right: DataFrame, reach: float = 0.0) -> float:
+    """A time cell twice as long as the intervals of either side are on average, reach included; so each side has one and a half rows an
+    interval, whatever their lengths and outliers."""
+    mean = lambda df, more: (df.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 0.0) + more
+    return max(1e-3, 2 * max(mean(left, 2 * reach), mean(right, 0.0)))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], reach: float = 0.0, cell: float | None = None) -> DataFrame:
     """Rows of left with rows of right (their start and end as r_start and r_end, other columns kept) that lie less than
-    `reach` apart, touch or overlap. Both have start and end; pairs come once: in the first cell that both are in."""
+    `reach` apart, touch or overlap. Both have start and end; pairs come once: in the first cell that both are in. Without a
+    cell its length is measured (cell_for)."""
+    cell = cell or cell_for(left, right, reach)
     a = left.withColumn("_cell", F.explode(_cells(F.col("start") - reach, F.col("end") + reach, cell)))
     b = right.withColumnRenamed("start", "r_start").withColumnRenamed("end", "r_end").withColumn("_cell", F.explode(_cells(F.col("r_start"), F.col("r_end"), cell)))
     met = a.join(b, [*keys, "_cell"])
@@ -24,41 +33,56 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], reach: float
     return met.where(close & (F.col("_cell") == first)).drop("_cell")
 
 
-def project(windows: DataFrame, spans: DataFrame, questions: DataFrame, min_overlap: float = 3.0, ignore_near: float = 10.0) -> DataFrame:
+def _shared() -> Column:
+    return overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
+
+
+def project(windows: DataFrame, spans: DataFrame, questions: DataFrame, min_overlap: float = 3.0, ignore_near: float = 10.0, ignored: DataFrame | None = None, cell: float | None = None) -> DataFrame:
     """(match, wid, question, label) of every window and question: 1 if it overlaps a span by min_overlap or more, null if by
-    less or if a span is nearer than ignore_near, else 0. A touch is an overlap of 0 and a gap of 0."""
+    less or if a span is nearer than ignore_near, else 0. A touch is an overlap of 0 and a gap of 0. With ignored spans, a 0
+    becomes null where the window overlaps one; both kinds of span meet the windows in one pass."""
     w = windows.select("match", "wid", "start", "end")
-    pairs = near_pairs(w, spans.select("match", "question", "start", "end"), ["match"], ignore_near)
+    all_ = spans.select("match", "question", "start", "end", F.lit(True).alias("_p"))
+    if ignored is not None:
+        all_ = all_.unionByName(ignored.select("match", "question", "start", "end", F.lit(False).alias("_p")))
+    pairs = near_pairs(w, all_, ["match"], ignore_near, cell)
     best = pairs.groupBy("match", "wid", "question").agg(
-        F.max(overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).alias("ov"),
-        F.min(gap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).alias("gp"),
+        F.max(F.when(F.col("_p"), _shared())).alias("ov"),
+        F.min(F.when(F.col("_p"), gap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")))).alias("gp"),
+        F.bool_or(~F.col("_p") & (_shared() > 0)).alias("ig"),
     )
     every = w.select("match", "wid").crossJoin(F.broadcast(questions))  # a handful of questions
     met = every.join(best, ["match", "wid", "question"], "left")
     near = (F.col("ov") > 0) | (F.col("gp") < ignore_near)
-    return met.select("match", "wid", "question", F.when(F.col("ov") >= min_overlap, 1).when(near, None).otherwise(0).alias("label"))
+    return met.select("match", "wid", "question", F.when(F.col("ov") >= min_overlap, 1).when(near | F.col("ig"), None).otherwise(0).alias("label"))
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], anti: bool = False) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], anti: bool = False, cell: float | None = None) -> DataFrame:
     """Rows of left (with id) that overlap some row of right by more than nothing, or with anti those that don't."""
-    pairs = near_pairs(left, right.select(*keys, "start", "end"), keys)
-    hit = pairs.where(overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")) > 0).select("id").distinct()
+    pairs = near_pairs(left, right.select(*keys, "start", "end"), keys, cell=cell)
+    hit = pairs.where(_shared() > 0).select("id").distinct()
     return left.join(hit, "id", "left_anti" if anti else "left_semi")
 
 
-def block_level(windows: DataFrame, blocks: DataFrame, least: float = 5.0) -> DataFrame:
-    """(match, wid, level, uncertain) of the block with the highest level among those that overlap by `least` or more; the
-    first of equals. blocks: match, block, start, end, level, uncertain. Windows without one aren't in the result."""
-    pairs = near_pairs(windows.select("match", "wid", "start", "end"), blocks, ["match"])
-    pairs = pairs.where(overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")) >= least)
-    best = pairs.groupBy("match", "wid").agg(F.min(F.struct((-F.col("level")).alias("l"), "block", "uncertain")).alias("b"))
-    return best.select("match", "wid", (-F.col("b.l")).alias("level"), "b.uncertain")
+def block_facts(windows: DataFrame, blocks: DataFrame, least: float = 5.0, cell: float | None = None) -> DataFrame:
+    """(match, wid, top, covered) of windows that touch a block: top is (level, block, uncertain) of the block with the highest level
+    among those that overlap by `least` or more, the first of equals, null without one; covered is how much of the window lies in
+    blocks (overlaps of blocks count twice). blocks: match, block, start, end, level, uncertain; a null level doesn't compete."""
+    pairs = near_pairs(windows.select("match", "wid", "start", "end"), blocks, ["match"], cell=cell)
+    here = F.when((_shared() >= least) & F.col("level").isNotNull(), F.struct((-F.col("level")).alias("l"), "block", "uncertain"))
+    return pairs.groupBy("match", "wid").agg(F.min(here).alias("top"), F.sum(_shared()).alias("covered"))
+
+
+def block_level(windows: DataFrame, blocks: DataFrame, least: float = 5.0, cell: float | None = None) -> DataFrame:
+    """(match, wid, level, uncertain) of the top block of block_facts. Windows without one aren't in the result."""
+    met = block_facts(windows, blocks, least, cell).where("top is not null")
+    return met.select("match", "wid", (-F.col("top.l")).alias("level"), "top.uncertain")
 
 
-def coverage(windows: DataFrame, blocks: DataFrame) -> DataFrame:
+def coverage(windows: DataFrame, blocks: DataFrame, cell: float | None = None) -> DataFrame:
     """windows with covered: how much of each lies in blocks (overlaps of blocks count twice)."""
-    pairs = near_pairs(windows.select("match", "wid", "start", "end"), blocks.select("match", "start", "end"), ["match"])
-    inside = pairs.groupBy("match", "wid").agg(F.sum(overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).alias("covered"))
+    pairs = near_pairs(windows.select("match", "wid", "start", "end"), blocks.select("match", "start", "end"), ["match"], cell=cell)
+    inside = pairs.groupBy("match", "wid").agg(F.sum(_shared()).alias("covered"))
     return windows.join(inside, ["match", "wid"], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
 
 

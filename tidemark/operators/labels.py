@@ -53,7 +53,8 @@ def merge_spans(event: DataFrame, teacher: DataFrame) -> tuple[DataFrame, DataFr
     of = lambda df, *q: df.where(F.col("question").isin(*q))
     cols = ["match", "question", "start", "end"]
     take = lambda df, q=None: df.select("match", (F.lit(q) if q else F.col("question")).alias("question"), "start", "end")
-    met = lambda a, b, anti=False, keys=("match",): intervals.overlapping(a, b, list(keys), anti)
+    cell = intervals.cell_for(event, teacher)
+    met = lambda a, b, anti=False, keys=("match",): intervals.overlapping(a, b, list(keys), anti, cell)
     log = lambda df, kind: df.select("match", (kind if not isinstance(kind, str) else F.lit(kind)).alias("kind"), F.when(F.col("question") == "card_search", "card").otherwise(F.col("question")).alias("question"), "start", "end", "note")
 
     regions, cards = of(e, "card_search"), of(t, "card")
@@ -83,17 +84,19 @@ def ignore_overlay(labels: DataFrame, windows: DataFrame, ignored: DataFrame) ->
 
 def merge_labels(windows: DataFrame, event: DataFrame, teacher: DataFrame, blocks: DataFrame, levels: DataFrame, cfg: LabelConfig = LabelConfig()) -> tuple[DataFrame, DataFrame]:
     """(labels, disagreements): labels is windows' match, wid with a column for each question and intensity. blocks: match, block,
-    start, end; levels: match, block, level, uncertain. Where blocks don't cover a window, what depends on the teacher can't be
+    start, end; levels: match, block, level, uncertain, one row a block at most. Where blocks don't cover a window, what depends on the teacher can't be
     negative there, so anything but 1 becomes null."""
     spark = windows.sparkSession
     positive, ignored, log = merge_spans(event, teacher)
     asked = spark.createDataFrame([(q,) for q in QUESTIONS], "question string")
-    long_ = ignore_overlay(intervals.project(windows, positive, asked, cfg.min_overlap, cfg.ignore_near), windows, ignored)
+    w = windows.select("match", "wid", "start", "end")
+    cell = intervals.cell_for(w, blocks, cfg.ignore_near)
+    long_ = intervals.project(w, positive, asked, cfg.min_overlap, cfg.ignore_near, ignored, cell)
     wide = long_.groupBy("match", "wid").agg(*[F.max(F.when(F.col("question") == q, F.col("label"))).alias(q) for q in QUESTIONS])
-    known = blocks.join(levels, ["match", "block"])
-    best = intervals.block_level(windows, known, cfg.block_overlap).select("match", "wid", F.when(~F.col("uncertain"), F.col("level")).alias("intensity"))
-    covered = intervals.coverage(windows.select("match", "wid", "start", "end"), blocks).select("match", "wid", (F.col("covered") < F.col("end") - F.col("start") - 1e-6).alias("_open"))
-    out = wide.join(best, ["match", "wid"], "left").join(covered, ["match", "wid"])
+    facts = intervals.block_facts(w, blocks.join(levels, ["match", "block"], "left"), cfg.block_overlap, cell)
+    open_ = F.coalesce("covered", F.lit(0.0)) < F.col("end") - F.col("start") - 1e-6
+    known = w.join(facts, ["match", "wid"], "left").select("match", "wid", F.when(~F.col("top.uncertain"), -F.col("top.l")).alias("intensity"), open_.alias("_open"))
+    out = wide.join(known, ["match", "wid"])
     for q in ("big_chance", "controversy", "card", "intensity"):
         out = out.withColumn(q, F.when(F.col("_open") & (F.coalesce(F.col(q), F.lit(-1)) != 1), None).otherwise(F.col(q)))
     missing = blocks.join(levels.select("match", "block").distinct(), ["match", "block"], "left_anti").groupBy("match").agg(F.count("*").alias("n"))
@@ -123,11 +126,11 @@ def class_balance(labels: DataFrame, keys: list[str], questions=QUESTIONS) -> Da
     return long_.groupBy(*keys, "question", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def truth_events(events: DataFrame, periods: DataFrame, review: DataFrame) -> tuple[DataFrame, DataFrame]:
+def truth_events(events: DataFrame, periods: DataFrame, review: DataFrame, gap: float = 30.0) -> tuple[DataFrame, DataFrame]:
     """(truth, ignored) of (match, question, t): goals and cards from events, the other two from reviewed moments (match, question,
     t, verdict, unsure), each moment once; moments the reviewer wasn't sure of are ignored."""
     at = audio_time(events.where(F.col("period") != SHOOTOUT), periods)
     own = at.where(F.col("type").isin("goal", "own_goal", "card")).select("match", F.when(F.col("type") == "card", "card").otherwise("goal").alias("question"), F.col("at").alias("t"))
     unsure = F.coalesce(F.col("unsure"), F.lit(False))
-    yes = dedupe_moments(review.where(~unsure & (F.col("verdict") == "yes")).select("match", "question", "t"), ["match", "question"])
+    yes = dedupe_moments(review.where(~unsure & (F.col("verdict") == "yes")).select("match", "question", "t"), ["match", "question"], gap)
     return own.unionByName(yes.select("match", "question", "t")), review.where(unsure).select("match", "question", "t")

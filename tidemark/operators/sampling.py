@@ -3,6 +3,8 @@ and needs no order; only how many rows are drawn, and how far apart, can be comp
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ def min_gap_sample(windows: DataFrame, targets: dict[str, int] = TARGETS, min_ga
     live = windows.where("n_words > 0").select("match", "wid", "start", "stratum", uniform("match", "wid", seed=seed).alias("drawn"), uniform("match", "wid", seed=seed + 1).alias("shown"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[float] = []
+        taken: list[float] = []  # in order, so only the two neighbours of a start need looking at
         out = []
         for name, target in targets.items():
             pool = pdf[pdf["stratum"] == name].sort_values(["drawn", "wid"])
@@ -46,9 +48,10 @@ def min_gap_sample(windows: DataFrame, targets: dict[str, int] = TARGETS, min_ga
             for row in pool.itertuples():
                 if len(rows) >= target:
                     break
-                if all(abs(row.start - t) >= min_gap for t in taken):
+                at = bisect.bisect_left(taken, row.start)
+                if all(abs(row.start - t) >= min_gap for t in taken[max(0, at - 1) : at + 1]):
                     rows.append(row)
-                    taken.append(row.start)
+                    taken.insert(at, row.start)
             weight = round(len(pool) / max(1, len(rows)), 3)
             out += [(r.match, r.wid, r.start, name, weight, len(pool), r.shown) for r in rows]
         got = pd.DataFrame(out, columns=["match", "wid", "start", "stratum", "weight", "stratum_size", "shown"]).sort_values(["shown", "wid"])
@@ -83,7 +86,7 @@ def upsample(long_: DataFrame, min_pos: int = 300) -> DataFrame:
 
 def training_cases(long_: DataFrame, texts: DataFrame, rebalance: bool = True, ratio: float = 10.0, min_pos: int = 300, seed: int = 0) -> DataFrame:
     """(wid, text, gold): gold is a map from question to label; one case a window, and with rebalance negatives capped, positives
-    upsampled as single-question cases, and all in the order of a hash."""
+    upsampled as single-question cases. shuffled() puts them in the order of a hash."""
     kept = cap_negatives(long_.where(F.col("question") != "intensity"), ratio, seed) if rebalance else long_.where("label is not null and question <> 'intensity'")
     kept = kept.select("wid", "question", "label").unionByName(long_.where("question = 'intensity' and label is not null").select("wid", "question", "label"))
     cases = kept.groupBy("wid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("question", "label")))).alias("gold")).join(texts.select("wid", "text"), "wid")
@@ -91,4 +94,9 @@ def training_cases(long_: DataFrame, texts: DataFrame, rebalance: bool = True, r
         return cases.select("wid", "text", "gold")
     copies = upsample(long_.where("question <> 'intensity'"), min_pos).join(texts.select(F.col("wid").alias("source_wid"), "text"), "source_wid")
     more = copies.select("wid", "text", F.create_map("question", F.lit(1)).alias("gold"))
-    return cases.select("wid", "text", "gold").unionByName(more).orderBy(uniform("wid", seed=seed), "wid")
+    return cases.select("wid", "text", "gold").unionByName(more)
+
+
+def shuffled(df: DataFrame, *by: str, seed: int = 0) -> DataFrame:
+    """df in the order of a hash, the same on every run: for a sink, as a later shuffle loses it."""
+    return df.orderBy(uniform(*by, seed=seed), *by)

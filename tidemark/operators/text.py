@@ -59,16 +59,20 @@ MAX_REPEATS = 4
 
 
 def _cut(words: list[str]) -> list[int]:
-    """Places that survive: of an n-gram (n = 1 to 3) said more than MAX_REPEATS times in a row, later sayings go as they come."""
-    kept: list[tuple[int, str]] = []
-    for at, word in enumerate(words):
-        kept.append((at, word))
-        for n in (1, 2, 3):
-            tail = [w for _, w in kept[-n * (MAX_REPEATS + 1) :]]
-            if len(tail) == n * (MAX_REPEATS + 1) and any(tail[-n:]) and tail == tail[-n:] * (MAX_REPEATS + 1):
-                del kept[-n:]
-                break
-    return [at for at, _ in kept]
+    """Places that survive: of an n-gram (n = 1 to 3) said more than MAX_REPEATS times in a row, later sayings go as they come.
+
+    For each n a count is kept beside every survivor: how many words in a row, up to it, equal the word n places before. A text
+    that ends with n * MAX_REPEATS such words ends with one n-gram said once more than it may be."""
+    at: list[int] = []
+    runs: list[tuple[int, ...]] = []
+    for place, word in enumerate(words):
+        here = tuple((runs[-1][n - 1] + 1) if len(at) >= n and words[at[-n]] == word else 0 for n in (1, 2, 3))
+        at.append(place)
+        runs.append(here)
+        over = next((n for n in (1, 2, 3) if here[n - 1] >= n * MAX_REPEATS and any(words[k] for k in at[-n:])), 0)
+        if over:
+            del at[-over:], runs[-over:]
+    return at
 
 
 def cut_loops(words: DataFrame) -> DataFrame:
@@ -84,10 +88,15 @@ def cut_loops(words: DataFrame) -> DataFrame:
 
 def text_between(words: DataFrame, spans: DataFrame) -> DataFrame:
     """spans (match, id, start, end) with text: the words that start in [start, end), joined and trimmed."""
-    w = words.select("match", "pos", F.col("start").alias("_t"), "word")
-    met = spans.join(w, (spans["match"] == w["match"]) & (w["_t"] >= spans["start"]) & (w["_t"] < spans["end"]), "left").drop(w["match"])
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "word")))), lambda x: x["word"]), "")
-    return met.groupBy(*spans.columns).agg(F.trim(joined).alias("text"))
+    mean = spans.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 0.0
+    cell = max(1e-3, 2 * mean)  # so a span is in one and a half cells on average, and a word meets the spans of its own
+    cells = F.sequence(F.floor(F.col("start") / cell).cast("long"), F.floor(F.col("end") / cell).cast("long"))
+    w = words.select("match", F.floor(F.col("start") / cell).cast("long").alias("_cell"), "pos", F.col("start").alias("_t"), "word")
+    met = spans.where(F.col("end") >= F.col("start")).select("match", "id", "start", "end", F.explode(cells).alias("_cell")).join(w, ["match", "_cell"])
+    said = met.where((F.col("_t") >= F.col("start")) & (F.col("_t") < F.col("end"))).groupBy("match", "id", "start", "end").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_w"))
+    out = spans.join(said, ["match", "id", "start", "end"], "left")
+    joined = F.array_join(F.transform("_w", lambda x: x["word"]), "")
+    return out.select(*spans.columns, F.trim(F.coalesce(joined, F.lit(""))).alias("text"))
 
 
 def cue_hits(words: DataFrame, cues=CUES) -> DataFrame:

@@ -58,9 +58,15 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """match (source), seq (doc_id), start, end, text, and labels of documents: windows of 20 s, 5 s apart in a source's order."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return d.select(F.col("source").alias("match"), "doc_id", (k * 5.0).alias("start"), (k * 5.0 + 20).alias("end"), "text", "quality", "toxic", "lang")
+    d = table(spark, sf_dir, "documents")
+    # ids alone are numbered, by bucket; a source's buckets begin where the counts of those before them end
+    ids = d.select("doc_id", F.coalesce("source", F.lit("")).alias("_s"), F.floor(F.col("doc_id") / 4096).alias("_b"))
+    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    first = ids.groupBy("_s", "_b").agg(F.count("*").alias("_n")).select("_s", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    numbered = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("doc_id")) - 1).join(first, ["_s", "_b"])
+    k = (F.col("_first") + F.col("_r")).alias("_k")
+    met = d.join(numbered.select("doc_id", k).join(table(spark, sf_dir, "labels"), "doc_id", "left"), "doc_id")
+    return met.select(F.col("source").alias("match"), "doc_id", (F.col("_k") * 5.0).alias("start"), (F.col("_k") * 5.0 + 20).alias("end"), "text", "quality", "toxic", "lang")
 
 
 def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import apply_platt as platt_of
+from tidemark.config import TriggerConfig
 from tidemark.operators import calibrate, evaluate, metrics, text, triggers
 from tidemark.plans import bindings as b
 from tidemark.plans import sql as s
 from tidemark.plans.streams import _FOLD, _POS, _positives
+from tidemark.sources.shared import written
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -110,13 +112,38 @@ def apply_platt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.vector_scores(spark, sf_dir).select("seq", F.round(platt_of(F.col("score"), F.lit(1.7), F.lit(-0.3)), 9).alias("prob"))
 
 
-@query()
+#: Newton's steps on counts of equal (score, label), forty of them.
+_NEWTON = """hx AS (SELECT question, ln(p / (1 - p)) AS x, CAST(label AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS n FROM (SELECT question, label, least(greatest(score, 1e-6), 1 - 1e-6) AS p FROM {t} WHERE label IS NOT NULL) GROUP BY ALL),
+nw AS (WITH RECURSIVE st AS (SELECT question, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0 AS i FROM hx GROUP BY question
+ UNION ALL SELECT question, a - (gx * oo - g * xo) / (xx * oo - xo * xo), b - (xx * g - xo * gx) / (xx * oo - xo * xo), i + 1 FROM (
+  SELECT question, a, b, i, sum(n * (s - y) * x) + 0.001::DOUBLE * a AS gx, sum(n * (s - y)) + 0.001::DOUBLE * b AS g, sum(n * s * (1 - s) * x * x) + 0.001::DOUBLE AS xx, sum(n * s * (1 - s) * x) AS xo, sum(n * s * (1 - s)) + 0.001::DOUBLE AS oo
+  FROM (SELECT st.question, a, b, i, x, y, n, 1 / (1 + exp(-least(greatest(a * x + b, -30.0), 30.0))) AS s FROM st JOIN hx ON hx.question = st.question WHERE i < 40) GROUP BY question, a, b, i)) SELECT question, a, b FROM st WHERE i = 40)"""
+
+
+@query(f"""WITH {s.VECTORS}, {_NEWTON.format(t='vs')} SELECT question, round(a, 6) AS a, round(b, 6) AS b FROM nw""")
 def fit_platt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newton's method; tests compare it with a fit of their own."""
     fits = calibrate.fit_platt(_probs(spark, sf_dir), "question")
     return spark.createDataFrame([(k, round(a, 6), round(v, 6)) for k, (a, v) in sorted(fits.items())], "question string, a double, b double")
 
 
+_VAL = """vv AS (SELECT question, score, label FROM vs WHERE seq % 7 <> 0)"""
+
+
+@query(f"""WITH {s.VECTORS}, {_VAL}, {_NEWTON.format(t='vv')}, vp AS (SELECT vv.question, 1 / (1 + exp(-least(greatest(a * ln(p / (1 - p)) + b, -30.0), 30.0))) AS prob, label FROM (SELECT *, least(greatest(score, 1e-6), 1 - 1e-6) AS p FROM vv) vv JOIN nw ON nw.question = vv.question),
+th AS (SELECT DISTINCT question, round(prob, 4) AS th FROM vp), c AS (SELECT th.question, th.th, sum(label) FILTER (prob >= th) AS tp, count(*) FILTER (prob >= th) AS pr, sum(label) AS pos FROM th JOIN vp ON vp.question = th.question GROUP BY ALL),
+f AS (SELECT question, th, CASE WHEN coalesce(pr, 0) + pos > 0 THEN 2 * coalesce(tp, 0) / (pr + pos) ELSE 0 END AS f1 FROM c)
+SELECT f.question, round(a, 6) AS a, round(b, 6) AS b, th AS threshold, round(f1, 9) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(f1, 12) DESC, th) AS k FROM f) f JOIN nw ON nw.question = f.question WHERE k = 1""")
+def fit_val(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From saved predictions and labels, null for every seventh window, to fits and thresholds."""
+    v = b.vector_scores(spark, sf_dir)
+    kinds = [F.lit(k) for k in ("0", "1", "2", "3")]
+    saved = v.select(F.col("seq").alias("wid"), F.create_map("question", F.struct(F.col("score").alias("noul"))).alias("answers"))
+    label = F.when(F.col("seq") % 7 != 0, F.col("label"))
+    gold = v.select(F.col("seq").alias("wid"), *[F.when(F.col("question") == k, label).alias(n) for k, n in zip(kinds, "0123", strict=True)])
+    pairs = calibrate.saved_pairs(saved, gold, ("0", "1", "2", "3"))
+    return _rounded(_rounded(calibrate.fit_val(pairs), ["a", "b"], 6), ["f1"])
+
+
 @query(f"""WITH {s.VECTORS}, th AS (SELECT DISTINCT question, round(score, 4) AS th FROM vs), c AS (SELECT th.question, th.th, sum(label) FILTER (score >= th) AS tp, count(*) FILTER (score >= th) AS pr, sum(label) AS pos FROM th JOIN vs ON vs.question = th.question GROUP BY ALL),
 f AS (SELECT question, th, CASE WHEN coalesce(pr, 0) + pos > 0 THEN 2 * coalesce(tp, 0) / (pr + pos) ELSE 0 END AS f1 FROM c)
 SELECT question, th AS threshold, round(f1, 9) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(f1, 12) DESC, th) AS k FROM f) WHERE k = 1""")
@@ -213,29 +240,95 @@ def ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SWEEP = """{sc}, {hits}, q AS (SELECT match, th, start, "end", least(1.0, goal / th) AS prob FROM h, (SELECT unnest([5, 20, 60]) AS th) WHERE goal >= th),
-pos AS (SELECT match || ':' || th AS match, 'goal' AS question, start, "end", prob FROM q), {fold}, tt AS (SELECT split_part(match, ':', 1) AS m, CAST(split_part(match, ':', 2) AS INT) AS th, start, "end" FROM trg)"""
+pos AS (SELECT match || ':' || th AS match, 'goal' AS question, start, "end", prob FROM q), {fold}, tt AS (SELECT split_part(match, ':', 1) AS m, CAST(split_part(match, ':', 2) AS INT) AS th, start, "end" FROM trg),
+te AS (SELECT match AS m, start + 10 AS t FROM sw WHERE toxic = 1), ti AS (SELECT match AS m, start + 10 AS t FROM sw WHERE quality = 0),
+kt AS (SELECT tt.*, EXISTS (SELECT 1 FROM te WHERE te.m = tt.m AND t BETWEEN start - 30 AND "end" + 30) AS hit, EXISTS (SELECT 1 FROM ti WHERE ti.m = tt.m AND t BETWEEN start - 30 AND "end" + 30) AS near FROM tt),
+cg AS (SELECT th, count(*) AS caught FROM (SELECT DISTINCT th, te.m, t FROM te JOIN tt ON tt.m = te.m AND t BETWEEN start - 30 AND "end" + 30) GROUP BY th)"""
 
 
-@query(f"""WITH {_SWEEP.format(sc=s.SCORED, hits=s.HITS, fold=_FOLD.format(pos='q0 AS (SELECT 1)', gap=30, cap=120))} SELECT th, count(*) AS triggers, round(sum("end" - start) / 60, 4) AS minutes FROM tt GROUP BY th""")
+@query(f"""WITH {_SWEEP.format(sc=s.SCORED, hits=s.HITS, fold=_FOLD.format(pos='q0 AS (SELECT 1)', gap=30, cap=120))}
+SELECT kt.th, (SELECT count(*) FROM te) AS events, coalesce(any_value(caught), 0) AS caught, count(*) FILTER (hit OR NOT near) AS triggers, count(*) FILTER (hit) AS true_triggers, round(sum("end" - start) / 60, 4) AS minutes FROM kt LEFT JOIN cg ON cg.th = kt.th GROUP BY kt.th""")
 def keyword_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triggers and minutes of one rule at several thresholds, from one count of hits."""
-    h = text.rule_hits(b.scored_windows(spark, sf_dir).select("match", "start", "end", "text"), rules={"goal": b.RULES["goal"]})
-    each = h.withColumn("th", F.explode(F.array(F.lit(5), F.lit(20), F.lit(60)))).where("goal >= th").withColumn("prob", F.least(F.lit(1.0), F.col("goal") / F.col("th")))
-    t = triggers.merge_capped(each, ["match", "th"])
-    return t.groupBy("th").agg(F.count("*").alias("triggers"), F.round(F.sum(F.col("end") - F.col("start")) / 60, 4).alias("minutes"))
+    """One rule at several thresholds, at the level of events, from one count of hits: toxic documents are the events."""
+    w = b.scored_windows(spark, sf_dir)
+    h = text.rule_hits(w.select("match", "doc_id", "start", "end", "text"), rules={"goal": b.RULES["goal"]})
+    counts = h.select(F.col("doc_id").alias("wid"), F.lit("goal").alias("question"), F.col("goal").alias("count"))
+    at = lambda c: w.where(c).select("match", F.lit("goal").alias("question"), (F.col("start") + 10).alias("t"))
+    windows = h.select(F.col("doc_id").alias("wid"), "match", "start", "end")
+    out = evaluate.keyword_sweep(counts, windows, at("toxic = 1"), at("quality = 0"), [5, 20, 60], TriggerConfig(tolerance={"goal": (-30.0, 30.0)}))
+    return out.select("th", "events", "caught", "triggers", "true_triggers", F.round("minutes", 4).alias("minutes"))
+
+
+_DAYS = TriggerConfig(gap=3600.0, max_len=43200.0, tolerance={"goal": (-1800.0, 1800.0), "card": (-600.0, 7200.0)})
+_EM = f"""{s.EVENTS}, {s.DAY_WINDOWS}, sc AS (SELECT m AS method, q AS question, w.match, start, "end", ((w.match * 31 + CAST(split_part(wid, ':', 2) AS BIGINT) * 17 + len(q) * 5 + len(m) * 3) % 100) / 100.0::DOUBLE AS score FROM w, (VALUES ('one'), ('other')) a(m), (VALUES ('goal'), ('card')) c(q)),
+pos AS (SELECT match || '|' || method AS match, question, start, "end", score AS prob FROM sc WHERE score >= 0.8), {_FOLD.format(pos='q0 AS (SELECT 1)', gap=3600, cap=43200)},
+tt AS (SELECT CAST(split_part(match, '|', 1) AS BIGINT) AS m, split_part(match, '|', 2) AS method, question, start, "end" FROM trg),
+te AS (SELECT DISTINCT match AS m, type AS question, t FROM ev WHERE type IN ('goal', 'card')), ti AS (SELECT DISTINCT match AS m, CASE type WHEN 'corner' THEN 'card' ELSE 'goal' END AS question, t FROM ev WHERE type IN ('corner', 'substitution')),
+tl AS (SELECT *, CASE question WHEN 'goal' THEN -1800 ELSE -600 END AS lo, CASE question WHEN 'goal' THEN 1800 ELSE 7200 END AS hi FROM tt),
+kt AS (SELECT tl.*, EXISTS (SELECT 1 FROM te WHERE te.m = tl.m AND te.question = tl.question AND t BETWEEN start + lo AND "end" + hi) AS good, EXISTS (SELECT 1 FROM ti WHERE ti.m = tl.m AND ti.question = tl.question AND t BETWEEN start + lo AND "end" + hi) AS bad,
+ EXISTS (SELECT 1 FROM te WHERE te.m = tl.m AND te.question = tl.question AND t BETWEEN start - hi AND "end" - lo) AS hit FROM tl),
+kp AS (SELECT * FROM kt WHERE good OR NOT bad),
+cg AS (SELECT method, question, count(*) AS caught FROM (SELECT DISTINCT kp.method, te.question, te.m, t FROM te JOIN kp ON kp.m = te.m AND kp.question = te.question AND t BETWEEN start - hi AND "end" - lo) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_EM}, nt AS (SELECT question, count(*) AS events FROM te GROUP BY question), mn AS (SELECT method, question, sum("end" - start) / 60 AS minutes FROM tt GROUP BY ALL), ag AS (SELECT method, question, count(*) AS triggers, count(*) FILTER (hit) AS true_triggers FROM kp GROUP BY ALL)
+SELECT ag.method, ag.question, events, coalesce(caught, 0) AS caught, triggers, true_triggers, round(coalesce(caught, 0) / events, 9) AS recall, round(true_triggers / triggers, 9) AS precision, round(minutes, 4) AS minutes
+FROM ag JOIN nt USING (question) JOIN mn ON mn.method = ag.method AND mn.question = ag.question LEFT JOIN cg ON cg.method = ag.method AND cg.question = ag.question""")
+def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two methods against goals and cards, cards with a lopsided tolerance; corners and views are moments to ignore."""
+    w = b.day_windows(spark, sf_dir)
+    pairs = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(q).alias("question")) for m in ("one", "other") for q in ("goal", "card")])
+    each = w.select("match", "wid", F.explode(pairs).alias("p")).select("match", "wid", "p.*")
+    k = F.split("wid", ":")[1].cast("long")
+    score = ((F.col("match") * 31 + k * 17 + F.length("question") * 5 + F.length("method") * 3) % 100) / F.lit(100.0)
+    scores = each.select("method", "wid", "question", score.alias("score"), (score >= 0.8).cast("int").alias("pred"))
+    e = b.events(spark, sf_dir)
+    truth = e.where("type in ('goal', 'card')").select("match", F.col("type").alias("question"), "t").distinct()
+    ignored = e.where("type in ('corner', 'substitution')").select("match", F.when(F.col("type") == "corner", "card").otherwise("goal").alias("question"), "t").distinct()
+    return _rounded(_rounded(evaluate.event_metrics(scores, w, truth, ignored, _DAYS), ["recall", "precision"]), ["minutes"], 4)
 
 
 # --- streaming ------------------------------------------------------------------------------------------------------
 
+_STREAM = f"""{s.SCORED}, {s.HITS}, pos AS (SELECT match, 'goal' AS question, start, "end", least(1.0, goal / 40) AS prob FROM h WHERE least(1.0, goal / 40) >= 0.5), {_FOLD.format(pos='q0 AS (SELECT 1)', gap=30, cap=120)}"""
+
 
-@query(f"""WITH {s.SCORED}, {s.HITS}, pos AS (SELECT match, 'goal' AS question, start, "end", least(1.0, goal / 40) AS prob FROM h WHERE least(1.0, goal / 40) >= 0.5), {_FOLD.format(pos='q0 AS (SELECT 1)', gap=30, cap=120)}
-SELECT match, question, start, "end", round(prob, 4) AS peak_prob FROM trg""")
+def _scored(spark, sf_dir, *more: str):
+    h = text.rule_hits(b.scored_windows(spark, sf_dir).select("match", "doc_id", "start", "end", "text"), rules={"goal": b.RULES["goal"]})
+    return h.select("match", F.col("doc_id").cast("string").alias("wid"), "start", "end", F.least(F.lit(1.0), F.col("goal") / 40).alias("goal"), *more)
+
+
+@query(f"""WITH {_STREAM} SELECT match, question, start, "end", round(prob, 4) AS peak_prob FROM trg""")
 def stream_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored windows replayed as a stream, with state for each match and question; the batch fold gives the same rows."""
     from tidemark.streaming import replay
 
-    h = text.rule_hits(b.scored_windows(spark, sf_dir).select("match", "doc_id", "start", "end", "text"), rules={"goal": b.RULES["goal"]})
-    scored = h.select("match", F.col("doc_id").cast("string").alias("wid"), "start", "end", F.least(F.lit(1.0), F.col("goal") / 40).alias("goal"))
-    return replay.run(scored, ["goal"], {"goal": 0.5}).select("match", "question", "start", "end", "peak_prob")
+    return replay.run(_scored(spark, sf_dir), ["goal"], {"goal": 0.5}).select("match", "question", "start", "end", "peak_prob")
+
+
+@query(f"""WITH {_STREAM}, n AS (SELECT match, count(*) AS n_highlights, round(sum("end" - start), 3) AS seconds FROM trg GROUP BY match), w AS (SELECT match, count(*) AS n_windows, round(max("end"), 3) AS last_t, round(sum(least(1.0, goal / 40)), 6) AS trace_sum FROM h GROUP BY match)
+SELECT w.match, coalesce(n_highlights, 0) AS n_highlights, coalesce(seconds, 0.0) AS seconds, n_windows, last_t, trace_sum, 0.5::DOUBLE AS threshold, true AS timed FROM w LEFT JOIN n ON n.match = w.match""")
+def stream_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline of each match, read back from its JSON: highlights, trace, thresholds, and latencies, which differ from run to run, so
+    only that there are any, and of every window, is compared."""
+    from tidemark.streaming import replay, scoring
+
+    w = b.scored_windows(spark, sf_dir).select("match", F.col("doc_id").cast("string").alias("wid"), "start", "end", "text")
+    scored = scoring.score(w, lambda: scoring.KeywordScorer({"goal": b.RULES["goal"]}, {"goal": 40}), ["goal"]).drop("text")
+    scored = written(scored, "timeline-scores")
+    lines = replay.timeline(scored, replay.run(scored, ["goal"], {"goal": 0.5}), {"goal": 0.5}, "goal")
+    shape = "highlights array<struct<start:double,end:double>>, trace array<struct<t:double,score:double>>, thresholds map<string,double>, latency_ms struct<n:bigint,p50:double,p90:double>"
+    j = lines.select("match", F.from_json("json", shape).alias("j")).select("match", "j.*")
+    n = F.size("trace").cast("long")
+    return j.select(
+        "match", F.coalesce(F.size("highlights"), F.lit(0)).cast("long").alias("n_highlights"), F.round(F.coalesce(F.aggregate("highlights", F.lit(0.0), lambda a, x: a + x["end"] - x["start"]), F.lit(0.0)), 3).alias("seconds"), n.alias("n_windows"),
+        F.round(F.array_max(F.transform("trace", lambda x: x["t"])), 3).alias("last_t"), F.round(F.aggregate("trace", F.lit(0.0), lambda a, x: a + x["score"]), 6).alias("trace_sum"), F.col("thresholds")["goal"].alias("threshold"),
+        ((F.col("latency_ms.n") == n) & (F.col("latency_ms.p50") > 0) & (F.col("latency_ms.p90") > 0)).alias("timed"),
+    )
+
 
+@query(f"""WITH {s.SCORED}, {s.HITS} SELECT match, start + 20 AS t, least(1.0, goal / 40) AS score FROM h""")
+def intensity_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.streaming.highlights import intensity_trace as trace
 
+    return trace(_scored(spark, sf_dir), "goal")

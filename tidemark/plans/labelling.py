@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import LabelConfig
@@ -211,6 +211,22 @@ def teacher_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.teacher_scores(b.day_windows(spark, sf_dir), _teacher(spark, sf_dir), blocks.select("match", "block", "start", "end"), blocks.select("match", "block", "level", "uncertain"), _CFG)
 
 
+_REVIEW = """rv AS (SELECT o_custkey % (SELECT max(user_id) + 1 FROM events) AS match, CASE WHEN o_orderkey % 2 = 0 THEN 'big_chance' ELSE 'controversy' END AS question, CAST((o_orderkey * 7919) % 2592000 AS DOUBLE) AS t, o_orderkey % 3 > 0 AS yes, o_orderkey % 5 = 0 AS unsure FROM orders)"""
+
+
+@query(f"""WITH {s.EVENTS}, {_SPANS}, {_REVIEW}, x AS (SELECT match, question, t, coalesce(t - lag(t) OVER (PARTITION BY match, question ORDER BY t) > 43200, true) AS new FROM rv WHERE yes AND NOT unsure),
+y AS (SELECT match, question, t, sum(CAST(new AS INT)) OVER (PARTITION BY match, question ORDER BY t ROWS UNBOUNDED PRECEDING) AS i FROM x)
+SELECT match, question, round(t, 4) AS t, false AS is_ignore FROM (SELECT match, CASE type WHEN 'card' THEN 'card' ELSE 'goal' END AS question, a AS t FROM au WHERE type IN ('goal', 'own_goal', 'card') UNION ALL SELECT match, question, avg(t) FROM y GROUP BY match, question, i)
+UNION ALL SELECT match, question, round(t, 4), true FROM rv WHERE unsure""")
+def truth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Goals and cards of the events, and reviewed moments of the other two, half a day apart."""
+    t = _teacher(spark, sf_dir).withColumn("k", F.col("note").cast("long"))
+    review = t.select("match", F.when(F.col("k") % 2 == 0, "big_chance").otherwise("controversy").alias("question"), F.col("start").alias("t"), F.when(F.col("k") % 3 > 0, "yes").otherwise("no").alias("verdict"), (F.col("k") % 5 == 0).alias("unsure"))
+    truth, ignored = labels.truth_events(_match_events(spark, sf_dir), _day_periods(spark, sf_dir), review, 43200.0)
+    both = truth.withColumn("is_ignore", F.lit(False)).unionByName(ignored.withColumn("is_ignore", F.lit(True)))
+    return both.select("match", "question", F.round("t", 4).alias("t"), "is_ignore")
+
+
 # --- samples --------------------------------------------------------------------------------------------------------
 
 
@@ -228,11 +244,21 @@ def strata_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.strata_weights(_strata(spark, sf_dir), ["match"])
 
 
-@query()
+@query(f"""WITH {_STRATA}, n AS (SELECT match, stratum, count(*) AS size FROM st GROUP BY match, stratum) SELECT match, stratum, size AS stratum_size, true AS far_apart, true AS full_or_blocked, true AS whole_weights FROM n""")
 def min_gap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A random draw; tests hold its invariants."""
+    """A random draw, so its SQL states what must hold of every stratum: its size, that no two drawn windows of a match are nearer than
+    10 s, that it is as large as asked unless the windows left over are all too near, and that weights are size by number."""
     w = _strata(spark, sf_dir).select("match", F.col("doc_id").cast("string").alias("wid"), "start", F.lit(1).alias("n_words"), "stratum")
-    return sampling.min_gap_sample(w, min_gap=10.0)
+    drawn = sampling.min_gap_sample(w, min_gap=10.0)
+    order = Window.partitionBy("match").orderBy("start")
+    far = drawn.withColumn("_d", F.col("start") - F.lag("start").over(order)).groupBy("match").agg((F.coalesce(F.min("_d"), F.lit(1e9)) >= 10.0).alias("far_apart"))
+    near = drawn.select("match", F.explode(F.array(*[F.col("start") + d for d in (-5.0, 0.0, 5.0)])).alias("start")).distinct().withColumn("_n", F.lit(True))
+    free = w.join(near, ["match", "start"], "left").groupBy("match", "stratum").agg(F.count("*").alias("size"), F.count_if(F.col("_n").isNull()).alias("free"))
+    got = drawn.groupBy("match", "stratum").agg(F.count("*").alias("n"), F.max("stratum_size").alias("told"), F.max("weight").alias("weight"))
+    want = F.create_map(*[F.lit(v) for kv in sampling.TARGETS.items() for v in kv])[F.col("stratum")]
+    met = free.join(got, ["match", "stratum"], "left").join(far, "match").withColumn("n", F.coalesce("n", F.lit(0)))
+    whole = F.col("n").isin(0) | ((F.col("told") == F.col("size")) & (F.abs(F.col("weight") - F.col("size") / F.col("n")) <= 0.0006))
+    return met.select("match", "stratum", F.col("size").alias("stratum_size"), "far_apart", ((F.col("n") == want) | (F.col("free") == 0)).alias("full_or_blocked"), whole.alias("whole_weights"))
 
 
 def _long(spark, sf_dir):
@@ -241,10 +267,28 @@ def _long(spark, sf_dir):
     return d.select(F.col("doc_id").alias("wid"), F.explode(pairs).alias("x")).select("wid", "x.*")
 
 
-@query()
+@query(f"""WITH {s.SCORED}, lg AS (SELECT 'goal' AS question, quality AS label FROM sw WHERE quality IS NOT NULL UNION ALL SELECT 'card', toxic FROM sw WHERE toxic IS NOT NULL)
+SELECT question, CAST(sum(label) AS BIGINT) AS positives, least(1.0::DOUBLE, 2.0::DOUBLE * greatest(sum(label), 1) / nullif(count(*) - sum(label), 0)) AS chance, true AS near_chance FROM lg GROUP BY question""")
 def neg_cap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A random draw; tests hold its invariants."""
-    return sampling.cap_negatives(_long(spark, sf_dir), ratio=2.0).select("wid", "question", "label")
+    """A random draw, so its SQL states what must hold: all positives stay, and of the negatives a share that lies within five standard
+    deviations of the chance that the classes give."""
+    rows = _long(spark, sf_dir)
+    kept = sampling.cap_negatives(rows, ratio=2.0).groupBy("question").agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("left"))
+    all_ = rows.where("label is not null").groupBy("question").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    chance = F.least(F.lit(1.0), 2.0 * F.greatest("p", F.lit(1)) / F.col("n"))
+    near = F.abs(F.col("left") - F.col("n") * F.col("chance")) <= 5 * F.sqrt(F.col("n") * F.col("chance") * (1 - F.col("chance"))) + 1e-9
+    return kept.join(all_, "question").withColumn("chance", chance).select("question", "positives", "chance", near.alias("near_chance"))
+
+
+@query(f"""WITH {s.SCORED}, lg AS (SELECT doc_id AS wid, unnest(['goal', 'card']) AS question, unnest([quality, toxic]) AS label FROM sw), ok AS (SELECT * FROM lg WHERE label IS NOT NULL)
+SELECT doc_id AS wid, CASE WHEN count(*) FILTER (question = 'goal') > 0 THEN 'goal=' || max(label) FILTER (question = 'goal') || ';' ELSE '' END || CASE WHEN count(*) FILTER (question = 'card') > 0 THEN 'card=' || max(label) FILTER (question = 'card') || ';' ELSE '' END AS gold, any_value(length(text)) AS n_chars
+FROM ok JOIN sw ON sw.doc_id = ok.wid GROUP BY doc_id""")
+def training_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case a labelled window, without rebalancing, which is a random draw (see neg_cap_sample and upsample_round_robin)."""
+    texts = b.scored_windows(spark, sf_dir).select(F.col("doc_id").alias("wid"), "text")
+    got = sampling.training_cases(_long(spark, sf_dir), texts, rebalance=False)
+    one = lambda q: F.when(F.col("gold")[q].isNotNull(), F.concat(F.lit(q + "="), F.col("gold")[q].cast("string"), F.lit(";"))).otherwise("")
+    return got.select("wid", F.concat(one("goal"), one("card")).alias("gold"), F.char_length("text").cast("long").alias("n_chars"))
 
 
 @query(f"""WITH {s.SCORED}, lg AS (SELECT doc_id AS wid, 'goal' AS question FROM sw WHERE quality = 1 UNION ALL SELECT doc_id, 'card' FROM sw WHERE toxic = 1), nn AS (SELECT question, count(*) AS n FROM lg GROUP BY question HAVING count(*) < 400),

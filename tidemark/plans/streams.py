@@ -77,7 +77,7 @@ def pseudo_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.pseudo_align(b.words(spark, sf_dir))
 
 
-@query(f"""WITH {s.WORDS}, {s.PERIODS}, p AS (SELECT match, 60.0::DOUBLE * n AS t, n FROM (SELECT DISTINCT conv_id AS match FROM conversations), (SELECT unnest(range(0, 8)) AS n))
+@query(f"""WITH {s.WORDS}, {s.PERIODS}, p AS (SELECT match, 60.0::DOUBLE * n AS t, n FROM (SELECT conv_id AS match, unnest(range(0, CAST(greatest(7, max(turn)) AS BIGINT) + 1)) AS n FROM conversations GROUP BY conv_id))
 SELECT p.match, n AS id, trim(coalesce(string_agg(word, '' ORDER BY pos), '')) AS text FROM p LEFT JOIN wd ON wd.match = p.match AND wd.start >= t + 5 AND wd.start < t + 12 GROUP BY p.match, n""")
 def text_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minutes 0 to 7 of every conversation, and on to its last turn."""
@@ -87,15 +87,25 @@ def text_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {s.PERIODS}, {s.WORDS}, p AS (SELECT match, audio_start, audio_end, (audio_end - audio_start) / 60 + 3 AS len FROM pd),
-q AS (SELECT match, pos AS id, start AS t FROM wd WHERE pos % 10 = 0)
+q AS (SELECT match, pos AS id, start AS t FROM wd)
 SELECT q.match, q.id, CASE WHEN t >= audio_start - 30 AND t <= audio_end + 30 THEN round((t - audio_start) / 60, 6) END AS minutes FROM q LEFT JOIN p ON p.match = q.match""")
 def timeline_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = b.words(spark, sf_dir).where("pos % 10 = 0").select("match", F.col("pos").alias("id"), F.col("start").alias("t"))
+    points = b.words(spark, sf_dir).select("match", F.col("pos").alias("id"), F.col("start").alias("t"))
     out = windows.match_minutes(points, b.periods(spark, sf_dir))
     return out.select("match", "id", F.round("minutes", 6).alias("minutes"))
 
 
-@query()
+#: Words one by one onto a stack; when its top says one n-gram five times over, the last n go.
+_LOOPS = r"""lw AS (SELECT match, CASE WHEN match % 10 = 0 THEN pos * 5 + r ELSE pos END AS pos, start, "end", word FROM wd, (SELECT unnest(range(0, 5)) AS r) WHERE match % 10 = 0 OR r = 0),
+ln AS (SELECT *, row_number() OVER (PARTITION BY match ORDER BY pos) AS n, regexp_replace(lower(word), '[^\p{L}\p{N}_\p{M}]+', '', 'g') AS w FROM lw),
+lz AS (WITH RECURSIVE z AS (SELECT DISTINCT match, 0::BIGINT AS n, []::VARCHAR[] AS ws, []::BIGINT[] AS ps FROM ln
+ UNION ALL SELECT match, n, CASE WHEN c > 0 THEN ws[1:len(ws) - c] ELSE ws END, CASE WHEN c > 0 THEN ps[1:len(ps) - c] ELSE ps END FROM (SELECT *, CASE
+   WHEN len(ws) >= 5 AND ws[-1] <> '' AND ws[-5:-2] = ws[-4:] THEN 1 WHEN len(ws) >= 10 AND array_to_string(ws[-2:], '') <> '' AND ws[-10:-3] = ws[-8:] THEN 2
+   WHEN len(ws) >= 15 AND array_to_string(ws[-3:], '') <> '' AND ws[-15:-4] = ws[-12:] THEN 3 ELSE 0 END AS c
+  FROM (SELECT z.match, ln.n, list_append(z.ws, ln.w) AS ws, list_append(z.ps, CAST(ln.pos AS BIGINT)) AS ps FROM z JOIN ln ON ln.match = z.match AND ln.n = z.n + 1))) SELECT * FROM z)"""
+
+
+@query(f"""WITH {s.WORDS}, {_LOOPS}, kp AS (SELECT match, unnest(ps) AS pos FROM lz QUALIFY row_number() OVER (PARTITION BY match ORDER BY n DESC) = 1) SELECT ln.match, ln.pos, start, "end", word FROM ln JOIN kp ON kp.match = ln.match AND kp.pos = ln.pos""")
 def loop_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth conversation says each of its words five times over, so that there is something to cut."""
     w = b.words(spark, sf_dir)
@@ -296,14 +306,20 @@ def _anchors(spark, sf_dir):
 _CUE = r"""cu AS (SELECT * FROM (VALUES ('the_call', 'goal', 0, 2.0::DOUBLE, 30.0::DOUBLE, 5.0::DOUBLE), ('of_call', 'goal', 1, 20.0, 30.0, 5.0), ('and_call', 'corner', 2, -12.0, 40.0, 1.0), ('in_call', 'shot', 3, 1.0, 12.0, 1.0)) q(cue, kind, place, lag, cap, weight)),
 an AS (SELECT conv_id AS match, CAST(turn AS INT) AS anchor, CASE turn % 3 WHEN 0 THEN 'goal' WHEN 1 THEN 'corner' ELSE 'shot' END AS kind, turn * 60.0::DOUBLE - 90.0::DOUBLE AS t FROM conversations)"""
 _HIT = "ch AS (" + ORACLE["cue_hits"].replace("WITH ", "WITH ", 1) + ")"
-#: Each anchor at each offset of a grid: cost and residual of its best cue. A nearest hit is one of the two ASOF neighbours.
-_COST = """pr AS (SELECT g.match, g.anchor, g.o, cu.cue, cu.place, cu.cap, cu.weight, g.o + g.t + cu.lag AS pred FROM gr g JOIN cu ON cu.kind = g.kind),
-lo AS (SELECT pr.*, h.t AS lo FROM pr ASOF LEFT JOIN ch h ON h.match = pr.match AND h.cue = pr.cue AND h.t <= pr.pred),
-nb AS (SELECT lo.*, h.t AS hi FROM lo ASOF LEFT JOIN ch h ON h.match = lo.match AND h.cue = lo.cue AND h.t >= lo.pred),
-nr AS (SELECT *, CASE WHEN hi IS NULL OR pred - lo <= hi - pred THEN lo ELSE hi END AS near FROM nb),
-cd AS (SELECT *, CASE WHEN abs(near - pred) <= cap THEN near - pred END AS d FROM nr),
-cc AS (SELECT *, weight * coalesce(abs(d), cap) AS c FROM cd),
-bm AS (SELECT match, anchor, o, c AS cost, d AS residual FROM (SELECT *, row_number() OVER (PARTITION BY match, anchor, o ORDER BY c, place) AS k FROM cc) WHERE k = 1)"""
+
+
+def _costs(n: str = "") -> str:
+    """Each anchor at each offset of a grid gr: cost and residual of its best cue (bm). A nearest hit is one of the two ASOF neighbours."""
+    return f"""pr{n} AS (SELECT g.match, g.anchor, g.o, cu.cue, cu.place, cu.cap, cu.weight, g.o + g.t + cu.lag AS pred FROM gr{n} g JOIN cu ON cu.kind = g.kind),
+lo{n} AS (SELECT pr.*, h.t AS lo FROM pr{n} pr ASOF LEFT JOIN ch h ON h.match = pr.match AND h.cue = pr.cue AND h.t <= pr.pred),
+nb{n} AS (SELECT lo.*, h.t AS hi FROM lo{n} lo ASOF LEFT JOIN ch h ON h.match = lo.match AND h.cue = lo.cue AND h.t >= lo.pred),
+nr{n} AS (SELECT *, CASE WHEN hi IS NULL OR pred - lo <= hi - pred THEN lo ELSE hi END AS near FROM nb{n}),
+cd{n} AS (SELECT *, CASE WHEN abs(near - pred) <= cap THEN near - pred END AS d FROM nr{n}),
+cc{n} AS (SELECT *, weight * coalesce(abs(d), cap) AS c FROM cd{n}),
+bm{n} AS (SELECT match, anchor, o, c AS cost, d AS residual FROM (SELECT *, row_number() OVER (PARTITION BY match, anchor, o ORDER BY c, place) AS k FROM cc{n}) WHERE k = 1)"""
+
+
+_COST = _costs()
 
 
 @query(f"""WITH {_HIT}, {_CUE}, gr AS (SELECT match, anchor, kind, t, 85.0::DOUBLE AS o FROM an), {_COST} SELECT match, anchor, round(cost, 6) AS cost, round(residual, 6) AS residual FROM bm""")
@@ -326,40 +342,116 @@ def offset_cost_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("match", "offset", F.round("cost", 6).alias("cost"))
 
 
-_FINE = "WITH {hit}, {cue}, {grid}, {cost}, co AS (SELECT match, o FROM (SELECT match, o, row_number() OVER (PARTITION BY match ORDER BY round(sum(cost), 9), o) AS k FROM bm GROUP BY match, o) WHERE k = 1)"
+def _lowest(name: str, costs: str) -> str:
+    return f"{name} AS (SELECT match, o, cost FROM (SELECT match, o, round(sum(cost), 9) AS cost, row_number() OVER (PARTITION BY match ORDER BY round(sum(cost), 9), o) AS k FROM {costs} GROUP BY match, o) WHERE k = 1)"
 
 
-def _two_pass() -> str:
-    fine = _COST
-    for a in ("pr", "lo", "nb", "nr", "cd", "cc", "bm"):
-        fine = fine.replace(f"{a} AS (", f"{a}2 AS (").replace(f"FROM {a})", f"FROM {a}2)").replace(f"FROM {a} ASOF", f"FROM {a}2 {a} ASOF")
-    fine = fine.replace("FROM gr g", "FROM gr2 g")
-    head = _FINE.format(hit=_HIT, cue=_CUE, grid=_GRID, cost=_COST)
-    return head + ", gr2 AS (SELECT an.match, anchor, kind, t, co.o - 1 + 0.25::DOUBLE * i AS o FROM an JOIN co ON co.match = an.match, (SELECT unnest(range(0, 9)) AS i)), " + fine
+_FITTED = f"""{_HIT}, {_CUE}, {_GRID}, {_COST}, {_lowest('co', 'bm')}, gr2 AS (SELECT an.match, anchor, kind, t, co.o - 1 + 0.25::DOUBLE * i AS o FROM an JOIN co ON co.match = an.match, (SELECT unnest(range(0, 9)) AS i)),
+{_costs('2')}, {_lowest('ft', 'bm2')}"""
 
 
-@query(_two_pass() + """ SELECT match, o AS "offset", round(cost, 6) AS cost FROM (SELECT match, o, round(sum(cost), 9) AS cost, row_number() OVER (PARTITION BY match ORDER BY round(sum(cost), 9), o) AS k FROM bm2 GROUP BY match, o) WHERE k = 1""")
+@query(f"""WITH {_FITTED} SELECT match, o AS "offset", round(cost, 6) AS cost FROM ft""")
 def fit_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = align.fit_offset(_anchors(spark, sf_dir), text.cue_hits(b.words(spark, sf_dir), b.CUES), align.cue_table(spark, b.CUES), _search(spark, sf_dir))
     return found.select("match", "offset", F.round("cost", 6).alias("cost"))
 
 
 def _residuals(spark, sf_dir):
-    anchors, hits, cues = _anchors(spark, sf_dir), text.cue_hits(b.words(spark, sf_dir), b.CUES).persist(), align.cue_table(spark, b.CUES)
-    fitted = align.fit_offset(anchors, hits, cues, _search(spark, sf_dir)).persist()
+    anchors, hits, cues = _anchors(spark, sf_dir), text.cue_hits(b.words(spark, sf_dir), b.CUES), align.cue_table(spark, b.CUES)
+    fitted = align.fit_offset(anchors, hits, cues, _search(spark, sf_dir))
     return align.loo_residuals(anchors, hits, cues, fitted, radius=6.0)
 
 
-@query()
+_REST = """tt{n} AS (SELECT match, o, sum(cost) AS total FROM bm{n} GROUP BY match, o)"""
+_LOO = f"""{_FITTED}, gr3 AS (SELECT an.match, anchor, kind, t, ft.o - 6 + i AS o FROM an JOIN ft ON ft.match = an.match, (SELECT unnest(range(0, 13)) AS i)), {_costs('3')}, {_REST.format(n=3)},
+lc AS (SELECT match, anchor, o FROM (SELECT bm3.match, bm3.anchor, bm3.o, row_number() OVER (PARTITION BY bm3.match, bm3.anchor ORDER BY round(total - cost, 9), bm3.o) AS k FROM bm3 JOIN tt3 ON tt3.match = bm3.match AND tt3.o = bm3.o) WHERE k = 1),
+lf AS (SELECT match, anchor, o - 1 + 0.25::DOUBLE * i AS o FROM lc, (SELECT unnest(range(0, 9)) AS i)), gr4 AS (SELECT an.match, anchor, kind, t, q.o FROM an JOIN (SELECT DISTINCT match, o FROM lf) q ON q.match = an.match), {_costs('4')}, {_REST.format(n=4)},
+lx AS (SELECT match, anchor, o FROM (SELECT lf.match, lf.anchor, lf.o, row_number() OVER (PARTITION BY lf.match, lf.anchor ORDER BY round(total - cost, 9), lf.o) AS k FROM lf JOIN bm4 ON bm4.match = lf.match AND bm4.anchor = lf.anchor AND bm4.o = lf.o JOIN tt4 ON tt4.match = lf.match AND tt4.o = lf.o) WHERE k = 1),
+na AS (SELECT match, count(*) AS n FROM an GROUP BY match),
+gr5 AS (SELECT an.match, an.anchor, an.kind, an.t, CASE WHEN n > 1 THEN lx.o ELSE ft.o END AS o FROM an JOIN lx ON lx.match = an.match AND lx.anchor = an.anchor JOIN ft ON ft.match = an.match JOIN na ON na.match = an.match), {_costs('5')},
+gr6 AS (SELECT an.match, anchor, kind, t, ft.o FROM an JOIN ft ON ft.match = an.match), {_costs('6')},
+lr AS (SELECT an.match, an.anchor, an.kind, round(bm6.residual, 2) AS fit_residual, round(bm5.residual, 2) AS loo_residual, bm5.o AS loo_offset FROM an JOIN bm5 ON bm5.match = an.match AND bm5.anchor = an.anchor JOIN bm6 ON bm6.match = an.match AND bm6.anchor = an.anchor)"""
+
+
+@query(f"WITH {_LOO} SELECT match, anchor, kind, fit_residual, loo_residual, loo_offset FROM lr")
 def loo_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tests compare it with fits that really leave an anchor out."""
+    """Each anchor against a fit of all anchors, and against one without it."""
     return _residuals(spark, sf_dir).select("match", "anchor", "kind", "fit_residual", "loo_residual", "loo_offset")
 
 
-@query(f"""WITH {_HIT}, {_CUE}, gr AS (SELECT match, anchor, kind, t, 85.0::DOUBLE AS o FROM an), {_COST}
-SELECT an.kind, count(*) AS n, count(residual) AS found, round(median(abs(residual)), 1) AS median_abs, round(max(abs(residual)), 1) AS max_abs FROM bm JOIN an ON an.match = bm.match AND an.anchor = bm.anchor GROUP BY an.kind""")
+@query(f"""WITH {_LOO} SELECT kind, count(*) AS n, count(loo_residual) AS found, round(median(abs(loo_residual)), 1) AS median_abs, round(max(abs(loo_residual)), 1) AS max_abs FROM lr GROUP BY kind""")
 def residual_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = align.best_match(_anchors(spark, sf_dir).withColumn("offset", F.lit(85.0)), text.cue_hits(b.words(spark, sf_dir), b.CUES), align.cue_table(spark, b.CUES), ["period", "anchor"])
-    return align.residual_summary(found.withColumnRenamed("residual", "loo_residual"), [])
+    return align.residual_summary(_residuals(spark, sf_dir), [])
+
+
+_ENDS = """en AS (SELECT match, audio_end - audio_start AS length_s FROM pd)"""
+
+
+@query(f"""WITH {_HIT}, {s.PERIODS}, {_CUE}, {_ENDS}, gr AS (SELECT match, anchor, kind, t, -20.0::DOUBLE + i AS o FROM an, (SELECT unnest(range(0, 241)) AS i)), {_COST}, {_lowest('co', 'bm')},
+gr2 AS (SELECT an.match, anchor, kind, t, co.o - 1 + 0.25::DOUBLE * i AS o FROM an JOIN co ON co.match = an.match, (SELECT unnest(range(0, 9)) AS i)), {_costs('2')}, {_lowest('ft', 'bm2')}
+SELECT ft.match, 1 AS period, o AS "offset", o AS audio_start, o + length_s AS audio_end, length_s, 100.0::DOUBLE AS search_center FROM ft JOIN en ON en.match = ft.match""")
+def align_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's clock from a hint of 100 s, sought 120 s to either side."""
+    anchors = _anchors(spark, sf_dir)
+    ends = b.periods(spark, sf_dir).select("match", "period", (F.col("audio_end") - F.col("audio_start")).alias("t"))
+    hints = ends.select("match", F.lit(100.0).alias("hint"))
+    return align.align(anchors, text.cue_hits(b.words(spark, sf_dir), b.CUES), align.cue_table(spark, b.CUES), ends, hints, radius_first=120.0)
+
+
+@query(f"""WITH {_RAW}, k AS (SELECT match, period, CASE type WHEN 'own_goal' THEN 'goal' ELSE type END AS kind, t FROM ne WHERE type IN ('goal', 'own_goal', 'corner', 'shot', 'period_start', 'period_end') AND t IS NOT NULL)
+SELECT match, period, kind, t, row_number() OVER (PARTITION BY match, period ORDER BY t, kind) AS anchor FROM k""")
+def anchors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.anchors_of(events.normalize(raw_events(spark, sf_dir))).select("match", "period", "kind", "t", "anchor")
+
+
+@query("""SELECT conv_id AS match, CAST(CASE WHEN conv_id % 3 = 0 THEN conv_id * 10 - 7 ELSE 0 END AS DOUBLE) AS hint FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def kickoff_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the streams were live, one third weren't and of one third nothing is known."""
+    m = b.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("match")).distinct()
+    registry = m.select("match", F.timestamp_seconds(F.col("match") * 10).alias("kickoff"))
+    known = m.where("match % 3 < 2").select("match", F.when(F.col("match") % 3 == 0, "was_live").otherwise("not_live").alias("live_status"), F.lit(7).cast("long").alias("release_ts"))
+    return align.kickoff_hint(registry, known)
+
+
+@query(f"""WITH {_RAW}, o AS (SELECT match, type, period, t, coalesce(sb_id, '') AS sb_id FROM ne) SELECT match, type, period, t, sb_id FROM o QUALIFY row_number() OVER (PARTITION BY match ORDER BY period, t NULLS LAST, sb_id = '', sb_id, CASE type WHEN 'goal' THEN 1 ELSE 0 END, type) <= 3""")
+def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three events of each match, by seq (a report of what a stream begins with)."""
+    return events.normalize(raw_events(spark, sf_dir)).where("seq <= 3").select("match", "type", "period", "t", F.coalesce("sb_id", F.lit("")).alias("sb_id"))
+
+
+# --- from segments to words -----------------------------------------------------------------------------------------
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as segments of recognised speech: their words with times, every seventh of them blank."""
+    w = b.words(spark, sf_dir)
+    said = F.struct("start", "end", F.when(F.col("pos") % 7 == 0, F.lit("  ")).otherwise(F.col("word")).alias("word"), F.lit(0.5).alias("p"))
+    return w.groupBy("match", F.floor(F.col("pos") / 100000).alias("turn")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(said)).alias("words"))
+
+
+@query(f"""WITH {s.WORDS} SELECT match, row_number() OVER (PARTITION BY match ORDER BY start, turn, pos) AS pos, start, word FROM (SELECT match, pos // 100000 AS turn, pos, start, word FROM wd WHERE pos % 7 <> 0)""")
+def words_of_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.words_of_segments(segments(spark, sf_dir)).select("match", "pos", "start", "word")
+
+
+@query(r"""SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}_\p{M}]+', '', 'g') AS norm FROM documents""")
+def token_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.table(spark, sf_dir, "documents").select("doc_id", text.token_norm(F.col("text")).alias("norm"))
+
+
+@query(f"""WITH {s.WORDS}, {s.PERIODS}, h AS (SELECT match, audio_start, audio_end FROM pd WHERE match % 2 = 0 UNION ALL SELECT match, min(start), max("end") FROM wd WHERE match % 2 = 1 GROUP BY match) SELECT match, 1 AS period, audio_start AS "offset", audio_start, audio_end FROM h""")
+def with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods of even conversations; for the others, one period from the first word to the last."""
+    return windows.with_fallback(b.periods(spark, sf_dir).where("match % 2 = 0"), b.words(spark, sf_dir))
+
 
+@query(f"""WITH {s.WORDS}, {s.PERIODS}, {s.EVENTS} SELECT wd.match, CAST(count(*) AS BIGINT) AS n_words FROM wd JOIN pd USING (match) WHERE wd.start >= greatest(0, audio_start + 60 - 1500) AND wd.start <= least(audio_start + 60 + 155 * 60 + (CASE WHEN wd.match % 2 = 0 THEN 2400 ELSE 0 END) + (CASE WHEN wd.match % 3 = 0 THEN 900 ELSE 0 END), 240.0) GROUP BY wd.match""")
+def speech_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words lie in the part of each stream that is worth transcribing; streams are four minutes long."""
+    from tidemark.sources import readers
 
+    p = b.periods(spark, sf_dir)
+    hints = p.select("match", (F.col("audio_start") + 60).alias("hint"), F.lit(240.0).alias("duration"))
+    seen = p.select("match", F.explode(F.array(F.lit(1), F.when(F.col("match") % 2 == 0, 3).otherwise(2), F.when(F.col("match") % 3 == 0, 5).otherwise(2))).alias("period"))
+    w = b.words(spark, sf_dir).join(readers.speech_window(hints, seen), "match")
+    return w.where((F.col("start") >= F.col("from_s")) & (F.col("start") <= F.coalesce("to_s", F.lit(1e18)))).groupBy("match").agg(F.count("*").alias("n_words"))

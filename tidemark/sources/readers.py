@@ -111,3 +111,54 @@ def speech_window(hints: DataFrame, events: DataFrame) -> DataFrame:
     minutes = 155 + F.when(F.col("extra"), 40).otherwise(0) + F.when(F.col("shootout"), 15).otherwise(0)
     to = F.least(F.col("hint") + minutes * 60, F.coalesce("duration", F.lit(1e9)))
     return met.select("match", F.when(known, F.greatest(F.lit(0.0), F.col("hint") - 1500.0)).otherwise(0.0).alias("from_s"), F.when(known, to).alias("to_s"))
+
+
+BLOCK = "match string, block string, period int, start double, end double, clock string"
+GOLD = "idx int, wid string, labels map<string,int>, ts double"
+
+
+def _parts(spark: SparkSession, path: str, column: str, values: list[str], schema: str) -> DataFrame:
+    """JSON lines of some folders `column=value`; those that aren't there have no rows, and no other is listed or read."""
+    out = None
+    for v in values:
+        part = jsonl(spark, f"{path}/{column}={v}", schema, missing_ok=True).withColumn(column, F.lit(v))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], f"{schema}, {column} string")
+
+
+def labels_of(spark: SparkSession, path: str, splits: list[str]) -> DataFrame:
+    """(wid, match, split, question, label) of label files by split (a folder `split=<name>` each), nulls too."""
+    rows = _parts(spark, path, "split", splits, LABEL.replace("split string, ", ""))
+    each = F.array(*[F.struct(F.lit(q).alias("question"), F.col("labels")[q].alias("label")) for q in (*QUESTIONS, "intensity")])
+    return rows.select("wid", "match", "split", F.explode(each).alias("x")).select("wid", "match", "split", "x.*")
+
+
+def predictions_of(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """Saved predictions of one model run, from its folder `tag=<name>`."""
+    return _parts(spark, path, "tag", [tag], PREDICTION)
+
+
+def windows_for(windows: DataFrame, matches: DataFrame, splits: list[str], match: str | None = None) -> DataFrame:
+    """windows of the registry's matches of some splits, or of one match among them."""
+    wanted = matches.where(F.col("split").isin(splits))
+    wanted = wanted.where(F.col("id") == match) if match else wanted
+    return windows.join(wanted.select(F.col("id").alias("match")), "match", "left_semi")
+
+
+def gold_rows(labels: DataFrame, sample: DataFrame) -> DataFrame:
+    """Gold labels (idx, labels, ...) with the sampled windows (idx, wid, start, stratum, weight, ...) they are of."""
+    return labels.drop("wid").join(sample, "idx")
+
+
+def question_dim(spark: SparkSession, texts: dict[str, dict[str, tuple[str, str]]], lang: str | None = None) -> DataFrame:
+    """(question, kind, lang, instructions, criteria) of what a scorer is asked: texts by language and question. Every language must ask
+    all questions and the level of intensity, and nothing else."""
+    asked = {*QUESTIONS, "intensity"}
+    for name, by in texts.items():
+        if set(by) != asked:
+            raise ValueError(f"{name} asks {sorted(set(by) ^ asked)} too much or too little")
+        if not all(a.strip() and c.strip() for a, c in by.values()):
+            raise ValueError(f"{name} has a question without a text")
+    rows = [(q, "ordinal" if q == "intensity" else "binary", name, *by[q]) for name, by in texts.items() for q in sorted(by)]
+    out = spark.createDataFrame(rows, "question string, kind string, lang string, instructions string, criteria string")
+    return out.where(F.col("lang") == lang) if lang else out

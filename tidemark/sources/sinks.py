@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.sampling import shuffled
 from tidemark.sources.readers import exists
+from tidemark.sources.shared import file_system
 
 
 def write_table(df: DataFrame, path: str, by: list[str], frozen: bool = False) -> None:
@@ -32,8 +34,18 @@ def upsert_latest(old: DataFrame, new: DataFrame, key: list[str], at: str = "ts"
     return best.select(*key, *[F.col("_r")[c].alias(c) for c in rest])
 
 
+def _take_back(spark: SparkSession, path: str) -> None:
+    """If a save died between its renames, the table is where it was put aside."""
+    store, at = file_system(spark, path)
+    left = store.globStatus(file_system(spark, f"{path}.old-*")[1])
+    if not store.exists(at) and left:
+        store.rename(left[0].getPath(), at)
+
+
 def save_upsert(spark: SparkSession, new: DataFrame, path: str, key: list[str], at: str = "ts") -> None:
-    """upsert_latest into a table: written beside it, then swapped in by two renames, so readers never see half of it."""
+    """upsert_latest into a table by one writer: written beside it, then swapped in by two renames, so readers never see half of it. Between
+    the two there is no table for a moment; a writer that dies there leaves the old one aside, and the next save takes it back."""
+    _take_back(spark, path)
     merged = upsert_latest(spark.read.parquet(path), new, key, at) if exists(spark, path) else upsert_latest(new.limit(0), new, key, at)
     fresh, aside = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     merged.write.parquet(fresh)
@@ -73,22 +85,60 @@ def results_json(window: DataFrame, event: DataFrame) -> DataFrame:
     return nest(window, "window").join(nest(event, "event"), "method", "full").select("method", F.to_json(F.struct("window", "event")).alias("json"))
 
 
+def write_dataset(labels: DataFrame, disagreements: DataFrame, balance: DataFrame, cases: DataFrame, path: str) -> None:
+    """The four outputs of a label build under one folder: labels by split, disagreements, balance, and training cases in the order of a
+    hash. Labels are written first and the rest may be made from what is read back."""
+    write_table(labels, f"{path}/labels", ["split"])
+    write_jsonl(disagreements, f"{path}/disagreements")
+    write_jsonl(balance.coalesce(1), f"{path}/balance")  # a few rows
+    write_jsonl(shuffled(cases, "wid"), f"{path}/cases")
+
+
+def write_packs(lines: DataFrame, path: str) -> None:
+    """A folder of text for each match: its blocks in order, a head line each, and the lines of narration with their clock."""
+    from tidemark.functions.scalar import clock
+
+    told = F.concat(F.lit("["), clock(F.col("line_start")), F.lit("] "), F.trim("text"))
+    heads = lines.groupBy("match", "block").agg(F.min("line_start").alias("line_start")).select("match", "block", F.lit(-1).alias("line"), F.concat(F.lit("## "), "block").alias("value"))
+    rows = heads.unionByName(lines.select("match", "block", "line", told.alias("value")))
+    rows.repartition("match").sortWithinPartitions("match", "block", "line").select("match", "value").write.mode("overwrite").partitionBy("match").text(path)
+
+
+def align_json(periods: DataFrame) -> DataFrame:
+    """(match, json) of fitted periods: an object keyed by period."""
+    cols = [c for c in periods.columns if c not in ("match", "period")]
+    entries = F.array_sort(F.collect_list(F.struct(F.col("period").cast("string").alias("k"), F.struct(*cols).alias("v"))))
+    return periods.groupBy("match").agg(F.to_json(F.map_from_entries(entries)).alias("json"))
+
+
 def fmt(value, places: int = 2) -> str:
     return "–" if value is None else f"{value:.{places}f}"
 
 
-def report(window: list, event: list, questions: list[str]) -> str:
-    """Two Markdown tables from collected rows, a row a method (so a few dozen at most)."""
+def report(window: list, event: list, questions: list[str], levels: list = (), calibration: list = (), latency: list = ()) -> str:
+    """Markdown tables from collected rows, a row a method (so a few dozen at most): windows with gold positives, events, and where rows
+    are given the levels of intensity (method, n, accuracy, mae), calibration (method, question, ece) and latency (name, n, p50, p90)."""
     methods = list(dict.fromkeys(r["method"] for r in window))
     w = {(r["method"], r["question"]): r for r in window}
     e = {(r["method"], r["question"]): r for r in event}
-    out = ["| method | " + " | ".join(q.replace("_", " ") for q in questions) + " |", "|---" * (len(questions) + 1) + "|"]
+    golds = {r["question"]: r["positives"] for r in window if "positives" in (r.asDict() if hasattr(r, "asDict") else r)}
+    out = ["Gold positives: " + ", ".join(f"{q.replace('_', ' ')} {golds[q]}" for q in questions if q in golds), ""] if golds else []
+    out += ["| method | " + " | ".join(q.replace("_", " ") for q in questions) + " |", "|---" * (len(questions) + 1) + "|"]
     for m in methods:
         out.append(f"| {m} | " + " | ".join(f"{fmt(w[m, q]['f1'])} ({fmt(w[m, q]['ap'])})" if (m, q) in w else "–" for q in questions) + " |")
     out += ["", "| method | " + " | ".join(f"{q.replace('_', ' ')}: caught / events · true / triggers · minutes" for q in questions) + " |", "|---" * (len(questions) + 1) + "|"]
     for m in methods:
         cell = lambda r: f"{r['caught']}/{r['events']} · {r['true_triggers']}/{r['triggers']} · {r['minutes']:.0f}"
         out.append(f"| {m} | " + " | ".join(cell(e[m, q]) if (m, q) in e else "–" for q in questions) + " |")
+    if levels:
+        out += ["", "| method | windows | intensity accuracy | mean error |", "|---|---|---|---|", *[f"| {r['method']} | {r['n']} | {fmt(r['accuracy'])} | {fmt(r['mae'])} |" for r in levels]]
+    if calibration:
+        ece = {(r["method"], r["question"]): r["ece"] for r in calibration}
+        asked = [*questions, "pooled"]
+        out += ["", "| method, ECE | " + " | ".join(q.replace("_", " ") for q in asked) + " |", "|---" * (len(asked) + 1) + "|"]
+        out += [f"| {m} | " + " | ".join(fmt(ece.get((m, q)), 3) for q in asked) + " |" for m in dict.fromkeys(r["method"] for r in calibration)]
+    if latency:
+        out += ["", "| latency, ms | n | p50 | p90 |", "|---|---|---|---|", *[f"| {r['name']} | {r['n']} | {fmt(r['p50'], 1)} | {fmt(r['p90'], 1)} |" for r in latency]]
     return "\n".join(out) + "\n"
 
 

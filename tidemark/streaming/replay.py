@@ -1,38 +1,52 @@
-"""Replays scored windows as a stream: written in time slices, read back slice by slice, folded into highlights."""
+"""Replays scored windows as a stream: written once in time slices, let in slice by slice, folded into highlights."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.streaming.highlights import finished, highlights, long_scores
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Where stream sources, sinks and checkpoints go: the folder all executors share, or a local one in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (found or f"file://{tempfile.gettempdir()}/tidemark-shared").rstrip("/")
+from tidemark.operators.metrics import latency
+from tidemark.sources.shared import file_system, new_path
+from tidemark.streaming.highlights import finished, highlights, intensity_trace, long_scores
 
 
 def run(scored: DataFrame, questions: list[str], thresholds: dict[str, float], gap: float = 30.0, max_len: float = 120.0, slices: int = 4) -> DataFrame:
-    """Highlights of scored (match, wid, start, end, a column a question) after all of it went by, in `slices` batches by time."""
+    """Highlights of scored (match, wid, start, end, a column a question, and latency_ms if there is one) after all of it went by, in
+    `slices` batches by time. Every slice is written by many tasks, and is one batch; its folder is deleted with the application."""
     spark = scored.sparkSession
-    top = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex[:12]}"
-    rows = scored.withColumn("at", F.timestamp_seconds("end")).withColumn("latency_ms", F.lit(None).cast("double"))
-    last = rows.agg(F.max("end").alias("m")).collect()[0]["m"] or 0.0
+    top = new_path(spark, "replay")
+    rows = scored.withColumn("at", F.timestamp_seconds("end"))
+    if "latency_ms" not in rows.columns:
+        rows = rows.withColumn("latency_ms", F.lit(None).cast("double"))
+    rows.write.parquet(f"{top}/scored")
+    rows = spark.read.schema(rows.schema).parquet(f"{top}/scored")
+    last = rows.agg(F.max("end").alias("m")).first()["m"] or 0.0
     cut = F.least(F.floor(F.col("end") * slices / (last + 1)), F.lit(slices - 1)).cast("int")
-    # one file a slice and partition; slices are appended in order, so their files are read in order
-    spark.createDataFrame([], rows.schema).write.parquet(f"{top}/in")
-    placed = rows.withColumn("_slice", cut)
-    for k in range(slices):
-        placed.where(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(f"{top}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+    rows.withColumn("_slice", cut).write.partitionBy("_slice").parquet(f"{top}/slices")
+    store, at = file_system(spark, f"{top}/in")
+    store.mkdirs(at)
+    source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{top}/in")
     found = highlights(long_scores(source, questions), thresholds, gap, max_len, flush=True)
-    query = found.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return finished(spark.read.schema(found.schema).parquet(f"{top}/out"))
+    for k in range(slices):
+        part = file_system(spark, f"{top}/slices/_slice={k}")[1]
+        if store.exists(part):
+            store.rename(part, file_system(spark, f"{top}/in/{k}")[1])
+            query = found.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+            query.awaitTermination()
+    out = spark.read.schema(found.schema).parquet(f"{top}/out") if store.exists(file_system(spark, f"{top}/out")[1]) else spark.createDataFrame([], found.schema)
+    return finished(out)
+
+
+def timeline(scored: DataFrame, found: DataFrame, thresholds: dict[str, float], trace: str | None = None) -> DataFrame:
+    """(match, json): what a player of the stream needs, a row a match: its highlights by start, the trace of a score by time, the
+    thresholds, and the median and 90th percentile of the latencies. scored: windows with latency_ms; found: their highlights."""
+    scored = scored.withColumn("match", F.col("match").cast("string"))
+    by_start = F.array_sort(F.collect_list(F.struct("start", "end", "question", "peak_prob", "peak_wid", "first_latency_ms")))
+    out = scored.select("match").distinct().join(found.groupBy("match").agg(by_start.alias("highlights")), "match", "left")
+    out = out.join(latency(scored.where("latency_ms is not null"), ["match"], "latency_ms").select("match", F.struct("n", "p50", "p90").alias("latency_ms")), "match", "left")
+    parts = ["highlights", "latency_ms"]
+    if trace:
+        line = intensity_trace(scored, trace).groupBy("match").agg(F.array_sort(F.collect_list(F.struct("t", "score"))).alias("trace"))
+        out, parts = out.join(line, "match", "left"), [*parts, "trace"]
+    told = F.create_map(*[F.lit(v) for q, t in thresholds.items() for v in (q, float(t))]).alias("thresholds")
+    return out.select("match", F.to_json(F.struct(*parts, told)).alias("json"))
