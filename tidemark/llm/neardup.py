@@ -223,7 +223,8 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
         return pd.Series([similar(x.split(" "), y.split(" "), least) for x, y in zip(a, b, strict=True)])
 
     met, sides = pairs, (("leader", "_id", "_b", "_k"), ("_id", "leader", "_a", "_c"))
-    copies = {side: pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("_n")) for side, *_ in sides}
+    # written, so that Spark knows their size when it picks the texts that are needed, and shuffles all texts only if these are many
+    copies = {side: written(pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("_n")), "omh-copies") for side, *_ in sides}
     for side, other, _, at in sides:  # which copy serves a pair, while the pairs are narrow
         many = copies[side].where("_n > 1")
         met = met.join(many, side, "left").withColumn(at, F.pmod(F.xxhash64(other), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
