@@ -59,3 +59,37 @@ def test_decontaminate_odd_rows(spark, odd_docs, no_docs, most):
     assert kept.columns == more.columns
     assert decontaminate.hit_windows(no_docs, items, most=most).collect() == []
     assert all(not x["hits"] for x in decontaminate.hit_windows(more, items.limit(0), most=most).collect())
+
+
+def test_shared_lines_are_cut(spark):
+    rows = [(i, f"Own line {i}\n  The   COMMON line\n\nanother own {i}", "h", 5) for i in range(20)] + [(90, None, "h", 5), (91, "the common line", "g", 5)]
+    rows += [(i, rows[i][1], "h", 5) for i in range(3)]  # repeated rows are one document
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _k int")
+    out = quality.without_shared_lines(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    got = {x["doc_id"]: x["text"] for x in out.collect()}
+    assert got[3] == "Own line 3\n\nanother own 3" and got[90] is None and got[91] == "the common line"
+
+
+def test_share_is_of_distinct_documents(spark):
+    # 11 of 100 rows, but 11 of 31 documents: with the rows as a base, a share of 0.2 would not be reached
+    rows = [(i, f"common line\nown {i}", "h") for i in range(11)] + [(100 + i, f"other {i}", "h") for i in range(20)] + [(200, "same row", "h")] * 69
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_share=0.2).where("n_removed_words > 0")
+    assert sorted(x["doc_id"] for x in got.collect()) == list(range(11))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_spans_and_repeated_documents(spark, tmp_path, most):
+    item = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"Start, {item.upper()}! End.", "x"), (1, f"Start, {item.upper()}! End.", "x"), (2, "clean text", "y"), (None, item, "z"), (3, None, "n"), (4, "long " * 3000 + item, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k string")
+    items = spark.createDataFrame([("a", item), ("b", "w3 w4")], "item_id string, text string")
+    got = {(x["doc_id"], x["n_words"]): (len({p for h in x["hits"] for p in range(h["pos"], h["pos"] + h["len"])}), x["times"]) for x in decontaminate.hit_windows(docs, items, most=most).collect()}
+    assert got == {(1, 14): (12, 2), (2, 2): (0, 1), (None, 12): (12, 1), (3, 0): (0, 1), (4, 3012): (12, 1)}
+    left = decontaminate.remove_spans(docs, items)
+    assert left.columns == docs.columns
+    assert sorted((str(x["doc_id"]), x["text"]) for x in left.collect() if x["doc_id"] != 3) == sorted([("1", "Start! End."), ("1", "Start! End."), ("2", "clean text"), ("None", ""), ("4", ("long " * 3000).rstrip())])
+    assert sorted(str(x["doc_id"]) for x in decontaminate.clean_documents(docs, items).collect()) == ["2", "3"]
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert queries.QUERIES["op9_decontamination"](spark, str(tmp_path)).count() == len(rows)

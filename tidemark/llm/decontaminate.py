@@ -1,8 +1,9 @@
 """Benchmark decontamination, with DataFrame functions only.
 
-The windows of all test items (10 words, or the whole item if it is shorter) become a set of 64-bit hashes that every
-task holds. Training texts are scanned window by window within their row; only windows whose hash is in the set leave
-it, and they are verified word by word against the items.
+The windows of all test items (10 words, or the whole item if it is shorter) are 64-bit hashes, and the set of them is
+broadcast. Training texts are scanned window by window where they lie; only windows whose hash is in the set leave their task,
+and they are verified word by word against the items. A set of more than SET_SIZE hashes is cut into several, and the texts
+are scanned once for each, so what a task holds is bounded and texts are never shuffled, however many items there are.
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load
+from tidemark.llm.common import load, written
 
 WINDOW = 10
-#: Hashes that may be held by every task (8 bytes each). Beyond it, windows meet the items in a shuffled join.
-MAX_BROADCAST_WINDOWS = 65_536
+#: Hashes in one broadcast set (about 40 bytes each, so 40 MB).
+SET_SIZE = 1_000_000
+#: Words of a text that are scanned as one row, so that long texts take no more memory than short ones.
+BLOCK = 1024
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word of a text that isn't lower-cased, with what parts it from the word before; or what is left at the end.
+_TOKEN = r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
 
 
 def words_of(text: Column) -> Column:
@@ -26,61 +31,102 @@ def words_of(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, len, key, hash, first, last): the distinct windows of each item; null and wordless items have none."""
+    """(item_id, len, key, hash): the distinct windows of each item; null and wordless items have none."""
     words = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     spans = words.withColumn("len", F.least(F.size("w"), F.lit(window))).select("item_id", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("i"))
     cut = F.slice("w", F.col("i"), F.col("len"))
-    told = spans.select("item_id", "len", F.array_join(cut, " ").alias("key"), F.transform(cut, lambda w: F.xxhash64(w)).alias("h"))
     # the hash of a window is that of its words' hashes, one after another
-    return told.select("item_id", "len", "key", F.xxhash64("h").alias("hash"), F.get("h", F.lit(0)).alias("first"), F.get("h", F.col("len") - 1).alias("last")).distinct()
-
-
-def hit_windows(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, most: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, n_words, and the verified hits [(pos, len, item_id)] of each document (empty if none).
-
-    Documents are told apart by doc_id and text, so rows that repeat both are one document; one doc_id with two texts is
-    two. A null text has no words. Neither table need have rows.
+    return spans.select("item_id", "len", F.array_join(cut, " ").alias("key"), F.xxhash64(F.transform(cut, lambda w: F.xxhash64(w))).alias("hash")).distinct()
+
+
+def _windows_of(docs: DataFrame, text: str, lengths: list[int]) -> DataFrame:
+    """A row for each window of each text: doc_id, _t, _k, n_words, words of its block (w), its place there (i) and in the text (pos),
+    len and hash; and one of place 0 for each row of docs."""
+    rows = docs.select("doc_id", F.xxhash64(text).alias("_t"), F.xxhash64("doc_id", text).alias("_k"), words_of(F.col(text)).alias("_w")).withColumn("n_words", F.size("_w").cast("long"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - 1, F.lit(0)), F.lit(BLOCK))
+    cut = F.transform(starts, lambda a: F.struct(a.alias("at"), F.slice("_w", a + 1, BLOCK + lengths[-1] - 1).alias("w")))
+    blocks = rows.select("doc_id", "_t", "_k", "n_words", F.explode(cut).alias("b")).select("doc_id", "_t", "_k", "n_words", "b.at", "b.w")
+    blocks = blocks.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    first = F.when(F.col("at") == 0, 0).otherwise(1)
+    each = blocks.select("*", F.explode(F.sequence(first, F.least(F.lit(BLOCK), F.size("w")))).alias("i"))
+
+    def hash_(n: int) -> Column:
+        inside = (F.col("i") > 0) & (F.col("i") + (n - 1) <= F.size("h"))
+        return F.when(inside, F.xxhash64(*[F.get("h", F.col("i") + (k - 1)) for k in range(n)]))
+
+    if len(lengths) == 1:
+        each = each.withColumn("len", F.lit(lengths[0])).withColumn("hash", hash_(lengths[0]))
+    else:
+        both = F.array(*[F.struct(F.lit(n).alias("len"), hash_(n).alias("hash")) for n in lengths])
+        each = each.select("*", F.explode(both).alias("x")).select("*", "x.len", "x.hash").drop("x")
+    return each.where(F.col("hash").isNotNull() | (F.col("i") == 0) & (F.col("len") == lengths[0])).withColumn("pos", F.col("at") + F.col("i"))
+
+
+def hit_windows(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, most: int = SET_SIZE) -> DataFrame:
+    """doc_id, _t, _k, n_words, the verified hits [(pos, len, item_id)] of each document (empty if none), and how many rows (times) it
+    has in docs.
+
+    Documents are told apart by doc_id and text, so rows that repeat both are one here, with their number; one doc_id with two
+    texts is two. A null text has no words, and a long one is scanned in blocks. Neither table need have rows; other columns
+    aren't read. `most` bounds the hashes of one broadcast set.
     """
-    windows = item_windows(items, window)
-    held = windows.groupBy("len").agg(F.collect_set("hash").alias("h"), F.collect_set("first").alias("first"), F.collect_set("last").alias("last")) if windows.select("hash").distinct().limit(most + 1).count() <= most else None
-    by_len = {r["len"]: (r["h"], (r["first"], r["last"])) for r in held.collect()} if held is not None else {r["len"]: (None, None) for r in windows.select("len").distinct().collect()}
-    rows = docs.select("doc_id", F.xxhash64(text).alias("_t"), words_of(F.col(text)).alias("_w")).withColumn("n_words", F.size("_w").cast("long"))
-    rows = rows.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-
-    def found(length: int, hashes: list | None, ends: tuple[list, list] | None) -> Column:
-        at = F.sequence(F.lit(1), F.size("_w") - length + 1)
-        word = lambda i, k: F.get("_h", i + (k - 1))
-        if hashes is not None:
-            # most windows are ruled out by their first or last word; slices would copy the whole array each time
-            near = lambda i: word(i, 0).isin(ends[0]) & word(i, length - 1).isin(ends[1])
-            at = F.filter(at, lambda i: near(i) & F.xxhash64(*[word(i, k) for k in range(length)]).isin(hashes))
-        out = F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.array_join(F.slice("_w", i, length), " ").alias("key")))
-        return F.when(F.size("_w") >= length, out)
-
-    none = F.array().cast("array<struct<pos:int,len:int,key:string>>")
-    parts = [F.coalesce(found(n, *h), none) for n, h in sorted(by_len.items())]
-    rows = rows.select("doc_id", "_t", "n_words", (F.concat(*parts) if parts else none).alias("_c"))
-    seen = rows.select("doc_id", "_t", "n_words", F.explode_outer("_c").alias("_c"))
-    keys = windows.select(F.col("key").alias("_key"), "item_id")
-    met = seen.join(F.broadcast(keys) if held is not None else keys, F.col("_c.key") == F.col("_key"), "left")
-    hit = F.when(F.col("item_id").isNotNull() | F.col("_key").isNotNull(), F.struct(F.col("_c.pos").alias("pos"), F.col("_c.len").alias("len"), "item_id"))
-    return met.groupBy("doc_id", "_t", "n_words").agg(F.collect_set(hit).alias("hits"))
+    windows = written(item_windows(items, window), "bench-windows")
+    lengths = sorted(r["len"] for r in windows.select("len").distinct().collect()) or [window]
+    hashes = windows.select("hash").distinct()
+    parts = max(1, -(-hashes.count() // max(1, most)))
+    found = None
+    for part in range(parts):
+        held = hashes.where(F.pmod("hash", F.lit(parts)) == part).withColumn("_in", F.lit(True))
+        met = _windows_of(docs, text, lengths).join(F.broadcast(held), "hash", "left")  # `most` hashes
+        met = met.where(F.col("_in").isNotNull() | (F.col("i") == 0) if part == 0 else F.col("_in").isNotNull())
+        key = F.when(F.col("i") > 0, F.array_join(F.slice("w", F.when(F.col("i") > 0, F.col("i")).otherwise(1), F.col("len")), " "))
+        met = met.select("doc_id", "_t", "_k", "n_words", "pos", "len", key.alias("key"))
+        found = met if found is None else found.unionByName(met)
+    found = written(found, "bench-hits")
+    every = found.where("key is null").groupBy("doc_id", "_t", "_k", "n_words").agg(F.count("*").alias("times"))
+    hits = found.where("key is not null").join(windows.select("len", "key", "item_id"), ["len", "key"])
+    hits = hits.groupBy("_k", "_t").agg(F.collect_set(F.struct("pos", "len", "item_id")).alias("hits"))
+    none = F.array().cast(hits.schema["hits"].dataType)
+    return every.join(hits, ["_k", "_t"], "left").select("doc_id", "_t", "_k", "n_words", F.coalesce("hits", none).alias("hits"), "times")
+
+
+def _places(hits: Column) -> Column:
+    """The words that lie in any hit, from 1."""
+    return F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["pos"], h["pos"] + h["len"] - 1))))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its words, the words inside any occurrence of an item's window, and the items that occur."""
+    """Per document: its words, the words inside any occurrence of an item's window, and the items that occur. Repeated documents give
+    a row each; items with a null id count as one, without a name in the hash."""
     hits = hit_windows(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
-    places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["pos"], h["pos"] + h["len"] - 1))))
+    hits = hits.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string"))))
-    out = hits.select("doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), ids.alias("i"))
+    out = hits.select("doc_id", "n_words", F.size(_places(F.col("hits"))).cast("long").alias("n_hit"), ids.alias("i"))
     return out.select("doc_id", "n_words", "n_hit", F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _hit(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(_k, _t, hits) of documents with a hit; written, so that Spark knows its size when it plans the join with the texts."""
+    return written(hit_windows(docs, items, window=window).where(F.size("hits") > 0).select("_k", "_t", "hits"), "bench-contaminated")
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs whose text has no window of an item, with the columns of docs."""
-    bad = hit_windows(docs, items, window=window).where(F.size("hits") > 0).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_h"))
-    joined = docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
-    return joined.select(*docs.columns)
+    """The rows of docs whose text has no window of an item, with the columns of docs; repeated rows all stay or all go."""
+    bad = _hit(docs, items, window).select("_k", "_t")
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_k"), F.xxhash64("text").alias("_t"))
+    return keyed.join(bad, ["_k", "_t"], "left_anti").select("_row.*")
+
+
+def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """All rows of docs, with its columns; from text, the words inside any hit are cut out, each with what parts it from the word
+    before. Texts without a hit, null ones too, stay as they are."""
+    bad = _hit(docs, items, window).select("_k", "_t", _places(F.col("hits")).alias("_at"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_k"), F.xxhash64("text").alias("_t"))
+    text = F.col("_row.text")
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))
+    left = F.array_join(F.filter(tokens, lambda _, j: ~F.array_contains("_at", j + 1)), "")
+    met = keyed.join(bad, ["_k", "_t"], "left")
+    return met.select(*[F.when(F.col("_at").isNotNull(), left).otherwise(text).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 _A, _B = string.ascii_uppercase, string.ascii_lowercase

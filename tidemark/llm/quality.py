@@ -32,11 +32,23 @@ def _repeated(windows: str) -> Column:
     return F.sort_array(F.transform(twice, lambda j: F.get(all_, j)["i"]))
 
 
+def _key(docs: DataFrame, text: str) -> Column:
+    return F.xxhash64("doc_id", text, F.coalesce(F.col("source"), F.lit("")))
+
+
+def _has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), BLANKS, " "))
+
+
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _t (hash of the text), source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the distinct
+    """doc_id, _k (hash of doc_id, text and source), source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the distinct
     normalised lines as (h, words). A null or empty text has no words and no lines."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"), F.xxhash64(text).alias("_t"), t.alias("_x"), _words(t).alias("_w"))
+    rows = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"), _key(docs, text).alias("_k"), t.alias("_x"), _words(t).alias("_w"))
     rows = rows.withColumn("n_words", F.size("_w").cast("long"))
     rows = rows.withColumn("word_chars", F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)))
     rows = rows.withColumn("n_symbols", (F.char_length("_x") - F.char_length(F.translate("_x", SYMBOLS, ""))).cast("long"))
@@ -46,34 +58,53 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     at = F.col("_at")
     covered = F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1), p + 3) - p))
     rows = rows.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, n: a + n))
-    lines = F.filter(F.split("_x", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split("_x", "\n"), _has_word)
     rows = rows.withColumn("_l", lines).withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-    norm = F.transform("_l", lambda x: F.trim(F.regexp_replace(F.lower(x), BLANKS, " ")))
+    norm = F.transform("_l", _normal)
     counted = F.transform(norm, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("words")))
-    return rows.select("doc_id", "_t", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", counted.alias("lines"))
+    return rows.select("doc_id", "_k", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", counted.alias("lines"))
+
+
+def _shared_lines(base: DataFrame, max_share: float, min_docs: int) -> DataFrame:
+    """(_k, h, words): the lines of each document that too many documents of its host have; words are those of all its copies of the
+    line. Written tables, so that Spark splits the rows of a line that a third of all documents have."""
+    lines = base.select("_k", "source", F.explode("lines").alias("x")).select("_k", "source", "x.h", "x.words")
+    per_doc = written(lines.groupBy("_k", "source", "h").agg(F.sum("words").alias("words")), "quality-lines")
+    hosts = base.groupBy("_k", "source").agg(F.lit(1)).groupBy("source").agg(F.count("*").alias("docs"))
+    common = per_doc.groupBy("source", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+    common = written(common.join(hosts, "source").where(F.col("n") > max_share * F.col("docs")).select("source", "h"), "quality-common")
+    return per_doc.join(common, ["source", "h"]).select("_k", "h", "words")
 
 
 def judge(docs: DataFrame, text: str = "text", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """base_counts without lines, with base_failed, n_removed_words and kept.
 
-    Documents are told apart by doc_id and text: rows that repeat both are one document, and each gives a row. A null source
-    is a host of its own, ''. Every limit is a share, so it holds alike at every size.
+    Documents are told apart by doc_id, text and source: rows that repeat them are one document, and each gives a row. A null
+    source is a host of its own, ''. A line is common if more than a share of its host's documents have it, and more than
+    min_docs of them, so that a small host isn't judged by a line or two. Whole texts are counted; other columns aren't read.
     """
     base = written(base_counts(docs, text), "quality-base")
-    lines = base.select("doc_id", "_t", "source", F.explode("lines").alias("x")).select("doc_id", "_t", "source", "x.h", "x.words")
-    per_doc = lines.groupBy("doc_id", "_t", "source", "h").agg(F.sum("words").alias("words"))
-    hosts = base.groupBy("source").agg(F.count("*").alias("docs"))
-    common = per_doc.groupBy("source", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    common = common.join(hosts, "source").where(F.col("n") > max_share * F.col("docs")).select("source", "h")
-    gone = per_doc.join(common, ["source", "h"]).groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), F.col("source").alias("_s")).agg(F.sum("words").alias("n_removed_words"))
-    times = base.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), F.col("source").alias("_s")).agg(F.count("*").alias("_times"))
-    gone = gone.join(times, (gone["_u"] == times["_u"]) & (gone["_s"] == times["_s"]) & gone["_d"].eqNullSafe(times["_d"])).select(times["*"], F.expr("n_removed_words div _times").alias("n_removed_words")).drop("_times")
-    out = base.drop("lines").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_u")) & (F.col("source") == F.col("_s")), "left").drop("_d", "_u", "_s")
+    gone = _shared_lines(base, max_share, min_docs).groupBy("_k").agg(F.sum("words").alias("n_removed_words"))
+    times = base.groupBy("_k").agg(F.count("*").alias("_times"))
+    gone = gone.join(times, "_k").select("_k", F.expr("n_removed_words div _times").alias("n_removed_words"))
+    out = base.drop("lines").join(gone, "_k", "left")
     out = out.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= min_left * F.col("n_words")))
 
 
+def without_shared_lines(docs: DataFrame, text: str = "text", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs, with its columns, without the lines from text that too many documents of the host have; texts without one, null ones too, stay
+    as they are."""
+    base = written(base_counts(docs, text).select("_k", "source", "lines"), "quality-base")
+    gone = written(_shared_lines(base, max_share, min_docs).groupBy("_k").agg(F.collect_set("h").alias("_gone")), "quality-gone")
+    keyed = docs.select(F.struct("*").alias("_row"), _key(docs, text).alias("_k"))
+    old = F.col("_row")[text]
+    left = F.array_join(F.filter(F.split(old, "\n"), lambda x: ~(_has_word(x) & F.array_contains("_gone", F.xxhash64(_normal(x))))), "\n")
+    met = keyed.join(gone, "_k", "left")
+    return met.select(*[F.when(F.col("_gone").isNotNull(), left).otherwise(old).alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of every document."""
     out = judge(load(spark, sf_dir, "documents"))
