@@ -55,6 +55,36 @@ def test_commit_that_died_halfway(spark, odd_docs):
     assert totals(rollup) == {k: (2 * n, 2 * t) for k, (n, t) in before.items()}
 
 
+def test_signs_take_each_other_back(spark):
+    rollup = tc.TokenRollup(spark, shared_path(spark, "test-rollup"))
+    rows = [(1, "a", "en", "words", 1, 5), (1, "a", "en", "words", -1, 3), (2, "a", "en", "words", 3, 4), (None, "a", "en", "words", 1, 7)]
+    assert rollup.commit("signs", spark.createDataFrame(rows, "doc_id long, source string, lang string, tokenizer string, sign int, n_tokens long"))
+    assert totals(rollup) == {("a", "en", "words"): (4, 21)}
+    assert rollup.delete("one", spark.createDataFrame([(1,), (None,)], "doc_id long"))
+    assert totals(rollup) == {("a", "en", "words"): (4, 19)}
+    assert rollup.delete("two", spark.createDataFrame([(2,), (2,)], "doc_id long"))
+    assert totals(rollup) == {("a", "en", "words"): (1, 7)}
+
+
+def test_compaction_and_two_writers(spark, odd_docs):
+    rollup, other = (tc.TokenRollup(spark, shared_path(spark, "test-rollup")) for _ in range(2))
+    other.folder = rollup.folder
+    counts = tc.counted(odd_docs, "chars", chars)
+    rollup.insert("a", counts)
+    before = totals(rollup)
+    # a second writer that began before the marker was there
+    signed = counts.withColumn("n_docs", tc.F.lit(1).cast("long"))
+    assert not other._commit("a", signed) and totals(rollup) == before
+    rollup.compact()
+    assert totals(rollup) == before and rollup.batches() == ["a"] and not rollup.insert("a", counts)
+    rollup.insert("b", counts)
+    assert totals(rollup) == {k: (2 * n, 2 * t) for k, (n, t) in before.items()}
+    rollup.delete("c", odd_docs)
+    rollup.compact()
+    left = odd_docs.where("doc_id is null").collect()
+    assert totals(rollup) == {(x["source"], x["lang"], "chars"): (2, 2 * len(x["text"])) for x in left}
+
+
 def test_query(spark):
     rows = tc.op2_token_counts(spark, "/root/testdata/sf0.001").collect()
     docs = {x["doc_id"]: x for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}

@@ -1,14 +1,16 @@
 """Token counts by source, language and tokenizer, kept as sums of committed batches of signed changes.
 
-A batch holds +1 or -1 and a token count for each document that came, went or was recounted. Committing it appends its sums
-(the delta) and its rows (the ledger, from which later deletions and recounts know what to take back) under the batch's name,
-and a marker last; a batch whose marker is there is skipped, so a repeated commit changes nothing, and one that died halfway
-is written anew. Totals add deltas up and never read texts or the ledger.
+A batch holds, for each document that came, went or was recounted, a signed number of documents and of tokens. Committing it
+appends its sums (the delta) and its rows (the ledger, from which later deletions and recounts know what to take back) in
+folders of that attempt's own, and then creates a marker that names the attempt. A marker can be created once, so a repeated
+commit changes nothing, of two writers one wins, and an attempt that died is never read. Totals add deltas up and never read
+texts or the ledger. The ledger lies in BUCKETS by document, and compact() puts all committed batches into one.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +23,9 @@ TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the published pattern that cuts text before byte-level merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEYS = ("source", "lang", "tokenizer")
-ROW = "doc_id bigint, source string, lang string, tokenizer string, sign int, n_tokens bigint"
+ROW = "doc_id bigint, source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
+#: Folders of the ledger by document: a change reads those of its documents.
+BUCKETS = 64
 DELTA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
 
 
@@ -66,7 +70,8 @@ def counted(docs: DataFrame, version: str, make, text: str = "text") -> DataFram
 
 
 class TokenRollup:
-    """Totals under one folder. One writer commits at a time; readers may read any time."""
+    """Totals under one folder. Any number of writers may commit, and readers read, at any time; a deletion or recount takes back
+    what was committed when it began."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -79,56 +84,97 @@ class TokenRollup:
         store, at = self._fs(path)
         return store.exists(at)
 
+    def _mark(self, path: str, content: str) -> bool:
+        """Creates a file; False if it is there already."""
+        store, at = self._fs(path)
+        try:
+            out = store.create(at, False)
+        except Exception:
+            if store.exists(at):
+                return False
+            raise
+        out.write(bytearray(content.encode()))
+        out.close()
+        return True
+
+    def _named(self, kind: str) -> dict[str, str]:
+        """Content of the files under a folder, by name."""
+        if not self._there(f"{self.folder}/{kind}"):
+            return {}
+        rows = self.spark.read.text(f"{self.folder}/{kind}/*", wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value").collect()
+        return {r["name"]: r["value"] for r in rows}
+
+    def _attempts(self) -> list[str]:
+        """Folders to read: of the last compaction, and of the batches committed since."""
+        done, packed = self._named("committed"), self._named("compacted")
+        if not packed:
+            return sorted(done.values())
+        attempt, *inside = packed[max(packed)].split("\n")
+        return [attempt, *sorted(a for b, a in done.items() if b not in set(inside))]
+
     def batches(self) -> list[str]:
         """Names of committed batches."""
-        store, at = self._fs(f"{self.folder}/committed")
-        return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
+        return sorted(self._named("committed"))
 
     def _read(self, what: str, schema: str) -> DataFrame:
-        paths = [f"{self.folder}/{what}/{b}" for b in self.batches()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        paths = [f"{self.folder}/{what}/attempt={a}" for a in self._attempts()]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.folder}/{what}").parquet(*paths)
+        return rows.select(*[c.split()[0] for c in schema.split(", ")])
+
+    def _write(self, signed: DataFrame) -> str:
+        """Rows of ROW and their sums, as an attempt that no marker names yet."""
+        attempt = uuid.uuid4().hex
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+        signed.select("doc_id", *KEYS, "n_docs", "n_tokens", bucket.alias("b")).write.partitionBy("b").parquet(f"{self.folder}/ledger/attempt={attempt}")
+        rows = self.spark.read.schema(ROW).parquet(f"{self.folder}/ledger/attempt={attempt}")
+        rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{self.folder}/delta/attempt={attempt}")
+        return attempt
+
+    def _commit(self, batch: str, signed: DataFrame) -> bool:
+        return self._mark(f"{self.folder}/committed/{batch}", self._write(signed))
+
+    def _done(self, batch: str) -> bool:
+        return self._there(f"{self.folder}/committed/{batch}")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Adds a batch of changes (the columns of ROW). False if that batch is there already."""
-        mark = f"{self.folder}/committed/{batch}"
-        if self._there(mark):
-            return False
-        ledger, delta = f"{self.folder}/ledger/{batch}", f"{self.folder}/delta/{batch}"
-        changes.selectExpr("doc_id", *KEYS, "cast(sign as int) sign", "n_tokens").write.mode("overwrite").parquet(ledger)
-        rows = self.spark.read.schema(ROW).parquet(ledger)
-        sums = rows.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(delta)
-        store, at = self._fs(mark)
-        store.create(at, True).close()  # the commit: one file, whole or not there
-        return True
-
-    def current(self) -> DataFrame:
-        """What the ledger says of each document and tokenizer now: n_rows times, n_tokens in all."""
-        rows = self._read("ledger", ROW)
-        now = rows.groupBy("doc_id", *KEYS).agg(F.sum("sign").alias("n_rows"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
-        return now.where("n_rows <> 0 or n_tokens <> 0")
+        """Adds a batch of changes (doc_id, source, lang, tokenizer, sign, n_tokens), sign any integer. False if that batch is there
+        already. Other columns are left out."""
+        sign = F.col("sign").cast("long")
+        return not self._done(batch) and self._commit(batch, changes.select("doc_id", *KEYS, sign.alias("n_docs"), (sign * F.col("n_tokens")).alias("n_tokens")))
 
     def insert(self, batch: str, counts: DataFrame) -> bool:
-        return not self._there(f"{self.folder}/committed/{batch}") and self.commit(batch, counts.withColumn("sign", F.lit(1)))
+        """Adds documents; a repeated row is one more document. A null doc_id counts, but can't be taken back by name."""
+        return self.commit(batch, counts.withColumn("sign", F.lit(1)))
 
     def _back(self, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-        """Rows that take back what documents count for."""
-        now = self.current()
-        now = now.where(F.col("tokenizer") == tokenizer) if tokenizer else now
-        gone = now.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        # a document of several rows is taken back row by row, the tokens with the first
-        each = gone.select("doc_id", *KEYS, F.posexplode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))).alias("k", "_"), "n_tokens")
-        return each.select("doc_id", *KEYS, F.lit(-1).alias("sign"), F.when(F.col("k") == 0, F.col("n_tokens")).otherwise(0).alias("n_tokens"))
+        """One row for each document, key and tokenizer that takes back what it counts for."""
+        wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+        buckets = [r["b"] for r in wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]  # BUCKETS at most
+        rows = self._read("ledger", ROW + ", b int").where(F.col("b").isin(buckets))
+        rows = rows.where(F.col("tokenizer") == tokenizer) if tokenizer else rows
+        # only rows of these documents are summed
+        now = rows.join(wanted, "doc_id", "left_semi").groupBy("doc_id", *KEYS).agg((-F.sum("n_docs")).alias("n_docs"), (-F.sum("n_tokens")).alias("n_tokens"))
+        return now.where("n_docs <> 0 or n_tokens <> 0")
 
     def delete(self, batch: str, docs: DataFrame) -> bool:
-        """Takes documents (doc_id) back, under all tokenizers; unknown ones change nothing."""
-        return not self._there(f"{self.folder}/committed/{batch}") and self.commit(batch, self._back(docs))
+        """Takes documents (doc_id) back, under all tokenizers; unknown and null ones change nothing."""
+        return not self._done(batch) and self._commit(batch, self._back(docs))
 
     def revise(self, batch: str, counts: DataFrame, tokenizer: str) -> bool:
         """Replaces the counts of documents under one tokenizer: takes back what is there, and adds the new ones."""
-        if self._there(f"{self.folder}/committed/{batch}"):
+        if self._done(batch):
             return False
-        return self.commit(batch, self._back(counts, tokenizer).unionByName(counts.withColumn("sign", F.lit(1))))
+        new = counts.select("doc_id", *KEYS, F.lit(1).cast("long").alias("n_docs"), "n_tokens")
+        return self._commit(batch, self._back(counts, tokenizer).unionByName(new))
+
+    def compact(self) -> None:
+        """Puts the batches committed so far into one, with a row a document and key, which later reads take in their place."""
+        names = self.batches()
+        rows = self._read("ledger", ROW).groupBy("doc_id", *KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        attempt = self._write(rows.where("n_docs <> 0 or n_tokens <> 0"))
+        self._mark(f"{self.folder}/compacted/{len(names):09d}-{attempt}", "\n".join([attempt, *names]))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens of groups that hold a document. Null sources and languages are groups."""
