@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm.conftest import prose
@@ -48,3 +49,36 @@ def test_odd_rows(spark, odd_docs, no_docs):
     for x, t, gone in zip(rows, raw, brute(raw, 200), strict=True):
         assert hashlib.sha256(bytes(x["kept"])).digest() == hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).digest()
     assert substrings.remove_repeated(no_docs).collect() == []
+
+
+def test_periodic_text_is_few_rows():
+    for text in (b"a" * 1_000_000, b" " * 50_000, b"abcdefg" * 20_000, b"0123456789" * 50 + prose(1, 200).encode() + b"0123456789" * 50):
+        rows = substrings.runs_of(np.frombuffer(text, np.uint8))
+        assert len(rows[0]) < 400, len(rows[0])
+    start, n, *_, k = substrings.runs_of(np.frombuffer(b"a" * 1_000_000, np.uint8))
+    assert [(int(s), int(m)) for s, m, x in zip(start, n, k, strict=True) if x == 0] == [(0, 1_000_000)]
+
+
+def test_windows_are_compared_by_their_bytes():
+    r = random.Random(6)
+    for width in (32, 43, 200):
+        data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(300)) * 3 + b"x" * 260, np.uint8)
+        starts = np.array(r.sample(range(len(data) - width), 400))
+        group = np.array([r.randint(0, 3) for _ in starts])
+        seen = {}
+        for s, g in zip(starts, group, strict=True):
+            seen[g, data[s : s + width].tobytes()] = seen.get((g, data[s : s + width].tobytes()), 0) + 1
+        want = [seen[g, data[s : s + width].tobytes()] > 1 for s, g in zip(starts, group, strict=True)]
+        assert substrings.sort_windows(data, starts, group, width, 8).tolist() == want
+
+
+def test_doubling_patterns(spark):
+    # of such texts, different stretches have equal polynomial fingerprints modulo powers of two
+    thue = "a"
+    for _ in range(11):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    texts = [thue, thue[700:1500], "b" + thue[3:900], "ab" * 400, prose(5, 90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: bytes(x["kept"]) for x in substrings.remove_repeated(docs).collect()}
+    for k, (t, gone) in enumerate(zip(texts, brute([t.encode() for t in texts], 200), strict=True)):
+        assert got[k] == bytes(b for b, g in zip(t.encode(), gone, strict=True) if not g), k

@@ -5,13 +5,15 @@ one with the least fingerprint is the window's anchor (the first, among equals).
 offsets, so windows need comparing only where their anchors are equal. A run is a stretch of windows with one anchor; it
 carries WIDTH - 1 bytes more than it has windows.
 
-1. Runs of all texts, as fingerprints. Anchors that occur once are dropped: their windows are unique.
-2. Runs of one content (same anchor, same bytes) are counted; a content that occurs twice is repeated as a whole.
+1. Runs of all texts. Those that a text says twice are repeated for certain, so they leave as spans and one run; periodic text
+   is a handful of rows, however long. Anchors that occur once are dropped: their windows are unique.
+2. Runs of one content (same anchor, same hash of the bytes) are counted; a content that occurs twice is repeated as a whole.
 3. One copy of each content fetches its bytes, and the suffixes at its anchor are range-partitioned by their leading bytes,
-   with splitters that Spark samples. Within a range, the windows of all contents with one anchor are sorted by multikey
-   quicksort (three keys: 8 leading bytes, then fingerprints of the rest) and neighbours are compared.
+   with splitters that Spark samples. Within a range, the windows of all contents with one anchor are sorted on their bytes by a
+   multikey sort, eight bytes a key, which leaves out what stands alone, and neighbours are compared. No anchor is in two
+   ranges, so no range need look across its boundaries.
 4. An anchor with more contents than MOST_CONTENTS is not left to one range: its windows go out as 128-bit fingerprints that
-   are counted before and after a shuffle, which compares them across the boundaries of ranges.
+   are counted before and after a shuffle, so that no task has all of a frequent passage.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ from tidemark.llm.common import U64, Rolling, as_bytes, discard, load, row_keys,
 
 WIDTH, SEED = 200, 32
 #: Contents that share an anchor and are sorted in one range, at most (about 300 bytes each).
-MOST_CONTENTS = 5_000
+MOST_CONTENTS = 500
 #: Windows of a text that are looked at together, so that memory doesn't grow with its length.
 BLOCK = 4 << 20
 _LOW = 24  # bits of a place within a block
@@ -50,7 +53,9 @@ def window_anchors(data: np.ndarray, width: int, seed: int) -> tuple[np.ndarray,
 
 
 def runs_of(data: np.ndarray, width: int = WIDTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """Runs of one text: start, windows, anchor's offset, fingerprint of the anchor, fingerprint of the run's bytes."""
+    """Runs of one text: start, windows, anchor's offset, fingerprint of the anchor, hash of the run's bytes, and k: how often the text
+    has that content (2 stands for more), with one run for all of them. Where it is 2, spans with k = 0 cover all of them
+    (start, and bytes in place of windows)."""
     out = []
     for at in range(0, max(0, len(data) - width + 1), BLOCK):
         part = data[at : at + BLOCK + width - 1]
@@ -58,13 +63,25 @@ def runs_of(data: np.ndarray, width: int = WIDTH, seed: int = SEED) -> tuple[np.
         first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
         n = np.diff(np.append(first, len(anchors)))
         place = anchors[first]
-        out.append((first + at, n, place - first, roll.of(place, place + seed), roll.of(first, first + n + width - 1)))
+        raw = memoryview(np.ascontiguousarray(part))
+        hashed = np.array([xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(first.tolist(), (first + n + width - 1).tolist(), strict=True)], U64)
+        out.append((first + at, n, place - first, roll.of(place, place + seed), hashed))
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    start, n, off, a, c = (np.concatenate(x) for x in zip(*out, strict=True))
+    _, one, which, times = np.unique(c, return_index=True, return_inverse=True, return_counts=True)
+    if len(one) == len(c):
+        return start, n, off, a, c, np.ones(len(c), np.int64)
+    again = times[which] > 1
+    s, e = start[again], (start + n)[again] + width - 1  # runs come in order, so their ends do
+    new = np.concatenate([[True], s[1:] > e[:-1]])
+    s, e = s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)]
+    none = np.zeros(len(s), U64)
+    cols = zip((start, n, off, a, c, np.minimum(times, 2)[which]), (s, e - s, np.zeros(len(s), np.int64), none, none, np.zeros(len(s), np.int64)), strict=True)
+    return tuple(np.concatenate([x[one], y]) for x, y in cols)
 
 
-RUNS = "_d bigint, _t bigint, start int, n int, off int, a bigint, c bigint"
+RUNS = "_d bigint, _t bigint, start int, n int, off int, a bigint, c bigint, k int"
 
 
 def _runs(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -74,29 +91,26 @@ def _runs(docs: DataFrame, width: int, seed: int) -> DataFrame:
             d, t = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             got = [runs_of(data[bounds[i] : bounds[i + 1]], width, seed) for i in range(batch.num_rows)]
             rows = np.repeat(np.arange(batch.num_rows), [len(g[0]) for g in got])
-            start, n, off, a, c = (np.concatenate(x) for x in zip(*got, strict=True))
-            cols = [d[rows], t[rows], start.astype(np.int32), n.astype(np.int32), off.astype(np.int32), a.astype(U64).view(np.int64), c.astype(U64).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["_d", "_t", "start", "n", "off", "a", "c"])
+            start, n, off, a, c, k = (np.concatenate(x) for x in zip(*got, strict=True))
+            cols = [d[rows], t[rows], *(x.astype(np.int32) for x in (start, n, off)), *(x.astype(U64).view(np.int64) for x in (a, c)), k.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["_d", "_t", "start", "n", "off", "a", "c", "k"])
 
     return docs.select("_d", "_t", "_x").mapInArrow(run, RUNS)
 
 
 def sort_windows(data: np.ndarray, starts: np.ndarray, group: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """For each window, whether another one of its group has the same bytes: a multikey quicksort that leaves out, key by key,
-    what stands alone, with neighbours compared at the end of each."""
-    roll = Rolling(data)
-    half = 8 + (width - 8) // 2
-    lead = np.zeros(len(starts), U64)
-    for k in range(8):
-        lead = (lead << U64(8)) | data[starts + k].astype(U64)
+    """For each window, whether another one of its group has the same bytes: a multikey sort, eight bytes a key from the first on, that
+    leaves out, key by key, what stands alone; what is left at the end are equal neighbours."""
     live, block = np.arange(len(starts)), group
-    for key in (lambda s: lead[s], lambda s: roll.of(starts[s] + 8, starts[s] + half), lambda s: roll.of(starts[s] + half, starts[s] + width)):
-        value = key(live)
+    for at in [*range(0, width - 8, 8), width - 8]:
+        if not len(live):
+            break
+        value = data[starts[live][:, None] + np.arange(at, at + 8)].view(">u8").ravel()
         order = np.lexsort((value, block))
         live, block, value = live[order], block[order], value[order]
-        new = np.concatenate([[True], (block[1:] != block[:-1]) | (value[1:] != value[:-1])]) if len(live) else np.zeros(0, bool)
+        new = np.concatenate([[True], (block[1:] != block[:-1]) | (value[1:] != value[:-1])])
         block = np.cumsum(new)
-        held = np.bincount(block)[block] > 1 if len(live) else np.zeros(0, bool)
+        held = np.bincount(block)[block] > 1
         live, block = live[held], block[held]
     out = np.zeros(len(starts), bool)
     out[live] = True
@@ -171,11 +185,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, seed
     long_ = keyed.where(F.octet_length("_x") >= width)
     runs = written(_runs(long_, width, seed), "substr-runs")
     # written, so that the join's sides are both shuffled for it and Spark can split the partition of a frequent anchor
-    twice = written(runs.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "substr-twice")
-    all_runs, runs = runs, written(runs.join(twice, "a"), "substr-shared")
+    twice = written(runs.where("k > 0").groupBy("a").agg(F.sum("k").alias("k")).where("k > 1").select("a"), "substr-twice")
+    own = written(runs.where("k = 0").select("_d", "_t", F.array(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))).alias("spans")), "substr-own")
+    all_runs, runs = runs, written(runs.where("k > 0").join(twice, "a"), "substr-shared")
     discard(all_runs, twice)
 
-    contents = runs.groupBy("a", "c").agg(F.count("*").alias("times"), F.min(F.struct("_d", "_t", "start", "n", "off")).alias("r"))
+    contents = runs.groupBy("a", "c").agg(F.sum("k").alias("times"), F.min(F.struct("_d", "_t", "start", "n", "off")).alias("r"))
     contents = written(contents, "substr-contents")
     sizes = written(contents.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "substr-sizes")
     wanted = contents.join(sizes, "a").select("a", "c", "m", "r.*")
@@ -198,7 +213,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, seed
     whole = contents.where("times > 1").select("a", "c", F.array(F.struct(F.lit(0).alias("s"), (F.col("r.n") + width - 1).alias("e"))).alias("spans"))
     all_ = whole.unionByName(found).unionByName(across)
     placed = runs.join(all_, ["a", "c"]).select("_d", "_t", F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e"))).alias("spans"))
-    return placed.groupBy("_d", "_t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return placed.unionByName(own).groupBy("_d", "_t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _cut(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
