@@ -44,3 +44,32 @@ def test_odd_rows(odd_docs, no_docs):
     assert got[1] == got[2] == got[3] == "und" and got[4] == "en" and got[6] == "fr"
     assert langid.identify(odd_docs, {}).where("lang_pred <> 'und' or score <> 0").count() == 0
     assert langid.fit(no_docs) == {} and langid.identify(no_docs, samples).collect() == []
+
+
+def test_query_rows_against_brute_force(spark):
+    """The query's rows from the sample alone: phrases by substring search, estimates, the winner and its score."""
+    import math
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    samples = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
+    rows = {x["doc_id"]: x for x in langid.op3_language_id(spark, "/root/testdata/sf0.001").collect()}
+    texts = sorted(((x["text"] or "", x["doc_id"]) for x in docs.select("doc_id", "text").collect()), key=lambda t: len(t[0]))
+    for text, d in texts[:120]:
+        letters = re.sub(r"[\W\d_]+", " ", text.lower()).strip()
+        if not re.search(r"[^\W\d_]", text):
+            assert rows[d]["lang_pred"] == "und"
+            continue
+        e = sorted((brute(letters, s) * math.log2(len(s) + 1), lang) for lang, s in samples.items())
+        assert rows[d]["lang_pred"] == e[0][1] and abs(rows[d]["score"] - e[1][0] / (e[0][0] + e[1][0])) < 1e-9, d
+
+
+def test_large_alphabets_take_little_memory():
+    import random
+
+    r = random.Random(2)
+    samples = {f"l{k}": "".join(chr(0x4E00 + r.randint(0, 3000)) for _ in range(3000)) + "abc" * 20 for k in range(20)}
+    parser = langid.Parser(samples)
+    assert parser.table is None and parser.key.nbytes + parser.to.nbytes < 16 * 3 * sum(map(len, samples.values()))
+    texts = [samples["l3"][100:160] + "zz" + samples["l4"][:9], "", "abcabc" + samples["l7"][5:30]]
+    assert parser.counts(texts).tolist() == [[brute(x, t) for t in samples.values()] for x in texts]

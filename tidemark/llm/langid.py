@@ -20,9 +20,11 @@ from tidemark.llm.common import bounded_batches, held_model, load
 #: The bound of the sample that the automata are fitted on: characters for each language, and characters of one text.
 SAMPLE_CHARS, SAMPLE_TEXT_CHARS = 32_768, 2_048
 _BUCKETS = 1_000_000
-#: Entries of the table that parses texts side by side (4 bytes each; a larger alphabet's texts are parsed one by one),
-#: characters parsed at once, and the number of texts below which each goes on alone.
-MAX_TABLE, SIDE_BY_SIDE_CHARS, ALONE = 1 << 24, 3 << 20, 12
+#: Entries of a table with every state and character (4 bytes each). Beyond it the moves there are, at most three a sample character
+#: (12 bytes each), are searched instead, so memory grows with the samples and not with the alphabet.
+MAX_TABLE = 1 << 24
+#: Characters parsed at once, and the number of texts below which each goes on alone.
+SIDE_BY_SIDE_CHARS, ALONE = 3 << 20, 12
 
 
 def letters(text: Column) -> Column:
@@ -83,22 +85,19 @@ def _moves(text: str) -> list[dict[str, int]]:
     return moves
 
 
-def _states(moves: list[dict[str, int]]) -> list[dict]:
-    """The states as dicts from a character to a state."""
+def suffix_automaton(text: str) -> dict:
+    """The root of the automaton that accepts the substrings of text; a state is a dict from a character to a state."""
+    moves = _moves(text)
     states: list[dict] = [{} for _ in moves]
     for state, to in zip(states, moves, strict=True):
         for ch, t in to.items():
             state[ch] = states[t]
-    return states
-
-
-def suffix_automaton(text: str) -> dict:
-    """The root of the automaton that accepts the substrings of text; a state is a dict from a character to a state."""
-    return _states(_moves(text))[0]
+    return states[0]
 
 
 def phrases(text: str, root: dict, state: dict | None = None) -> int:
-    """Phrases of the greedy parse, from a state if given; a character that the automaton lacks is a phrase of its own."""
+    """Phrases of the greedy parse, from a state if given; a character that the automaton lacks is a phrase of its own. Parser counts
+    the same for many texts and languages at once."""
     n, state = 0, root if state is None else state
     for ch in text:
         if ch in state:
@@ -114,43 +113,61 @@ def phrases(text: str, root: dict, state: dict | None = None) -> int:
 
 
 class Parser:
-    """The automata of all languages. Many texts are parsed side by side, a character of each at a time, by a table that has
-    for each state and character the next state's row and the phrases that end; the few longest texts go on alone."""
+    """The automata of all languages, as arrays. Many texts are parsed side by side, a character of each at a time. A row is a state's
+    number times the width of the alphabet; row and character lead to the next row and the number of phrases that end."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs, self.logs = list(samples), [math.log2(len(s) + 1) for s in samples.values()]
-        moves = [_moves(s) for s in samples.values()]
         alphabet = sorted({ch for s in samples.values() for ch in s})
         self.width = len(alphabet) + 1  # 0: a character that no sample has
-        self.states = [s for m in moves for s in _states(m)]
-        first = np.cumsum([0, *[len(m) for m in moves]])
-        self.roots, self.row = [self.states[i] for i in first[:-1]], (first[:-1] * self.width).astype(np.int32)
-        self.table = None
-        if 0 < len(self.states) * self.width <= MAX_TABLE:
-            self.code = np.zeros(0x110000, np.uint16)
-            self.code[[ord(ch) for ch in alphabet]] = np.arange(1, self.width)
-            place = {ch: i + 1 for i, ch in enumerate(alphabet)}
-            parts = []
-            for base, m in zip(self.row.tolist(), moves, strict=True):
-                to = np.zeros((len(m), self.width), np.int32)
-                for i, state in enumerate(m):
-                    for ch, t in state.items():
-                        to[i, place[ch]] = t
-                # without a move, a phrase ends, and the next begins at the root; the root itself has none to end
-                ends = (to == 0).astype(np.int32)
-                ends[1:] += ends[1:] * (to[0] == 0)
-                parts.append((base + np.where(to == 0, to[0], to) * self.width) * 4 + ends)
-            self.table = np.concatenate(parts).ravel()
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(ch) for ch in alphabet]] = np.arange(1, self.width)
+        place = {ch: i + 1 for i, ch in enumerate(alphabet)}
+        keys, rows, base, self.row = [], [], 0, np.zeros(len(samples), np.int64)
+        self.begin = np.zeros((len(samples), self.width), np.int64)  # where each language's root leads; 0: nowhere
+        for j, sample in enumerate(samples.values()):
+            moves = _moves(sample)
+            state = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+            ch = np.fromiter((place[c] for m in moves for c in m), np.int64, len(state))
+            to = (np.fromiter((t for m in moves for t in m.values()), np.int64, len(state)) + base) * self.width
+            self.row[j] = base * self.width
+            self.begin[j, ch[state == 0]] = to[state == 0]
+            keys.append((state + base) * self.width + ch)
+            rows.append(to)
+            base += len(moves)
+        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        order = np.argsort(key)
+        self.key, self.to = key[order], np.concatenate(rows)[order] if rows else key
+        self.table = self._whole(base) if 0 < base * self.width <= MAX_TABLE else None
+
+    def _whole(self, states: int) -> np.ndarray:
+        """Of every row and character, the next row times four plus the phrases that end."""
+        out = np.empty((states, self.width), np.int32)
+        ends = [*(self.row[1:] // self.width).tolist(), states]
+        for j, (a, b) in enumerate(zip((self.row // self.width).tolist(), ends, strict=True)):
+            lacks = self.begin[j] == 0
+            out[a:b] = np.where(lacks, self.row[j], self.begin[j]) * 4 + 1 + lacks
+            out[a] -= lacks  # a root has no phrase to end
+        flat = out.ravel()
+        flat[self.key] = self.to * 4
+        return flat
+
+    def _next(self, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of rows (texts x languages) and a character of each text: the next rows, and the phrases that end."""
+        if self.table is not None:
+            found = self.table.take(row + code[:, None])
+            return found >> 2, found & 3
+        want = row + code[:, None]
+        at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        hit, begin = self.key[at] == want, self.begin[:, code].T
+        ends = 1 + ((begin == 0) & (row != self.row))
+        return np.where(hit, self.to[at], np.where(begin == 0, self.row, begin)), np.where(hit, 0, ends)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text (rows) by the automaton of each language (columns)."""
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        if self.table is None:
-            for i, t in enumerate(texts):
-                out[i] = [phrases(t, r) for r in self.roots]
-            return out
         at = 0
-        while at < len(texts):
+        while at < len(texts) and self.langs:
             to, size = at, 0
             while to < len(texts) and (to == at or size + len(texts[to]) <= SIDE_BY_SIDE_CHARS):
                 size += len(texts[to])
@@ -161,25 +178,32 @@ class Parser:
 
     def _side_by_side(self, texts: list[str]) -> np.ndarray:
         lengths = np.array([len(t) for t in texts])
-        codes = self.code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+        codes = self.code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
         order = np.argsort(-lengths, kind="stable")
         start, left = (np.cumsum(lengths) - lengths)[order], lengths[order]
-        row, n = np.tile(self.row, (len(texts), 1)), np.zeros((len(texts), len(self.langs)), np.int32)
+        row, n = np.tile(self.row if self.table is None else self.row.astype(np.int32), (len(texts), 1)), np.zeros((len(texts), len(self.langs)), np.int64)
         done, live = 0, int((left > 0).sum())
-        while live >= ALONE:
+        while live >= (ALONE if self.table is not None else 1):
             until = int(left[live - 1])
-            begin, r, m = start[:live], row[:live], n[:live]
+            begin, m = start[:live], n[:live]
             for k in range(done, until):
-                found = self.table.take(r + codes.take(begin + k)[:, None])
-                m += found & 3
-                np.right_shift(found, 2, out=r)
+                row[:live], ends = self._next(row[:live], codes.take(begin + k))
+                m += ends
             done, live = until, int((left > until).sum())
-        total = n + (row != self.row)
-        for i in range(live):
-            rest = texts[order[i]][done:]
-            total[i] = [n[i, j] + phrases(rest, root, self.states[row[i, j] // self.width]) for j, root in enumerate(self.roots)]
-        out = np.empty_like(total)
-        out[order] = total
+        if live:
+            table = memoryview(self.table)
+            for i in range(live):
+                rest = codes[start[i] + done : start[i] + left[i]].tolist()
+                for j in range(len(self.langs)):
+                    r, total = int(row[i, j]), 0
+                    for c in rest:
+                        found = table[r + c]
+                        total += found & 3
+                        r = found >> 2
+                    row[i, j] = r
+                    n[i, j] += total
+        out = np.empty_like(n)
+        out[order] = n + (row != self.row)
         return out
 
 
