@@ -21,7 +21,7 @@ def test_ids_are_those_of_the_library():
 
 def test_unigram_shortest_path():
     vocab = {"a": (1, -1.0), "b": (2, -1.5), "ab": (3, -2.0), "aba": (4, -2.2), "ba": (5, -9.0), "▁": (6, -3.0)}
-    t = pieces.Transducer({"bpe": False, "form": "", "prefix": False, "squeeze": False, "pieces": vocab, "bytes": {b: 10 + b for b in range(256)}, "unknown": 0, "size": 266})
+    t = pieces.Transducer({"bpe": False, "prefix": False, "squeeze": False, "pieces": vocab, "bytes": {b: 10 + b for b in range(256)}, "unknown": 0, "size": 266})
 
     def best(s):
         if not s:

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import struct
-import unicodedata
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -40,9 +39,15 @@ def compile_model(path: str = MODEL) -> dict:
         proto.ParseFromString(f.read())
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     rules = proto.normalizer_spec
-    form = {"identity": "", "nfkc": "NFKC", "nmt_nfkc": "NFKC"}.get(rules.name)
-    if form is None:
-        raise ValueError(f"normaliser {rules.name} isn't known")
+    # what isn't compiled here is refused: it would give other ids than the library's
+    if rules.name != "identity" or rules.precompiled_charsmap:
+        raise ValueError(f"normaliser {rules.name} maps characters")
+    if proto.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("white space as a suffix")
+    if proto.trainer_spec.model_type not in (1, 2):
+        raise ValueError("neither a unigram nor a BPE model")
+    if any(p.type == p.USER_DEFINED for p in proto.pieces):
+        raise ValueError("user-defined pieces")
     normal, of_bytes, unknown = {}, {}, 0
     for i in range(sp.get_piece_size()):
         piece = sp.id_to_piece(i)
@@ -52,7 +57,7 @@ def compile_model(path: str = MODEL) -> dict:
             unknown = i
         elif not sp.is_control(i) and not sp.is_unused(i):
             normal[piece] = (i, sp.get_score(i))
-    return {"bpe": proto.trainer_spec.model_type == 2, "form": form, "prefix": rules.add_dummy_prefix, "squeeze": rules.remove_extra_whitespaces, "pieces": normal, "bytes": of_bytes if len(of_bytes) == 256 else {}, "unknown": unknown, "size": sp.get_piece_size()}
+    return {"bpe": proto.trainer_spec.model_type == 2, "prefix": rules.add_dummy_prefix, "squeeze": rules.remove_extra_whitespaces, "pieces": normal, "bytes": of_bytes if len(of_bytes) == 256 else {}, "unknown": unknown, "size": sp.get_piece_size()}
 
 
 class Transducer:
@@ -76,6 +81,7 @@ class Transducer:
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, list[int]] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.out = [b""] * model["size"]
         for piece, (i, _) in model["pieces"].items():
             self.out[i] = piece.encode()
@@ -84,8 +90,6 @@ class Transducer:
         self.out[model["unknown"]] = " ⁇ ".encode()
 
     def normal(self, text: str) -> str:
-        if self.m["form"]:
-            text = unicodedata.normalize(self.m["form"], text)
         if self.m["squeeze"]:
             text = re.sub(" +", " ", text).strip(" ")
         if text and self.m["prefix"]:
@@ -151,6 +155,9 @@ class Transducer:
                     arcs.append((("", -1, 0.0), i + 1))
             known = self.pairs.get(last)
             if known is None:
+                if self.n_pairs > MEMO:
+                    self.pairs.clear()
+                    self.n_pairs = 0
                 known = self.pairs[last] = {}
             while arcs:
                 end, j = arcs.pop()
@@ -161,6 +168,7 @@ class Transducer:
                     ok = known.get(b)
                     if ok is None:
                         ok = known[b] = self._merged(last + b) == [last, b]
+                        self.n_pairs += 1
                     if not ok:
                         continue
                 stack.append((i, last, arcs, end[1]))
