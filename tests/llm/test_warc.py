@@ -51,3 +51,18 @@ def test_bytes_that_look_like_members(tmp_path):
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(warc.with_revisits(df, df["html"]), shared_path(spark, "test-warc"))).collect() == []
+
+
+def test_long_headers_many_records_and_damage(spark, tmp_path):
+    long_ = warc.record(1, "http://a/" + "x" * 9000, b"one", "D" * 32, None).replace(b"WARC-Type: response\r\n", b"").replace(b"Content-Type: application/http;", b"warc-type: response\r\nContent-Type: application/http;", 1)
+    two = warc.record(2, "u", b"two", "E" * 32, None) + warc.record(3, "u", b"three", "F" * 32, None)
+    whole = warc.member(long_) + warc.member(two)
+    cut = warc.member(warc.record(4, "u", bytes(range(256)) * 40, "G" * 32, None))[:-40]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(whole + cut)
+    archives = spark.createDataFrame([(f"file://{path}", path.stat().st_size)], "path string, bytes bigint")
+    for size in (64, 1 << 20):
+        rows = sorted((x["offset"], x["record_type"], x["record_id"]) for x in warc.read_archives(archives, size).collect())
+        # the record before the cut one is whole, and what follows it starts like a record
+        assert [(t, i) for _, t, i in rows] == [("response", "<urn:page:1>"), ("response", "<urn:page:2>"), ("response", "<urn:page:3>"), ("damaged", None)]
+        assert rows[-1][0] == len(whole)

@@ -93,13 +93,23 @@ class Archive:
         self.size = self.file.size()
 
     def head(self, at: int) -> bool:
-        """Whether the bytes there decode to the start of a WARC record."""
-        z = zlib.decompressobj(31)
-        try:
-            start = z.decompress(self.file.read_at(min(4096, self.size - at), at), 2048)
-        except zlib.error:
-            return False
-        return re.match(rb"WARC/\d\.\d\r\n(?:[^\r\n]+\r\n)*?WARC-Type:", start) is not None
+        """Whether the bytes there decode to the headers of a WARC record, up to the blank line that ends them."""
+        z, got, to = zlib.decompressobj(31), b"", at
+        while not z.eof:
+            chunk = self.file.read_at(min(4096, self.size - to), to)
+            if not chunk:
+                return False
+            try:
+                got += z.decompress(chunk)
+            except zlib.error:
+                return False
+            to += len(chunk)
+            if not got.startswith(b"WARC/"[: len(got)]):
+                return False
+            end = got.find(b"\r\n\r\n")
+            if end >= 0:
+                return re.match(rb"WARC/\d\.\d\r\n", got) is not None and re.search(rb"(?im)^WARC-Type:", got[:end]) is not None
+        return False
 
     def whole(self, at: int) -> tuple[bytes, int] | None:
         """A member's content and where it ends; None if it doesn't decode to its end."""
@@ -118,11 +128,14 @@ class Archive:
     def follows(self, at: int) -> bool:
         return at == self.size or self.file.read_at(3, at) == MAGIC and self.head(at)
 
-    def records(self, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-        """(offset, content) of the records that start in [start, end)."""
+    def records(self, start: int, end: int) -> Iterator[tuple[int, bytes | None]]:
+        """(offset, content) of the members that start in [start, end); None is the content of one that starts like a record and
+        doesn't decode to its end."""
         at = start
         while (at := self.find(at, end)) is not None:
             got = self.whole(at)
+            if got is None:
+                yield at, None
             if got is None or not self.follows(got[1]):
                 at += 1  # bytes inside a member that look like one
                 continue
@@ -148,6 +161,20 @@ class Archive:
         return None
 
 
+def each_record(content: bytes) -> Iterator[bytes]:
+    """The records of a member, one as a rule; where a length is missing or wrong, the rest is one record."""
+    while content:
+        head, blank, rest = content.partition(b"\r\n\r\n")
+        length = re.search(rb"(?im)^Content-Length:[ \t]*(\d+)", head)
+        to = len(head) + len(blank) + int(length[1]) if length else len(content)
+        left = content[to:].lstrip(b"\r\n")
+        if not left.startswith(b"WARC/"):
+            yield content
+            return
+        yield content[:to]
+        content = left
+
+
 def parsed(content: bytes) -> dict:
     """Of a record: its headers by lower-case name, those of HTTP under `http`, and the payload (None for a revisit)."""
     head, _, rest = content.partition(b"\r\n\r\n")
@@ -163,7 +190,9 @@ RECORDS = "path string, offset bigint, record_type string, record_id string, ref
 
 def read_archives(archives: DataFrame, size: int = RANGE, payloads: bool = True) -> DataFrame:
     """A row for each record of archives (path, bytes). payload_bytes is of the full payload, which a revisit doesn't hold.
-    An archive of no bytes has no records; bytes that decode to no record are skipped."""
+    A member of several records gives a row for each. An archive of no bytes has no records; bytes that decode to no record are
+    skipped, but a member that starts like a record and doesn't decode to its end, as in a truncated archive, gives a row of the
+    record_type `damaged`, with null fields."""
     ranges = archives.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(size).cast("long"))).alias("start"))
     tasks = max(1, ranges.count())
 
@@ -173,11 +202,13 @@ def read_archives(archives: DataFrame, size: int = RANGE, payloads: bool = True)
         for batch in batches:
             for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, held = [], 0
-                for at, content in Archive(path).records(start, start + size):
-                    r = parsed(content)
+                for at, r in ((at, parsed(x) if x is not None else None) for at, content in Archive(path).records(start, start + size) for x in (each_record(content) if content is not None else [None])):
+                    if r is None:
+                        rows.append((path, at, "damaged", *[None] * 6))
+                        continue
                     n = int(r["http"].get("content-length", len(r["payload"] or b"")))
                     rows.append((path, at, r.get("warc-type"), r.get("warc-record-id"), r.get("warc-refers-to"), r.get("warc-target-uri"), r.get("warc-payload-digest", "").removeprefix("sha1:"), n, r["payload"] if payloads else None))
-                    held += len(content)
+                    held += len(r["payload"] or b"") + 1000
                     if held > _CHUNK * 4:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                         rows, held = [], 0
@@ -190,10 +221,13 @@ def read_archives(archives: DataFrame, size: int = RANGE, payloads: bool = True)
 def with_revisits(pages: DataFrame, payload: Column, least: int = 0) -> DataFrame:
     """pages as write_archives takes them: of equal payloads of `least` bytes at least, the largest page_id is the response
     and the others revisit it. Rows that repeat that page_id and payload are responses each; a null page_id is never the
-    largest, and stays a response where all are null. A null payload is empty."""
+    largest, and stays a response where all are null. A null payload is empty. Other columns aren't read. Payloads of several
+    pages are found by their digests alone and written, so that Spark knows how many there are when it joins, and can split the
+    pages of one that a third of all have."""
     rows = pages.select("page_id", "url", F.coalesce(payload.cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("same"))
     first = rows.where(F.octet_length("payload") >= least).groupBy("same").agg(F.max("page_id").alias("_r"), F.count("*").alias("_k")).where("_k > 1").select("same", "_r")
+    first = written(first, "warc-first")
     refers = F.when(F.col("_r").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_r")), F.col("_r"))
     return rows.join(first, "same", "left").select("page_id", "url", "payload", "sha1", refers.alias("refers_to"))
 
