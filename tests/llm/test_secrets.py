@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import re
@@ -67,4 +68,34 @@ def test_query(spark):
         base = plainly(d["text"])
         assert [rows[d["doc_id"]][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(k == j for _, k, _ in base) for j in range(3)]
         told = [f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base]
-        assert set(told) <= set(rows[d["doc_id"]]["spans"].split(","))
+        spans = rows[d["doc_id"]]["spans"]
+        assert set(told) <= set(spans.split(","))
+        assert rows[d["doc_id"]]["base_sha256"] == hashlib.sha256(",".join(told).encode()).hexdigest()
+        # all spans are the base ones and, in order, those of the field that touch none of them
+        parts = [(int(s), secrets.KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in spans.split(",") if x)]
+        assert parts == sorted(parts) and [x for x in parts if x[1] < 3] == base
+        assert all(e <= a or b <= s for s, k, e in parts if k == 3 for a, _, b in base)
+
+
+def test_short_texts_train_the_field():
+    weights = secrets.train(['password = "hunter2hunter2"'] * 50 + ["hello world"] * 50)
+    assert weights is not None and secrets.Tagger(weights).spans('password = "swordfish99x"')
+
+
+def test_planted_secrets_are_found_and_prose_is_left_alone(spark):
+    """Secrets that no base pattern matches, planted in texts of the table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    tagger = secrets.Tagger(secrets.fit(docs))
+    r = random.Random(3)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    texts = [x["text"] for x in docs.orderBy("doc_id").limit(300).collect() if x["text"]]
+    found = wrong = 0
+    for t in texts:
+        words = t.split(" ")
+        at, secret = r.randint(0, len(words)), key(40)
+        planted = " ".join([*words[:at], f'auth_key = "{secret}"', *words[at:]])
+        spans = [planted[s:e] for s, e in tagger.spans(planted)]
+        found += any(secret in x or x in secret and len(x) > 20 for x in spans)
+        wrong += len(secrets.find(t, tagger)[1]) > len(secrets.base_spans(t))
+    print(f"recall {found / len(texts):.3f}, texts with an added span {wrong / len(texts):.3f}")
+    assert found / len(texts) >= 0.9 and wrong / len(texts) <= 0.02
