@@ -50,3 +50,13 @@ def test_against_a_plain_version(spark, corpus):
         assert r["n_chars"] == len(r["text"]) and r["lang"] == "en" and r["ids"] == sp.encode(r["text"]) and r["round_trip"]
         assert (r["text"] == left[d]) if not base else (corpus_pipeline.REDACTED in r["text"] and "0123456789abcdef" not in r["text"])
     assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+
+
+def test_odd_rows_go_through_all_stages(spark, odd_docs, tmp_path):
+    odd_docs.drop("ids").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "same line here same line here same line here same")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # without a letter: 1, 2, 3 and one text of 10; 5 repeats 4, a row repeats 6, the null id repeats 8; 9 is the benchmark's
+    assert sorted(x["doc_id"] for x in rows) == [4, 6, 7, 8, 10]
+    assert all(x["shard"] == 5 and x["kept"] == "x" and x["class_id"] == 9 for x in rows)
+    assert next(x["text"] for x in rows if x["doc_id"] == 10) == "another text with the same id"
