@@ -185,7 +185,8 @@ def test_unlike_texts_are_not_all_paired(spark):
     passage = prose(50_000, 60)
     texts = [(i, f"{prose(51_000 + i, 60)} {passage} {prose(52_000 + i, 60)}") for i in range(300)]
     df = spark.createDataFrame(texts, "_id long, words string")
-    left = neardup._may_be_alike(df, df.select("_id", F.col("_id").alias("class")), 0.8)
+    one_bucket = df.select(F.lit(7).cast("long").alias("bucket"), "_id", F.col("_id").alias("class"), F.lit(False).alias("small"))
+    left = neardup._may_be_alike(df, one_bucket, 0.8)
     assert left.count() < 300
 
 

@@ -8,7 +8,7 @@ alignment within the band that LEAST allows, is at least LEAST.
 1. Every document is compared with the first member of each of its buckets (at most SKETCHES pairs a document), which links
    nearly all copies; classes are the components of the links.
 2. A bucket is open if its members are of two classes or more: unlike texts that share a passage, or families near the limit.
-   Comparing all of them would grow with the square of the bucket. Two texts that are alike share many of their word pairs and
+   Members of small ones are all compared. In large ones that would grow with the square of the bucket, but two texts that are alike share many of their word pairs and
    triples (each edit spoils two or three at most), so they share one among the rarest of either; only such texts are compared,
    which loses none that the limit allows. Those that many documents have, as in a shared passage, never count as rare.
 
@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import U64, Rolling, as_bytes, bounded_batches, discard, forget_models, load, mixed, slices, written
 
 SHINGLE, PICKED, SKETCHES, LEAST = 3, 2, 48, 0.8
+#: Members of an open bucket that are all compared; what they make is at most half as many pairs a row. Larger ones go by rare words.
+SMALL = 32
 #: Words up to which rare pairs of words are looked at, and from which rare triples are: two long texts share some rare pair by chance.
 LONG = 400
 #: Counters of word pairs and triples by hash, by which rare ones are told from common ones (a table of fixed size that every task holds),
 #: and longs of the bits that stand for a text's words.
-SLOTS, WORDS64 = 1 << 20, 32
+SLOTS, WORDS64 = 1 << 20, 64
 #: Pairs that one copy of a text serves; a text in more pairs is joined in as many copies as that takes.
 PAIRS_A_COPY = 500
 
@@ -242,10 +244,10 @@ def _first_met(buckets: DataFrame, least: float) -> DataFrame:
 
 
 def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """(_id, class) of the texts in buckets whose members are of two classes or more."""
+    """(bucket, _id, class, small) of the buckets whose members are of two classes or more; small: whether it has SMALL of them at most."""
     labelled = buckets.select("bucket", "_id").join(found.select("_id", "class"), "_id")
-    mixed_ = labelled.groupBy("bucket").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).where("_a <> _b").select("bucket")
-    return labelled.join(mixed_, "bucket", "left_semi").select("_id", "class").distinct()
+    mixed_ = labelled.groupBy("bucket").agg(F.min("class").alias("_a"), F.max("class").alias("_b"), F.count("*").alias("_n")).where("_a <> _b")
+    return labelled.join(mixed_.select("bucket", (F.col("_n") <= SMALL).alias("small")), "bucket")
 
 
 def _small_grams(words: np.ndarray, first: np.ndarray, counts: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -297,22 +299,27 @@ def rare_grams(column: pa.Array, common: np.ndarray, least: float) -> tuple[np.n
 
 
 def word_bits(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts as plain() leaves them: how many words each has, and for each bit of WORDS64 longs whether the words that fall on it
-    are odd in number."""
-    words, _, counts = _words_of(column)
+    """Of texts as plain() leaves them: how many words each has, and for each bit of WORDS64 longs whether the words that fall on it,
+    each labelled with how often it occurred before, are odd in number."""
+    words, first, counts = _words_of(column)
     size = WORDS64 * 64
     bits = np.zeros(len(counts) * size, np.uint8)
-    np.bitwise_xor.at(bits, np.repeat(np.arange(len(counts)), counts) * size + (words % U64(size)).astype(np.int64), 1)
+    if len(words):
+        grams, doc, _ = _kmers(words, first, counts, 1)
+        np.bitwise_xor.at(bits, doc * size + (grams % U64(size)).astype(np.int64), 1)
     return counts, np.packbits(bits).view(np.int64).reshape(len(counts), WORDS64)
 
 
 def _may_be_alike(words: DataFrame, open_: DataFrame, least: float) -> DataFrame:
-    """(_id, leader): pairs of open_ (_id, class) in different classes that share a rare pair or triple of words, if their lengths and words allow a
-    link. words: _id, words."""
+    """(_id, leader): pairs of open_ (bucket, _id, class, small) in different classes that share a small bucket, or are in large ones and
+    share a rare pair or triple of words, if their lengths and words allow a link. words: _id, words."""
     if least < 0.75:
         raise ValueError("pairs and triples of words only bound similarities of 0.75 and more")
-    texts = written(words.join(open_, "_id").select("_id", "class", "words"), "omh-open")
-    common = words.sparkSession.sparkContext.broadcast(_gram_counts(texts, least))  # SLOTS numbers
+    small = open_.where("small").select("_id", "class", F.col("bucket").alias("g"), F.lit(0).cast("long").alias("b"))
+    members = open_.groupBy("_id", "class").agg(F.bool_and("small").alias("small"))
+    texts = written(words.join(members, "_id").select("_id", "class", "words", "small"), "omh-open")
+    large = texts.where("not small").select("_id", "class", "words")
+    common = words.sparkSession.sparkContext.broadcast(_gram_counts(large, least))  # SLOTS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, 1 << 20):
@@ -326,10 +333,10 @@ def _may_be_alike(words: DataFrame, open_: DataFrame, least: float) -> DataFrame
             ends = np.arange(0, bits.size + 1, WORDS64, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(bits.ravel()))], names=["_id", "n", "w"])
 
-    rare = written(texts.mapInArrow(run, "_id bigint, class bigint, g bigint, b bigint"), "omh-rare")
+    rare = written(large.mapInArrow(run, "_id bigint, class bigint, g bigint, b bigint"), "omh-rare")
     shared = rare.groupBy("g").agg(F.min("class").alias("_a"), F.max("class").alias("_z")).where("_a <> _z").select("g")
     told = texts.select("_id", "words").mapInArrow(signs, "_id bigint, n bigint, w array<bigint>")
-    rows = written(rare.join(shared, "g", "left_semi").join(told, "_id"), "omh-shared")
+    rows = written(rare.join(shared, "g", "left_semi").unionByName(small).join(told, "_id"), "omh-shared")
     x, y = rows.alias("x"), rows.alias("y")
     # two texts that share the one before this too have met there
     met = (F.col("x.g") == F.col("y.g")) & (F.col("x._id") > F.col("y._id")) & (F.col("x.class") != F.col("y.class")) & ((F.col("x.b") != F.col("y.b")) | (F.col("x.b") == 0))
