@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import latency
-from tidemark.sources.shared import file_system, new_path
+from tidemark.sources.shared import file_system, new_path, written
 from tidemark.streaming.highlights import finished, highlights, intensity_trace, long_scores
 
 
@@ -40,7 +40,8 @@ def run(scored: DataFrame, questions: list[str], thresholds: dict[str, float], g
 def timeline(scored: DataFrame, found: DataFrame, thresholds: dict[str, float], trace: str | None = None) -> DataFrame:
     """(match, json): what a player of the stream needs, a row a match: its highlights by start, the trace of a score by time, the
     thresholds, and the median and 90th percentile of the latencies. scored: windows with latency_ms; found: their highlights."""
-    scored = scored.withColumn("match", F.col("match").cast("string"))
+    # written, as latencies that are measured anew with every scan don't fit together
+    scored = written(scored.withColumn("match", F.col("match").cast("string")), "timeline")
     by_start = F.array_sort(F.collect_list(F.struct("start", "end", "question", "peak_prob", "peak_wid", "first_latency_ms")))
     out = scored.select("match").distinct().join(found.groupBy("match").agg(by_start.alias("highlights")), "match", "left")
     out = out.join(latency(scored.where("latency_ms is not null"), ["match"], "latency_ms").select("match", F.struct("n", "p50", "p90").alias("latency_ms")), "match", "left")
