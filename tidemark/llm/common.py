@@ -170,6 +170,18 @@ class Rolling:
         return mixed((self._sums[width:] - self._sums[:n]) * self._down[:n]) if n > 0 else np.zeros(0, U64)
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """Fingerprints of ranges of data that rise and don't overlap, in pieces of whole ranges, so that a long text takes no more memory than
+    short ones."""
+    out, at = np.empty(len(starts), U64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + piece, side="right")))
+        base = starts[at]
+        out[at:to] = Rolling(data[base : ends[to - 1]]).of(starts[at:to] - base, ends[at:to] - base)
+        at = to
+    return out
+
+
 def row_keys(df: DataFrame, text: str = "text") -> DataFrame:
     """Columns _d and _t, which name a document by id and text, so that joins stand null and repeated ids."""
     return df.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_t", F.xxhash64(F.col("doc_id"), F.col(text)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Rolling, as_bytes, bounded_batches, load, slices, written
+from tidemark.llm.common import as_bytes, bounded_batches, load, run_hashes, slices, written
 
 K = 20
 #: Bytes of text in one shard (a longer text is a shard of its own), and bytes that are cut into terms at once.
@@ -45,13 +45,7 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first[bounds] = True
     starts = np.flatnonzero(inside[:-1] & (first[:-1] | ~np.concatenate([[False], inside[:-2]]))) if len(data) else np.zeros(0, np.int64)
     ends = np.flatnonzero(inside[:-1] & (first[1:] | ~inside[1:])) + 1 if len(data) else starts
-    hashes, at = np.empty(len(starts), np.uint64), 0
-    while at < len(starts):  # in pieces that end with a term, so that a long text takes no more memory than short ones
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE_BYTES, side="right")))
-        base = starts[at]
-        hashes[at:to] = Rolling(_LOWER[data[base : ends[to - 1]]]).of(starts[at:to] - base, ends[at:to] - base)
-        at = to
-    return hashes, np.searchsorted(bounds, starts, side="right") - 1
+    return run_hashes(_LOWER[data], starts, ends, PIECE_BYTES), np.searchsorted(bounds, starts, side="right") - 1
 
 
 def totals(docs: DataFrame, text: str = "text") -> tuple[int, int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import conversations, decontaminate, langid, lexical, neardup, pieces, quality, secrets, sharding, substrings, tokencounts, warc
+from tidemark.llm import additive, conversations, decontaminate, langid, lexical, neardup, pieces, quality, secrets, sharding, substrings, tokencounts, warc
 
 QUERIES = {
     "op1_suffix_array": substrings.op1_suffix_array,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_quality_classifier": additive.op11_quality_classifier,
     "op12_lexical_search": lexical.op12_lexical_search,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
