@@ -1,4 +1,6 @@
 import json
+import os
+import threading
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -53,7 +55,7 @@ def test_upsert_and_frozen(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "idx int, v string, ts int")
     sinks.save_upsert(spark, rows((1, "a", 1), (2, "b", 5)), path, ["idx"])
     sinks.save_upsert(spark, rows((1, "c", 1), (2, "old", 4), (3, "d", 1)), path, ["idx"])
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "c", 1), (2, "b", 5), (3, "d", 1)]
+    assert sorted(tuple(r) for r in sinks.read_upsert(spark, path).collect()) == [(1, "c", 1), (2, "b", 5), (3, "d", 1)]
     sinks.write_table(rows((1, "a", 1), (1, "b", 2)), str(tmp_path / "f"), ["v"], frozen=True)
     with pytest.raises(AnalysisException):
         sinks.write_table(rows((1, "a", 1)), str(tmp_path / "f"), ["v"], frozen=True)
@@ -115,10 +117,53 @@ def test_dataset_packs_and_align(spark, tmp_path):
     assert json.loads(got) == {"1": {"offset": 3.0}, "2": {"offset": 5.0}}
 
 
-def test_a_save_that_died_between_its_renames(spark, tmp_path):
+def test_a_table_is_never_missing_while_it_is_written(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame(list(x), "idx int, v string, ts int")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_upsert(spark, path)
+    sinks.save_upsert(spark, rows((1, "a", 0)), path, ["idx"])
+    seen, stop = [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            seen.append([tuple(r) for r in sinks.read_upsert(spark, path).collect()])
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for k in range(1, 6):
+        sinks.save_upsert(spark, rows((1, f"v{k}", k)), path, ["idx"])
+    stop.set()
+    reader.join()
+    assert seen and all(len(x) == 1 for x in seen) and [x[0][2] for x in seen] == sorted(x[0][2] for x in seen)
+    assert [tuple(r) for r in sinks.read_upsert(spark, path).collect()] == [(1, "v5", 5)]
+    assert len([n for n in os.listdir(path) if n.startswith("version")]) == sinks.KEPT_VERSIONS
+
+
+def test_a_writer_that_dies_and_two_at_once(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = lambda *x: spark.createDataFrame(list(x), "idx int, v string, ts int")
     sinks.save_upsert(spark, rows((1, "a", 1)), path, ["idx"])
-    (tmp_path / "t").rename(tmp_path / "t.old-x")
-    sinks.save_upsert(spark, rows((2, "b", 1)), path, ["idx"])
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a", 1), (2, "b", 1)]
+
+    def dies(old):
+        old.write.parquet(f"{path}/version-0000000002-half")
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        sinks.save_version(spark, path, dies)
+    first = []
+
+    def overtaken(old):
+        if not first:
+            first.append(sinks.save_upsert(spark, rows((2, "b", 1)), path, ["idx"]))
+        return sinks.upsert_latest(old, rows((3, "c", 1)), ["idx"])
+
+    assert sinks.save_version(spark, path, overtaken)
+    assert sorted(tuple(r) for r in sinks.read_upsert(spark, path).collect()) == [(1, "a", 1), (2, "b", 1), (3, "c", 1)]
+
+
+def test_batches_that_come_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame(list(x), "idx int, v string, ts int")
+    assert [sinks.save_upsert(spark, rows((1, f"v{b}", n)), path, ["idx"], batch=b) for n, b in enumerate((0, 0, 1, 0, 1))] == [True, False, True, False, False]
+    assert [r["v"] for r in sinks.read_upsert(spark, path).collect()] == ["v1"]

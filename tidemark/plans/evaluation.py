@@ -12,6 +12,8 @@ from tidemark.plans import bindings as b
 from tidemark.plans import sql as s
 from tidemark.plans.streams import _FOLD, _POS, _positives
 from tidemark.sources.shared import written
+from tidemark.streaming import paced, replay, scoring
+from tidemark.streaming.progress import Progress
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -293,30 +295,58 @@ def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STREAM = f"""{s.SCORED}, {s.HITS}, pos AS (SELECT match, 'goal' AS question, start, "end", least(1.0, goal / 40) AS prob FROM h WHERE least(1.0, goal / 40) >= 0.5), {_FOLD.format(pos='q0 AS (SELECT 1)', gap=30, cap=120)}"""
 
 
-def _scored(spark, sf_dir, *more: str):
-    h = text.rule_hits(b.scored_windows(spark, sf_dir).select("match", "doc_id", "start", "end", "text"), rules={"goal": b.RULES["goal"]})
-    return h.select("match", F.col("doc_id").cast("string").alias("wid"), "start", "end", F.least(F.lit(1.0), F.col("goal") / 40).alias("goal"), *more)
+_RULE, _OVER, _AT = {"goal": b.RULES["goal"]}, {"goal": 40}, {"goal": 0.5}
+
+
+def _windows(spark, sf_dir):
+    return b.scored_windows(spark, sf_dir).select("match", F.col("doc_id").cast("string").alias("wid"), "start", "end", "text")
+
+
+def _scored(spark, sf_dir):
+    return scoring.keyword_scores(_windows(spark, sf_dir), _RULE, _OVER).drop("text")
 
 
 @query(f"""WITH {_STREAM} SELECT match, question, start, "end", round(prob, 4) AS peak_prob FROM trg""")
 def stream_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored windows replayed as a stream, with state for each match and question; the batch fold gives the same rows."""
-    from tidemark.streaming import replay
+    """Windows replayed as a stream and scored in it by rules, with state for each match and question; the batch fold gives the same
+    rows."""
+    found = replay.run(_windows(spark, sf_dir), ["goal"], _AT, score=lambda w: scoring.keyword_scores(w, _RULE, _OVER))
+    return found.select("match", "question", "start", "end", "peak_prob")
+
+
+@query(f"""WITH {_STREAM} SELECT match, question, start, "end", round(prob, 4) AS peak_prob FROM trg""")
+def stream_saved_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As stream_highlights, with predictions saved before and joined to each batch of the stream."""
+    saved = written(_scored(spark, sf_dir).select("wid", "goal"), "saved-scores")
+    found = replay.run(_windows(spark, sf_dir).drop("text"), ["goal"], _AT, score=lambda w: scoring.saved_scores(w, saved, ["goal"]))
+    return found.select("match", "question", "start", "end", "peak_prob")
+
+
+@query(f"""WITH {s.SCORED} SELECT count(*) + 1 AS rows, true AS batches, true AS timed, true AS settled FROM sw""")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batches of a replay reported: all rows, and the one that ends it; several batches, their times, and state that is empty in
+    the end but for what waits for that last row."""
+    with Progress(spark) as seen:
+        replay.run(_windows(spark, sf_dir), ["goal"], _AT, score=lambda w: scoring.keyword_scores(w, _RULE, _OVER), name="stream_progress")
+    batches, took = seen.batches().where("query = 'stream_progress'"), seen.latencies().where("query = 'stream_progress'")
+    sums = batches.agg(F.sum("rows").alias("rows"), (F.count("*") > 1).alias("batches"), (F.max_by("state_rows", "batch") <= 4).alias("settled"))
+    return sums.join(F.broadcast(took.select((F.col("p50") > 0).alias("timed"))), how="cross")  # a row each
+
 
-    return replay.run(_scored(spark, sf_dir), ["goal"], {"goal": 0.5}).select("match", "question", "start", "end", "peak_prob")
+@query(f"""WITH {s.SCORED} SELECT match, CAST(doc_id AS VARCHAR) AS wid, start, "end" FROM sw""")
+def paced_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows, handed out in the order of time at a thousand times their speed."""
+    rows = _windows(spark, sf_dir).drop("text")
+    top = paced.lay_out(rows, "paced", step=600.0)
+    return replay.collected(paced.stream(spark, top, rows, speed=1000.0, step=600.0), top)
 
 
 @query(f"""WITH {_STREAM}, n AS (SELECT match, count(*) AS n_highlights, round(sum("end" - start), 3) AS seconds FROM trg GROUP BY match), w AS (SELECT match, count(*) AS n_windows, round(max("end"), 3) AS last_t, round(sum(least(1.0, goal / 40)), 6) AS trace_sum FROM h GROUP BY match)
 SELECT w.match, coalesce(n_highlights, 0) AS n_highlights, coalesce(seconds, 0.0) AS seconds, n_windows, last_t, trace_sum, 0.5::DOUBLE AS threshold, true AS timed FROM w LEFT JOIN n ON n.match = w.match""")
 def stream_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The timeline of each match, read back from its JSON: highlights, trace, thresholds, and latencies, which differ from run to run, so
-    only that there are any, and of every window, is compared."""
-    from tidemark.streaming import replay, scoring
-
-    w = b.scored_windows(spark, sf_dir).select("match", F.col("doc_id").cast("string").alias("wid"), "start", "end", "text")
-    scored = scoring.score(w, lambda: scoring.KeywordScorer({"goal": b.RULES["goal"]}, {"goal": 40}), ["goal"]).drop("text")
-    scored = written(scored, "timeline-scores")
-    lines = replay.timeline(scored, replay.run(scored, ["goal"], {"goal": 0.5}), {"goal": 0.5}, "goal")
+    """The timeline of each match as the stream left it, read back from its JSON: highlights, trace, thresholds, and latencies, which
+    differ from run to run, so only that there are any, and of every window, is compared. The scorer runs in the stream."""
+    lines = replay.timeline(_windows(spark, sf_dir), ["goal"], _AT, "goal", score=lambda w: scoring.score(w, lambda: scoring.KeywordScorer(_RULE, _OVER), ["goal"]))
     shape = "highlights array<struct<start:double,end:double>>, trace array<struct<t:double,score:double>>, thresholds map<string,double>, latency_ms struct<n:bigint,p50:double,p90:double>"
     j = lines.select("match", F.from_json("json", shape).alias("j")).select("match", "j.*")
     n = F.size("trace").cast("long")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.sampling import shuffled
-from tidemark.sources.readers import exists
-from tidemark.sources.shared import file_system
+from tidemark.sources.shared import content, file_system, names, publish
 
 
 def write_table(df: DataFrame, path: str, by: list[str], frozen: bool = False) -> None:
@@ -34,30 +35,90 @@ def upsert_latest(old: DataFrame, new: DataFrame, key: list[str], at: str = "ts"
     return best.select(*key, *[F.col("_r")[c].alias(c) for c in rest])
 
 
-def _take_back(spark: SparkSession, path: str) -> None:
-    """If a save died between its renames, the table is where it was put aside."""
+#: Versions that a table keeps, so that readers of an older one may finish.
+KEPT_VERSIONS = 3
+
+
+def _current(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """The number of a table's newest version (0: none) and what its pointer says. A pointer is put in place by one rename and never
+    changed, so there is always one to read."""
+    found = [n for n in names(spark, f"{path}/_current") if n.isdigit()]
+    return (int(found[-1]), json.loads(content(spark, f"{path}/_current/{found[-1]}"))) if found else (0, {})
+
+
+def read_upsert(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table that save_upsert writes."""
+    number, pointer = _current(spark, path)
+    if not number:
+        raise FileNotFoundError(f"no version of {path}")
+    return spark.read.parquet(f"{path}/{pointer['folder']}")
+
+
+def save_version(spark: SparkSession, path: str, make: Callable[[DataFrame | None], DataFrame], batch: int | None = None) -> bool:
+    """A new version of a table, made of the old one (None: there is none) and written beside it; then a pointer to it. Readers see either,
+    whole, at any time, and a writer that dies leaves the old one. Of two writers at once the later one makes it again. A batch number
+    that isn't above the last one changes nothing and gives False, so that a batch may come twice."""
+    while True:
+        number, pointer = _current(spark, path)
+        last = pointer.get("batch")
+        if batch is not None and last is not None and batch <= last:
+            return False
+        folder = f"version-{number + 1:010d}-{uuid.uuid4().hex[:12]}"
+        make(spark.read.parquet(f"{path}/{pointer['folder']}") if number else None).write.parquet(f"{path}/{folder}")
+        if publish(spark, f"{path}/_current/{number + 1:010d}", json.dumps({"folder": folder, "batch": last if batch is None else batch})):
+            break
+        _delete(spark, f"{path}/{folder}")
+    for name in names(spark, path):
+        if name.startswith("version-") and int(name.split("-")[1]) <= number + 1 - KEPT_VERSIONS:
+            _delete(spark, f"{path}/{name}")
+    for name in names(spark, f"{path}/_current"):
+        if name.isdigit() and int(name) <= number + 1 - KEPT_VERSIONS:
+            _delete(spark, f"{path}/_current/{name}")
+    return True
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     store, at = file_system(spark, path)
-    left = store.globStatus(file_system(spark, f"{path}.old-*")[1])
-    if not store.exists(at) and left:
-        store.rename(left[0].getPath(), at)
-
-
-def save_upsert(spark: SparkSession, new: DataFrame, path: str, key: list[str], at: str = "ts") -> None:
-    """upsert_latest into a table by one writer: written beside it, then swapped in by two renames, so readers never see half of it. Between
-    the two there is no table for a moment; a writer that dies there leaves the old one aside, and the next save takes it back."""
-    _take_back(spark, path)
-    merged = upsert_latest(spark.read.parquet(path), new, key, at) if exists(spark, path) else upsert_latest(new.limit(0), new, key, at)
-    fresh, aside = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    merged.write.parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    at_ = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    store = at_(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    had = store.exists(at_(path))
-    if had:
-        store.rename(at_(path), at_(aside))
-    store.rename(at_(fresh), at_(path))
-    if had:
-        store.delete(at_(aside), True)
+    store.delete(at, True)
+
+
+def save_upsert(spark: SparkSession, new: DataFrame, path: str, key: list[str], at: str = "ts", batch: int | None = None) -> bool:
+    """upsert_latest into a table, as a new version of it (see save_version)."""
+    return save_version(spark, path, lambda old: upsert_latest(new.limit(0) if old is None else old, new, key, at), batch)
+
+
+_TIMELINE = "match string, highlights array<struct<start:double,end:double,question:string,peak_prob:double,peak_wid:string,first_latency_ms:double>>, trace array<struct<t:double,score:double,ms:double>>"
+
+
+class TimelineSink:
+    """For foreachBatch: what a player of a stream needs, a row a match that grows with every batch of rows as streaming.highlights
+    gives them. A batch that comes twice, or late after a restart, changes nothing."""
+
+    def __init__(self, path: str, thresholds: dict[str, float]):
+        self.path, self.thresholds = path, thresholds
+
+    def take(self, rows: DataFrame, batch: int) -> None:
+        highlight = F.when(F.col("kind") == "highlight", F.struct("start", "end", "question", "peak_prob", "peak_wid", "first_latency_ms"))
+        trace = F.when(F.col("kind") == "trace", F.struct(F.col("end").alias("t"), F.col("peak_prob").alias("score"), F.col("first_latency_ms").alias("ms")))
+        new = rows.groupBy("match").agg(F.collect_list(highlight).alias("highlights"), F.collect_list(trace).alias("trace"))
+
+        def grown(old: DataFrame | None) -> DataFrame:
+            both = new if old is None else old.unionByName(new)
+            return both.groupBy("match").agg(*[F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("highlights", "trace")])
+
+        save_version(rows.sparkSession, self.path, grown, batch)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """(match, json) so far: highlights by start, the traced scores by time, thresholds, and n, median and 90th percentile (the value
+        at place int(0.9 n)) of the windows' latencies; no latency_ms without one."""
+        table = read_upsert(spark, self.path) if _current(spark, self.path)[0] else spark.createDataFrame([], _TIMELINE)
+        ms = F.sort_array(F.filter(F.transform("trace", lambda x: x["ms"]), lambda x: x.isNotNull()))
+        n = F.size("_ms")
+        median = (F.get("_ms", F.floor((n - 1) / 2).cast("int")) + F.get("_ms", F.floor(n / 2).cast("int"))) / 2
+        timed = F.when(n > 0, F.struct(n.alias("n"), median.alias("p50"), F.get("_ms", F.floor(n * 0.9).cast("int") - 1).alias("p90")))
+        told = F.create_map(*[F.lit(v) for q, t in self.thresholds.items() for v in (q, float(t))])
+        trace = F.transform("trace", lambda x: F.struct(x["t"].alias("t"), x["score"].alias("score")))
+        return table.withColumn("_ms", ms).select("match", F.to_json(F.struct("highlights", trace.alias("trace"), timed.alias("latency_ms"), told.alias("thresholds"))).alias("json"))
 
 
 def blind(items: DataFrame, allowed=("idx", "wid", "question", "clock", "prev_text", "text", "start", "end", "t")) -> DataFrame:

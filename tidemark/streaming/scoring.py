@@ -51,3 +51,10 @@ def keyword_scores(windows: DataFrame, rules: dict[str, str], thresholds: dict[s
     """What score() gives with a KeywordScorer, by built-in functions and without a latency."""
     hits = rule_hits(windows, rules=rules)
     return hits.select(*windows.columns, *[F.least(F.lit(1.0), F.col(q) / max(1, thresholds[q])).alias(q) for q in rules])
+
+
+def saved_scores(windows: DataFrame, predictions: DataFrame, questions: list[str]) -> DataFrame:
+    """windows, a stream or not, with the saved scores of their wid (predictions: wid and a column a question); a window without one
+    has null scores, which are never positive. Predictions are a static side: a stream joins each batch to them."""
+    kept = [c for c in windows.columns if c not in questions]
+    return windows.select(*kept).join(predictions.select("wid", *[F.col(q).cast("double").alias(q) for q in questions]), "wid", "left").select(*kept, *questions)
