@@ -17,7 +17,10 @@ KINDS = {"goal": "goal", "own_goal": "goal", "corner": "corner", "shot": "shot",
 
 def cue_table(spark: SparkSession, cues=CUES) -> DataFrame:
     """(cue, kind, place, lag, cap, weight), a handful of rows; place is the order among cues of a kind."""
-    return spark.createDataFrame([(c, k, i, float(lag), float(cap), float(w)) for i, (c, k, _, lag, cap, w) in enumerate(cues)], "cue string, kind string, place int, lag double, cap double, weight double")
+    told = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else f"{float(v)!r}D"
+    rows = ", ".join(f"({told(c)}, {told(k)}, {i}, {told(lag)}, {told(cap)}, {told(w)})" for i, (c, k, _, lag, cap, w) in enumerate(cues))
+    # values in the plan, so that no task runs for them
+    return spark.sql(f"SELECT cue, kind, place, lag, cap, weight FROM VALUES {rows} AS c(cue, kind, place, lag, cap, weight)")
 
 
 def anchors_of(events: DataFrame) -> DataFrame:
@@ -29,14 +32,15 @@ def anchors_of(events: DataFrame) -> DataFrame:
 
 def nearest(points: DataFrame, targets: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     """points (keys, id, t, ...) with near: the closest target time of the same keys, the earlier of equals, null without any.
-    Both sides are sorted together once, and each point looks to the last target before it and the first after it."""
+    Both sides are sorted together, and each point looks to the last target before it and, the other way round, to that after it."""
     extra = [c for c in points.columns if c not in keys]
     both = points.select(*keys, F.struct(*extra).alias("p"), F.col(t).alias("_t"), F.lit(None).cast("double").alias("_h")).unionByName(
         targets.select(*keys, F.lit(None).cast(points.select(F.struct(*extra).alias("p")).schema["p"].dataType).alias("p"), F.col("t").alias("_t"), F.col("t").alias("_h"))
     )
     w = Window.partitionBy(*keys).orderBy("_t", F.col("_h").isNull())
     lo = F.last("_h", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first("_h", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.col("_h").isNull())
+    hi = F.last("_h", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     met = both.withColumn("_lo", lo).withColumn("_hi", hi).where("p is not null")
     near = F.when(F.col("_hi").isNull() | (F.col("_t") - F.col("_lo") <= F.col("_hi") - F.col("_t")), F.col("_lo")).otherwise(F.col("_hi"))
     return met.select(*keys, "p.*", near.alias("near"))
@@ -54,8 +58,97 @@ def best_match(anchors: DataFrame, hits: DataFrame, cues: DataFrame, id_cols: li
     return best.select("match", *id_cols, "kind", "t", "offset", F.col("b.cost").alias("cost"), F.col("b.d").alias("residual"))
 
 
+def cost_curve(hits: DataFrame, cues: DataFrame) -> DataFrame:
+    """(match, kind, x, cost, slope): what an anchor of a kind costs whose event time plus offset is x: a line from each x to the next,
+    and the least weight times cap of the kind's cues before the first x and after the last. It depends on cues alone, so all anchors
+    and offsets share it.
+
+    Of one cue the cost is the distance to the nearest hit, up to the cap: lines that bend at hits, at the middle between two, or where
+    the cap is reached. Of several it is the least of them, which also bends where two of them cross.
+    """
+    keys = ["match", "kind", "cue"]
+    p = hits.join(F.broadcast(cues), "cue").select(*keys, "cap", "weight", (F.col("t") - F.col("lag")).alias("p"))  # the cue table
+    # dealt out once: all that follows is by match and kind, or more; it is work, not bytes, so a number that isn't made smaller
+    p = p.repartition(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), "match", "kind").distinct()
+    w = Window.partitionBy(*keys).orderBy("p")
+    p = p.withColumn("_next", F.lead("p").over(w)).withColumn("_first", F.lag("p").over(w).isNull())
+    cap, top, gap = F.col("cap"), F.col("weight") * F.col("cap"), F.col("_next") - F.col("p")
+    knot = lambda x, v: F.struct(x.alias("x"), v.cast("double").alias("v"))
+    bends = F.array(
+        F.when(F.col("_first"), knot(F.col("p") - cap, top)),
+        knot(F.col("p"), F.lit(0.0)),
+        F.when(gap.isNull() | (gap > 2 * cap), knot(F.col("p") + cap, top)),
+        F.when(gap > 2 * cap, knot(F.col("_next") - cap, top)),
+        F.when(gap <= 2 * cap, knot((F.col("p") + F.col("_next")) / 2, F.col("weight") * gap / 2)),
+    )
+    knots = p.select(*keys, F.explode(F.array_compact(bends)).alias("k")).select(*keys, "k.x", "k.v")
+    # every cue of a kind at every bend of the kind: on the line between its own bends around it
+    asked = knots.select("match", "kind", "x").distinct().join(F.broadcast(cues.select("kind", "cue")), "kind").select(*keys, "x", F.lit(None).cast("double").alias("v"))
+    w = Window.partitionBy(*keys).orderBy("x", F.col("v").isNull())
+    back = Window.partitionBy(*keys).orderBy(F.desc("x"), F.col("v").isNull())  # frames to the end are read anew for each row, so the other way round
+    own = F.when(F.col("v").isNotNull(), F.struct("x", "v"))
+    both = knots.unionByName(asked).withColumn("_a", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last(own, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    part = F.when(F.col("_b.x") > F.col("_a.x"), (F.col("x") - F.col("_a.x")) / (F.col("_b.x") - F.col("_a.x"))).otherwise(0.0)
+    at = both.where("v is null").join(F.broadcast(cues.select("cue", (F.col("weight") * F.col("cap")).alias("_top"), "place")), "cue")
+    at = at.withColumn("_v", F.when(F.col("_a.x") == F.col("x"), F.col("_a.v")).otherwise(F.coalesce(F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * part, F.col("_top"))))
+    lines = at.groupBy("match", "kind", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "_v"))), lambda c: c["_v"]).alias("vs"))  # a value a cue
+    w = Window.partitionBy("match", "kind").orderBy("x")
+    lines = lines.withColumn("_x", F.lead("x").over(w)).withColumn("_vs", F.lead("vs").over(w))
+    span = F.sequence(F.lit(0), F.size("vs") - 1)
+    less = lambda i, j, c: F.get(F.col(c), i) - F.get(F.col(c), j)
+    crossed = F.flatten(F.transform(span, lambda i: F.transform(F.filter(span, lambda j: (j > i) & (less(i, j, "vs") * less(i, j, "_vs") < 0)), lambda j: less(i, j, "vs") / (less(i, j, "vs") - less(i, j, "_vs")))))
+    there = lambda s: F.array_min(F.zip_with("vs", "_vs", lambda a, b: a + s * (b - a)))
+    points = F.concat(F.array(knot(F.col("x"), F.array_min("vs"))), F.coalesce(F.transform(crossed, lambda s: knot(F.col("x") + s * (F.col("_x") - F.col("x")), there(s))), F.array().cast("array<struct<x:double,v:double>>")))
+    curve = lines.select("match", "kind", F.explode(points).alias("k")).select("match", "kind", "k.x", F.col("k.v").alias("cost")).groupBy("match", "kind", "x").agg(F.min("cost").alias("cost"))
+    return curve.withColumn("slope", F.coalesce((F.lead("cost").over(w) - F.col("cost")) / (F.lead("x").over(w) - F.col("x")), F.lit(0.0)))
+
+
+def grid_costs(anchors: DataFrame, hits: DataFrame, cues: DataFrame, search: DataFrame, keys: list[str], step: float = 1.0, cell: float = 600.0) -> DataFrame:
+    """(keys, offset, cost) over the grid of search (match, period, center, radius), the costs summed over the anchors of a key: match and
+    period, or an anchor of its own.
+
+    Each bend of an anchor's curve is two numbers on the grid, second differences of its costs; summed over anchors, they are added up
+    twice along the grid. So work goes with anchors times bends and with offsets, and nothing is sorted for anchors times offsets.
+    Sums differ from those of best_match in the last places.
+    """
+    curve = written(cost_curve(hits, cues), "cost-curve")  # some three rows a hit
+    lo, n = F.col("center") - F.col("radius"), F.floor(2 * F.col("radius") / step).cast("int")
+    base = anchors.join(search, ["match", "period"]).select(*dict.fromkeys([*keys, "match", "kind"]), lo.alias("_lo"), n.alias("_n"), (lo + F.col("t")).alias("_x"))
+    # cost and slope where the grid begins: on the line of the last bend before
+    w = Window.partitionBy("match", "kind")
+    bend = F.struct("x", "cost", "slope")
+    rows = base.select("*", F.lit(None).cast("struct<x:double,cost:double,slope:double>").alias("_c"), F.col("_x").alias("_at")).unionByName(curve.select("match", "kind", bend.alias("_c"), F.col("x").alias("_at")), allowMissingColumns=True)
+    before = F.last("_c", ignorenulls=True).over(w.orderBy("_at", F.col("_c").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    least = cues.groupBy("kind").agg(F.min(F.col("weight") * F.col("cap")).alias("_least"))
+    begun = rows.withColumn("_b", before).where("_c is null").join(F.broadcast(least), "kind")
+    begun = begun.select(*keys, "_lo", "_n", F.coalesce(F.col("_b.cost") + F.col("_b.slope") * (F.col("_x") - F.col("_b.x")), F.col("_least")).alias("_f"), F.coalesce(F.col("_b.slope"), F.lit(0.0)).alias("_s"))
+    starts = begun.groupBy(*keys).agg(F.min("_lo").alias("_lo"), F.min("_n").alias("_n"), F.sum("_f").alias("_f"), F.sum("_s").alias("_s"))
+    grid = starts.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("i"), "_lo", "_f", "_s", F.lit(0.0).alias("dd"))
+    # bends inside the grid
+    turn = curve.withColumn("_d", F.col("slope") - F.coalesce(F.lag("slope").over(w.orderBy("x")), F.lit(0.0))).where("_d <> 0").select("match", "kind", "x", "_d", F.floor(F.col("x") / cell).alias("_cell"))
+    near = base.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_x") / cell), F.floor((F.col("_x") + F.col("_n") * step) / cell))))
+    met = near.join(turn, ["match", "kind", "_cell"]).where("x > _x").withColumn("_u", (F.col("x") - F.col("_x")) / step)
+    at = F.floor("_u").cast("int")
+    two = F.array(F.struct((at + 1).alias("i"), (F.col("_d") * step * (1 - F.col("_u") + at)).alias("dd")), F.struct((at + 2).alias("i"), (F.col("_d") * step * (F.col("_u") - at)).alias("dd")))
+    turns = met.select(*keys, "_n", F.explode(two).alias("k")).where("k.i <= _n").select(*keys, "k.i", "k.dd")
+    sums = grid.unionByName(turns, allowMissingColumns=True).groupBy(*keys, "i").agg(F.sum("dd").alias("dd"), F.max("_lo").alias("_lo"), F.max("_f").alias("_f"), F.max("_s").alias("_s"))
+    along = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("_r", F.sum("dd").over(along)).withColumn("_r", F.sum("_r").over(along))
+    return sums.select(*keys, (F.col("_lo") + F.col("i") * step).alias("offset"), (F.col("_f") + F.col("i") * step * F.col("_s") + F.col("_r")).alias("cost"))
+
+
+#: On a grid, costs that close to the least count as equal to it: sums along it may be off by less.
+_CLOSE = 1e-6
+
+
+def _first_low(costs: DataFrame, keys: list[str], cost: str) -> DataFrame:
+    """(keys, _o): the smallest offset whose cost is the least, or as good as."""
+    least = costs.groupBy(*keys).agg(F.min(cost).alias("_m"))
+    return costs.join(least, keys).where(F.col(cost) <= F.col("_m") + _CLOSE).groupBy(*keys).agg(F.min("offset").alias("_o"))
+
+
 def _own_costs(anchors: DataFrame, hits: DataFrame, cues: DataFrame, grid: Column) -> DataFrame:
-    """Cost of each anchor at each offset of its period's grid."""
+    """Cost of each anchor at each offset of its period's array."""
     spread = anchors.withColumn("offset", F.explode(grid))
     return best_match(spread, hits, cues, ["period", "anchor"]).select("match", "period", "anchor", "offset", "cost")
 
@@ -67,20 +160,14 @@ def _lowest(costs: DataFrame) -> DataFrame:
     return sums.groupBy("match", "period").agg(F.min(F.struct(F.round("cost", 9).alias("c"), "offset")).alias("b")).select("match", "period", F.col("b.offset").alias("offset"), F.col("b.c").alias("cost"))
 
 
-def _grid(step: float) -> Column:
-    n = F.floor(2 * F.col("radius") / step).cast("int")
-    return F.transform(F.sequence(F.lit(0), n), lambda i: F.col("center") - F.col("radius") + i * step)
-
-
 def offset_costs(anchors: DataFrame, hits: DataFrame, cues: DataFrame, search: DataFrame, step: float = 1.0) -> DataFrame:
     """(match, period, offset, cost) over the grid of search (match, period, center, radius)."""
-    costs = _own_costs(anchors.join(search, ["match", "period"]), hits, cues, _grid(step))
-    return costs.groupBy("match", "period", "offset").agg(F.sum("cost").alias("cost"))
+    return grid_costs(anchors, hits, cues, search, ["match", "period"], step)
 
 
 def fit_offset(anchors: DataFrame, hits: DataFrame, cues: DataFrame, search: DataFrame, step: float = 1.0) -> DataFrame:
     """(match, period, offset, cost): the best of a grid, and then of nine places a quarter of a second apart around it."""
-    coarse = _lowest(offset_costs(anchors, hits, cues, search, step)).select("match", "period", F.col("offset").alias("_o"))
+    coarse = _first_low(offset_costs(anchors, hits, cues, search, step), ["match", "period"], "cost")
     fine = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.col("_o") - step + 0.25 * i)
     return _lowest(_own_costs(anchors.join(coarse, ["match", "period"]), hits, cues, fine))
 
@@ -88,25 +175,22 @@ def fit_offset(anchors: DataFrame, hits: DataFrame, cues: DataFrame, search: Dat
 def loo_residuals(anchors: DataFrame, hits: DataFrame, cues: DataFrame, fitted: DataFrame, radius: float = 120.0, step: float = 1.0) -> DataFrame:
     """(match, period, anchor, kind, t, fit_residual, loo_residual, loo_offset): each anchor against the offset of its period and
     against one fitted without it. A cost is a sum over anchors, so leaving one out is a subtraction, not another fit."""
-    of = fitted.select("match", "period", F.col("offset").alias("center"))
-    base = anchors.join(of, ["match", "period"]).withColumn("radius", F.lit(radius))
-
-    def without(costs: DataFrame) -> DataFrame:
-        total = costs.groupBy("match", "period", "offset").agg(F.sum("cost").alias("total"), F.count("*").alias("n"))
-        return costs.join(total, ["match", "period", "offset"]).withColumn("rest", F.round(F.col("total") - F.col("cost"), 9))
-
-    def lowest(rest: DataFrame) -> DataFrame:
-        return rest.groupBy("match", "period", "anchor").agg(F.min(F.struct("rest", "offset")).alias("b"), F.max("n").alias("n")).select("match", "period", "anchor", F.col("b.offset").alias("_o"), "n")
+    of = written(fitted.select("match", "period", F.col("offset").alias("center")), "fitted")
+    base = anchors.join(of, ["match", "period"])
+    one = ["match", "period", "anchor"]
 
-    coarse = lowest(without(_own_costs(base, hits, cues, _grid(step))))
+    own = grid_costs(anchors, hits, cues, of.withColumn("radius", F.lit(radius)), one, step)
+    rest = own.withColumn("rest", F.sum("cost").over(Window.partitionBy("match", "period", "offset")) - F.col("cost"))
+    coarse = _first_low(rest, one, "rest")
     # in the fine pass every anchor has a grid of its own, at which all anchors of the period are weighed
-    fine = coarse.select("match", "period", F.col("anchor").alias("left_out"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.col("_o") - step + 0.25 * i)).alias("offset"))
+    fine = written(coarse.select(*one, F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.col("_o") - step + 0.25 * i)).alias("offset")), "left-out")
     offsets = fine.select("match", "period", "offset").distinct()
-    costs = best_match(anchors.join(offsets, ["match", "period"]), hits, cues, ["period", "anchor"])
-    rest = without(costs.select("match", "period", "anchor", "offset", "cost")).withColumnRenamed("anchor", "left_out").join(fine, ["match", "period", "left_out", "offset"])
-    loo = rest.groupBy("match", "period", "left_out").agg(F.min(F.struct("rest", "offset")).alias("b"), F.max("n").alias("n"))
-    loo = loo.join(of, ["match", "period"]).select("match", "period", F.col("left_out").alias("anchor"), F.when(F.col("n") > 1, F.col("b.offset")).otherwise(F.col("center")).alias("loo_offset"))
-    at_fit = best_match(base.withColumn("offset", F.col("center")).drop("center", "radius"), hits, cues, ["period", "anchor"])
+    costs = best_match(anchors.join(offsets, ["match", "period"]), hits, cues, ["period", "anchor"]).select(*one, "offset", "cost")
+    costs = costs.withColumn("rest", F.round(F.sum("cost").over(Window.partitionBy("match", "period", "offset")) - F.col("cost"), 9))
+    best = fine.join(costs, [*one, "offset"]).groupBy(*one).agg(F.min(F.struct("rest", "offset")).alias("b")).select(*one, F.col("b.offset").alias("_o"))
+    alone = anchors.groupBy("match", "period").agg((F.count("*") == 1).alias("_alone"))
+    loo = best.join(of, ["match", "period"]).join(alone, ["match", "period"]).select(*one, F.when(F.col("_alone"), F.col("center")).otherwise(F.col("_o")).alias("loo_offset"))
+    at_fit = best_match(base.withColumn("offset", F.col("center")).drop("center"), hits, cues, ["period", "anchor"])
     at_loo = best_match(anchors.join(loo, ["match", "period", "anchor"]).withColumnRenamed("loo_offset", "offset"), hits, cues, ["period", "anchor"])
     fit = at_fit.select("match", "period", "anchor", "kind", "t", F.round("residual", 2).alias("fit_residual"))
     return fit.join(at_loo.select("match", "period", "anchor", F.round("residual", 2).alias("loo_residual"), F.col("offset").alias("loo_offset")), ["match", "period", "anchor"])

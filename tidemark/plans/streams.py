@@ -9,6 +9,7 @@ from tidemark.functions import scalar
 from tidemark.operators import align, events, text, triggers, windows
 from tidemark.plans import bindings as b
 from tidemark.plans import sql as s
+from tidemark.sources.shared import written
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -303,6 +304,11 @@ def _anchors(spark, sf_dir):
     return c.select(F.col("conv_id").alias("match"), F.lit(1).alias("period"), F.col("turn").cast("int").alias("anchor"), kind.alias("kind"), (F.col("turn") * 60.0 - 90.0).alias("t"))
 
 
+def _hits(spark, sf_dir):
+    """Cue hits, as a table: a fit reads them several times."""
+    return written(text.cue_hits(b.words(spark, sf_dir), b.CUES), "cue-hits")
+
+
 _CUE = r"""cu AS (SELECT * FROM (VALUES ('the_call', 'goal', 0, 2.0::DOUBLE, 30.0::DOUBLE, 5.0::DOUBLE), ('of_call', 'goal', 1, 20.0, 30.0, 5.0), ('and_call', 'corner', 2, -12.0, 40.0, 1.0), ('in_call', 'shot', 3, 1.0, 12.0, 1.0)) q(cue, kind, place, lag, cap, weight)),
 an AS (SELECT conv_id AS match, CAST(turn AS INT) AS anchor, CASE turn % 3 WHEN 0 THEN 'goal' WHEN 1 THEN 'corner' ELSE 'shot' END AS kind, turn * 60.0::DOUBLE - 90.0::DOUBLE AS t FROM conversations)"""
 _HIT = "ch AS (" + ORACLE["cue_hits"].replace("WITH ", "WITH ", 1) + ")"
@@ -325,20 +331,20 @@ _COST = _costs()
 @query(f"""WITH {_HIT}, {_CUE}, gr AS (SELECT match, anchor, kind, t, 85.0::DOUBLE AS o FROM an), {_COST} SELECT match, anchor, round(cost, 6) AS cost, round(residual, 6) AS residual FROM bm""")
 def nearest_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best cue of every anchor at an offset of 85 s."""
-    found = align.best_match(_anchors(spark, sf_dir).withColumn("offset", F.lit(85.0)), text.cue_hits(b.words(spark, sf_dir), b.CUES), align.cue_table(spark, b.CUES), ["period", "anchor"])
+    found = align.best_match(_anchors(spark, sf_dir).withColumn("offset", F.lit(85.0)), _hits(spark, sf_dir), align.cue_table(spark, b.CUES), ["period", "anchor"])
     return found.select("match", "anchor", F.round("cost", 6).alias("cost"), F.round("residual", 6).alias("residual"))
 
 
-def _search(spark, sf_dir, radius: float = 12.0):
+def _search(spark, sf_dir, radius: float = 1200.0):
     return _anchors(spark, sf_dir).select("match", "period").distinct().select("match", "period", F.lit(86.0).alias("center"), F.lit(radius).alias("radius"))
 
 
-_GRID = "gr AS (SELECT match, anchor, kind, t, 86.0::DOUBLE - 12 + i AS o FROM an, (SELECT unnest(range(0, 25)) AS i))"
+_GRID = "gr AS (SELECT match, anchor, kind, t, 86.0::DOUBLE - 1200 + i AS o FROM an, (SELECT unnest(range(0, 2401)) AS i))"
 
 
 @query(f"WITH {_HIT}, {_CUE}, {_GRID}, {_COST} SELECT match, o AS \"offset\", round(sum(cost), 6) AS cost FROM bm GROUP BY match, o")
 def offset_cost_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = align.offset_costs(_anchors(spark, sf_dir), text.cue_hits(b.words(spark, sf_dir), b.CUES), align.cue_table(spark, b.CUES), _search(spark, sf_dir))
+    found = align.offset_costs(_anchors(spark, sf_dir), _hits(spark, sf_dir), align.cue_table(spark, b.CUES), _search(spark, sf_dir))
     return found.select("match", "offset", F.round("cost", 6).alias("cost"))
 
 
@@ -346,25 +352,30 @@ def _lowest(name: str, costs: str) -> str:
     return f"{name} AS (SELECT match, o, cost FROM (SELECT match, o, round(sum(cost), 9) AS cost, row_number() OVER (PARTITION BY match ORDER BY round(sum(cost), 9), o) AS k FROM {costs} GROUP BY match, o) WHERE k = 1)"
 
 
-_FITTED = f"""{_HIT}, {_CUE}, {_GRID}, {_COST}, {_lowest('co', 'bm')}, gr2 AS (SELECT an.match, anchor, kind, t, co.o - 1 + 0.25::DOUBLE * i AS o FROM an JOIN co ON co.match = an.match, (SELECT unnest(range(0, 9)) AS i)),
+def _first_low(name: str, costs: str) -> str:
+    """On a grid, the smallest offset whose cost is within a millionth of the least."""
+    return f"{name}s AS (SELECT match, o, sum(cost) AS cost FROM {costs} GROUP BY match, o), {name} AS (SELECT match, min(o) AS o FROM (SELECT match, o, cost, min(cost) OVER (PARTITION BY match) AS m FROM {name}s) WHERE cost <= m + 1e-6 GROUP BY match)"
+
+
+_FITTED = f"""{_HIT}, {_CUE}, {_GRID}, {_COST}, {_first_low('co', 'bm')}, gr2 AS (SELECT an.match, anchor, kind, t, co.o - 1 + 0.25::DOUBLE * i AS o FROM an JOIN co ON co.match = an.match, (SELECT unnest(range(0, 9)) AS i)),
 {_costs('2')}, {_lowest('ft', 'bm2')}"""
 
 
 @query(f"""WITH {_FITTED} SELECT match, o AS "offset", round(cost, 6) AS cost FROM ft""")
 def fit_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = align.fit_offset(_anchors(spark, sf_dir), text.cue_hits(b.words(spark, sf_dir), b.CUES), align.cue_table(spark, b.CUES), _search(spark, sf_dir))
+    found = align.fit_offset(_anchors(spark, sf_dir), _hits(spark, sf_dir), align.cue_table(spark, b.CUES), _search(spark, sf_dir))
     return found.select("match", "offset", F.round("cost", 6).alias("cost"))
 
 
 def _residuals(spark, sf_dir):
-    anchors, hits, cues = _anchors(spark, sf_dir), text.cue_hits(b.words(spark, sf_dir), b.CUES), align.cue_table(spark, b.CUES)
+    anchors, hits, cues = _anchors(spark, sf_dir), _hits(spark, sf_dir), align.cue_table(spark, b.CUES)
     fitted = align.fit_offset(anchors, hits, cues, _search(spark, sf_dir))
-    return align.loo_residuals(anchors, hits, cues, fitted, radius=6.0)
+    return align.loo_residuals(anchors, hits, cues, fitted)
 
 
 _REST = """tt{n} AS (SELECT match, o, sum(cost) AS total FROM bm{n} GROUP BY match, o)"""
-_LOO = f"""{_FITTED}, gr3 AS (SELECT an.match, anchor, kind, t, ft.o - 6 + i AS o FROM an JOIN ft ON ft.match = an.match, (SELECT unnest(range(0, 13)) AS i)), {_costs('3')}, {_REST.format(n=3)},
-lc AS (SELECT match, anchor, o FROM (SELECT bm3.match, bm3.anchor, bm3.o, row_number() OVER (PARTITION BY bm3.match, bm3.anchor ORDER BY round(total - cost, 9), bm3.o) AS k FROM bm3 JOIN tt3 ON tt3.match = bm3.match AND tt3.o = bm3.o) WHERE k = 1),
+_LOO = f"""{_FITTED}, gr3 AS (SELECT an.match, anchor, kind, t, ft.o - 120 + i AS o FROM an JOIN ft ON ft.match = an.match, (SELECT unnest(range(0, 241)) AS i)), {_costs('3')}, {_REST.format(n=3)},
+lc AS (SELECT match, anchor, min(o) AS o FROM (SELECT bm3.match, bm3.anchor, bm3.o, total - cost AS rest, min(total - cost) OVER (PARTITION BY bm3.match, bm3.anchor) AS m FROM bm3 JOIN tt3 ON tt3.match = bm3.match AND tt3.o = bm3.o) WHERE rest <= m + 1e-6 GROUP BY match, anchor),
 lf AS (SELECT match, anchor, o - 1 + 0.25::DOUBLE * i AS o FROM lc, (SELECT unnest(range(0, 9)) AS i)), gr4 AS (SELECT an.match, anchor, kind, t, q.o FROM an JOIN (SELECT DISTINCT match, o FROM lf) q ON q.match = an.match), {_costs('4')}, {_REST.format(n=4)},
 lx AS (SELECT match, anchor, o FROM (SELECT lf.match, lf.anchor, lf.o, row_number() OVER (PARTITION BY lf.match, lf.anchor ORDER BY round(total - cost, 9), lf.o) AS k FROM lf JOIN bm4 ON bm4.match = lf.match AND bm4.anchor = lf.anchor AND bm4.o = lf.o JOIN tt4 ON tt4.match = lf.match AND tt4.o = lf.o) WHERE k = 1),
 na AS (SELECT match, count(*) AS n FROM an GROUP BY match),
@@ -387,15 +398,15 @@ def residual_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENDS = """en AS (SELECT match, audio_end - audio_start AS length_s FROM pd)"""
 
 
-@query(f"""WITH {_HIT}, {s.PERIODS}, {_CUE}, {_ENDS}, gr AS (SELECT match, anchor, kind, t, -20.0::DOUBLE + i AS o FROM an, (SELECT unnest(range(0, 241)) AS i)), {_COST}, {_lowest('co', 'bm')},
+@query(f"""WITH {_HIT}, {s.PERIODS}, {_CUE}, {_ENDS}, gr AS (SELECT match, anchor, kind, t, -1100.0::DOUBLE + i AS o FROM an, (SELECT unnest(range(0, 2401)) AS i)), {_COST}, {_first_low('co', 'bm')},
 gr2 AS (SELECT an.match, anchor, kind, t, co.o - 1 + 0.25::DOUBLE * i AS o FROM an JOIN co ON co.match = an.match, (SELECT unnest(range(0, 9)) AS i)), {_costs('2')}, {_lowest('ft', 'bm2')}
 SELECT ft.match, 1 AS period, o AS "offset", o AS audio_start, o + length_s AS audio_end, length_s, 100.0::DOUBLE AS search_center FROM ft JOIN en ON en.match = ft.match""")
 def align_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation's clock from a hint of 100 s, sought 120 s to either side."""
+    """Every conversation's clock from a hint of 100 s, sought 1,200 s to either side."""
     anchors = _anchors(spark, sf_dir)
     ends = b.periods(spark, sf_dir).select("match", "period", (F.col("audio_end") - F.col("audio_start")).alias("t"))
     hints = ends.select("match", F.lit(100.0).alias("hint"))
-    return align.align(anchors, text.cue_hits(b.words(spark, sf_dir), b.CUES), align.cue_table(spark, b.CUES), ends, hints, radius_first=120.0)
+    return align.align(anchors, _hits(spark, sf_dir), align.cue_table(spark, b.CUES), ends, hints)
 
 
 @query(f"""WITH {_RAW}, k AS (SELECT match, period, CASE type WHEN 'own_goal' THEN 'goal' ELSE type END AS kind, t FROM ne WHERE type IN ('goal', 'own_goal', 'corner', 'shot', 'period_start', 'period_end') AND t IS NOT NULL)
@@ -413,7 +424,15 @@ def kickoff_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.kickoff_hint(registry, known)
 
 
-@query(f"""WITH {_RAW}, o AS (SELECT match, type, period, t, coalesce(sb_id, '') AS sb_id FROM ne) SELECT match, type, period, t, sb_id FROM o QUALIFY row_number() OVER (PARTITION BY match ORDER BY period, t NULLS LAST, sb_id = '', sb_id, CASE type WHEN 'goal' THEN 1 ELSE 0 END, type) <= 3""")
+# Of one raw event, a goal is listed after its shot and a card after its foul, as normalize lists them.
+@query(f"""WITH {_RAW}, o AS (SELECT match, type, period, t, coalesce(sb_id, '') AS sb_id FROM ne)
+SELECT *, row_number() OVER (PARTITION BY match ORDER BY period, t NULLS LAST, sb_id = '', sb_id, CASE type WHEN 'goal' THEN 1 WHEN 'card' THEN 1 ELSE 0 END, type) AS seq FROM o""")
+def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of all events of each match."""
+    return events.normalize(raw_events(spark, sf_dir)).select("match", "type", "period", "t", F.coalesce("sb_id", F.lit("")).alias("sb_id"), F.col("seq").cast("long").alias("seq"))
+
+
+@query(f"""WITH {_RAW}, o AS (SELECT match, type, period, t, coalesce(sb_id, '') AS sb_id FROM ne) SELECT match, type, period, t, sb_id FROM o QUALIFY row_number() OVER (PARTITION BY match ORDER BY period, t NULLS LAST, sb_id = '', sb_id, CASE type WHEN 'goal' THEN 1 WHEN 'card' THEN 1 ELSE 0 END, type) <= 3""")
 def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three events of each match, by seq (a report of what a stream begins with)."""
     return events.normalize(raw_events(spark, sf_dir)).where("seq <= 3").select("match", "type", "period", "t", F.coalesce("sb_id", F.lit("")).alias("sb_id"))
