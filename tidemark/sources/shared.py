@@ -37,7 +37,8 @@ def publish(spark: SparkSession, path: str, content: str) -> bool:
     """A file with this content at path, all of it or none: written beside it and renamed. False, and nothing done, if there is one already.
     Two that publish at once can't both win where the store renames in one step (HDFS does)."""
     jvm = spark.sparkContext._jvm
-    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    folder, name = path.rsplit("/", 1)
+    beside = f"{folder}/.{name}.{uuid.uuid4().hex}"  # hidden from readers of the folder
     store, at = file_system(spark, beside)
     if store.exists(file_system(spark, path)[1]):
         return False
