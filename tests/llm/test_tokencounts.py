@@ -100,3 +100,52 @@ def test_query(spark):
                 k, t = want.get((d["source"], d["lang"], name), (0, 0))
                 want[d["source"], d["lang"], name] = (k + 1, t + n)
     assert {(x["source"], x["lang"], x["tokenizer"]): (x["n_docs"], x["n_tokens"]) for x in rows} == want
+
+
+def test_a_writer_that_dies_while_it_marks(spark, monkeypatch):
+    """What a dead writer leaves is no marker, so the batch is committed by the next one."""
+    rollup = tc.TokenRollup(spark, shared_path(spark, "test-rollup"))
+    rows = spark.createDataFrame([(1, "a", "en", "words", 1, 5)], "doc_id long, source string, lang string, tokenizer string, sign int, n_tokens long")
+    assert rollup.commit("one", rows)
+
+    def dies(session, path, content):
+        folder, name = path.rsplit("/", 1)
+        store, at = rollup._fs(f"{folder}/.{name}.dead")
+        store.create(at, True).close()
+        raise RuntimeError
+
+    real = tc.publish
+    monkeypatch.setattr(tc, "publish", dies)
+    try:
+        rollup.commit("two", rows)
+        raise AssertionError
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(tc, "publish", real)
+    assert rollup.batches() == ["one"] and totals(rollup) == {("a", "en", "words"): (1, 5)}
+    assert rollup.commit("two", rows) and not rollup.commit("two", rows)
+    assert totals(rollup) == {("a", "en", "words"): (2, 10)}
+
+
+def test_a_commit_while_batches_are_packed(spark, monkeypatch):
+    rollup = tc.TokenRollup(spark, shared_path(spark, "test-rollup"))
+    row = lambda n: spark.createDataFrame([(n, "a", "en", "words", 1, n)], "doc_id long, source string, lang string, tokenizer string, sign int, n_tokens long")
+    rollup.commit("one", row(5))
+    write, inside = rollup._write, []
+
+    def meanwhile(signed):
+        if not inside:
+            inside.append(True)
+            rollup.commit("two", row(7))
+        return write(signed)
+
+    monkeypatch.setattr(rollup, "_write", meanwhile)
+    rollup.compact()
+    assert totals(rollup) == {("a", "en", "words"): (2, 12)}
+    rollup.delete("gone", spark.createDataFrame([(7,)], "doc_id long"))
+    rollup.compact()
+    rollup.compact()
+    rollup.clean()
+    assert totals(rollup) == {("a", "en", "words"): (1, 5)} and not rollup.commit("two", row(7))
+    rollup.commit("three", row(9))
+    assert totals(rollup) == {("a", "en", "words"): (2, 14)}

@@ -2,8 +2,8 @@
 
 A batch holds, for each document that came, went or was recounted, a signed number of documents and of tokens. Committing it
 appends its sums (the delta) and its rows (the ledger, from which later deletions and recounts know what to take back) in
-folders of that attempt's own, and then creates a marker that names the attempt. A marker can be created once, so a repeated
-commit changes nothing, of two writers one wins, and an attempt that died is never read. Totals add deltas up and never read
+folders of that attempt's own, and then puts a marker that names the attempt in place by one rename. A marker can be put once, so a
+repeated commit changes nothing, of two writers one wins, and an attempt that died is never read and may be made again. Totals add deltas up and never read
 texts or the ledger. The ledger lies in BUCKETS by document, and compact() puts all committed batches into one.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import load, shared_path
+from tidemark.sources.shared import publish
 
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the published pattern that cuts text before byte-level merging.
@@ -84,40 +85,28 @@ class TokenRollup:
         store, at = self._fs(path)
         return store.exists(at)
 
-    def _mark(self, path: str, content: str) -> bool:
-        """Creates a file; False if it is there already."""
-        store, at = self._fs(path)
-        try:
-            out = store.create(at, False)
-        except Exception:
-            if store.exists(at):
-                return False
-            raise
-        out.write(bytearray(content.encode()))
-        out.close()
-        return True
-
     def _named(self, kind: str) -> dict[str, str]:
-        """Content of the files under a folder, by name."""
+        """Content of the files in a folder, by name."""
         if not self._there(f"{self.folder}/{kind}"):
             return {}
-        rows = self.spark.read.text(f"{self.folder}/{kind}/*", wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value").collect()
+        rows = self.spark.read.text(f"{self.folder}/{kind}", wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value").collect()
         return {r["name"]: r["value"] for r in rows}
 
-    def _attempts(self) -> list[str]:
-        """Folders to read: of the last compaction, and of the batches committed since."""
-        done, packed = self._named("committed"), self._named("compacted")
+    def _state(self) -> tuple[list[str], list[str]]:
+        """Folders to read, of the last compaction and of the batches committed since; and the names of all those batches. Compactions are
+        listed first, so none names a batch that isn't there."""
+        packed, done = self._named("compacted"), self._named("committed")
         if not packed:
-            return sorted(done.values())
+            return sorted(done.values()), sorted(done)
         attempt, *inside = packed[max(packed)].split("\n")
-        return [attempt, *sorted(a for b, a in done.items() if b not in set(inside))]
+        return [attempt, *sorted(a for b, a in done.items() if b not in set(inside))], sorted(done)
 
     def batches(self) -> list[str]:
         """Names of committed batches."""
         return sorted(self._named("committed"))
 
-    def _read(self, what: str, schema: str) -> DataFrame:
-        paths = [f"{self.folder}/{what}/attempt={a}" for a in self._attempts()]
+    def _read(self, what: str, schema: str, attempts: list[str] | None = None) -> DataFrame:
+        paths = [f"{self.folder}/{what}/attempt={a}" for a in (self._state()[0] if attempts is None else attempts)]
         if not paths:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).option("basePath", f"{self.folder}/{what}").parquet(*paths)
@@ -127,13 +116,13 @@ class TokenRollup:
         """Rows of ROW and their sums, as an attempt that no marker names yet."""
         attempt = uuid.uuid4().hex
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-        signed.select("doc_id", *KEYS, "n_docs", "n_tokens", bucket.alias("b")).write.partitionBy("b").parquet(f"{self.folder}/ledger/attempt={attempt}")
+        signed.select("doc_id", *KEYS, "n_docs", "n_tokens", bucket.alias("b")).hint("rebalance", "b").write.partitionBy("b").parquet(f"{self.folder}/ledger/attempt={attempt}")
         rows = self.spark.read.schema(ROW).parquet(f"{self.folder}/ledger/attempt={attempt}")
-        rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{self.folder}/delta/attempt={attempt}")
+        rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{self.folder}/delta/attempt={attempt}")
         return attempt
 
     def _commit(self, batch: str, signed: DataFrame) -> bool:
-        return self._mark(f"{self.folder}/committed/{batch}", self._write(signed))
+        return publish(self.spark, f"{self.folder}/committed/{batch}", self._write(signed))
 
     def _done(self, batch: str) -> bool:
         return self._there(f"{self.folder}/committed/{batch}")
@@ -171,10 +160,22 @@ class TokenRollup:
 
     def compact(self) -> None:
         """Puts the batches committed so far into one, with a row a document and key, which later reads take in their place."""
-        names = self.batches()
-        rows = self._read("ledger", ROW).groupBy("doc_id", *KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        attempts, names = self._state()
+        rows = self._read("ledger", ROW, attempts).groupBy("doc_id", *KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         attempt = self._write(rows.where("n_docs <> 0 or n_tokens <> 0"))
-        self._mark(f"{self.folder}/compacted/{len(names):09d}-{attempt}", "\n".join([attempt, *names]))
+        publish(self.spark, f"{self.folder}/compacted/{len(names):09d}-{attempt}", "\n".join([attempt, *names]))
+
+    def clean(self) -> None:
+        """Deletes what only readers that began before the last compaction but one can still read."""
+        packed, done = self._named("compacted"), self._named("committed")
+        kept = set(sorted(packed)[-2:])
+        if len(kept) < 2:
+            return
+        old = packed[min(kept)].split("\n")
+        gone = [done[b] for b in old[1:] if b in done] + [packed[n].split("\n")[0] for n in packed if n not in kept]
+        for path in [f"{self.folder}/{what}/attempt={a}" for a in gone for what in ("ledger", "delta")] + [f"{self.folder}/compacted/{n}" for n in packed if n not in kept]:
+            store, at = self._fs(path)
+            store.delete(at, True)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens of groups that hold a document. Null sources and languages are groups."""
