@@ -1,6 +1,8 @@
 """Examples with known answers, and plain Python versions of what SQL can't say."""
 
+import hashlib
 import itertools
+import math
 import random
 
 import pytest
@@ -264,6 +266,29 @@ def test_samples(spark):
     assert sum(x["gold"].get("goal") == 1 for x in cases) == 30
 
 
+def test_min_gap_draws_are_the_greedy_ones(spark):
+    """Against the plain loop, with crowded matches that need more than their first pool, ties and a stratum nobody asks for."""
+    r = random.Random(4)
+    rows = [(m, f"{i:04}", float(r.randint(0, span)), int(r.random() < 0.95), r.choice(["positive", "keyword", "random", "other"])) for m, n, span in (("a", 900, 9000), ("crowded", 900, 60), ("b", 40, 4000)) for i in range(n)]
+    got = sampling.min_gap_sample(frame(spark, rows, "match string, wid string, start double, n_words int, stratum string"), {"positive": 30, "keyword": 6, "random": 12}, pool=2).collect()
+    rank = lambda x, seed: int(hashlib.md5(f"{seed}:{x[0]}:{x[1]}".encode()).hexdigest()[:13], 16)
+    want = {}
+    for m in ("a", "crowded", "b"):
+        near = []
+        for name, target in (("positive", 30), ("keyword", 6), ("random", 12)):
+            pool = sorted((x for x in rows if x[0] == m and x[3] and x[4] == name), key=lambda x: (rank(x, 0), x[1]))
+            found = []
+            for x in pool:
+                if len(found) < target and all(abs(x[2] - y) >= 10 for y in near):
+                    found.append(x)
+                    near.append(x[2])
+            want |= {x[:2]: (name, math.floor(len(pool) / len(found) * 1000 + 0.5) / 1000, len(pool)) for x in found}
+    assert {(x["match"], x["wid"]): (x["stratum"], x["weight"], x["stratum_size"]) for x in got} == want
+    for m in ("a", "crowded", "b"):
+        some = sorted((x for x in got if x["match"] == m), key=lambda x: x["idx"])
+        assert [x["idx"] for x in some] == list(range(len(some))) and [x["wid"] for x in some] == sorted((x["wid"] for x in some), key=lambda w: (rank((m, w), 1), w))
+
+
 def test_event_metrics(spark):
     w = frame(spark, [("m", f"w{i}", i * 100.0, i * 100.0 + 20) for i in range(10)], "match string, wid string, start double, end double")
     scores = frame(spark, [(m, f"w{i}", q, 0.9, int(i in on)) for m, q, on in (("a", "goal", {1, 5, 7}), ("b", "goal", {1}), ("a", "card", {3}), ("b", "card", set())) for i in range(10)], "method string, wid string, question string, score double, pred int")

@@ -1,22 +1,27 @@
-"""Strata, samples with a least distance, and rebalanced training rows. Every draw is by hash, so it is the same on every run
-and needs no order; only how many rows are drawn, and how far apart, can be compared with other generators."""
+"""Strata, samples with a least distance, and rebalanced training rows. Every draw is by md5, so it is the same on every run and in
+every engine, and needs no order."""
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import QUESTIONS
+from tidemark.sources.shared import written
 
 TARGETS = {"positive": 60, "keyword": 40, "random": 50}
 
 
+#: Windows of a stratum that are looked at for each one to be drawn, at first.
+POOL = 8
+
+
 def uniform(*cols, seed: int = 0) -> Column:
-    """In [0, 1), from the columns and the seed."""
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """In [0, 1), from the first 13 hex digits of the md5 of `seed:column:...`, which other engines give too. Nulls are empty."""
+    key = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols])
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def stratum(questions=QUESTIONS, hits: str = "{}_hits") -> Column:
@@ -33,33 +38,65 @@ def strata_weights(df: DataFrame, keys: list[str], targets: dict[str, int] = TAR
     return sizes.select(*keys, "stratum", "size", n.alias("n"), F.round(F.col("size") / F.greatest(F.lit(1), n), 3).alias("weight"))
 
 
-def min_gap_sample(windows: DataFrame, targets: dict[str, int] = TARGETS, min_gap: float = 10.0, seed: int = 0) -> DataFrame:
+def _apart(start: np.ndarray, gap: float) -> np.ndarray:
+    """Which of some starts, in the order of their ranks, a draw by rank takes that skips what is nearer than gap to one taken before.
+    By rounds: what has the least rank within the gap is taken, its neighbours leave, and so on with the rest."""
+    taken = np.zeros(len(start), bool)
+    live = np.argsort(start, kind="stable")  # ranks, by time
+    while len(live):
+        t = start[live]
+        lo, hi = np.searchsorted(t, t - gap, side="right"), np.searchsorted(t, t + gap, side="left")
+        least = np.minimum.reduceat(np.append(live, len(start)), np.stack([lo, hi], 1).ravel())[::2]
+        here = np.sort(start[live[least == live]])
+        taken[live[least == live]] = True
+        after = np.searchsorted(here, t - gap, side="right")
+        blocked = (after < len(here)) & (here[np.minimum(after, len(here) - 1)] < t + gap)
+        live = live[~blocked]
+    return taken
+
+
+def min_gap_sample(windows: DataFrame, targets: dict[str, int] = TARGETS, min_gap: float = 10.0, seed: int = 0, pool: int = POOL) -> DataFrame:
     """(match, wid, start, stratum, weight, stratum_size, idx) of windows (match, wid, start, n_words, stratum): strata in the order
-    of targets, windows by hash, none nearer than min_gap to one drawn before it, none without words. Each draw depends on
-    those before it, so a match is drawn in one group; a match has a few thousand windows."""
-    live = windows.where("n_words > 0").select("match", "wid", "start", "stratum", uniform("match", "wid", seed=seed).alias("drawn"), uniform("match", "wid", seed=seed + 1).alias("shown"))
+    of targets, windows by hash, none nearer than min_gap to one drawn before it, none without words.
+
+    Whether a window is drawn depends on those of lower rank alone, so each stratum's first `pool` windows by rank for each one asked
+    are enough, unless too few of them are far apart; only for such matches is the pool made eight times as large. So a task holds some
+    hundreds of windows of a match and not its whole past. min_gap must be above 0.
+    """
+    live = windows.where((F.col("n_words") > 0) & F.col("stratum").isin(list(targets))).select("match", "wid", "start", "stratum", uniform("match", "wid", seed=seed).alias("drawn"), uniform("match", "wid", seed=seed + 1).alias("shown"))
+    sizes = live.groupBy("match", "stratum").agg(F.count("*").alias("size"))
+    asked = F.create_map(*[F.lit(v) for kv in targets.items() for v in kv])[F.col("stratum")]
+    rank = F.row_number().over(Window.partitionBy("match", "stratum").orderBy("drawn", "wid"))
+    kind = live.schema["match"].dataType.simpleString()
+    columns = ["match", "wid", "start", "stratum", "weight", "stratum_size", "shown"]
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[float] = []  # in order, so only the two neighbours of a start need looking at
-        out = []
+        starts, parts, short = np.zeros(0), [], False
         for name, target in targets.items():
-            pool = pdf[pdf["stratum"] == name].sort_values(["drawn", "wid"])
-            rows = []
-            for row in pool.itertuples():
-                if len(rows) >= target:
-                    break
-                at = bisect.bisect_left(taken, row.start)
-                if all(abs(row.start - t) >= min_gap for t in taken[max(0, at - 1) : at + 1]):
-                    rows.append(row)
-                    taken.insert(at, row.start)
-            weight = round(len(pool) / max(1, len(rows)), 3)
-            out += [(r.match, r.wid, r.start, name, weight, len(pool), r.shown) for r in rows]
-        got = pd.DataFrame(out, columns=["match", "wid", "start", "stratum", "weight", "stratum_size", "shown"]).sort_values(["shown", "wid"])
-        got["idx"] = range(len(got))
-        return got.drop(columns="shown")
-
-    kind = live.schema["match"].dataType.simpleString()
-    return live.groupBy("match").applyInPandas(draw, f"match {kind}, wid string, start double, stratum string, weight double, stratum_size bigint, idx bigint")
+            some = pdf[pdf["stratum"] == name].sort_values("rank")
+            # what is drawn already has the lowest ranks, and stays
+            first = _apart(np.concatenate([starts, some["start"].to_numpy()]), min_gap)[len(starts) :]
+            chosen = some[first].head(target)
+            size = int(some["size"].iloc[0]) if len(some) else 0
+            short |= len(chosen) < target and len(some) < size
+            starts = np.concatenate([starts, chosen["start"].to_numpy()])
+            parts.append(chosen.assign(weight=size / max(1, len(chosen)), stratum_size=size))
+        got = pd.concat(parts).sort_values(["shown", "wid"])
+        if short:
+            got = pdf.head(1).assign(weight=None, stratum_size=None)
+        return got[columns].assign(idx=range(len(got)), short=short)
+
+    done, left, width = None, live, pool
+    while True:
+        of = left.withColumn("rank", rank).where(F.col("rank") <= width * max(targets.values())).where(F.col("rank") <= width * asked).join(sizes, ["match", "stratum"])
+        got = of.groupBy("match").applyInPandas(draw, f"match {kind}, wid string, start double, stratum string, weight double, stratum_size bigint, shown double, idx bigint, short boolean")
+        got = written(got, "min-gap")
+        part = got.where("not short").drop("shown", "short").withColumn("weight", F.round("weight", 3))
+        done = part if done is None else done.unionByName(part)
+        again = got.where("short").select("match")
+        if again.isEmpty():
+            return done
+        left, width = left.join(again, "match", "left_semi"), width * 8
 
 
 def cap_negatives(long_: DataFrame, ratio: float = 10.0, seed: int = 0) -> DataFrame:

@@ -244,21 +244,21 @@ def strata_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.strata_weights(_strata(spark, sf_dir), ["match"])
 
 
-@query(f"""WITH {_STRATA}, n AS (SELECT match, stratum, count(*) AS size FROM st GROUP BY match, stratum) SELECT match, stratum, size AS stratum_size, true AS far_apart, true AS full_or_blocked, true AS whole_weights FROM n""")
+def _uniform(seed: int, *cols: str) -> str:
+    return f"('0x' || substr(md5('{seed}:' || {" || ':' || ".join(cols)}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+# the draw as a fold over a match's windows, stratum after stratum and by hash: what is drawn, and how many of each stratum
+@query(f"""WITH {_STRATA}, pl AS (SELECT match, CAST(doc_id AS VARCHAR) AS wid, start, stratum, CASE stratum WHEN 'positive' THEN 1 WHEN 'keyword' THEN 2 ELSE 3 END AS o, {_uniform(0, 'match', 'doc_id')} AS drawn, {_uniform(1, 'match', 'doc_id')} AS shown FROM st),
+ls AS (SELECT match, list({{'w': wid, 's': start, 'o': o}} ORDER BY o, drawn, wid) AS l FROM pl GROUP BY match),
+fo AS (SELECT match, list_reduce(l, lambda a, x: CASE WHEN a.n[x.o] >= CASE x.o WHEN 1 THEN 60 WHEN 2 THEN 40 ELSE 50 END OR len(list_filter(a.t, lambda y: abs(y - x.s) < 10)) > 0 THEN a
+  ELSE {{'t': list_append(a.t, x.s), 'w': list_append(a.w, x.w), 'n': [a.n[1] + CASE x.o WHEN 1 THEN 1 ELSE 0 END, a.n[2] + CASE x.o WHEN 2 THEN 1 ELSE 0 END, a.n[3] + CASE x.o WHEN 3 THEN 1 ELSE 0 END]}} END, {{'t': []::DOUBLE[], 'w': []::VARCHAR[], 'n': [0, 0, 0]}}) AS a FROM ls),
+dr AS (SELECT match, unnest(a.w) AS wid FROM fo), sz AS (SELECT match, stratum, count(*) AS size FROM pl GROUP BY ALL), nn AS (SELECT match, stratum, count(*) AS n FROM dr JOIN pl USING (match, wid) GROUP BY ALL)
+SELECT match, wid, start, stratum, round(size / n, 3) AS weight, size AS stratum_size, row_number() OVER (PARTITION BY match ORDER BY shown, wid) - 1 AS idx FROM dr JOIN pl USING (match, wid) JOIN sz USING (match, stratum) JOIN nn USING (match, stratum)""")
 def min_gap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A random draw, so its SQL states what must hold of every stratum: its size, that no two drawn windows of a match are nearer than
-    10 s, that it is as large as asked unless the windows left over are all too near, and that weights are size by number."""
+    """The windows drawn of each source, 10 s apart, with what each stands for and the order in which they are shown."""
     w = _strata(spark, sf_dir).select("match", F.col("doc_id").cast("string").alias("wid"), "start", F.lit(1).alias("n_words"), "stratum")
-    drawn = sampling.min_gap_sample(w, min_gap=10.0)
-    order = Window.partitionBy("match").orderBy("start")
-    far = drawn.withColumn("_d", F.col("start") - F.lag("start").over(order)).groupBy("match").agg((F.coalesce(F.min("_d"), F.lit(1e9)) >= 10.0).alias("far_apart"))
-    near = drawn.select("match", F.explode(F.array(*[F.col("start") + d for d in (-5.0, 0.0, 5.0)])).alias("start")).distinct().withColumn("_n", F.lit(True))
-    free = w.join(near, ["match", "start"], "left").groupBy("match", "stratum").agg(F.count("*").alias("size"), F.count_if(F.col("_n").isNull()).alias("free"))
-    got = drawn.groupBy("match", "stratum").agg(F.count("*").alias("n"), F.max("stratum_size").alias("told"), F.max("weight").alias("weight"))
-    want = F.create_map(*[F.lit(v) for kv in sampling.TARGETS.items() for v in kv])[F.col("stratum")]
-    met = free.join(got, ["match", "stratum"], "left").join(far, "match").withColumn("n", F.coalesce("n", F.lit(0)))
-    whole = F.col("n").isin(0) | ((F.col("told") == F.col("size")) & (F.abs(F.col("weight") - F.col("size") / F.col("n")) <= 0.0006))
-    return met.select("match", "stratum", F.col("size").alias("stratum_size"), "far_apart", ((F.col("n") == want) | (F.col("free") == 0)).alias("full_or_blocked"), whole.alias("whole_weights"))
+    return sampling.min_gap_sample(w, min_gap=10.0)
 
 
 def _long(spark, sf_dir):
@@ -267,17 +267,12 @@ def _long(spark, sf_dir):
     return d.select(F.col("doc_id").alias("wid"), F.explode(pairs).alias("x")).select("wid", "x.*")
 
 
-@query(f"""WITH {s.SCORED}, lg AS (SELECT 'goal' AS question, quality AS label FROM sw WHERE quality IS NOT NULL UNION ALL SELECT 'card', toxic FROM sw WHERE toxic IS NOT NULL)
-SELECT question, CAST(sum(label) AS BIGINT) AS positives, least(1.0::DOUBLE, 2.0::DOUBLE * greatest(sum(label), 1) / nullif(count(*) - sum(label), 0)) AS chance, true AS near_chance FROM lg GROUP BY question""")
+@query(f"""WITH {s.SCORED}, lg AS (SELECT doc_id AS wid, 'goal' AS question, quality AS label FROM sw WHERE quality IS NOT NULL UNION ALL SELECT doc_id, 'card', toxic FROM sw WHERE toxic IS NOT NULL),
+ch AS (SELECT question, CASE WHEN count(*) FILTER (label = 0) = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2.0::DOUBLE * greatest(count(*) FILTER (label = 1), 1) / count(*) FILTER (label = 0)) END AS k FROM lg GROUP BY question)
+SELECT wid, question, label FROM lg JOIN ch USING (question) WHERE label <> 0 OR {_uniform(0, 'wid', 'question')} < k""")
 def neg_cap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A random draw, so its SQL states what must hold: all positives stay, and of the negatives a share that lies within five standard
-    deviations of the chance that the classes give."""
-    rows = _long(spark, sf_dir)
-    kept = sampling.cap_negatives(rows, ratio=2.0).groupBy("question").agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("left"))
-    all_ = rows.where("label is not null").groupBy("question").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    chance = F.least(F.lit(1.0), 2.0 * F.greatest("p", F.lit(1)) / F.col("n"))
-    near = F.abs(F.col("left") - F.col("n") * F.col("chance")) <= 5 * F.sqrt(F.col("n") * F.col("chance") * (1 - F.col("chance"))) + 1e-9
-    return kept.join(all_, "question").withColumn("chance", chance).select("question", "positives", "chance", near.alias("near_chance"))
+    """All positives, and of the negatives those whose hash is below the chance that the classes give."""
+    return sampling.cap_negatives(_long(spark, sf_dir), ratio=2.0).select("wid", "question", "label")
 
 
 @query(f"""WITH {s.SCORED}, lg AS (SELECT doc_id AS wid, unnest(['goal', 'card']) AS question, unnest([quality, toxic]) AS label FROM sw), ok AS (SELECT * FROM lg WHERE label IS NOT NULL)
