@@ -266,6 +266,25 @@ def test_samples(spark):
     assert sum(x["gold"].get("goal") == 1 for x in cases) == 30
 
 
+def test_windows_of_panes_are_those_of_words(spark, monkeypatch):
+    """Chunks cut anywhere, words out of order, on the bounds and outside, empty panes, and a length of no whole number of strides."""
+    r = random.Random(9)
+    words = [(m, i, round(r.uniform(-20, 220), 1) if i % 5 else float(5 * r.randint(0, 40)), f" {m}{i}") for m in "ab" for i in range(150)]
+    periods = [("a", 1, 3.0, 5.0, 90.0), ("a", 2, 100.0, 110.5, 200.0), ("b", 1, 0.0, 0.0, 200.0), ("b", 2, 0.0, 0.0, -30.0), ("quiet", 1, 0.0, 0.0, 40.0)]
+    w = frame(spark, words, "match string, pos int, start double, word string")
+    p = frame(spark, periods, "match string, period int, offset double, audio_start double, audio_end double")
+    monkeypatch.setattr(windows, "CHUNK", 3)
+    for cfg in (WindowConfig(), WindowConfig(20.0, 20.0, 10.0), WindowConfig(12.0, 5.0, 10.0)):
+        got = {(x["match"], x["period"], x["start"]): (x["text"], x["n_words"]) for x in windows.sliding_windows(w, p, cfg).collect()}
+        want = {}
+        for m, n, _, a, b in periods:
+            for k in range(int((b + 10 - cfg.length - (a - 10) + 1e-9) // cfg.stride) + 1):
+                start = a - 10 + k * cfg.stride
+                said = [x[3] for x in words if x[0] == m and start <= x[2] < start + cfg.length]
+                want[m, n, start] = ("".join(said).strip(), len(said))
+        assert got == want and got
+
+
 def test_min_gap_draws_are_the_greedy_ones(spark):
     """Against the plain loop, with crowded matches that need more than their first pool, ties and a stratum nobody asks for."""
     r = random.Random(4)

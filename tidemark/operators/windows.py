@@ -39,18 +39,50 @@ def window_spine(periods: DataFrame, cfg: WindowConfig = WindowConfig()) -> Data
     return rows.select("match", "period", "k", wid.alias("wid"), start.alias("start"), (start + cfg.length).alias("end"), (start - F.col("offset")).alias("t_start"))
 
 
+#: Windows of a period that one task joins from panes.
+CHUNK = 720
+
+
 def sliding_windows(words: DataFrame, periods: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
-    """window_spine with text (words that start in [start, end), joined and trimmed) and n_words."""
+    """window_spine with text (words that start in [start, end), in the order of pos, joined and trimmed) and n_words.
+
+    A word goes to one pane of a stride, and a window is the panes it spans, taken from the rows after its first, so a word is
+    shuffled once for the panes and once with its pane. Where the length isn't a whole number of strides, a word goes to each of its
+    windows.
+    """
+    panes = round(cfg.length / cfg.stride)
+    text = lambda ws: F.trim(F.array_join(F.transform(ws, lambda x: x["word"]), ""))
     p = periods.select("match", "period", (F.col("audio_start") - cfg.margin).alias("_s0"), _steps(cfg).alias("_last"))
-    at = words.select("match", "pos", F.col("start").alias("_t"), "word").join(p, "match")
+    at = words.select("match", "pos", F.col("start").alias("_t"), "word").join(p.where("_last >= 0"), "match")
+    if abs(panes * cfg.stride - cfg.length) > 1e-9:
+        return _word_by_word(at, periods, cfg, text)
+    # the pane is decided on its own bounds, which are the windows' starts
+    k = F.floor((F.col("_t") - F.col("_s0")) / cfg.stride).cast("int")
+    begins = lambda n: F.col("_s0") + n * cfg.stride
+    k = k - F.when(F.col("_t") < begins(k), 1).otherwise(0) + F.when(F.col("_t") >= begins(k + 1), 1).otherwise(0)
+    said = at.withColumn("k", k).where((F.col("k") >= 0) & (F.col("k") < F.col("_last") + panes)).select("match", "period", "k", F.struct("pos", "word").alias("w"))
+    last = _steps(cfg)
+    rest = periods.where((last >= 0) & F.lit(panes > 1)).select("match", "period", F.explode(F.sequence(last + 1, last + panes - 1)).alias("k"))
+    rows = window_spine(periods, cfg).unionByName(rest, allowMissingColumns=True).unionByName(said, allowMissingColumns=True)
+    kept = ["wid", "start", "end", "t_start"]
+    rows = rows.groupBy("match", "period", "k").agg(F.collect_list("w").alias("ws"), *[F.max(c).alias(c) for c in kept])
+    # every pane of a period has a row; the first of a chunk are wanted by the last windows of the chunk before too
+    chunk = F.floor(F.col("k") / CHUNK).cast("int")
+    rows = rows.withColumn("_c", F.explode(F.when((F.col("k") % CHUNK < panes - 1) & (F.col("k") >= CHUNK), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))))
+    after = Window.partitionBy("match", "period", "_c").orderBy("k")
+    ws = F.array_sort(F.flatten(F.array(*[F.coalesce(F.lead("ws", i).over(after), F.array().cast(rows.schema["ws"].dataType)) for i in range(panes)])))
+    out = rows.withColumn("_ws", ws).where((chunk == F.col("_c")) & F.col("wid").isNotNull())
+    return out.select("match", "period", "k", *kept, text(F.col("_ws")).alias("text"), F.size("_ws").cast("long").alias("n_words"))
+
+
+def _word_by_word(at: DataFrame, periods: DataFrame, cfg: WindowConfig, text) -> DataFrame:
     low = F.greatest(F.lit(0), F.floor((F.col("_t") - cfg.length - F.col("_s0")) / cfg.stride).cast("int"))
     high = F.least(F.col("_last"), F.floor((F.col("_t") - F.col("_s0")) / cfg.stride).cast("int"))
     each = at.where(high >= low).select("match", "period", "_t", "pos", "word", "_s0", F.explode(F.sequence(low, high)).alias("k"))
     # the bounds above may take in a window more; membership is decided on the window's own figures
     start = F.col("_s0") + F.col("k") * cfg.stride
     each = each.where((F.col("_t") >= start) & (F.col("_t") < start + cfg.length))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), "")
-    texts = each.groupBy("match", "period", "k").agg(F.trim(text).alias("text"), F.count("*").alias("n_words"))
+    texts = each.groupBy("match", "period", "k").agg(text(F.array_sort(F.collect_list(F.struct("pos", "word")))).alias("text"), F.count("*").alias("n_words"))
     out = window_spine(periods, cfg).join(texts, ["match", "period", "k"], "left")
     return out.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_words", F.coalesce("n_words", F.lit(0)).cast("long"))
 
