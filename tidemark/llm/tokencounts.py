@@ -194,6 +194,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS)
     rollup.insert("second-tokenizer", counted(docs, "piece_bpe_32k", pieces))
     rollup.insert("second-tokenizer", counted(docs, "piece_bpe_32k", pieces))
     rollup.delete("toxic", labels.where("toxic = 1"))
-    good = docs.join(labels.where("quality = 1 and toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi")
-    rollup.revise("trimmed", counted(good.withColumn("text", F.trim("text")), "byte_bpe_50k", bytes_), "byte_bpe_50k")
+    # counts are joined, not texts; a semi join would be moved below the counting and shuffle them
+    good = labels.where("quality = 1 and toxic = 0").select("doc_id").distinct()
+    rollup.revise("trimmed", counted(docs.withColumn("text", F.trim("text")), "byte_bpe_50k", bytes_).join(good, "doc_id"), "byte_bpe_50k")
     return rollup.totals()
