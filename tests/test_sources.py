@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from tidemark import config
 from tidemark.sources import readers, sinks
 
 
@@ -167,3 +168,51 @@ def test_batches_that_come_again(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "idx int, v string, ts int")
     assert [sinks.save_upsert(spark, rows((1, f"v{b}", n)), path, ["idx"], batch=b) for n, b in enumerate((0, 0, 1, 0, 1))] == [True, False, True, False, False]
     assert [r["v"] for r in sinks.read_upsert(spark, path).collect()] == ["v1"]
+
+
+def test_raw_events_of_many_matches(spark, tmp_path):
+    one = [{"id": "a", "type": {"name": "Shot"}, "period": 1, "timestamp": "00:00:05.000", "shot": {"statsbomb_xg": 0.4, "outcome": {"name": "Goal"}}}, {"id": "b", "type": {"name": "Offside"}, "period": 1, "timestamp": "00:00:01.000"}]
+    (tmp_path / "x-1.json").write_text(json.dumps(one))
+    (tmp_path / "y é.json").write_text(json.dumps(one[1:], indent=1))
+    (tmp_path / "empty.json").write_text("[]")
+    (tmp_path / "bad.json").write_text("[{")
+    got = [(r["match"], r["index"], r["id"], r["type"]["name"]) for r in readers.raw_events_of(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("x-1", 0, "a", "Shot"), ("x-1", 1, "b", "Offside"), ("y é", 0, "b", "Offside")]
+    sinks.land_raw_events(readers.raw_events_of(spark, str(tmp_path)), str(tmp_path / "again"))
+    assert sorted((r["match"], r["index"], r["id"]) for r in readers.raw_events_of(spark, str(tmp_path / "again")).collect()) == sorted(x[:3] for x in got)
+
+
+def test_parameters_from_a_file(spark, tmp_path):
+    (tmp_path / "p.yaml").write_text("windows:\n  length_s: 30   # longer\nlabels:\n  goal_span: [-5, 10]\n  card_fallback_span: [1, 2]\nevents:\n  match_tolerance_s: 20\n  merge_gap_s: 15\n")
+    got = readers.load_config(spark, str(tmp_path / "p.yaml"))
+    assert (got.windows.length, got.windows.stride, got.labels.goal_span, got.labels.min_overlap, got.events.gap, got.events.max_len) == (30.0, 5.0, (-5.0, 10.0), 3.0, 15.0, 120.0)
+    assert got.events.tolerance["goal"] == (-20.0, 20.0) and got.events.tolerance["card"] == (-10.0, 120.0)
+    assert config.read_config("") == config.Config()
+    for bad in ("windows: {lenght: 3}", "window: {}"):
+        with pytest.raises(ValueError):
+            config.read_config(bad)
+
+
+def test_review_and_gold_join_by_idx(spark):
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "idx int, wid string")
+    labels = spark.createDataFrame([(1, ("yes", None)), (3, ("no", True)), (9, ("yes", False))], "idx int, labels struct<verdict:string,unsure:boolean>")
+    assert sorted(tuple(r) for r in readers.review_rows(labels, items).select("idx", "wid", "verdict", "unsure").collect()) == [(1, "a", "yes", False), (3, "c", "no", True)]
+
+
+def test_predictions_of_runs_stay_apart(spark, tmp_path):
+    path = str(tmp_path / "p")
+    row = lambda n: spark.createDataFrame([("w", "goal", n, None), ("w", "intensity", None, 1.5)], "wid string, question string, noul double, score double")
+    for tag, n in (("a", 0.1), ("b", 0.2), ("a", 0.3)):
+        sinks.write_predictions(row(n), path, tag)
+    assert [(r["answers"]["goal"]["noul"], r["answers"]["intensity"]["score"], r["tag"]) for t in "ab" for r in readers.predictions_of(spark, path, t).collect()] == [(0.3, 1.5, "a"), (0.2, 1.5, "b")]
+    assert readers.predictions_of(spark, path, "c").collect() == []
+
+
+def test_scores_must_cover_gold(spark):
+    from tidemark.operators import evaluate
+
+    gold = spark.createDataFrame([("w1", 1, "goal", 1, 1.0, False), ("w2", 2, "goal", 0, 1.0, False), ("w3", 3, "goal", 0, 1.0, True), ("w4", 4, "card", None, 1.0, False)], "wid string, seq int, question string, label int, weight double, unsure boolean")
+    scores = lambda *wids: spark.createDataFrame([("m", w, "goal", 0.5, 1) for w in wids], "method string, wid string, question string, score double, pred int")
+    assert evaluate.window_metrics(scores("w1", "w2", "w9"), gold).first()["n"] == 2
+    with pytest.raises(KeyError):
+        evaluate.window_metrics(scores("w1", "w9"), gold)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
+
+# The defaults of the three classes below.
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,39 @@ class TriggerConfig:
     tolerance: dict = field(default_factory=lambda: {"goal": (-30.0, 30.0), "card": (-10.0, 120.0), "big_chance": (-30.0, 30.0), "controversy": (-30.0, 30.0)})
 
 
+@dataclass(frozen=True)
+class Config:
+    windows: WindowConfig = WindowConfig()
+    labels: LabelConfig = LabelConfig()
+    events: TriggerConfig = TriggerConfig()
+
+
+#: Names in a parameter file that aren't those of the classes.
+_NAMES = {"length_s": "length", "stride_s": "stride", "margin_s": "margin", "min_overlap_s": "min_overlap", "ignore_near_s": "ignore_near", "merge_gap_s": "gap", "max_trigger_s": "max_len"}
+#: Parameters that nothing here depends on.
+_UNUSED = {"card_fallback_span"}
+
+
+def read_config(text: str) -> Config:
+    """Parameters of a YAML text with the sections windows, labels and events; what isn't there keeps its default, and a name or section
+    that nobody knows is an error. match_tolerance_s is the tolerance, to both sides, of every question but card, whose own stays."""
+    import yaml
+
+    told = yaml.safe_load(text) or {}
+    if unknown := set(told) - {"windows", "labels", "events"}:
+        raise ValueError(f"no section {sorted(unknown)}")
+    out = {}
+    for section, kind in (("windows", WindowConfig), ("labels", LabelConfig), ("events", TriggerConfig)):
+        given = {_NAMES.get(k, k): tuple(map(float, v)) if isinstance(v, list) else v for k, v in (told.get(section) or {}).items() if k not in _UNUSED}
+        if section == "events" and "match_tolerance_s" in given:
+            wide = float(given.pop("match_tolerance_s"))
+            given.setdefault("tolerance", {q: (-wide, wide) if q != "card" else t for q, t in TriggerConfig().tolerance.items()})
+        if unknown := set(given) - {f.name for f in fields(kind)}:
+            raise ValueError(f"{section} has no {sorted(unknown)}")
+        out[section] = kind(**{k: float(v) if isinstance(v, int) else v for k, v in given.items()})
+    return Config(**out)
+
+
 QUESTIONS = ("goal", "big_chance", "controversy", "card")
 LEVELS = ("calm", "building", "peak")
 

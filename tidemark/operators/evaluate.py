@@ -24,9 +24,11 @@ def model_scores(predictions: DataFrame, thresholds: dict[str, float], fits: dic
 
 def window_metrics(scores: DataFrame, gold: DataFrame) -> DataFrame:
     """(method, question, n, positives, precision, recall, f1, *_weighted, ap) of scores (method, wid, question, score, pred) on gold
-    (wid, seq, question, label, weight, unsure); unsure windows and null labels don't count."""
+    (wid, seq, question, label, weight, unsure); unsure windows and null labels don't count. Scores are needed for all that counts: a
+    gold label that a method has no score for is an error, found by counting before anything is measured."""
     keys = ["method", "question"]
-    met = scores.join(gold.where(~F.coalesce("unsure", F.lit(False)) & F.col("label").isNotNull()), ["wid", "question"])
+    counted = gold.where(~F.coalesce("unsure", F.lit(False)) & F.col("label").isNotNull())
+    met = with_all_scores(scores, counted)
     plain = metrics.prf(met, keys, F.col("pred"), F.col("label")).select(*keys, "precision", "recall", "f1")
     weighted = metrics.prf(met, keys, F.col("pred"), F.col("label"), F.col("weight")).select(*keys, *[F.col(c).alias(f"{c}_weighted") for c in ("precision", "recall", "f1")])
     counts = met.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
@@ -61,6 +63,17 @@ def keyword_sweep(counts: DataFrame, windows: DataFrame, truth: DataFrame, ignor
     return event_metrics(scores, windows, truth, ignored, cfg).select(F.col("method").cast("int").alias("th"), "*").drop("method")
 
 
+def with_all_scores(scores: DataFrame, gold: DataFrame) -> DataFrame:
+    """scores (method, wid, question, ...) joined with gold (wid, question, ...); a method that answers a question at all must have a
+    score of every gold label of it."""
+    met = scores.join(gold, ["wid", "question"])
+    asked = scores.select("method", "question").distinct().join(gold.groupBy("question").agg(F.countDistinct("wid").alias("_n")), "question")
+    lost = asked.join(met.select("method", "question", "wid").distinct().groupBy("method", "question").agg(F.count("*").alias("_got")), ["method", "question"], "left").where(F.coalesce("_got", F.lit(0)) < F.col("_n"))
+    if not lost.isEmpty():
+        raise KeyError("gold labels without a score")
+    return met
+
+
 def with_all_labels(scores: DataFrame, labels: DataFrame, key: str = "wid") -> DataFrame:
     """scores joined with labels; a score whose window has no label row is an error, found by counting before anything is measured."""
     lost = scores.join(labels.select(key).distinct(), key, "left_anti").limit(1).count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import evaluation, labelling, streams
+from tidemark.plans import evaluation, labelling, stores, streams
 
-QUERIES = streams.QUERIES | labelling.QUERIES | evaluation.QUERIES
-ORACLE = streams.ORACLE | labelling.ORACLE | evaluation.ORACLE
+QUERIES = streams.QUERIES | labelling.QUERIES | evaluation.QUERIES | stores.QUERIES
+ORACLE = streams.ORACLE | labelling.ORACLE | evaluation.ORACLE | stores.ORACLE

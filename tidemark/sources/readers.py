@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import LEVELS, QUESTIONS
+from tidemark.config import LEVELS, QUESTIONS, Config, read_config
 from tidemark.operators.events import RAW
 
 SEGMENT = "match string, start double, end double, text string, avg_logprob double, no_speech_prob double, compression_ratio double, temperature double, words array<struct<start:double,end:double,word:string,p:double>>"
@@ -41,6 +41,21 @@ def raw_events(spark: SparkSession, path: str, match: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select(F.lit(match).alias("match"), "*")
 
 
+def raw_events_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw events of all matches landed in a folder, in one scan: a JSON array a match, in `<match>.json` or in files of a folder
+    `match=<match>`. index is the place in the array; a file that isn't JSON gives no rows."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select("value", F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")).alias("_f"))
+    of = F.coalesce(*[F.when(F.regexp_extract("_f", rx, 1) != "", F.url_decode(F.regexp_extract("_f", rx, 1))) for rx in (r"/match=([^/]+)/[^/]*$", r"/([^/]+)\.json[^/]*$")])
+    element = RAW.replace("match string, index int, ", "", 1)
+    each = files.select(of.alias("match"), F.posexplode(F.from_json("value", f"array<struct<{_as_struct(element)}>>")).alias("index", "e"))
+    return each.where("match is not null and e is not null").select("match", "index", "e.*")
+
+
+def _as_struct(ddl: str) -> str:
+    """Top-level columns of a schema as fields of a struct."""
+    return ",".join(":".join(column.split(" ", 1)) for column in ddl.split(", "))
+
+
 def registry(spark: SparkSession, rows: list[dict], spares: list[dict] = (), include_spares: bool = False, split: str | None = None) -> DataFrame:
     """Matches of a parsed registry; spares have the split `spare`."""
     names = [c.split()[0] for c in REGISTRY.split(", ")]
@@ -57,6 +72,11 @@ def load_registry(spark: SparkSession, path: str, **options) -> DataFrame:
     return registry(spark, found["matches"], found.get("spares", []), **options)
 
 
+def load_config(spark: SparkSession, path: str) -> Config:
+    """Parameters of a YAML file wherever Spark can read it."""
+    return read_config("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+
+
 def get_match(matches: DataFrame, id_: str) -> dict:
     found = matches.where(F.col("id") == id_).limit(1).collect()
     if not found:
@@ -114,10 +134,11 @@ def speech_window(hints: DataFrame, events: DataFrame) -> DataFrame:
 
 
 BLOCK = "match string, block string, period int, start double, end double, clock string"
+REVIEW = "idx int, labels struct<verdict:string,unsure:boolean>, ts double"
 GOLD = "idx int, wid string, labels map<string,int>, ts double"
 
 
-def _parts(spark: SparkSession, path: str, column: str, values: list[str], schema: str) -> DataFrame:
+def parts(spark: SparkSession, path: str, column: str, values: list[str], schema: str) -> DataFrame:
     """JSON lines of some folders `column=value`; those that aren't there have no rows, and no other is listed or read."""
     out = None
     for v in values:
@@ -128,14 +149,14 @@ def _parts(spark: SparkSession, path: str, column: str, values: list[str], schem
 
 def labels_of(spark: SparkSession, path: str, splits: list[str]) -> DataFrame:
     """(wid, match, split, question, label) of label files by split (a folder `split=<name>` each), nulls too."""
-    rows = _parts(spark, path, "split", splits, LABEL.replace("split string, ", ""))
+    rows = parts(spark, path, "split", splits, LABEL.replace("split string, ", ""))
     each = F.array(*[F.struct(F.lit(q).alias("question"), F.col("labels")[q].alias("label")) for q in (*QUESTIONS, "intensity")])
     return rows.select("wid", "match", "split", F.explode(each).alias("x")).select("wid", "match", "split", "x.*")
 
 
 def predictions_of(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """Saved predictions of one model run, from its folder `tag=<name>`."""
-    return _parts(spark, path, "tag", [tag], PREDICTION)
+    return parts(spark, path, "tag", [tag], PREDICTION)
 
 
 def windows_for(windows: DataFrame, matches: DataFrame, splits: list[str], match: str | None = None) -> DataFrame:
@@ -150,6 +171,16 @@ def gold_rows(labels: DataFrame, sample: DataFrame) -> DataFrame:
     return labels.drop("wid").join(sample, "idx")
 
 
+def review_rows(labels: DataFrame, items: DataFrame) -> DataFrame:
+    """Items of a review (idx, ...) with the verdict that was saved for them (labels: REVIEW); an item without one isn't in the result."""
+    return items.join(labels.select("idx", F.col("labels.verdict").alias("verdict"), F.coalesce("labels.unsure", F.lit(False)).alias("unsure")), "idx")
+
+
+def block_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """BLOCK rows that sinks.write_blocks saved; no folder, no rows."""
+    return jsonl(spark, path, BLOCK, missing_ok=True)
+
+
 def question_dim(spark: SparkSession, texts: dict[str, dict[str, tuple[str, str]]], lang: str | None = None) -> DataFrame:
     """(question, kind, lang, instructions, criteria) of what a scorer is asked: texts by language and question. Every language must ask
     all questions and the level of intensity, and nothing else."""

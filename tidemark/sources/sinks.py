@@ -27,6 +27,27 @@ def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (writer.partitionBy(*by) if by else writer).json(path)
 
 
+def land_raw_events(raw: DataFrame, path: str) -> None:
+    """Raw events (match, index if there is one, and columns of events.RAW) as a JSON array a match, in folders `match=<match>`."""
+    rest = [c for c in raw.columns if c not in ("match", "index")]
+    order = ["index"] if "index" in raw.columns else []
+    each = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*rest).alias("e")))) if order else F.collect_list(F.struct(F.struct(*rest).alias("e"))), lambda x: x["e"])
+    raw.groupBy("match").agg(F.to_json(each).alias("value")).write.mode("overwrite").partitionBy("match").text(path)
+
+
+def write_predictions(scores: DataFrame, path: str, tag: str) -> None:
+    """Answers of one model run (wid, question, noul, score, probabilities if there are any) as JSON lines of readers.PREDICTION, in the
+    run's folder `tag=<tag>`; other runs stay."""
+    fields = [F.col(c) if c in scores.columns else F.lit(None).cast(t).alias(c) for c, t in (("noul", "double"), ("score", "double"), ("probabilities", "map<string,double>"))]
+    answers = F.map_from_entries(F.collect_list(F.struct("question", F.struct(*fields).alias("a")))).alias("answers")
+    write_jsonl(scores.groupBy("wid").agg(answers), f"{path}/tag={tag}")
+
+
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """Block ranges as JSON lines of readers.BLOCK."""
+    write_jsonl(blocks.select("match", "block", "period", "start", "end", "clock"), path)
+
+
 def upsert_latest(old: DataFrame, new: DataFrame, key: list[str], at: str = "ts") -> DataFrame:
     """One row for each key: the latest by `at`, of equals the new one. Rows of a key are reduced before they are shuffled."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
