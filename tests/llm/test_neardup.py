@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -195,3 +196,19 @@ def test_keep_one_keeps_each_class_once(spark):
     rows = [(1, a, "x"), (1, b, "x"), (2, a + " more", "x"), (None, b, "y"), (None, b + " more", "y"), (3, None, "z"), (3, None, "z"), (4, a, "x"), (1, a, "x")]
     kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _id string"))
     assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame([(1, a), (1, b), (3, None), (3, None)], "doc_id long, text string").collect()))
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 10, 20, 30, 37, 38, 46])
+def test_links_between_short_texts_are_found(spark, n):
+    """Texts of few words with as many edits as the link of 0.8 allows, every one of 60 pairs."""
+    r = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for g in range(60):
+        a = [r.choice(vocabulary) for _ in range(n)]
+        b = list(a)
+        for i in r.sample(range(n), n // 5):
+            b[i] = r.choice(vocabulary)
+        texts[2 * g], texts[2 * g + 1] = " ".join(a), " ".join(b)
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert sum(got[2 * g + 1] == 2 * g for g in range(60)) >= 59

@@ -12,7 +12,8 @@ alignment within the band that LEAST allows, is at least LEAST.
    triples (each edit spoils two or three at most), so they share one among the rarest of either; only such texts are compared,
    which loses none that the limit allows. Those that many documents have, as in a shared passage, never count as rare.
 
-So any two documents that share a bucket have been compared, are of one class, or can't be alike.
+Texts of at most BRIEF words, which have few k-mers, are sketched by single words in the same way. So any two documents that share a
+bucket have been compared, are of one class, or can't be alike.
 """
 
 from __future__ import annotations
@@ -23,12 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import U64, Rolling, as_bytes, bounded_batches, discard, forget_models, load, mixed, slices, written
 
 SHINGLE, PICKED, SKETCHES, LEAST = 3, 2, 48, 0.8
+#: Texts of so many words and fewer are sketched by single words instead, labelled likewise: one edit of five words spoils every k-mer of
+#: three. Texts of BOTH to BRIEF words have both sketches, so that any two within a link of BOTH / BRIEF or more have one kind in common.
+BOTH, BRIEF, BRIEF_PICKED, BRIEF_SKETCHES = 20, 37, 3, 40
 #: Members of an open bucket that are all compared; what they make is at most half as many pairs a row. Larger ones go by rare words.
 SMALL = 32
 #: Words up to which rare pairs of words are looked at, and from which rare triples are: two long texts share some rare pair by chance.
@@ -126,15 +131,25 @@ def sketch_batch(column: pa.Array, shingle: int = SHINGLE, picked: int = PICKED,
     return counts, out
 
 
+def sketch_rows(column: pa.Array, shingle: int = SHINGLE, picked: int = PICKED, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sketches of texts as plain() leaves them, a row each: bucket, place of the text, and its words."""
+    n = np.where(pc.binary_length(column).to_numpy(zero_copy_only=False) == 0, 0, pc.count_substring(column, " ").to_numpy(zero_copy_only=False) + 1)
+    parts = []
+    for chosen, options, mark in ((n <= BRIEF, (1, BRIEF_PICKED, BRIEF_SKETCHES), 1), (n >= BOTH, (shingle, picked, sketches), 0)):
+        at = np.flatnonzero(chosen & (n > 0))
+        counts, found = sketch_batch(column.take(pa.array(at)), *options)
+        parts.append((found.ravel() ^ mark, np.repeat(at, options[2]), np.repeat(counts, options[2])))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def sketched(words: DataFrame, shingle: int, picked: int, sketches: int) -> DataFrame:
     """(bucket, _id, n_words): every sketch of every text of words (_id, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_models()  # no model is needed here, and workers may hold that of a stage before
         for batch in slices(batches, 1, 1 << 19):
-            counts, found = sketch_batch(batch.column(1), shingle, picked, sketches)
-            rows = pa.array(np.repeat(np.arange(len(counts)), sketches))
-            yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), batch.column(0).take(rows), pa.array(counts.astype(np.int32)).take(rows)], names=["bucket", "_id", "n_words"])
+            bucket, at, counts = sketch_rows(batch.column(1), shingle, picked, sketches)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0).take(pa.array(at)), pa.array(counts.astype(np.int32))], names=["bucket", "_id", "n_words"])
 
     return words.select("_id", "words").mapInArrow(run, "bucket bigint, _id bigint, n_words int")
 
