@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import re
 
 from tidemark.llm import warc
 from tidemark.llm.common import shared_path
@@ -66,3 +67,15 @@ def test_long_headers_many_records_and_damage(spark, tmp_path):
         # the record before the cut one is whole, and what follows it starts like a record
         assert [(t, i) for _, t, i in rows] == [("response", "<urn:page:1>"), ("response", "<urn:page:2>"), ("response", "<urn:page:3>"), ("damaged", None)]
         assert rows[-1][0] == len(whole)
+
+
+def test_lengths_that_are_no_numbers(spark, tmp_path):
+    good = warc.record(1, "u", b"one", "D" * 32, None)
+    bad = re.sub(rb"Content-Length: \d+", b"Content-Length: abc", good, count=1)
+    http = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:9>\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: -3\r\n\r\nnine"
+    huge = re.sub(rb"Content-Length: \d+", b"Content-Length: " + b"9" * 5000, good, count=1)
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(map(warc.member, (bad, good, http, huge))))
+    archives = spark.createDataFrame([(f"file://{path}", path.stat().st_size)], "path string, bytes bigint")
+    rows = sorted((x["offset"], x["record_type"], x["record_id"], x["payload_bytes"]) for x in warc.read_archives(archives).collect())
+    assert [x[1:] for x in rows] == [("damaged", None, None), ("response", "<urn:page:1>", 3), ("response", "<urn:page:9>", 4), ("damaged", None, None)]

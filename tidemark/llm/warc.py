@@ -165,7 +165,7 @@ def each_record(content: bytes) -> Iterator[bytes]:
     """The records of a member, one as a rule; where a length is missing or wrong, the rest is one record."""
     while content:
         head, blank, rest = content.partition(b"\r\n\r\n")
-        length = re.search(rb"(?im)^Content-Length:[ \t]*(\d+)", head)
+        length = re.search(rb"(?im)^Content-Length:[ \t]*(\d{1,18})[ \t]*\r?$", head)
         to = len(head) + len(blank) + int(length[1]) if length else len(content)
         left = content[to:].lstrip(b"\r\n")
         if not left.startswith(b"WARC/"):
@@ -175,12 +175,23 @@ def each_record(content: bytes) -> Iterator[bytes]:
         content = left
 
 
-def parsed(content: bytes) -> dict:
-    """Of a record: its headers by lower-case name, those of HTTP under `http`, and the payload (None for a revisit)."""
+def _length(told: str | None, default: int) -> int | None:
+    """A length as headers tell it; default if they don't, None if it isn't a number."""
+    if told is None:
+        return default
+    return int(told) if re.fullmatch(r"\d{1,18}", told, re.ASCII) else None
+
+
+def parsed(content: bytes) -> dict | None:
+    """Of a record: its headers by lower-case name, those of HTTP under `http`, and the payload (None for a revisit). None of a record whose
+    Content-Length isn't a number."""
     head, _, rest = content.partition(b"\r\n\r\n")
     fields = lambda lines: {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     warc = fields(head.decode("utf-8", "replace").split("\r\n")[1:])
-    block = rest[: int(warc.get("content-length", len(rest)))]
+    length = _length(warc.get("content-length"), len(rest))
+    if length is None:
+        return None
+    block = rest[:length]
     http, _, payload = block.partition(b"\r\n\r\n")
     return warc | {"http": fields(http.decode("utf-8", "replace").split("\r\n")[1:]), "payload": None if warc.get("warc-type") == "revisit" else payload}
 
@@ -191,8 +202,9 @@ RECORDS = "path string, offset bigint, record_type string, record_id string, ref
 def read_archives(archives: DataFrame, size: int = RANGE, payloads: bool = True) -> DataFrame:
     """A row for each record of archives (path, bytes). payload_bytes is of the full payload, which a revisit doesn't hold.
     A member of several records gives a row for each. An archive of no bytes has no records; bytes that decode to no record are
-    skipped, but a member that starts like a record and doesn't decode to its end, as in a truncated archive, gives a row of the
-    record_type `damaged`, with null fields."""
+    skipped, but a member that starts like a record and doesn't decode to its end, as in a truncated archive, and a record whose
+    Content-Length isn't a number, gives a row of the record_type `damaged`, with null fields. Of HTTP headers such a length is left
+    aside."""
     ranges = archives.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(size).cast("long"))).alias("start"))
     tasks = max(1, ranges.count())
 
@@ -206,7 +218,9 @@ def read_archives(archives: DataFrame, size: int = RANGE, payloads: bool = True)
                     if r is None:
                         rows.append((path, at, "damaged", *[None] * 6))
                         continue
-                    n = int(r["http"].get("content-length", len(r["payload"] or b"")))
+                    held_bytes = len(r["payload"] or b"")
+                    n = _length(r["http"].get("content-length"), held_bytes)
+                    n = held_bytes if n is None else n
                     rows.append((path, at, r.get("warc-type"), r.get("warc-record-id"), r.get("warc-refers-to"), r.get("warc-target-uri"), r.get("warc-payload-digest", "").removeprefix("sha1:"), n, r["payload"] if payloads else None))
                     held += len(r["payload"] or b"") + 1000
                     if held > _CHUNK * 4:
