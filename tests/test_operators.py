@@ -368,3 +368,37 @@ def test_tolerance_is_mirrored_for_ignored_moments(spark):
     assert {x["e_id"] for x in caught} == {0, 1}
     assert {x["id"] for x in triggers.drop_ignored(t, at(-500.0), at(230.0), ["match"], -10.0, 120.0).collect()} == {2}
     assert {x["id"] for x in triggers.drop_ignored(t, at(-500.0), at(-5.0), ["match"], -10.0, 120.0).collect()} == {1, 2}
+
+
+def test_long_triggers_are_few_rows_and_meet_all_moments(spark):
+    t = frame(spark, [("m", i, 50000.0 * i, 50000.0 * i + 40000) for i in range(20)], "match string, id int, start double, end double")
+    assert triggers.by_cell(t, -1800.0, 7200.0, triggers.cell_of(t, -1800.0, 7200.0)).count() <= 40
+    at = frame(spark, [("m", i, 50000.0 * i + x) for i, x in enumerate([-7200.0, -7201.0, 41800.0, 41801.0, 20000.0])], "match string, e_id int, t double")
+    assert sorted(x["id"] for x in triggers.hits(t, at, ["match"], -1800.0, 7200.0).collect()) == [0, 2, 4]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_event_metrics_one_by_one(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    w = [(f"{m}{i}", m, 60.0 * i, 60.0 * i + r.choice([20.0, 100.0, 300.0])) for m in "ab" for i in range(60)]
+    scores = [(method, wid, q, 0.5, int(r.random() < 0.3)) for method in ("x", "y") for wid, *_ in w for q in ("goal", "card")]
+    points = lambda n: list({(r.choice("abc"), r.choice(["goal", "card", "other"]), float(r.randrange(0, 4000))) for _ in range(n)})
+    truth, ignored = points(60), points(80)
+    cfg = evaluate.TriggerConfig(gap=30.0, max_len=240.0, tolerance={"goal": (-30.0, 30.0), "card": (-10.0, 120.0)})
+    windows_ = frame(spark, w, "wid string, match string, start double, end double")
+    pos = frame(spark, scores, "method string, wid string, question string, score double, pred int")
+    moments = lambda rows: frame(spark, rows, "match string, question string, t double")
+    got = {(x["method"], x["question"]): x for x in evaluate.event_metrics(pos, windows_, moments(truth), moments(ignored), cfg).collect()}
+    made = triggers.merge_capped(pos.where("pred = 1").join(windows_, "wid").selectExpr("match", "method", "question", "start", "end", "score prob"), ["match", "method", "question"], 30.0, 240.0).collect()
+    assert len(got) == 4
+    for (method, q), x in got.items():
+        lo, hi = cfg.tolerance[q]
+        own = lambda rows, m: [t for a, b, t in rows if a == m and b == q]  # noqa: B023,E731
+        kept = [g for g in made if g["method"] == method and g["question"] == q]
+        kept = [g for g in kept if any(g["start"] + lo <= t <= g["end"] + hi for t in own(truth, g["match"])) or not any(g["start"] + lo <= t <= g["end"] + hi for t in own(ignored, g["match"]))]
+        meets = lambda g, t: g["start"] - hi <= t <= g["end"] - lo  # noqa: B023,E731
+        assert x["triggers"] == len(kept) and x["events"] == sum(b == q for _, b, _ in truth)
+        assert x["true_triggers"] == sum(any(meets(g, t) for t in own(truth, g["match"])) for g in kept)
+        assert x["caught"] == sum(any(meets(g, t) for g in kept if g["match"] == m) for m, b, t in truth if b == q)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import TriggerConfig
 from tidemark.operators import metrics, triggers
 from tidemark.operators.calibrate import argmax_level, with_platt
+from tidemark.sources.shared import written
 
 
 def model_scores(predictions: DataFrame, thresholds: dict[str, float], fits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -40,20 +39,30 @@ def event_metrics(scores: DataFrame, windows: DataFrame, truth: DataFrame, ignor
     triggers, minutes are of all of them, and those that hit nothing but an ignored moment are left out after that. truth
     and ignored: match, question, t. Every question has its own tolerance."""
     keys = ["match", "method", "question"]
-    pos = scores.where("pred = 1").join(windows.select("wid", "match", "start", "end"), "wid").select(*keys, "start", "end", F.col("score").alias("prob"))
-    trig = triggers.merge_capped(pos, keys, cfg.gap, cfg.max_len).withColumn("id", F.xxhash64(*keys, "start"))
-    methods = scores.select("method").distinct()
-    named = lambda df: df.withColumn("e_id", F.xxhash64("match", "question", "t")).crossJoin(F.broadcast(methods))  # noqa: E731  a row a method
-    minutes = trig.groupBy("method", "question").agg((F.sum(F.col("end") - F.col("start")) / 60).alias("minutes"))
-    parts = []
-    for q, (lo, hi) in cfg.tolerance.items():
-        of = lambda df: df.where(F.col("question") == q)  # noqa: B023,E731
-        kept = triggers.drop_ignored(of(trig), of(named(truth)), of(named(ignored)), keys, lo, hi)
-        parts.append(triggers.event_match(kept, of(named(truth)), keys, lo, hi).drop("minutes"))
-    sums = reduce(lambda a, b: a.unionByName(b), parts).groupBy("method", "question").agg(*[F.sum(c).alias(c) for c in ("events", "caught", "triggers", "true_triggers")])
+    pos = scores.where("pred = 1").select("method", "wid", "question", "score").join(windows.select("wid", "match", "start", "end").hint("merge"), "wid").select(*keys, "start", "end", F.col("score").alias("prob"))
+    of = lambda i: F.create_map(*[F.lit(x) for q, r in cfg.tolerance.items() for x in (q, float(r[i]))])[F.col("question")]
+    asked = F.col("question").isin(list(cfg.tolerance))
+    trig = written(triggers.merge_capped(pos.where(asked), keys, cfg.gap, cfg.max_len).withColumn("id", F.monotonically_increasing_id()), "triggers")
+    # true and ignored moments meet the triggers in one pass: within a tolerance, or within it mirrored
+    far = max([abs(x) for r in cfg.tolerance.values() for x in r], default=0.0)
+    cell = triggers.cell_of(trig, -far, far)
+    points = truth.select("match", "question", "t", F.lit(True).alias("_true")).unionByName(ignored.select("match", "question", "t", F.lit(False).alias("_true"))).where(asked)
+    points = points.select("match", "question", F.col("t").alias("_t"), "_true", F.floor(F.col("t") / cell).cast("long").alias("_cell"))
+    met = triggers.by_cell(trig.select(*keys, "id", "start", "end"), -far, far, cell).join(points.hint("merge"), ["match", "question", "_cell"])
+    within = lambda a, b: (F.col("_t") >= F.col("start") + a) & (F.col("_t") <= F.col("end") + b)
+    met = met.withColumn("_hit", F.col("_true") & within(-of(1), -of(0))).withColumn("_near", within(of(0), of(1))).where("_hit or _near")
+    one = Window.partitionBy("id")
+    met = met.withColumn("_good", F.max(F.col("_true") & F.col("_near")).over(one)).withColumn("_bad", F.max(~F.col("_true") & F.col("_near")).over(one))
+    each = met.groupBy("id", "method", "question").agg(F.max("_hit").alias("_hit"), F.max(F.col("_bad") & ~F.col("_good")).alias("_out"))
+    by = ["method", "question"]
+    told = each.groupBy(*by).agg(F.count_if("_out").alias("_outs"), F.count_if(F.col("_hit") & ~F.col("_out")).alias("true_triggers"))
+    caught = met.where("_hit and (_good or not _bad)").select(*by, "match", "_t").distinct().groupBy(*by).agg(F.count("*").alias("caught"))
+    made = trig.groupBy(*by).agg(F.count("*").alias("_n"), (F.sum(F.col("end") - F.col("start")) / 60).alias("minutes"))
+    there = truth.where(asked).groupBy("question").agg(F.count("*").alias("events")).crossJoin(F.broadcast(scores.select("method").distinct()))  # a row a method
+    sums = there.join(made, by, "full").join(told, by, "left").join(caught, by, "left").na.fill(0, ["events", "_n", "_outs", "true_triggers", "caught"])
+    out = sums.withColumn("triggers", F.col("_n") - F.col("_outs")).where("events > 0 or triggers > 0")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    out = sums.join(minutes, ["method", "question"], "left")
-    return out.select("method", "question", "events", "caught", "triggers", "true_triggers", share("caught", "events").alias("recall"), share("true_triggers", "triggers").alias("precision"), F.coalesce("minutes", F.lit(0.0)).alias("minutes"))
+    return out.select(*by, "events", "caught", "triggers", "true_triggers", share("caught", "events").alias("recall"), share("true_triggers", "triggers").alias("precision"), F.coalesce("minutes", F.lit(0.0)).alias("minutes"))
 
 
 def keyword_sweep(counts: DataFrame, windows: DataFrame, truth: DataFrame, ignored: DataFrame, thresholds: list[int], cfg: TriggerConfig = TriggerConfig()) -> DataFrame:

@@ -90,19 +90,32 @@ def bin_coverage(captions: DataFrame, keys: list[str], start: Column, end: Colum
     return out.select(*keys, F.when(F.col("_b") > 0, F.col("_h") / F.col("_b")).otherwise(0.0).alias("coverage"))
 
 
-def hits(triggers: DataFrame, events: DataFrame, keys: list[str], lo: float, hi: float, cell: float = 600.0) -> DataFrame:
-    """Pairs (trigger id, event e_id) where start - hi <= t <= end - lo. triggers: keys, id, start, end; events: keys, e_id, t."""
-    a = triggers.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("start") - hi) / cell).cast("long"), F.floor((F.col("end") - lo) / cell).cast("long"))))
+def cell_of(triggers: DataFrame, lo: float, hi: float) -> float:
+    """A time cell twice as long as what triggers reach on average, ten minutes at least; so a trigger has one and a half rows."""
+    return max(600.0, 2 * ((triggers.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 0.0) + hi - lo))
+
+
+def by_cell(triggers: DataFrame, lo: Column | float, hi: Column | float, cell: float) -> DataFrame:
+    """triggers once for each cell of [start - hi, end - lo], as _cell."""
+    return triggers.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("start") - hi) / cell).cast("long"), F.floor((F.col("end") - lo) / cell).cast("long"))))
+
+
+def hits(triggers: DataFrame, events: DataFrame, keys: list[str], lo: float, hi: float, cell: float | None = None) -> DataFrame:
+    """Pairs (trigger id, event e_id) where start - hi <= t <= end - lo. triggers: keys, id, start, end; events: keys, e_id, t. Without a
+    cell its length is measured (cell_of)."""
+    cell = cell or cell_of(triggers, lo, hi)
+    a = by_cell(triggers, lo, hi, cell)
     b = events.select(*keys, "e_id", "t", F.floor(F.col("t") / cell).cast("long").alias("_cell"))
-    met = a.join(b, [*keys, "_cell"])
+    met = a.join(b.hint("merge"), [*keys, "_cell"])  # neither side is bounded
     return met.where((F.col("t") >= F.col("start") - hi) & (F.col("t") <= F.col("end") - lo)).select(*keys, "id", "e_id")
 
 
 def drop_ignored(triggers: DataFrame, truth: DataFrame, ignored: DataFrame, keys: list[str], lo: float, hi: float) -> DataFrame:
     """Triggers that hit a true event, or no ignored one. The tolerance is mirrored here: start + lo <= t <= end + hi."""
-    good = hits(triggers, truth, keys, -hi, -lo).select("id").distinct().withColumn("_good", F.lit(True))
-    bad = hits(triggers, ignored, keys, -hi, -lo).select("id").distinct().withColumn("_bad", F.lit(True))
-    met = triggers.join(good, "id", "left").join(bad, "id", "left")
+    cell = cell_of(triggers, -hi, -lo)
+    good = hits(triggers, truth, keys, -hi, -lo, cell).select("id").distinct().withColumn("_good", F.lit(True))
+    bad = hits(triggers, ignored, keys, -hi, -lo, cell).select("id").distinct().withColumn("_bad", F.lit(True))
+    met = triggers.join(good.hint("merge"), "id", "left").join(bad.hint("merge"), "id", "left")
     return met.where(F.col("_good").isNotNull() | F.col("_bad").isNull()).drop("_good", "_bad")
 
 
