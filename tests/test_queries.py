@@ -60,3 +60,10 @@ def test_text_between_reaches_the_last_turn(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/conversations.parquet")
     got = {x["id"]: x["text"] for x in entry.queries()["text_between"](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(10)) and got[9].startswith("w13 ") and got[8] == ""
+
+
+@pytest.mark.parametrize("name", ["ignore_overlay", "window_labels", "class_balance", "project_ternary", "window_coverage", "teacher_scores"])
+def test_windows_are_never_sent_whole(spark, name):
+    """Spark takes a side that was exploded for as many rows as before, and would broadcast the windows of all streams."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -27,7 +27,7 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], reach: float
     cell = cell or cell_for(left, right, reach)
     a = left.withColumn("_cell", F.explode(_cells(F.col("start") - reach, F.col("end") + reach, cell)))
     b = right.withColumnRenamed("start", "r_start").withColumnRenamed("end", "r_end").withColumn("_cell", F.explode(_cells(F.col("r_start"), F.col("r_end"), cell)))
-    met = a.join(b, [*keys, "_cell"])
+    met = a.join(b.hint("merge"), [*keys, "_cell"])  # neither side is bounded; Spark takes what was exploded for as many rows as before
     first = F.greatest(F.floor((F.col("start") - reach) / cell), F.floor(F.col("r_start") / cell))
     close = (F.col("r_start") <= F.col("end") + reach) & (F.col("r_end") >= F.col("start") - reach)
     return met.where(close & (F.col("_cell") == first)).drop("_cell")
@@ -45,23 +45,23 @@ def project(windows: DataFrame, spans: DataFrame, questions: DataFrame, min_over
     all_ = spans.select("match", "question", "start", "end", F.lit(True).alias("_p"))
     if ignored is not None:
         all_ = all_.unionByName(ignored.select("match", "question", "start", "end", F.lit(False).alias("_p")))
-    pairs = near_pairs(w, all_, ["match"], ignore_near, cell)
-    best = pairs.groupBy("match", "wid", "question").agg(
-        F.max(F.when(F.col("_p"), _shared())).alias("ov"),
-        F.min(F.when(F.col("_p"), gap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")))).alias("gp"),
-        F.bool_or(~F.col("_p") & (_shared() > 0)).alias("ig"),
-    )
-    every = w.select("match", "wid").crossJoin(F.broadcast(questions))  # a handful of questions
-    met = every.join(best, ["match", "wid", "question"], "left")
+    pairs = near_pairs(w, all_.where("question is not null"), ["match"], ignore_near, cell)
+    # dealt out by window once: its questions meet it as one row and part after that
+    pairs = pairs.select("match", "wid", "question", F.when(F.col("_p"), _shared()).alias("ov"), F.when(F.col("_p"), gap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).alias("gp"), (~F.col("_p") & (_shared() > 0)).alias("ig")).repartition("match", "wid")
+    best = pairs.groupBy("match", "wid", "question").agg(F.max("ov").alias("ov"), F.min("gp").alias("gp"), F.bool_or("ig").alias("ig"))
     near = (F.col("ov") > 0) | (F.col("gp") < ignore_near)
-    return met.select("match", "wid", "question", F.when(F.col("ov") >= min_overlap, 1).when(near | F.col("ig"), None).otherwise(0).alias("label"))
+    label = F.when(F.col("ov") >= min_overlap, 1).when(near | F.col("ig"), None).otherwise(0)
+    by = best.groupBy("match", "wid").agg(F.map_from_entries(F.collect_list(F.struct("question", F.struct(label.alias("label"))))).alias("_by"))
+    met = w.select("match", "wid").join(by.hint("merge"), ["match", "wid"], "left").crossJoin(F.broadcast(questions))  # a handful of questions
+    own = F.try_element_at("_by", F.col("question"))
+    return met.select("match", "wid", "question", F.when(own.isNull(), 0).otherwise(own["label"]).alias("label"))
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], anti: bool = False, cell: float | None = None) -> DataFrame:
     """Rows of left (with id) that overlap some row of right by more than nothing, or with anti those that don't."""
     pairs = near_pairs(left, right.select(*keys, "start", "end"), keys, cell=cell)
     hit = pairs.where(_shared() > 0).select("id").distinct()
-    return left.join(hit, "id", "left_anti" if anti else "left_semi")
+    return left.join(hit.hint("merge"), "id", "left_anti" if anti else "left_semi")
 
 
 def block_facts(windows: DataFrame, blocks: DataFrame, least: float = 5.0, cell: float | None = None) -> DataFrame:
@@ -83,7 +83,7 @@ def coverage(windows: DataFrame, blocks: DataFrame, cell: float | None = None) -
     """windows with covered: how much of each lies in blocks (overlaps of blocks count twice)."""
     pairs = near_pairs(windows.select("match", "wid", "start", "end"), blocks.select("match", "start", "end"), ["match"], cell=cell)
     inside = pairs.groupBy("match", "wid").agg(F.sum(_shared()).alias("covered"))
-    return windows.join(inside, ["match", "wid"], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+    return windows.join(inside.hint("merge"), ["match", "wid"], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
 
 
 def asof_period(points: DataFrame, periods: DataFrame, slack: float = 30.0) -> DataFrame:

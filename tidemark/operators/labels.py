@@ -19,7 +19,7 @@ SPAN = ["match", "question", "start", "end", "uncertain", "note", "origin"]
 def audio_time(events: DataFrame, periods: DataFrame) -> DataFrame:
     """events with at: the stream time, null for a period that isn't aligned or a null t."""
     of = periods.select(F.col("match").alias("_m"), F.col("period").alias("_p"), F.col("offset").alias("_o"))
-    return events.join(of, (F.col("match") == F.col("_m")) & (F.col("period") == F.col("_p")), "left").withColumn("at", F.col("_o") + F.col("t")).drop("_m", "_p", "_o")
+    return events.join(of.hint("merge"), (F.col("match") == F.col("_m")) & (F.col("period") == F.col("_p")), "left").withColumn("at", F.col("_o") + F.col("t")).drop("_m", "_p", "_o")
 
 
 def event_spans(events: DataFrame, periods: DataFrame, cfg: LabelConfig = LabelConfig()) -> DataFrame:
@@ -77,9 +77,11 @@ def merge_spans(event: DataFrame, teacher: DataFrame) -> tuple[DataFrame, DataFr
 def ignore_overlay(labels: DataFrame, windows: DataFrame, ignored: DataFrame) -> DataFrame:
     """labels (match, wid, question, label) with 0 turned to null where the window overlaps an ignored span; 1 stays 1."""
     pairs = intervals.near_pairs(windows.select("match", "wid", "start", "end"), ignored, ["match"])
-    hit = pairs.where(overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")) > 0).select("match", "wid", "question").distinct().withColumn("_i", F.lit(True))
-    met = labels.join(hit, ["match", "wid", "question"], "left")
-    return met.select("match", "wid", "question", F.when((F.col("label") == 0) & F.col("_i").isNotNull(), None).otherwise(F.col("label")).alias("label"))
+    # by window, so that labels dealt out by window, as project leaves them, stay where they are
+    hit = pairs.where(overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")) > 0).groupBy("match", "wid").agg(F.collect_set("question").alias("_q"))
+    met = labels.join(hit.hint("merge"), ["match", "wid"], "left")
+    within = F.coalesce(F.array_contains("_q", F.col("question")), F.lit(False))
+    return met.select("match", "wid", "question", F.when((F.col("label") == 0) & within, None).otherwise(F.col("label")).alias("label"))
 
 
 def merge_labels(windows: DataFrame, event: DataFrame, teacher: DataFrame, blocks: DataFrame, levels: DataFrame, cfg: LabelConfig = LabelConfig()) -> tuple[DataFrame, DataFrame]:
@@ -93,10 +95,10 @@ def merge_labels(windows: DataFrame, event: DataFrame, teacher: DataFrame, block
     cell = intervals.cell_for(w, blocks, cfg.ignore_near)
     long_ = intervals.project(w, positive, asked, cfg.min_overlap, cfg.ignore_near, ignored, cell)
     wide = long_.groupBy("match", "wid").agg(*[F.max(F.when(F.col("question") == q, F.col("label"))).alias(q) for q in QUESTIONS])
-    facts = intervals.block_facts(w, blocks.join(levels, ["match", "block"], "left"), cfg.block_overlap, cell)
+    facts = intervals.block_facts(w, blocks.join(levels.hint("merge"), ["match", "block"], "left"), cfg.block_overlap, cell)
     open_ = F.coalesce("covered", F.lit(0.0)) < F.col("end") - F.col("start") - 1e-6
-    known = w.join(facts, ["match", "wid"], "left").select("match", "wid", F.when(~F.col("top.uncertain"), -F.col("top.l")).alias("intensity"), open_.alias("_open"))
-    out = wide.join(known, ["match", "wid"])
+    known = w.join(facts.hint("merge"), ["match", "wid"], "left").select("match", "wid", F.when(~F.col("top.uncertain"), -F.col("top.l")).alias("intensity"), open_.alias("_open"))
+    out = wide.join(known.hint("merge"), ["match", "wid"])
     for q in ("big_chance", "controversy", "card", "intensity"):
         out = out.withColumn(q, F.when(F.col("_open") & (F.coalesce(F.col(q), F.lit(-1)) != 1), None).otherwise(F.col(q)))
     missing = blocks.join(levels.select("match", "block").distinct(), ["match", "block"], "left_anti").groupBy("match").agg(F.count("*").alias("n"))
@@ -112,8 +114,8 @@ def teacher_scores(windows: DataFrame, teacher: DataFrame, blocks: DataFrame, le
     got = intervals.project(windows, teacher, asked, cfg.min_overlap, 0.0)
     yes = F.coalesce(F.col("label") == 1, F.lit(False)).cast("int")
     binary = got.select("match", "wid", "question", yes.cast("double").alias("score"), yes.alias("pred"))
-    best = intervals.block_level(windows, blocks.join(levels, ["match", "block"]), cfg.block_overlap)
-    level = windows.select("match", "wid").join(best, ["match", "wid"], "left").select("match", "wid", F.lit("intensity").alias("question"), F.coalesce("level", F.lit(0)).cast("double").alias("score"), F.coalesce("level", F.lit(0)).cast("int").alias("pred"))
+    best = intervals.block_level(windows, blocks.join(levels.hint("merge"), ["match", "block"]), cfg.block_overlap)
+    level = windows.select("match", "wid").join(best.hint("merge"), ["match", "wid"], "left").select("match", "wid", F.lit("intensity").alias("question"), F.coalesce("level", F.lit(0)).cast("double").alias("score"), F.coalesce("level", F.lit(0)).cast("int").alias("pred"))
     return binary.unionByName(level)
 
 
