@@ -57,3 +57,12 @@ def test_fit_and_leave_one_out_at_full_radii(spark):
         best = next(o for o in grid if cost(rest, hits["x"], o) <= least + 1e-6)
         fine = min((round(cost(rest, hits["x"], best - 1 + 0.25 * k), 9), best - 1 + 0.25 * k) for k in range(9))[1]
         assert abs(loo["x", i]["loo_offset"] - fine) < 1e-9
+
+
+def test_no_row_an_offset_is_shuffled_for_a_fit(spark):
+    a, h, cues = frames(spark, {"x": [("a", 10.0), ("b", 20.0)]}, {"x": [("a1", 30.0), ("b1", 40.0)]})
+    search = a.select("match", "period").distinct().selectExpr("match", "period", "0D center", "1200D radius")
+    found = align.offset_costs(a, h, cues, search)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.index("MapInArrow") < text.index("Exchange") and found.count() == 2401
+    assert "BroadcastHashJoin [match" not in text

@@ -6,8 +6,14 @@ All matches are fitted at once; only the periods of a match follow one another.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.config import BREAK_BEFORE, CUES, RADIUS_FIRST, RADIUS_LATER, SHOOTOUT
 from tidemark.sources.shared import written
@@ -103,17 +109,12 @@ def cost_curve(hits: DataFrame, cues: DataFrame) -> DataFrame:
     return curve.withColumn("slope", F.coalesce((F.lead("cost").over(w) - F.col("cost")) / (F.lead("x").over(w) - F.col("x")), F.lit(0.0)))
 
 
-def grid_costs(anchors: DataFrame, hits: DataFrame, cues: DataFrame, search: DataFrame, keys: list[str], step: float = 1.0, cell: float = 600.0) -> DataFrame:
-    """(keys, offset, cost) over the grid of search (match, period, center, radius), the costs summed over the anchors of a key: match and
-    period, or an anchor of its own.
-
-    Each bend of an anchor's curve is two numbers on the grid, second differences of its costs; summed over anchors, they are added up
-    twice along the grid. So work goes with anchors times bends and with offsets, and nothing is sorted for anchors times offsets.
-    Sums differ from those of best_match in the last places.
-    """
+def _parts(anchors: DataFrame, hits: DataFrame, cues: DataFrame, search: DataFrame, keys: list[str], step: float, cell: float) -> tuple[DataFrame, DataFrame]:
+    """(starts, turns) over the grid of search: cost and slope of each anchor where its grid begins (keys, _lo, _n, _f, _s), and the bends
+    inside it as second differences (keys, i, dd)."""
     curve = written(cost_curve(hits, cues), "cost-curve")  # some three rows a hit
     lo, n = F.col("center") - F.col("radius"), F.floor(2 * F.col("radius") / step).cast("int")
-    base = anchors.join(search, ["match", "period"]).select(*dict.fromkeys([*keys, "match", "kind"]), lo.alias("_lo"), n.alias("_n"), (lo + F.col("t")).alias("_x"))
+    base = anchors.join(search.hint("merge"), ["match", "period"]).select(*dict.fromkeys([*keys, "match", "kind"]), lo.alias("_lo"), n.alias("_n"), (lo + F.col("t")).alias("_x"))
     # cost and slope where the grid begins: on the line of the last bend before
     w = Window.partitionBy("match", "kind")
     bend = F.struct("x", "cost", "slope")
@@ -121,30 +122,95 @@ def grid_costs(anchors: DataFrame, hits: DataFrame, cues: DataFrame, search: Dat
     before = F.last("_c", ignorenulls=True).over(w.orderBy("_at", F.col("_c").isNull()).rowsBetween(Window.unboundedPreceding, 0))
     least = cues.groupBy("kind").agg(F.min(F.col("weight") * F.col("cap")).alias("_least"))
     begun = rows.withColumn("_b", before).where("_c is null").join(F.broadcast(least), "kind")
-    begun = begun.select(*keys, "_lo", "_n", F.coalesce(F.col("_b.cost") + F.col("_b.slope") * (F.col("_x") - F.col("_b.x")), F.col("_least")).alias("_f"), F.coalesce(F.col("_b.slope"), F.lit(0.0)).alias("_s"))
-    starts = begun.groupBy(*keys).agg(F.min("_lo").alias("_lo"), F.min("_n").alias("_n"), F.sum("_f").alias("_f"), F.sum("_s").alias("_s"))
-    grid = starts.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("i"), "_lo", "_f", "_s", F.lit(0.0).alias("dd"))
+    starts = begun.select(*keys, "_lo", "_n", F.coalesce(F.col("_b.cost") + F.col("_b.slope") * (F.col("_x") - F.col("_b.x")), F.col("_least")).alias("_f"), F.coalesce(F.col("_b.slope"), F.lit(0.0)).alias("_s"))
     # bends inside the grid
     turn = curve.withColumn("_d", F.col("slope") - F.coalesce(F.lag("slope").over(w.orderBy("x")), F.lit(0.0))).where("_d <> 0").select("match", "kind", "x", "_d", F.floor(F.col("x") / cell).alias("_cell"))
     near = base.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_x") / cell), F.floor((F.col("_x") + F.col("_n") * step) / cell))))
-    met = near.join(turn, ["match", "kind", "_cell"]).where("x > _x").withColumn("_u", (F.col("x") - F.col("_x")) / step)
+    met = near.join(turn.hint("merge"), ["match", "kind", "_cell"]).where("x > _x").withColumn("_u", (F.col("x") - F.col("_x")) / step)
     at = F.floor("_u").cast("int")
     two = F.array(F.struct((at + 1).alias("i"), (F.col("_d") * step * (1 - F.col("_u") + at)).alias("dd")), F.struct((at + 2).alias("i"), (F.col("_d") * step * (F.col("_u") - at)).alias("dd")))
-    turns = met.select(*keys, "_n", F.explode(two).alias("k")).where("k.i <= _n").select(*keys, "k.i", "k.dd")
-    sums = grid.unionByName(turns, allowMissingColumns=True).groupBy(*keys, "i").agg(F.sum("dd").alias("dd"), F.max("_lo").alias("_lo"), F.max("_f").alias("_f"), F.max("_s").alias("_s"))
-    along = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("_r", F.sum("dd").over(along)).withColumn("_r", F.sum("_r").over(along))
-    return sums.select(*keys, (F.col("_lo") + F.col("i") * step).alias("offset"), (F.col("_f") + F.col("i") * step * F.col("_s") + F.col("_r")).alias("cost"))
+    return starts, met.select(*keys, "_n", F.explode(two).alias("k")).where("k.i <= _n").select(*keys, "k.i", "k.dd")
+
+
+def _sums(starts: DataFrame, turns: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _lo, _n, _f, _s, _k): a row a key, with its second differences as a list of one a place on the grid at most."""
+    by = turns.repartition(*keys).groupBy(*keys, "i").agg(F.sum("dd").alias("dd")).groupBy(*keys).agg(F.collect_list(F.struct("i", "dd")).alias("_k"))
+    begun = starts.groupBy(*keys).agg(F.min("_lo").alias("_lo"), F.min("_n").alias("_n"), F.sum("_f").alias("_f"), F.sum("_s").alias("_s"))
+    return begun.join(by.hint("merge"), keys, "left").withColumn("_k", F.coalesce("_k", F.array().cast("array<struct<i:int,dd:double>>")))
+
+
+#: So many keys have their grids in memory at once.
+_GRIDS = 256
+
+
+def _curves(batch: pa.RecordBatch, step: float, tail: str = "") -> np.ndarray:
+    """Costs of a batch of _sums, a row a key, all with grids as long; tail names another set of columns."""
+    f, s = (batch.column(f"{c}{tail}").to_numpy(zero_copy_only=False) for c in ("_f", "_s"))
+    k, n = batch.column(f"_k{tail}"), batch.column("_n")[0].as_py()
+    row = np.repeat(np.arange(len(batch)), pc.list_value_length(k).to_numpy(zero_copy_only=False))
+    flat = k.flatten()
+    costs = np.zeros((len(batch), n + 1))
+    costs[row, flat.field("i").to_numpy(zero_copy_only=False)] = flat.field("dd").to_numpy(zero_copy_only=False)
+    np.cumsum(costs, axis=1, out=costs)
+    np.cumsum(costs, axis=1, out=costs)
+    costs += f[:, None] + np.arange(n + 1) * step * s[:, None]
+    return costs
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of _sums in small ones whose grids are as long."""
+    for whole in batches:
+        for n in pc.unique(whole.column("_n")):
+            own = whole.filter(pc.equal(whole.column("_n"), n))
+            for at in range(0, len(own), _GRIDS):
+                yield own.slice(at, _GRIDS)
+
+
+def _spread(keys: list[str], step: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _alike(batches):
+            costs = _curves(b, step)
+            of = pa.array(np.repeat(np.arange(len(b)), costs.shape[1]))
+            offset = b.column("_lo").to_numpy(zero_copy_only=False)[:, None] + np.arange(costs.shape[1]) * step
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(of) for k in keys], pa.array(offset.ravel()), pa.array(costs.ravel())], [*keys, "offset", "cost"])
+
+    return run
+
+
+def _lowest_on_grid(keys: list[str], step: float, less: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _alike(batches):
+            costs = _curves(b, step, "_all") - _curves(b, step) if less else _curves(b, step)
+            first = np.argmax(costs <= costs.min(axis=1, keepdims=True) + _CLOSE, axis=1)
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], pa.array(b.column("_lo").to_numpy(zero_copy_only=False) + first * step)], [*keys, "_o"])
+
+    return run
+
+
+def _schema(df: DataFrame, keys: list[str], *more: str) -> StructType:
+    return StructType([*[StructField(k, df.schema[k].dataType) for k in keys], *[StructField(c, DoubleType()) for c in more]])
+
+
+def grid_costs(anchors: DataFrame, hits: DataFrame, cues: DataFrame, search: DataFrame, keys: list[str], step: float = 1.0, cell: float = 600.0) -> DataFrame:
+    """(keys, offset, cost) over the grid of search (match, period, center, radius), the costs summed over the anchors of a key: match and
+    period, or an anchor of its own.
+
+    Each bend of an anchor's curve is two numbers on the grid, second differences of its costs; summed over anchors, they are added up
+    twice along the grid, where a key's row is. So work goes with anchors times bends and with offsets, and no row an offset is shuffled.
+    Sums differ from those of best_match in the last places.
+    """
+    sums = _sums(*_parts(anchors, hits, cues, search, keys, step, cell), keys)
+    return sums.mapInArrow(_spread(keys, step), _schema(sums, keys, "offset", "cost"))
 
 
 #: On a grid, costs that close to the least count as equal to it: sums along it may be off by less.
 _CLOSE = 1e-6
 
 
-def _first_low(costs: DataFrame, keys: list[str], cost: str) -> DataFrame:
-    """(keys, _o): the smallest offset whose cost is the least, or as good as."""
-    least = costs.groupBy(*keys).agg(F.min(cost).alias("_m"))
-    return costs.join(least, keys).where(F.col(cost) <= F.col("_m") + _CLOSE).groupBy(*keys).agg(F.min("offset").alias("_o"))
+def _first_low(sums: DataFrame, keys: list[str], step: float, less: bool = False) -> DataFrame:
+    """(keys, _o): the smallest offset whose cost is the least, or as good as, of _sums; with less, whose cost without the key's own is, of
+    _sums with those of its period beside them (_f_all, _s_all, _k_all)."""
+    return sums.mapInArrow(_lowest_on_grid(keys, step, less), _schema(sums, keys, "_o"))
 
 
 def _own_costs(anchors: DataFrame, hits: DataFrame, cues: DataFrame, grid: Column) -> DataFrame:
@@ -167,7 +233,8 @@ def offset_costs(anchors: DataFrame, hits: DataFrame, cues: DataFrame, search: D
 
 def fit_offset(anchors: DataFrame, hits: DataFrame, cues: DataFrame, search: DataFrame, step: float = 1.0) -> DataFrame:
     """(match, period, offset, cost): the best of a grid, and then of nine places a quarter of a second apart around it."""
-    coarse = _first_low(offset_costs(anchors, hits, cues, search, step), ["match", "period"], "cost")
+    period = ["match", "period"]
+    coarse = _first_low(_sums(*_parts(anchors, hits, cues, search, period, step, 600.0), period), period, step)
     fine = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.col("_o") - step + 0.25 * i)
     return _lowest(_own_costs(anchors.join(coarse, ["match", "period"]), hits, cues, fine))
 
@@ -179,9 +246,9 @@ def loo_residuals(anchors: DataFrame, hits: DataFrame, cues: DataFrame, fitted:
     base = anchors.join(of, ["match", "period"])
     one = ["match", "period", "anchor"]
 
-    own = grid_costs(anchors, hits, cues, of.withColumn("radius", F.lit(radius)), one, step)
-    rest = own.withColumn("rest", F.sum("cost").over(Window.partitionBy("match", "period", "offset")) - F.col("cost"))
-    coarse = _first_low(rest, one, "rest")
+    starts, turns = _parts(anchors, hits, cues, of.withColumn("radius", F.lit(radius)), one, step, 600.0)
+    both = _sums(starts, turns, ["match", "period"]).select("match", "period", *[F.col(c).alias(f"{c}_all") for c in ("_f", "_s", "_k")])
+    coarse = _first_low(_sums(starts, turns, one).join(both.hint("merge"), ["match", "period"]), one, step, less=True)
     # in the fine pass every anchor has a grid of its own, at which all anchors of the period are weighed
     fine = written(coarse.select(*one, F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.col("_o") - step + 0.25 * i)).alias("offset")), "left-out")
     offsets = fine.select("match", "period", "offset").distinct()
