@@ -216,3 +216,17 @@ def test_scores_must_cover_gold(spark):
     assert evaluate.window_metrics(scores("w1", "w2", "w9"), gold).first()["n"] == 2
     with pytest.raises(KeyError):
         evaluate.window_metrics(scores("w1", "w9"), gold)
+
+
+def test_many_matches_land_in_few_files(spark, tmp_path):
+    from pathlib import Path
+
+    from tidemark.plans import streams
+
+    raw = streams.raw_events(spark, "/root/testdata/sf0.001")
+    n = raw.select("match").distinct().count()
+    sinks.land_raw_lines(raw, str(tmp_path / "lines"))
+    assert n > 8 and len(list(Path(tmp_path / "lines").rglob("part-*"))) <= 4
+    got = readers.raw_event_lines(spark, str(tmp_path / "lines"))
+    assert got.count() == raw.count() and got.select("match").distinct().count() == n
+    assert sorted(r["id"] for r in got.select("id").collect()) == sorted(r["id"] for r in raw.select("id").collect())

@@ -51,6 +51,14 @@ def raw_events_of(spark: SparkSession, folder: str) -> DataFrame:
     return each.where("match is not null and e is not null").select("match", "index", "e.*")
 
 
+def raw_event_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As raw_events_of, of the lines that sinks.land_raw_lines wrote; a line that isn't JSON gives no rows."""
+    element = RAW.replace("match string, index int, ", "", 1)
+    lines = spark.read.text(path).select(F.from_json("value", f"struct<match:string,events:array<struct<{_as_struct(element)}>>>").alias("r"))
+    each = lines.select(F.col("r.match").alias("match"), F.posexplode("r.events").alias("index", "e"))
+    return each.where("match is not null and e is not null").select("match", "index", "e.*")
+
+
 def _as_struct(ddl: str) -> str:
     """Top-level columns of a schema as fields of a struct."""
     return ",".join(":".join(column.split(" ", 1)) for column in ddl.split(", "))

@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.sampling import shuffled
@@ -29,10 +29,22 @@ def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 def land_raw_events(raw: DataFrame, path: str) -> None:
     """Raw events (match, index if there is one, and columns of events.RAW) as a JSON array a match, in folders `match=<match>`."""
+    raw.groupBy("match").agg(F.to_json(_listed(raw)).alias("value")).write.mode("overwrite").partitionBy("match").text(path)
+
+
+def land_raw_lines(raw: DataFrame, path: str) -> None:
+    """As land_raw_events, but a line a match with its array, {"match": ..., "events": [...]}, in as many files as tasks: for so many matches
+    that a folder each would be more than a store lists or renames in time."""
+    each = raw.groupBy("match").agg(_listed(raw).alias("events"))
+    each.select(F.to_json(F.struct(F.col("match").cast("string").alias("match"), "events")).alias("value")).write.mode("overwrite").text(path)
+
+
+def _listed(raw: DataFrame) -> Column:
+    """The events of a match as an array, by index if there is one."""
     rest = [c for c in raw.columns if c not in ("match", "index")]
-    order = ["index"] if "index" in raw.columns else []
-    each = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*rest).alias("e")))) if order else F.collect_list(F.struct(F.struct(*rest).alias("e"))), lambda x: x["e"])
-    raw.groupBy("match").agg(F.to_json(each).alias("value")).write.mode("overwrite").partitionBy("match").text(path)
+    if "index" not in raw.columns:
+        return F.collect_list(F.struct(*rest))
+    return F.transform(F.array_sort(F.collect_list(F.struct("index", F.struct(*rest).alias("e")))), lambda x: x["e"])
 
 
 def write_predictions(scores: DataFrame, path: str, tag: str) -> None:
