@@ -212,3 +212,36 @@ def test_links_between_short_texts_are_found(spark, n):
         texts[2 * g], texts[2 * g + 1] = " ".join(a), " ".join(b)
     got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert sum(got[2 * g + 1] == 2 * g for g in range(60)) >= 59
+
+
+def test_folded_bits_never_lose_a_link():
+    r = random.Random(6)
+    for g in range(120):
+        a = prose(80_000 + g, r.randint(20, 400)).split()
+        b = edited(a, 0.2, r)
+        counts, *longs = neardup.signed(pa.array([" ".join(a), " ".join(b)]))
+        odd = sum(bin((int(x[0].as_py()) ^ int(x[1].as_py())) & (1 << 64) - 1).count("1") for x in longs)
+        assert counts.to_pylist() == [len(a), len(b)] and len(longs) == neardup.FOLDED
+        assert odd <= 2 * distance(a, b)
+
+
+def test_components_that_are_done_leave_the_rounds(spark, monkeypatch):
+    """Stars are done in one round; only the chain goes on, and edges added later connect classes alone."""
+    rows, written = {}, neardup.written
+
+    def counted(df, label):
+        out = written(df, label)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    stars = [(1000 * s, 1000 * s + k) for s in range(1, 21) for k in range(1, 11)]
+    edges = spark.createDataFrame(stars + [(i, i + 1) for i in range(40)], "_id long, leader long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(41), *sorted({x for e in stars for x in e}), 99_999]], "_id long")
+    found = neardup.components(nodes, edges)
+    got = {x["_id"]: (x["class"], x["n_links"]) for x in found.collect()}
+    assert all(got[k][0] == 0 for k in range(41)) and all(got[b] == (a, 1) for a, b in stars) and got[99_999] == (99_999, 0)
+    assert rows["omh-edges"][0] == 20 * 31 + 121 and rows["omh-edges"][1] == 121
+    more = spark.createDataFrame([(1005, 2003), (2004, 1000), (7, 3000), (99_999, 4001)], "_id long, leader long")
+    got = {x["_id"]: (x["class"], x["n_links"]) for x in neardup._merged(found, more).collect()}
+    assert got[2000] == (1000, 10) and got[2003] == (1000, 2) and got[1000] == (1000, 11) and got[3010] == (0, 1) and got[7] == (0, 3) and got[99_999] == (4000, 1) and got[5001] == (5000, 1)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,8 @@ SMALL = 32
 #: Words up to which rare pairs of words are looked at, and from which rare triples are: two long texts share some rare pair by chance.
 LONG = 400
 #: Counters of word pairs and triples by hash, by which rare ones are told from common ones (a table of fixed size that every task holds),
-#: and longs of the bits that stand for a text's words.
-SLOTS, WORDS64 = 1 << 20, 64
+#: longs of the bits that stand for a text's words, and to how many those are folded that go with each of its rare pairs.
+SLOTS, WORDS64, FOLDED = 1 << 20, 64, 16
 #: Pairs that one copy of a text serves; a text in more pairs is joined in as many copies as that takes.
 PAIRS_A_COPY = 500
 
@@ -232,8 +233,8 @@ def _most(longer: Column, least: float) -> Column:
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (_id, leader) that are similar; words: _id, words. A text in many pairs is copied, so that no task has all of
-    them."""
+    """Those of pairs (_id, leader) that are similar; words: _id, words. All texts are shuffled once at most, to pick those in pairs. A text in
+    many pairs is copied, so that no task has all of them."""
 
     @F.pandas_udf("boolean")
     def ok(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -241,14 +242,18 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
     met, sides = pairs, (("leader", "_id", "_b", "_k"), ("_id", "leader", "_a", "_c"))
     # written, so that Spark knows their size when it picks the texts that are needed, and shuffles all texts only if these are many
+    ids = written(pairs.select(F.explode(F.array("_id", "leader")).alias("_id")).distinct(), "omh-ids")
+    needed = written(words.join(ids, "_id", "left_semi"), "omh-needed")
     copies = {side: written(pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("_n")), "omh-copies") for side, *_ in sides}
     for side, other, _, at in sides:  # which copy serves a pair, while the pairs are narrow
         many = copies[side].where("_n > 1")
         met = met.join(many, side, "left").withColumn(at, F.pmod(F.xxhash64(other), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
     for side, _, text, at in sides:
-        each = words.select(F.col("_id").alias(side), F.col("words").alias(text)).join(copies[side], side)
+        each = needed.select(F.col("_id").alias(side), F.col("words").alias(text)).join(copies[side], side)
         met = met.join(each.select(side, text, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias(at)), [side, at])
-    return met.where(ok("_a", "_b")).select("_id", "leader")
+    found = written(met.where(ok("_a", "_b")).select("_id", "leader"), "omh-links")
+    discard(ids, needed, *copies.values())
+    return found
 
 
 def _first_met(buckets: DataFrame, least: float) -> DataFrame:
@@ -325,42 +330,50 @@ def word_bits(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return counts, np.packbits(bits).view(np.int64).reshape(len(counts), WORDS64)
 
 
+def signed(column: pa.Array) -> list[pa.Array]:
+    """Of texts as plain() leaves them: words, and FOLDED longs of word_bits(); what falls on one bit of those is odd in number again."""
+    counts, bits = word_bits(column)
+    folded = np.bitwise_xor.reduce(bits.reshape(len(counts), -1, FOLDED), axis=1)
+    return [pa.array(counts), *(pa.array(np.ascontiguousarray(folded[:, k])) for k in range(FOLDED))]
+
+
 def _may_be_alike(words: DataFrame, open_: DataFrame, least: float) -> DataFrame:
     """(_id, leader): pairs of open_ (bucket, _id, class, small) in different classes that share a small bucket, or are in large ones and
     share a rare pair or triple of words, if their lengths and words allow a link. words: _id, words."""
     if least < 0.75:
         raise ValueError("pairs and triples of words only bound similarities of 0.75 and more")
-    small = open_.where("small").select("_id", "class", F.col("bucket").alias("g"), F.lit(0).cast("long").alias("b"))
     members = open_.groupBy("_id", "class").agg(F.bool_and("small").alias("small"))
     texts = written(words.join(members, "_id").select("_id", "class", "words", "small"), "omh-open")
     large = texts.where("not small").select("_id", "class", "words")
     common = words.sparkSession.sparkContext.broadcast(_gram_counts(large, least))  # SLOTS numbers
 
+    signs = [f"w{k}" for k in range(FOLDED)]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0), *signed(batch.column(1))], names=["_id", "n", *signs])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, 1 << 20):
             grams, doc, before = rare_grams(batch.column(2), common.value, least)
-            cols = [batch.column(k).take(pa.array(doc)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(grams.view(np.int64)), pa.array(before.view(np.int64))], names=["_id", "class", "g", "b"])
-
-    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 1 << 20):
-            counts, bits = word_bits(batch.column(1))
-            ends = np.arange(0, bits.size + 1, WORDS64, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(bits.ravel()))], names=["_id", "n", "w"])
-
-    rare = written(large.mapInArrow(run, "_id bigint, class bigint, g bigint, b bigint"), "omh-rare")
-    shared = rare.groupBy("g").agg(F.min("class").alias("_a"), F.max("class").alias("_z")).where("_a <> _z").select("g")
-    told = texts.select("_id", "words").mapInArrow(signs, "_id bigint, n bigint, w array<bigint>")
-    rows = written(rare.join(shared, "g", "left_semi").unionByName(small).join(told, "_id"), "omh-shared")
+            at = pa.array(doc)
+            cols = [x.take(at) for x in (batch.column(0), batch.column(1), *signed(batch.column(2)))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(grams.view(np.int64)), pa.array(before.view(np.int64))], names=["_id", "class", "n", *signs, "g", "b"])
+
+    of = "n bigint, " + ", ".join(f"{w} bigint" for w in signs)
+    rare = large.mapInArrow(run, f"_id bigint, class bigint, {of}, g bigint, b bigint")
+    small = open_.where("small").join(texts.select("_id", "words").mapInArrow(told, f"_id bigint, {of}"), "_id")
+    small = small.select("_id", "class", "n", *signs, F.col("bucket").alias("g"), F.lit(0).cast("long").alias("b"))
+    rows = written(rare.unionByName(small), "omh-shared")
     x, y = rows.alias("x"), rows.alias("y")
     # two texts that share the one before this too have met there
     met = (F.col("x.g") == F.col("y.g")) & (F.col("x._id") > F.col("y._id")) & (F.col("x.class") != F.col("y.class")) & ((F.col("x.b") != F.col("y.b")) | (F.col("x.b") == 0))
     apart, most = F.abs(F.col("x.n") - F.col("y.n")), _most(F.greatest("x.n", "y.n"), least)
-    odd = F.aggregate(F.zip_with("x.w", "y.w", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+    odd = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in signs), F.lit(0))
     # a word that only one of two texts has is an edit, or half of one; bits differ by no more than words do, so no link is lost
     pairs = x.join(y, met & (apart <= most) & (odd + apart <= 2 * most)).select(F.col("x._id").alias("_id"), F.col("y._id").alias("leader"))
     pairs = written(pairs.distinct(), "omh-pairs")
-    discard(texts, rare, rows)
+    discard(texts, rows)
     return pairs
 
 
@@ -369,28 +382,47 @@ def _may_be_alike(words: DataFrame, open_: DataFrame, least: float) -> DataFrame
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(_id, class, n_links): the least id that edges (_id, leader) connect a node with, and its edges. Labels spread along the
-    edges and jump to their label's label, until none changes; every round is a table in the shared folder."""
+    edges and jump to their label's label; every round is a table in the shared folder. A component that has one label is done and leaves, so
+    a round has the edges of the others only."""
     both = edges.select("_id", "leader").unionByName(edges.select(F.col("leader").alias("_id"), F.col("_id").alias("leader"))).distinct()
     # with each node its own neighbour, one join and one minimum make a round
     own = both.select("_id").distinct().select("_id", F.col("_id").alias("leader"))
-    around = written(both.unionByName(own), "omh-edges")
-    labels = written(around.groupBy("_id").agg(F.min("leader").alias("class")), "omh-labels")
-    total = None
+    every = around = written(both.unionByName(own), "omh-edges")
+    labels, done = written(around.groupBy("_id").agg(F.min("leader").alias("class")), "omh-labels"), []
     while True:
-        # labels only fall, so an equal sum means that none has changed
-        now = labels.agg(F.sum(F.col("class").cast("decimal(38,0)"))).first()[0]
-        if now == total:
+        near = around.join(labels.select(F.col("_id").alias("leader"), "class"), "leader").groupBy("_id")
+        near = written(near.agg(F.min("class").alias("class"), F.max("class").alias("_top"), F.max(F.when(F.col("_id") == F.col("leader"), F.col("class"))).alias("_own")), "omh-near")
+        # a component of several labels has an edge out of each of them
+        mixed_ = written(near.where("class <> _top").select("_own").distinct(), "omh-mixed")
+        done.append(written(near.join(mixed_, "_own", "left_anti").select("_id", "class"), "omh-done"))
+        was, more = (labels, mixed_), mixed_.limit(1).count()
+        if more:
+            left = near.join(mixed_, "_own", "left_semi").select("_id", "class")
+            jump = left.select(F.col("_id").alias("class"), F.col("class").alias("_j"))
+            labels = written(left.join(jump, "class").select("_id", F.col("_j").alias("class")), "omh-labels")
+            before, around = around, written(around.join(labels, "_id", "left_semi"), "omh-edges")
+            if before is not every:
+                discard(before)
+        discard(near, *was)
+        if not more:
             break
-        total, was = now, labels
-        near = around.join(labels.select(F.col("_id").alias("leader"), "class"), "leader").groupBy("_id").agg(F.min("class").alias("class"))
-        jump = near.select(F.col("_id").alias("class"), F.col("class").alias("_j"))
-        labels = written(near.join(jump, "class").select("_id", F.col("_j").alias("class")), "omh-labels")
-        discard(was)
-    degree = around.where("_id <> leader").groupBy("_id").agg(F.count("*").alias("n_links"))
-    known = labels.join(degree, "_id")
+    degree = every.where("_id <> leader").groupBy("_id").agg(F.count("*").alias("n_links"))
+    known = reduce(DataFrame.unionByName, done).join(degree, "_id")
     return nodes.join(known, "_id", "left").select("_id", F.coalesce("class", "_id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """found (_id, class, n_links) with further edges (_id, leader), each once, between its classes: only these classes are connected anew."""
+    of = found.select("_id", "class")
+    ends = more.join(of, "_id").select(F.col("class").alias("_a"), F.col("leader").alias("_id")).join(of, "_id")
+    edges = written(ends.select(F.col("_a").alias("_id"), F.col("class").alias("leader")).distinct(), "omh-between")
+    nodes = edges.select("_id").unionByName(edges.select(F.col("leader").alias("_id"))).distinct()
+    top = components(nodes, edges).select(F.col("_id").alias("class"), F.col("class").alias("_top"))
+    new = more.select(F.explode(F.array("_id", "leader")).alias("_id")).groupBy("_id").agg(F.count("*").alias("_new"))
+    wide = found.join(top, "class", "left").join(new, "_id", "left")
+    return wide.select("_id", F.coalesce("_top", "class").alias("class"), (F.col("n_links") + F.coalesce("_new", F.lit(0))).alias("n_links"))
+
+
 def _classes(docs: DataFrame, text: str, shingle: int, picked: int, sketches: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(members, told): members doc_id, _id, _raw of every row; told _id, class, n_links of every different text."""
     spark = docs.sparkSession
@@ -407,13 +439,13 @@ def _classes(docs: DataFrame, text: str, shingle: int, picked: int, sketches: in
     buckets = written(every.join(shared, "bucket", "left_semi"), "omh-buckets")
     discard(every, shared)
     nodes = members.select("_id").distinct()
-    links = written(_verified(written(_first_met(buckets, least), "omh-first"), words, least), "omh-links")
+    links = _verified(written(_first_met(buckets, least), "omh-first"), words, least)
     found = components(nodes, links)
     open_ = written(_open(buckets, found), "omh-left")
     if open_.limit(1).count():
-        more = written(_verified(_may_be_alike(words, open_, least), words, least), "omh-links-more")
+        more = _verified(_may_be_alike(words, open_, least), words, least)
         if more.limit(1).count():
-            found = components(nodes, links.unionByName(more).distinct())
+            found = _merged(found, more)
     discard(buckets, words, open_)
     return members, found
 
