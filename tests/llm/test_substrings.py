@@ -82,3 +82,18 @@ def test_doubling_patterns(spark):
     got = {x["doc_id"]: bytes(x["kept"]) for x in substrings.remove_repeated(docs).collect()}
     for k, (t, gone) in enumerate(zip(texts, brute([t.encode() for t in texts], 200), strict=True)):
         assert got[k] == bytes(b for b, g in zip(t.encode(), gone, strict=True) if not g), k
+
+
+def test_windows_of_a_frequent_passage_go_by_blocks(spark):
+    """Hundreds of texts around one passage: a row for some windows, not for each, and the same bytes are cut."""
+    r, passage = random.Random(31), prose(70_000, 60)
+    texts = [prose(71_000 + k, 40) + passage[r.randint(0, 30) :] + prose(72_000 + k, 40) for k in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = [substrings.runs_of(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+    rows = [(int(a.view(np.int64)), int(c.view(np.int64)), int(n), int(o), t.encode()[s : s + n + 199]) for t, x in zip(texts, runs, strict=True) for s, n, o, a, c in zip(*x[:5], strict=True)]
+    contents = spark.createDataFrame(rows, "a long, c long, n int, off int, bytes binary").dropDuplicates(["a", "c"])
+    windows = contents.selectExpr("sum(n)").first()[0]
+    assert substrings._blocks(contents, 200).count() < windows / 6
+    got = {x["doc_id"]: bytes(x["kept"]) for x in substrings.remove_repeated(docs, most=1).collect()}
+    for k, (t, gone) in enumerate(zip(texts, brute([t.encode() for t in texts], 200), strict=True)):
+        assert got[k] == bytes(b for b, g in zip(t.encode(), gone, strict=True) if not g), k

@@ -13,7 +13,9 @@ carries WIDTH - 1 bytes more than it has windows.
    multikey sort, eight bytes a key, which leaves out what stands alone, and neighbours are compared. No anchor is in two
    ranges, so no range need look across its boundaries.
 4. An anchor with more contents than MOST_CONTENTS is not left to one range: its windows go out as 128-bit fingerprints that
-   are counted before and after a shuffle, so that no task has all of a frequent passage.
+   are counted before and after a shuffle, so that no task has all of a frequent passage. STEP windows go as one row, by the offset of
+   the anchor in them: where another content has all their bytes, all are repeated; where none has the bytes that all of them share, none
+   is. Only blocks between the two, one of each content, go out window by window.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from tidemark.llm.common import U64, Rolling, as_bytes, discard, load, row_keys,
 WIDTH, SEED = 200, 32
 #: Contents that share an anchor and are sorted in one range, at most (about 300 bytes each).
 MOST_CONTENTS = 500
+#: Windows of a frequent anchor that are counted as one block first.
+STEP = 16
 #: Windows of a text that are looked at together, so that memory doesn't grow with its length.
 BLOCK = 4 << 20
 _LOW = 24  # bits of a place within a block
@@ -162,20 +166,59 @@ def _compared(contents: DataFrame, width: int, seed: int) -> DataFrame:
     return contents.select("a", "c", "n", "bytes").mapInArrow(run, FOUND)
 
 
-def _windows(contents: DataFrame, width: int) -> DataFrame:
-    """A row for each window of each content: its place in the run and two fingerprints."""
+def _blocks(contents: DataFrame, width: int) -> DataFrame:
+    """A row for each block of windows of each content: its first and last window's place in the run, a fingerprint of the bytes that all
+    windows of such a block share, and two of all its bytes. Windows with equal bytes are in blocks with equal shared bytes."""
+    step = min(STEP, width // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 3, 1 << 18):
-            data, bounds = as_bytes(batch.column(3))
-            counts = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+        for batch in slices(batches, 4, 1 << 18):
+            data, bounds = as_bytes(batch.column(4))
+            n, off = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            # the anchor is at off - r in window r; blocks part these offsets, from the last window's to the first's
+            low, counts = (off - n + 1) // step, off // step - (off - n + 1) // step + 1
             rows = np.repeat(np.arange(batch.num_rows), counts)
-            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            block = low[rows] + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            lo, hi = np.maximum(0, off[rows] - block * step - step + 1), np.minimum(n[rows] - 1, off[rows] - block * step)
+            base, roll = bounds[rows], Rolling(data)
+            shared = base + off[rows] - block * step
+            h = [roll.of(shared, shared - step + 1 + width), roll.of(base + lo, base + lo + width // 2), roll.of(base + lo + width // 2, base + hi + width)]
+            cols = [*(batch.column(k).take(pa.array(rows)) for k in (0, 1)), *(pa.array(x.astype(np.int32)) for x in (lo, hi)), *(pa.array(x.view(np.int64)) for x in h)]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "c", "lo", "hi", "h", "u1", "u2"])
+
+    return contents.select("a", "c", "n", "off", "bytes").mapInArrow(run, "a bigint, c bigint, lo int, hi int, h bigint, u1 bigint, u2 bigint")
+
+
+def _windows(blocks: DataFrame, width: int) -> DataFrame:
+    """A row for each window of blocks (a, c, lo, hi, k, bytes of the content): its place in the run and two fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 5, 1 << 18):
+            data, bounds = as_bytes(batch.column(5))
+            lo, hi = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            counts = hi - lo + 1
+            rows = np.repeat(np.arange(batch.num_rows), counts)
+            at = lo[rows] + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             starts, roll = bounds[rows] + at, Rolling(data)
             h = [roll.of(starts, starts + width // 2), roll.of(starts + width // 2, starts + width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(at.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in h)], names=["a", "c", "r", "h1", "h2"])
+            cols = [*(batch.column(k).take(pa.array(rows)) for k in (0, 1, 4)), pa.array(at.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in h)]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "c", "k", "r", "h1", "h2"])
+
+    return blocks.select("a", "c", "lo", "hi", "k", "bytes").mapInArrow(run, "a bigint, c bigint, k bigint, r int, h1 bigint, h2 bigint")
+
 
-    return contents.select("a", "c", "n", "bytes").mapInArrow(run, "a bigint, c bigint, r int, h1 bigint, h2 bigint")
+def _counted(contents: DataFrame, width: int) -> DataFrame:
+    """Spans (a, c, spans) of contents (a, c, n, off, bytes), by counts of fingerprints."""
+    blocks = written(_blocks(contents, width), "substr-blocks")
+    # blocks of the same bytes are one kind; one of them stands for all
+    kinds = written(blocks.groupBy("h", "u1", "u2").agg(F.count("*").alias("k"), F.min(F.struct("a", "c", "lo", "hi")).alias("r")), "substr-kinds")
+    whole = blocks.join(kinds.where("k > 1").select("h", "u1", "u2"), ["h", "u1", "u2"], "left_semi").select("a", "c", F.col("lo").alias("s"), (F.col("hi") + width).alias("e"))
+    unlike = kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    open_ = written(kinds.join(unlike, "h", "left_semi").select("k", "r.*"), "substr-open")
+    windows = written(_windows(open_.join(contents.select("a", "c", "bytes"), ["a", "c"]), width), "substr-windows")
+    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("t")).where("t > 1").select("h1", "h2")
+    single = windows.where("k = 1").join(again, ["h1", "h2"], "left_semi").select("a", "c", F.col("r").alias("s"), (F.col("r") + width).alias("e"))
+    return whole.unionByName(single).groupBy("a", "c").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, seed: int = SEED, most: int = MOST_CONTENTS) -> DataFrame:
@@ -206,9 +249,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, seed
     ranged = few.repartitionByRange(parts, "lead", "a").sortWithinPartitions("lead", "a")
     found = _compared(ranged, width, seed)
 
-    windows = _windows(fetched.where(F.col("m") > most), width)
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("k")).where("k > 1").select("h1", "h2")
-    across = windows.join(again, ["h1", "h2"]).groupBy("a", "c").agg(F.transform(F.collect_set("r"), lambda r: F.struct(r.alias("s"), (r + width).alias("e"))).alias("spans"))
+    across = _counted(fetched.where(F.col("m") > most), width)
 
     whole = contents.where("times > 1").select("a", "c", F.array(F.struct(F.lit(0).alias("s"), (F.col("r.n") + width - 1).alias("e"))).alias("spans"))
     all_ = whole.unionByName(found).unionByName(across)
