@@ -245,3 +245,12 @@ def test_components_that_are_done_leave_the_rounds(spark, monkeypatch):
     more = spark.createDataFrame([(1005, 2003), (2004, 1000), (7, 3000), (99_999, 4001)], "_id long, leader long")
     got = {x["_id"]: (x["class"], x["n_links"]) for x in neardup._merged(found, more).collect()}
     assert got[2000] == (1000, 10) and got[2003] == (1000, 2) and got[1000] == (1000, 11) and got[3010] == (0, 1) and got[7] == (0, 3) and got[99_999] == (4000, 1) and got[5001] == (5000, 1)
+
+
+def test_texts_in_pairs_are_picked_exactly(spark):
+    r = random.Random(12)
+    every = [0, 1, -1, neardup.PICKS, neardup.PICKS - 1, -neardup.PICKS, 1 << 15, (1 << 63) - 1, -(1 << 63)] + [r.randint(-(1 << 63), (1 << 63) - 1) for _ in range(3000)]
+    words = spark.createDataFrame([(x, f"t{x}") for x in every], "_id long, words string")
+    for some in (every[:9], every[5:400], []):
+        ids = spark.createDataFrame([(x,) for x in some], "_id long")
+        assert sorted(x["_id"] for x in neardup._picked(words, ids).collect()) == sorted(some)

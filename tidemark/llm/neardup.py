@@ -42,6 +42,8 @@ LONG = 400
 #: Counters of word pairs and triples by hash, by which rare ones are told from common ones (a table of fixed size that every task holds),
 #: longs of the bits that stand for a text's words, and to how many those are folded that go with each of its rare pairs.
 SLOTS, WORDS64, FOLDED = 1 << 20, 64, 16
+#: Bits of the table by which most texts that are in no pair are told without a shuffle (of fixed size, 2 MB, that every task holds).
+PICKS = 1 << 24
 #: Pairs that one copy of a text serves; a text in more pairs is joined in as many copies as that takes.
 PAIRS_A_COPY = 500
 
@@ -232,9 +234,28 @@ def _most(longer: Column, least: float) -> Column:
     return F.floor(F.lit(1 - least) * longer + F.lit(1e-9))
 
 
+def _picked(words: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of words whose _id is in ids. Those whose bit no id has go first, where they are, so that what is shuffled is little more than
+    what is picked."""
+    slot = F.pmod("_id", F.lit(PICKS))
+    table = ids.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("b")).toArrow()
+    size = 1 << 12  # bytes of one of Spark's bitmaps; the first, of slot 0, has number 0 and bit 0
+    bits = np.zeros((PICKS // 8 // size + 1, size), np.uint8)
+    for k, b in zip(table.column("k").to_pylist(), table.column("b").to_pylist(), strict=True):
+        bits[k] = np.frombuffer(b, np.uint8)
+    told = words.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def may(bucket: pd.Series, bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy()
+        return pd.Series((told.value[bucket.to_numpy(), at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return words.where(may(F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot))).join(ids, "_id", "left_semi")
+
+
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (_id, leader) that are similar; words: _id, words. All texts are shuffled once at most, to pick those in pairs. A text in
-    many pairs is copied, so that no task has all of them."""
+    """Those of pairs (_id, leader) that are similar; words: _id, words. Texts in no pair aren't shuffled. A text in many pairs is copied, so
+    that no task has all of them."""
 
     @F.pandas_udf("boolean")
     def ok(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -243,7 +264,7 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     met, sides = pairs, (("leader", "_id", "_b", "_k"), ("_id", "leader", "_a", "_c"))
     # written, so that Spark knows their size when it picks the texts that are needed, and shuffles all texts only if these are many
     ids = written(pairs.select(F.explode(F.array("_id", "leader")).alias("_id")).distinct(), "omh-ids")
-    needed = written(words.join(ids, "_id", "left_semi"), "omh-needed")
+    needed = written(_picked(words, ids), "omh-needed")
     copies = {side: written(pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("_n")), "omh-copies") for side, *_ in sides}
     for side, other, _, at in sides:  # which copy serves a pair, while the pairs are narrow
         many = copies[side].where("_n > 1")
