@@ -254,3 +254,45 @@ def test_texts_in_pairs_are_picked_exactly(spark):
     for some in (every[:9], every[5:400], []):
         ids = spark.createDataFrame([(x,) for x in some], "_id long")
         assert sorted(x["_id"] for x in neardup._picked(words, ids).collect()) == sorted(some)
+
+
+def test_a_shared_passage_brings_texts_together_where_their_orders_part(spark):
+    """Texts of one passage share hundreds of triples; all but a few have the same one before them, and make no rows for the join."""
+    passage = prose(90_000, 500)
+    words = [(i, f"{prose(91_000 + i, 120)} {passage}") for i in range(60)]
+    common = np.zeros(neardup.SLOTS, np.int64)
+    for _, grams, _, _ in neardup._small_grams(*neardup._words_of(pa.array([w for _, w in words])), 0.8):
+        common += np.bincount((grams % neardup.U64(neardup.SLOTS)).astype(np.int64), minlength=neardup.SLOTS)
+    grams, doc, before = neardup.rare_grams(pa.array([w for _, w in words]), common, 0.8)
+    rare = spark.createDataFrame([(int(d), int(d), int(g), int(b)) for g, d, b in zip(grams.view(np.int64), doc, before.view(np.int64), strict=True)], "_id long, class long, g long, b long")
+    kept = neardup._parting(rare)
+    meet = lambda rows: {(x[0], y[0]) for g in rows.values() for x in g for y in g if x[0] > y[0] and (x[1] != y[1] or not x[1])}
+    by = lambda df: {k: [(x["_id"], x["b"]) for x in rows] for k, rows in _grouped(df.collect()).items()}
+    assert kept.count() < rare.count() / 20
+    assert meet(by(kept)) == meet(by(rare)) == {(a, b) for a in range(60) for b in range(a)}
+
+
+def _grouped(rows):
+    out = {}
+    for x in rows:
+        out.setdefault(x["g"], []).append(x)
+    return out
+
+
+def test_linked_classes_are_not_compared_again(spark, monkeypatch):
+    """Two halves of a family in two classes: one pair links them, and none of the others is aligned."""
+    base = prose(95_000, 80).split()
+    words = [(i, " ".join(edited(base, 0.02, random.Random(i)))) for i in range(40)] + [(100 + i, prose(96_000 + i, 80)) for i in range(2)]
+    pairs = [(i, j, i % 2, j % 2, -abs(i - j)) for i in range(40) for j in range(i) if i % 2 != j % 2] + [(101, 100, 101, 100, -5)]
+    found = spark.createDataFrame([(i, i % 2 if i < 40 else i, 1) for i, _ in words], "_id long, class long, n_links long")
+    aligned, verified = [], neardup._verified
+
+    def counted(pairs, *rest):
+        aligned.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_verified", counted)
+    df = spark.createDataFrame(pairs, "_id long, leader long, class long, other long, gap int")
+    got = neardup._linked(found, df, spark.createDataFrame(words, "_id long, words string"), 0.8)
+    assert {x["_id"]: x["class"] for x in got.collect()} == {i: 0 if i < 40 else i for i, _ in words}
+    assert aligned == [2]

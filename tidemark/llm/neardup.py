@@ -40,7 +40,7 @@ SMALL = 32
 #: Words up to which rare pairs of words are looked at, and from which rare triples are: two long texts share some rare pair by chance.
 LONG = 400
 #: Counters of word pairs and triples by hash, by which rare ones are told from common ones (a table of fixed size that every task holds),
-#: longs of the bits that stand for a text's words, and to how many those are folded that go with each of its rare pairs.
+#: longs of the bits that stand for a text's words, and to how many those are folded that go with each of its small buckets.
 SLOTS, WORDS64, FOLDED = 1 << 20, 64, 16
 #: Bits of the table by which most texts that are in no pair are told without a shuffle (of fixed size, 2 MB, that every task holds).
 PICKS = 1 << 24
@@ -359,8 +359,8 @@ def signed(column: pa.Array) -> list[pa.Array]:
 
 
 def _may_be_alike(words: DataFrame, open_: DataFrame, least: float) -> DataFrame:
-    """(_id, leader): pairs of open_ (bucket, _id, class, small) in different classes that share a small bucket, or are in large ones and
-    share a rare pair or triple of words, if their lengths and words allow a link. words: _id, words."""
+    """(_id, leader, class, other, gap), as _met() has them: pairs of open_ (bucket, _id, class, small) in different classes that share a
+    small bucket, or are in large ones and share a rare pair or triple of words. words: _id, words."""
     if least < 0.75:
         raise ValueError("pairs and triples of words only bound similarities of 0.75 and more")
     members = open_.groupBy("_id", "class").agg(F.bool_and("small").alias("small"))
@@ -374,28 +374,52 @@ def _may_be_alike(words: DataFrame, open_: DataFrame, least: float) -> DataFrame
         for batch in slices(batches, 1, 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), *signed(batch.column(1))], names=["_id", "n", *signs])
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, 1 << 20):
+            counts, bits = word_bits(batch.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * WORDS64), pa.array(bits.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), lists], names=["_id", "n", "w"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, 1 << 20):
             grams, doc, before = rare_grams(batch.column(2), common.value, least)
             at = pa.array(doc)
-            cols = [x.take(at) for x in (batch.column(0), batch.column(1), *signed(batch.column(2)))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(grams.view(np.int64)), pa.array(before.view(np.int64))], names=["_id", "class", "n", *signs, "g", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(grams.view(np.int64)), pa.array(before.view(np.int64))], names=["_id", "class", "g", "b"])
 
+    rare = written(large.mapInArrow(run, "_id bigint, class bigint, g bigint, b bigint"), "omh-rare")
+    met = _parting(rare).join(large.select("_id", "words").mapInArrow(whole, "_id bigint, n bigint, w array<bigint>"), "_id")
+    rows = written(met, "omh-shared")
     of = "n bigint, " + ", ".join(f"{w} bigint" for w in signs)
-    rare = large.mapInArrow(run, f"_id bigint, class bigint, {of}, g bigint, b bigint")
     small = open_.where("small").join(texts.select("_id", "words").mapInArrow(told, f"_id bigint, {of}"), "_id")
-    small = small.select("_id", "class", "n", *signs, F.col("bucket").alias("g"), F.lit(0).cast("long").alias("b"))
-    rows = written(rare.unionByName(small), "omh-shared")
+    small = written(small.select("_id", "class", "n", *signs, F.col("bucket").alias("g"), F.lit(0).cast("long").alias("b")), "omh-small")
+    folded = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in signs), F.lit(0))
+    each = F.zip_with("x.w", "y.w", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    pairs = _met(rows, F.aggregate(each, F.lit(0), lambda a, b: a + b), least).unionByName(_met(small, folded, least))
+    pairs = pairs.groupBy("_id", "leader").agg(F.first("class").alias("class"), F.first("other").alias("other"), F.max("gap").alias("gap"))
+    pairs = written(pairs, "omh-pairs")
+    discard(texts, rare, rows, small)
+    return pairs
+
+
+def _parting(rare: DataFrame) -> DataFrame:
+    """The rows of rare (_id, class, g, b) whose g can bring two texts together for the first time: texts of two classes have it, and not all
+    of them have the same one before it (where these have met) or it is the first of one. So a passage that a family of texts shares is left
+    with the few of its pairs and triples where their orders part."""
+    seen = rare.groupBy("g").agg(F.min("class").alias("_a"), F.max("class").alias("_z"), F.min("b").alias("_f"), F.max("b").alias("_l"), F.max(F.col("b") == 0).alias("_o"))
+    return rare.join(seen.where("_a <> _z and (_f <> _l or _o)").select("g"), "g", "left_semi")
+
+
+def _met(rows: DataFrame, odd: Column, least: float) -> DataFrame:
+    """(_id, leader, class, other, gap): pairs of rows (_id, class, n, g, b and bits) of different classes that meet in g, if lengths and bits
+    allow a link; gap: how far the bits are from forbidding it, at most 0. odd: in how many bits x and y differ."""
     x, y = rows.alias("x"), rows.alias("y")
     # two texts that share the one before this too have met there
-    met = (F.col("x.g") == F.col("y.g")) & (F.col("x._id") > F.col("y._id")) & (F.col("x.class") != F.col("y.class")) & ((F.col("x.b") != F.col("y.b")) | (F.col("x.b") == 0))
+    new = (F.col("x.g") == F.col("y.g")) & (F.col("x._id") > F.col("y._id")) & (F.col("x.class") != F.col("y.class")) & ((F.col("x.b") != F.col("y.b")) | (F.col("x.b") == 0))
     apart, most = F.abs(F.col("x.n") - F.col("y.n")), _most(F.greatest("x.n", "y.n"), least)
-    odd = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in signs), F.lit(0))
     # a word that only one of two texts has is an edit, or half of one; bits differ by no more than words do, so no link is lost
-    pairs = x.join(y, met & (apart <= most) & (odd + apart <= 2 * most)).select(F.col("x._id").alias("_id"), F.col("y._id").alias("leader"))
-    pairs = written(pairs.distinct(), "omh-pairs")
-    discard(texts, rows)
-    return pairs
+    over = odd + apart - 2 * most
+    met = x.join(y, new & (apart <= most) & (over <= 0))
+    return met.select(F.col("x._id").alias("_id"), F.col("y._id").alias("leader"), F.col("x.class").alias("class"), F.col("y.class").alias("other"), over.alias("gap"))
 
 
 # --- classes --------------------------------------------------------------------------------------------------------
@@ -444,6 +468,26 @@ def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
     return wide.select("_id", F.coalesce("_top", "class").alias("class"), (F.col("n_links") + F.coalesce("_new", F.lit(0))).alias("n_links"))
 
 
+def _linked(found: DataFrame, pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """found (_id, class, n_links) with the links among pairs (_id, leader, class, other, gap). Of each two classes the pair of least gap is
+    aligned first; where that links them, no other pair of theirs is needed."""
+    best = pairs.groupBy(F.least("class", "other"), F.greatest("class", "other")).agg(F.min(F.struct("gap", "_id", "leader")).alias("f"))
+    best = written(best.select("f._id", "f.leader"), "omh-best")
+    more = _verified(best, words, least)
+    if more.limit(1).count():
+        found = written(_merged(found, more), "omh-found")
+    of = found.select("_id", "class")
+    rest = pairs.select("_id", "leader").join(best, ["_id", "leader"], "left_anti").join(of, "_id")
+    rest = rest.join(of.select(F.col("_id").alias("leader"), F.col("class").alias("_c")), "leader").where("class <> _c").select("_id", "leader")
+    rest = written(rest, "omh-rest")
+    if rest.limit(1).count():
+        more = _verified(rest, words, least)
+        if more.limit(1).count():
+            found = _merged(found, more)
+    discard(best, rest)
+    return found
+
+
 def _classes(docs: DataFrame, text: str, shingle: int, picked: int, sketches: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(members, told): members doc_id, _id, _raw of every row; told _id, class, n_links of every different text."""
     spark = docs.sparkSession
@@ -464,9 +508,10 @@ def _classes(docs: DataFrame, text: str, shingle: int, picked: int, sketches: in
     found = components(nodes, links)
     open_ = written(_open(buckets, found), "omh-left")
     if open_.limit(1).count():
-        more = _verified(_may_be_alike(words, open_, least), words, least)
-        if more.limit(1).count():
-            found = _merged(found, more)
+        pairs = _may_be_alike(words, open_, least)
+        if pairs.limit(1).count():
+            found = _linked(found, pairs, words, least)
+        discard(pairs)
     discard(buckets, words, open_)
     return members, found
 
