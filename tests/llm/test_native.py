@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from tests.llm.conftest import prose
 from tidemark.llm import decontaminate, quality, queries
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +94,16 @@ def test_spans_and_repeated_documents(spark, tmp_path, most):
     docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     assert queries.QUERIES["op9_decontamination"](spark, str(tmp_path)).count() == len(rows)
+
+
+def test_clean_texts_are_told_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, prose(70_000 + i, 30) if i % 50 else prose(7, 30)) for i in range(1000)] + [(None, None), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, prose(7, 15))], "item_id long, text string")
+    bad = decontaminate._hit(docs, items, decontaminate.WINDOW)
+    may = decontaminate._told(docs, bad).where("_may")
+    assert 20 <= may.count() <= 21 and bad.join(may, ["_k", "_t"]).count() == 20
+    kept = decontaminate.clean_documents(docs, items)
+    assert kept.count() == 982 and kept.where("doc_id % 50 = 0").count() == 0
+    cut = decontaminate.remove_spans(docs, items)
+    same = cut.join(docs.withColumnRenamed("text", "was"), "doc_id").where("doc_id <> 5")
+    assert cut.count() == 1002 and same.where("text <> was").count() == 20 == same.where("text <> was and doc_id % 50 = 0").count()

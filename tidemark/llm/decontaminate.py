@@ -20,6 +20,8 @@ WINDOW = 10
 SET_SIZE = 1_000_000
 #: Words of a text that are scanned as one row, so that long texts take no more memory than short ones.
 BLOCK = 1024
+#: Bits of the table by which most texts without a hit are told without a shuffle (of fixed size, 2 MB, that every task holds).
+BITS = 1 << 24
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word of a text that isn't lower-cased, with what parts it from the word before; or what is left at the end.
 _TOKEN = r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
@@ -110,23 +112,36 @@ def _hit(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     return written(hit_windows(docs, items, window=window).where(F.size("hits") > 0).select("_k", "_t", "hits"), "bench-contaminated")
 
 
+def _told(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """(_row, _k, _t, _may) of docs; where _may is false, bad (_k, _t) doesn't have the text. So only the others need a join by key."""
+    slot = F.pmod("_k", F.lit(BITS))
+    number, bit = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    table = bad.groupBy(number.alias("_n")).agg(F.bitmap_construct_agg(bit).alias("_b"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_k"), F.xxhash64("text").alias("_t"))
+    byte = F.conv(F.hex(F.substring("_b", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    met = keyed.withColumn("_n", number).join(F.broadcast(table), "_n", "left")
+    return met.select("_row", "_k", "_t", F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False)).alias("_may"))
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs whose text has no window of an item, with the columns of docs; repeated rows all stay or all go."""
     bad = _hit(docs, items, window).select("_k", "_t")
-    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_k"), F.xxhash64("text").alias("_t"))
-    return keyed.join(bad, ["_k", "_t"], "left_anti").select("_row.*")
+    keyed = _told(docs, bad)
+    left = keyed.where("_may").join(bad, ["_k", "_t"], "left_anti")
+    return keyed.where("not _may").select("_row.*").unionByName(left.select("_row.*"))
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """All rows of docs, with its columns; from text, the words inside any hit are cut out, each with what parts it from the word
     before. Texts without a hit, null ones too, stay as they are."""
     bad = _hit(docs, items, window).select("_k", "_t", _places(F.col("hits")).alias("_at"))
-    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_k"), F.xxhash64("text").alias("_t"))
+    keyed = _told(docs, bad)
     text = F.col("_row.text")
     tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))
     left = F.array_join(F.filter(tokens, lambda _, j: ~F.array_contains("_at", j + 1)), "")
-    met = keyed.join(bad, ["_k", "_t"], "left")
-    return met.select(*[F.when(F.col("_at").isNotNull(), left).otherwise(text).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    met = keyed.where("_may").join(bad, ["_k", "_t"], "left")
+    met = met.select(*[F.when(F.col("_at").isNotNull(), left).otherwise(text).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    return keyed.where("not _may").select("_row.*").unionByName(met)
 
 
 _A, _B = string.ascii_uppercase, string.ascii_lowercase
