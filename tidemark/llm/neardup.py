@@ -234,9 +234,8 @@ def _most(longer: Column, least: float) -> Column:
     return F.floor(F.lit(1 - least) * longer + F.lit(1e-9))
 
 
-def _picked(words: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of words whose _id is in ids. Those whose bit no id has go first, where they are, so that what is shuffled is little more than
-    what is picked."""
+def _told(words: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of words whose _id is in ids, and few others: those whose bit some id has. Nothing is shuffled."""
     slot = F.pmod("_id", F.lit(PICKS))
     table = ids.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("b")).toArrow()
     size = 1 << 12  # bytes of one of Spark's bitmaps; the first, of slot 0, has number 0 and bit 0
@@ -250,7 +249,12 @@ def _picked(words: DataFrame, ids: DataFrame) -> DataFrame:
         at = bit.to_numpy()
         return pd.Series((told.value[bucket.to_numpy(), at >> 3] >> (at & 7) & 1).astype(bool))
 
-    return words.where(may(F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot))).join(ids, "_id", "left_semi")
+    return words.where(may(F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)))
+
+
+def _picked(words: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of words whose _id is in ids; what is shuffled is little more than these."""
+    return _told(words, ids).join(ids, "_id", "left_semi")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -262,9 +266,8 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
         return pd.Series([similar(x.split(" "), y.split(" "), least) for x, y in zip(a, b, strict=True)])
 
     met, sides = pairs, (("leader", "_id", "_b", "_k"), ("_id", "leader", "_a", "_c"))
-    # written, so that Spark knows their size when it picks the texts that are needed, and shuffles all texts only if these are many
-    ids = written(pairs.select(F.explode(F.array("_id", "leader")).alias("_id")).distinct(), "omh-ids")
-    needed = written(_picked(words, ids), "omh-needed")
+    ids = written(pairs.select("_id").unionByName(pairs.select(F.col("leader").alias("_id"))).distinct(), "omh-ids")
+    needed = written(_told(words, ids), "omh-needed")  # the joins below leave out what no pair has
     copies = {side: written(pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("_n")), "omh-copies") for side, *_ in sides}
     for side, other, _, at in sides:  # which copy serves a pair, while the pairs are narrow
         many = copies[side].where("_n > 1")
